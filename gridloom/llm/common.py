@@ -9,6 +9,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: ASCII blanks that separate words; bytes.split() uses the same six.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -79,3 +81,26 @@ def batched(rows: Iterable[tuple], schema: pa.Schema, size: int = 8192) -> Itera
 
 def columns_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def per_text(df: DataFrame, text_col: str, carry: list[str], schema: str, work) -> DataFrame:
+    """A struct column `row` of the carried columns, and the columns of schema that work() gives.
+
+    work is called once a task and gives a function from a list of UTF-8 texts
+    (null: empty) to one Arrow array or list for each column of schema. A
+    struct keeps carried names apart from result names.
+    """
+    source = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    results_schema = T._parse_datatype_string(schema)
+    out = T.StructType([source.schema["row"], *results_schema.fields])
+    types = to_arrow_schema(results_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = work()
+        for batch in batches:
+            for first, texts in pieces(batch.column(1)):
+                results = f(texts)
+                arrays = [x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(results, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *arrays], ["row", *types.names])
+
+    return source.mapInArrow(run, out)

@@ -48,7 +48,7 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     The id and the number of shards alone decide the shard (law 'key'), and
     grown_shard is the shard if there were one more. size is the text's UTF-8
     bytes plus 16, a null text counting as empty. Slots number a shard's rows
-    from 0 without gaps, in order of (hash of id, id, crc, size); rows equal in
+    from 0 without gaps, in order of (bucket of the id's hash, hash, id, crc, size); rows equal in
     all of these get neighbouring slots in any order. Null ids share one shard.
     Slots come from counts of (shard, bucket of the hash) and a rank within the
     bucket, so that a shard's rows needn't meet in one task.
@@ -56,10 +56,16 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), stable_key(F.col(id_col)).alias("key"))
     rows = rows.withColumn("shard", jump_shard(F.col("key"), shards)).withColumn("grown_shard", jump_shard(F.col("key"), shards + 1))
-    rows = written(rows.withColumn("bucket", F.pmod(F.xxhash64("key", "text_crc32", "size"), F.lit(1024)).cast("int")))
+    rows = written(rows.withColumn("bucket", (F.col("key") % 1024).cast("int")))
     counts = rows.groupBy("shard", "bucket").count()
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     within = W.partitionBy("shard", "bucket").orderBy("key", "id", "text_crc32", "size")
     placed = rows.withColumn("rank", F.row_number().over(within)).join(starts, ["shard", "bucket"])
     return placed.select("id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"), "grown_shard")
+
+
+def with_shard(df: DataFrame, id_col: str = "doc_id", shards: int = 40) -> DataFrame:
+    """df with columns shard and grown_shard, as shard_rows() has them, in place of any of those names; no row moves."""
+    key = stable_key(F.col(id_col))
+    return df.withColumns({"shard": jump_shard(key, shards), "grown_shard": jump_shard(key, shards + 1)})
