@@ -11,9 +11,11 @@ from .classifier import fold, quality
 from .decontamination import contamination, items_digest
 from .mixing import mixture
 from .ppm import scores
+from .repeats import without_repeats
 from .rules import quality_rules
 from .sharding import shard_rows
 from .simhash import near_duplicates
+from .warc import through_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,10 +41,19 @@ def op4_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_rows(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    read = through_warc(table(spark, folder, "pages"))
+    return read.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), shingle=4, radius=4).withColumnRenamed("id", "doc_id")
 
 
+def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeats(table(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_ppm(spark: SparkSession, folder: str) -> DataFrame:
     return scores(table(spark, folder, "documents"), held=fold(F.col("id"), 7) == 2).withColumnRenamed("id", "doc_id")
 
@@ -108,21 +119,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
 
-
-def jump_sql(shards: int) -> str:
-    """A recursive walk of the jump hash; products are taken modulo 2^64 in 128 bits."""
-    return f"""SELECT doc_id, max(b) AS shard FROM (
-WITH RECURSIVE j(doc_id, k, b, n) AS (
-  SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15)) AS UHUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM documents
-  UNION ALL
-  SELECT doc_id, x, n, CAST(floor((n + 1) * (2147483648.0::DOUBLE / CAST((x // 8589934592::UHUGEINT) + 1 AS DOUBLE))) AS BIGINT)
-  FROM (SELECT doc_id, n, (k * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS x FROM j WHERE n < {shards}))
-SELECT * FROM j) GROUP BY doc_id"""
+OP5_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS head FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN head IS NULL OR page_id IS NOT DISTINCT FROM head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_decontamination, op4_jump_sharding, op7_simhash, op9_ppm, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_decontamination, op4_jump_sharding, op5_warc, op7_simhash, op8_repeated_passages, op9_ppm, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op2_mixing": OP2_SQL, "op3_decontamination": OP3_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_mixing": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_warc": OP5_SQL}
