@@ -1,11 +1,14 @@
-"""The queries over the test tables, each with its equivalent SQL."""
+"""The queries over the test tables, each with its equivalent SQL where there is one."""
 
 from __future__ import annotations
 
+from . import axis, images, jobs, rules, scoring, streams, tables, text  # noqa: F401  they register their queries
+from .registry import QUERIES, SQL, Query
 
-def queries():
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
