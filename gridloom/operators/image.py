@@ -26,7 +26,8 @@ def per_page(pages: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> Da
 
 def pixels(pages: DataFrame, below: int = 128) -> DataFrame:
     """(page, y, x) of the dark pixels, in JVM expressions alone."""
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("data")), lambda i: F.ascii(F.substring(F.hex("data"), i * 2 - 1, 1)) * 0 + F.conv(F.substring(F.hex("data"), i * 2 - 1, 2), 16, 10).cast("int")))
+    value = lambda i: F.conv(F.hex(F.substring("data", i, 1)), 16, 10).cast("int")
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("data")), value))
     return pages.where("length(data) > 0").select("page", "width", at.alias("i", "v")).where(F.col("v") < below).select("page", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"))
 
 
@@ -226,9 +227,9 @@ def long_thin(mask: np.ndarray, least: int, most: int, axis: int) -> np.ndarray:
 
 
 def character_height(image: np.ndarray, least_area: int = 10) -> int:
-    """Median height of the ink's components of at least that area; 0 without any."""
+    """Median height of the ink's components of at least that area and at most an eighth of the page's height; 0 without any."""
     box = boxes(*labels(sparser(image)))
-    heights = box[box[:, 0] >= least_area, 3]
+    heights = box[(box[:, 0] >= least_area) & (box[:, 3] <= max(8, image.shape[0] // 8)), 3]
     return int(np.median(heights)) if len(heights) else 0
 
 

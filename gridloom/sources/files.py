@@ -93,7 +93,7 @@ def truth_table(spark: SparkSession, path: str) -> DataFrame:
     row = F.monotonically_increasing_id()
     cells = F.array(*[F.struct(F.lit(i).alias("index"), F.lit(n.lstrip("﻿")).alias("header"), F.coalesce(F.col(f"`{n}`"), F.lit("")).alias("value")) for i, n in enumerate(names)])
     at = F.row_number().over(W.orderBy("_r")) - 1  # a form has some 30 rows; one file is one split
-    return wide.select(row.alias("_r"), cells.alias("_c")).select(at.alias("row"), F.inline("_c"))
+    return wide.select(row.alias("_r"), cells.alias("_c")).select(at.alias("row"), "_c").select("row", F.inline("_c"))
 
 
 def settings(spark: SparkSession, path: str) -> DataFrame:
@@ -105,7 +105,7 @@ def settings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, length, sha256, head) of uploaded files."""
+    """(path, name, length, sha256, head) of uploaded files; the reader passes over empty files, which have no content to take in."""
     files = spark.read.format("binaryFile").load(folder)
     return files.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"), F.substring("content", 1, 1024).alias("head"))
 
