@@ -317,7 +317,8 @@ def test_ppm_is_exact():
 
 
 def test_ppm_beats_the_base_on_held_out_texts(spark):
-    rows = [r for r in QUERIES["op9_ppm"](spark, DATA.replace("0.001", "0.01")).collect() if r.held_out]
+    """With 10,000 texts to learn from; with 1,000 the words still say more than the bytes (README)."""
+    rows = [r for r in QUERIES["op9_ppm"](spark, DATA.replace("0.001", "0.1")).collect() if r.held_out]
     assert np.mean([r.score > r.base_score for r in rows]) > 0.5
 
 
