@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -50,44 +52,52 @@ def with_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int =
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def unpacked(fps: np.ndarray) -> np.ndarray:
+    """A row of bits for each fingerprint of one or more 64-bit words."""
+    return np.unpackbits(np.ascontiguousarray(fps.reshape(len(fps), -1)).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+
+
 def planes(fps: np.ndarray) -> np.ndarray:
-    """64 rows of bit planes: bit j of plane p is bit p of fingerprint j."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
-    padded = np.zeros((BITS, -(-len(fps) // 64) * 64), np.uint8)
+    """Rows of bit planes: bit j of plane p is bit p of fingerprint j."""
+    bits = unpacked(fps).T
+    padded = np.zeros((len(bits), -(-len(fps) // 64) * 64), np.uint8)
     padded[:, : len(fps)] = bits
     return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
 
 
 def near(queries: np.ndarray, targets: np.ndarray, radius: int) -> np.ndarray:
-    """Boolean matrix of the pairs within the radius (below 8).
+    """Boolean matrix of the pairs within the radius.
 
-    Each query meets 64 targets a word. Differences are added to three counter
-    planes with carries; the block is abandoned once every pair exceeds the radius.
+    Each query meets 64 targets a word. Differences are added to counter planes
+    with carries; the block is abandoned once every pair exceeds the radius.
     """
-    table = planes(targets)
-    flip = np.unpackbits(queries.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-    flip = np.where(flip, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)).T
+    table, ones = planes(targets), np.uint64(0xFFFFFFFFFFFFFFFF)
+    flip = np.where(unpacked(queries).astype(bool), ones, np.uint64(0)).T
     shape = (len(queries), table.shape[1])
-    c0, c1, c2, over = (np.zeros(shape, np.uint64) for _ in range(4))
-    differ, carry = np.empty(shape, np.uint64), np.empty(shape, np.uint64)
-    for p in range(BITS):
+    counters = [np.zeros(shape, np.uint64) for _ in range(radius.bit_length())]
+    over, differ, carry = np.zeros(shape, np.uint64), np.empty(shape, np.uint64), np.empty(shape, np.uint64)
+    for p in range(len(table)):
         np.bitwise_xor(table[p][None, :], flip[p][:, None], out=differ)
-        for c in (c0, c1, c2):
+        for c in counters:
             np.bitwise_and(c, differ, out=carry)
             np.bitwise_xor(c, differ, out=c)
             differ, carry = carry, differ
         np.bitwise_or(over, differ, out=over)
-        if p % 8 == 7 or p == BITS - 1:
-            beyond = over.copy()
-            for value in range(radius + 1, 8):
-                beyond |= (c0 if value & 1 else ~c0) & (c1 if value & 2 else ~c1) & (c2 if value & 4 else ~c2)
-            if (beyond == np.uint64(0xFFFFFFFFFFFFFFFF)).all():
+        if p > radius and p % 8 == 7 or p == len(table) - 1:
+            beyond, equal = over.copy(), np.full(shape, ones)
+            for i in range(len(counters) - 1, -1, -1):
+                if radius >> i & 1:
+                    equal &= counters[i]
+                else:
+                    beyond |= equal & counters[i]
+                    equal &= ~counters[i]
+            if (beyond == ones).all():
                 return np.zeros((len(queries), len(targets)), bool)
     return np.unpackbits((~beyond).view(np.uint8), axis=1, bitorder="little")[:, : len(targets)].astype(bool)
 
 
-def forest(fps: np.ndarray, radius: int, step: int = 512) -> list[tuple[int, int]]:
-    """A link to the smallest of its component for each fingerprint of the block that has one."""
+def forest(nodes: np.ndarray, fps: np.ndarray, radius: int, step: int = 512) -> list[tuple[int, int]]:
+    """A link to the smallest node of its component for each node of the block that has one."""
     linked = np.zeros((len(fps), len(fps)), bool)
     for i in range(0, len(fps), step):
         linked[i : i + step] = near(fps[i : i + step], fps, radius)
@@ -101,9 +111,9 @@ def forest(fps: np.ndarray, radius: int, step: int = 512) -> list[tuple[int, int
             member[edge] = True
             edge = np.flatnonzero(linked[edge].any(axis=0) & ~member)
         todo &= ~member
-        ids = fps[member].view(np.int64)
+        ids = nodes[member]
         root = int(ids.min())
-        out += [(int(x), root) for x in ids if x != root]
+        out += [(int(x), root) for x in np.unique(ids) if x != root]
     return out
 
 
@@ -122,14 +132,7 @@ def band_plan(n: int, radius: int, most: int = 256) -> tuple[list[int], list[tup
 
 
 def near_links(fps: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
-    """(a, b) links, with the closure of all pairs of distinct fp within the radius; fp holds distinct longs.
-
-    Candidates share a band key. Rows are sorted by key and compared in blocks
-    that hold whole buckets. A bucket beyond `block` rows is cut into parts by
-    hash, and each pair of parts becomes a block of its own, so that no task
-    holds an unbounded bucket. A block gives links to its components' smallest
-    members, not pairs, hence no more rows than it reads.
-    """
+    """(a, b) links, with the closure of all pairs of distinct fp within the radius; fp holds distinct longs."""
     bounds, keys = band_plan(fps.count(), radius)
 
     def key(i: int, chosen: tuple[int, ...]):
@@ -140,43 +143,57 @@ def near_links(fps: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
             width += size
         return value
 
-    rows = fps.select("fp", F.explode(F.array(*[key(i, c) for i, c in enumerate(keys)])).alias("key"))
-    sizes = rows.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
+    keyed = fps.select(F.col("fp").alias("node"), "fp", F.explode(F.array(*[key(i, c) for i, c in enumerate(keys)])).alias("key"))
+    return block_links(keyed, ["fp"], radius, block)
+
+
+def block_links(keyed: DataFrame, columns: list[str], radius: int, block: int) -> DataFrame:
+    """(a, b) links between the nodes of (node, key, fingerprint columns), with the closure of all pairs that share a key and are within the radius.
+
+    Rows are sorted by key and compared in blocks that hold whole buckets. A
+    bucket beyond `block` rows is cut into parts by hash, and each pair of parts
+    becomes a block of its own, so that no task holds an unbounded bucket. A
+    block gives links to its components' smallest members, not pairs, hence no
+    more rows than it reads.
+    """
+    sizes = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
-    rows = rows.join(sizes, "key").withColumn("part", part).select("key", "fp", F.explode(F.transform(every, lambda x: F.least(x, F.col("part")) * 65536 + F.greatest(x, F.col("part")))).alias("pair"))
-    tasks = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = keyed.join(sizes, "key").withColumn("part", part).select("key", "node", *columns, F.explode(F.transform(every, lambda x: F.least(x, F.col("part")) * 65536 + F.greatest(x, F.col("part")))).alias("pair"))
+    tasks = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(tasks, "key", "pair").sortWithinPartitions("key", "pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks():
-            held: list[np.ndarray] = []
+            held: list[tuple[np.ndarray, np.ndarray]] = []
             n, rest = 0, None
             for batch in batches:
-                k, q, f = (batch.column(i).to_numpy() for i in range(3))
+                k, q, node = (batch.column(i).to_numpy() for i in range(3))
+                f = np.stack([batch.column(i).to_numpy() for i in range(3, batch.num_columns)], axis=1)
                 if rest is not None:
-                    k, q, f = (np.concatenate(x) for x in zip(rest, (k, q, f), strict=True))
+                    k, q, node, f = (np.concatenate(x) for x in zip(rest, (k, q, node, f), strict=True))
                 cuts = np.flatnonzero((k[1:] != k[:-1]) | (q[1:] != q[:-1])) + 1
                 last = int(cuts[-1]) if len(cuts) else 0
-                rest = (k[last:], q[last:], f[last:])
-                for group in np.split(f[:last], cuts[:-1]) if last else ():
+                rest = (k[last:], q[last:], node[last:], f[last:])
+                for group, fps in zip(np.split(node[:last], cuts[:-1]), np.split(f[:last], cuts[:-1]), strict=True) if last else ():
                     if n and n + len(group) > 512:
-                        yield np.concatenate(held)
+                        yield tuple(map(np.concatenate, zip(*held, strict=True)))
                         held, n = [], 0
-                    held.append(group)
+                    held.append((group, fps))
                     n += len(group)
             if rest is not None:
-                held.append(rest[2])
+                held.append(rest[2:])
             if held:
-                yield np.concatenate(held)
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
-        for f in blocks():
-            links = forest(np.unique(f).view(np.uint64), radius)
+        for nodes, f in blocks():
+            nodes, first = np.unique(nodes, return_index=True)
+            links = forest(nodes, f[first].view(np.uint64), radius)
             if links:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.select("key", "pair", "fp").mapInArrow(run, "a long, b long")
+    return rows.select("key", "pair", "node", *columns).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -196,3 +213,87 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     member = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
     return own.join(member, "fp").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Words of the wide fingerprint.
+WIDE = 4
+
+
+def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
+    """SimHash of 256 bits of the distinct word shingles; each shingle's XXH64 is stretched to four words."""
+    tokens = text.translate(LOWER_BYTES).split()
+    if not tokens:
+        return np.zeros(WIDE, np.uint64)
+    joined = b" ".join(tokens)
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(lengths + 1) - 1
+    starts, stops = ((ends - lengths)[: len(tokens) - shingle + 1], ends[shingle - 1 :]) if len(tokens) > shingle else (np.zeros(1, np.int64), ends[-1:])
+    digest = xxhash.xxh64_intdigest
+    hashes = np.unique(np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts.tolist(), stops.tolist(), strict=True)), np.uint64, len(starts)))
+    counts = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        counts += unpacked(stretched(hashes[i : i + (1 << 14)])).sum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def stretched(hashes: np.ndarray) -> np.ndarray:
+    """Four well-mixed words of each hash (the SplitMix64 finalizer)."""
+    with np.errstate(over="ignore"):
+        x = hashes[:, None] + np.arange(1, WIDE + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def wide_plan(n: int, similarity: float, miss: float = 0.002, most: int = 64, seed: int = 17) -> tuple[int, list[list[int]]]:
+    """(radius, bits of each key) by which texts of that Jaccard similarity meet.
+
+    Such texts differ in a share p of their bits, which follows from the angle
+    between their shingle sets. The radius is 2.3 deviations beyond p; keys have
+    as many bits as keep an expected bucket to `most`, and there are so many
+    keys that all miss a pair at p with chance `miss`.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * WIDE
+    radius = math.ceil(bits * p + 2.3 * math.sqrt(bits * p * (1 - p)))
+    size = max(10, math.ceil(math.log2(max(1, n / most))))
+    keys = math.ceil(math.log(miss) / math.log(1 - (1 - p) ** size))
+    rng = random.Random(seed)
+    return radius, [sorted(rng.sample(range(bits), size)) for _ in range(keys)]
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 2048) -> DataFrame:
+    """(id, component_id) for each row of df: components of texts whose sets of word shingles are similar.
+
+    Fingerprints have 256 bits, for 64 can't tell a similarity of 0.8 from 0.6.
+    Pairs at the similarity are found with a chance of about 0.99, closer ones
+    nearly always, equal texts always; unrelated texts differ in about half of
+    the bits, far beyond the radius. component_id, nulls and repeated rows are
+    as in near_duplicates(); wordless texts link to each other.
+    """
+    words = [f"f{i}" for i in range(WIDE)]
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *[T.StructField(w, T.LongType()) for w in words]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([wide_fingerprint(x, shingle) for x in as_bytes(batch.column(1))], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WIDE)]], schema.names)
+
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    own = written(own.withColumn("node", F.xxhash64(*words)))
+    distinct = written(own.groupBy("node", *words).agg(F.min("id").alias("first")))
+    radius, plan = wide_plan(distinct.count(), similarity)
+    bit = lambda b: F.shiftrightunsigned(f"f{b // 64}", b % 64).bitwiseAND(F.lit(1))
+
+    def key(i: int, bits: list[int]):
+        value = F.lit(i).cast("long")
+        for b in bits:
+            value = F.shiftleft(value, 1).bitwiseOR(bit(b))
+        return value
+
+    keyed = distinct.select("node", *words, F.explode(F.array(*[key(i, bits) for i, bits in enumerate(plan)])).alias("key"))
+    roots = connected_components(block_links(keyed, words, radius, block))
+    placed = distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    member = placed.select("node", "root").join(least, "root").select("node", "component_id")
+    return own.select("id", "node").join(member, "node").select("id", "component_id")

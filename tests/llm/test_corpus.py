@@ -199,6 +199,11 @@ def test_bit_sliced_comparison():
     want = np.array([[(int(a) ^ int(b)).bit_count() <= 4 for b in fps] for a in fps])
     assert (simhash.near(fps, fps, 4) == want).all()
     assert not simhash.near(np.zeros(3, np.uint64), np.full(70, (1 << 64) - 1, np.uint64), 4).any()
+    wide = rng.integers(0, 1 << 63, (90, 4), dtype=np.uint64)
+    wide[40:] = wide[:50] ^ (wide[40:] & np.roll(wide[40:], 1, axis=0) & np.roll(wide[40:], 1, axis=1))
+    number = [int.from_bytes(x.tobytes(), "little") for x in wide]
+    for radius in (0, 7, 31, 32, 52):
+        assert (simhash.near(wide, wide, radius) == [[(a ^ b).bit_count() <= radius for b in number] for a in number]).all()
 
 
 def test_components_of_a_path(spark):
@@ -374,6 +379,7 @@ OPERATORS = {
     "sharding": lambda s, df: sharding.shard_rows(df),
     "warc": lambda s, df: warc.through_warc(df, "doc_id", "source", "text"),
     "simhash": lambda s, df: simhash.near_duplicates(df),
+    "similar": lambda s, df: simhash.similar_documents(df),
     "repeats": lambda s, df: repeats.without_repeats(df),
     "ppm": lambda s, df: ppm.scores(df, held=F.col("id") == 5),
     "classifier": lambda s, df: classifier.quality(df, s.createDataFrame([(5, 1), (9, 0)], "doc_id long, quality int")),

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from gridloom.llm import decontamination
+from gridloom.llm import decontamination, simhash
 from tests.conftest import DATA
-from tests.llm.test_corpus import brute_fingerprint, components
+from tests.llm.test_corpus import LOWER, components
 
 FOLDER = DATA.replace("0.001", "0.01")
 
@@ -41,11 +41,28 @@ def test_quality_stage(spark, steps):
     assert sum((r.doc_id in kept) == (r.quality == 1) for r in rows) > 0.97 * len(rows)
 
 
+def shingles(text: str) -> set:
+    w = text.translate(LOWER).split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_near_duplicate_stage(steps):
+    """No two similar texts stay; what goes has, in brute force over the same fingerprints, a smaller doc_id in its component."""
     _, before, after = steps[1]
-    docs = [(r.doc_id, r.text) for r in before.collect()]
-    want = set(components([i for i, _ in docs], [brute_fingerprint(t, 5) for _, t in docs], 4))
-    assert sorted(r.doc_id for r in after.collect()) == sorted(want)
+    docs = sorted((r.doc_id, r.text) for r in before.collect())
+    kept = {r.doc_id for r in after.collect()}
+    sets = {i: shingles(t) for i, t in docs}
+    by = collections.defaultdict(set)
+    for i in kept:
+        for g in sets[i]:
+            by[g].add(i)
+    for i in kept:
+        common = collections.Counter(j for g in sets[i] for j in by[g] if j < i)
+        assert all(n / (len(sets[i]) + len(sets[j]) - n) < 0.8 for j, n in common.items())
+    radius, _ = simhash.wide_plan(len(docs), 0.8)
+    fps = [int.from_bytes(simhash.wide_fingerprint(t.encode(), 5).tobytes(), "little") for _, t in docs]
+    want = components([i for i, _ in docs], fps, radius)
+    assert set(want) <= kept and len(kept) <= 1.01 * len(set(want))
 
 
 def test_decontamination_stage(spark, steps):
