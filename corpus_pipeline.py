@@ -15,7 +15,7 @@ from gridloom.llm.common import written
 from gridloom.llm.decontamination import contamination
 from gridloom.llm.mixing import mixture
 from gridloom.llm.sharding import with_shard
-from gridloom.llm.simhash import near_duplicates
+from gridloom.llm.simhash import similar_documents
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,10 +35,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies (five-word shingles, 4 bits)."""
+    """The document of the smallest doc_id of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
     ship(spark)
     rows = keyed(docs)
-    groups = near_duplicates(rows, "_key", shingle=5, radius=4)
+    groups = similar_documents(rows, "_key", shingle=5, similarity=0.8)
     first = groups.where("id = component_id").select(F.col("id").alias("_key")).distinct()
     return rows.join(first, "_key", "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["_key", "_text"]).select(*docs.columns)
 
