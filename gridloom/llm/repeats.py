@@ -8,11 +8,13 @@ some 50-byte string; equal strings have the same anchor at the same place, so
 every string is spoken for. And a rank is a 64-bit hash, so that a position's
 rank at any length comes from its own text, not from a join with another position.
 
-  round 1   the K bytes at the anchor; unique: out
+  round 1   the K bytes at the anchor; in one document only: out
   round 2   (rank 1, rank of all 80 bytes that any string with the anchor can touch);
             equal to one in a smaller document: all strings of the anchor are repeats
-  round 3   anchors whose rank 1 is shared, but not their rank 2, at the edges
-            of passages: (rank 1, rank of each string of 50 bytes)
+  round 3   for what is left, rank 1 with the 15 bytes before the anchor, and with the
+            16 after: each string with the anchor holds one of the two; not shared: out
+  round 4   strings of 50 bytes, of the anchors or halves left over at the edges of
+            passages: (rank 1, rank of the string)
 """
 
 from __future__ import annotations
@@ -23,22 +25,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .classifier import MIX, RADIX, powers
-from .common import pieces, written
+from .common import pieces, release, written
 
 LENGTH, K = 50, 20
 SPAN = LENGTH - K + 1
+HALF = 15  # strings that start HALF bytes or more before the anchor hold the left half, others the right one
 SEGMENT = 1 << 21
 LETTERS = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ID_MAX = (1 << 63) - 1
-SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-TYPES = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("id", pa.int64()), ("loc", pa.int64()), ("spans", SPANS)])
-ROWS = "key long, name long, id long, loc long, spans array<struct<lo: long, hi: long>>"
+ROWS = "key long, name long, id long, loc long"
+#: loc packs a text's mark (15 bits), a position (36), and two numbers: by how much the first and last string start
+#: before it (6 bits each), or, where the name is null, the length of a span.
+TYPES = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("id", pa.int64()), ("loc", pa.int64())])
+FOUND = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,6 +107,10 @@ def anchors(hasher: Hasher, run: list[tuple[int, int, bytes, int, int]]) -> list
     lo, hi = np.maximum(anchor - (SPAN - 1), begin[of]), np.minimum(anchor + LENGTH, begin[of + 1])
     with np.errstate(over="ignore"):
         name = mix(hasher.ranges(lo, hi) + (anchor - lo).astype(np.uint64) * np.uint64(MIX) + (hi - anchor).astype(np.uint64))
+        # 12 bits of each half's rank, and 40 of the whole's
+        left = hasher.ranges(np.maximum(anchor - HALF, begin[of]), anchor + K)
+        right = hasher.ranges(anchor, np.minimum(anchor + LENGTH - HALF + 1, begin[of + 1]))
+        name = left >> np.uint64(52) << np.uint64(52) | right >> np.uint64(52) << np.uint64(40) | name >> np.uint64(24)
     text, offset = np.array([x[0] for x in run]), np.array([x[1] for x in run])
     return [key[anchor], name, text[of], anchor - begin[of] + offset[of], anchor - first, anchor - last]
 
@@ -140,37 +148,99 @@ def unsettled(found: list[list[np.ndarray]], ids: np.ndarray, marks: np.ndarray)
     loc = marks[text] << 48 | pos << 12 | o1 << 6 | o2
     for i in range(0, len(on), 1 << 16):
         j = on[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(key[j].view(np.int64)), pa.array(name[j].view(np.int64)), pa.array(own[j]), pa.array(loc[j]), pa.nulls(len(j), SPANS)], schema=TYPES)
+        yield pa.RecordBatch.from_arrays([pa.array(key[j].view(np.int64)), pa.array(name[j].view(np.int64)), pa.array(own[j]), pa.array(loc[j])], schema=TYPES)
     again = np.flatnonzero(again)
     if len(again):
-        t, lo, hi = text[again], (pos - o1)[again], (pos - o2)[again] + LENGTH
-        order = np.lexsort((lo, t))
-        t, lo, hi = t[order], lo[order], hi[order]
-        fresh = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (lo[1:] > hi[:-1]))))
-        lo, hi, t = lo[fresh], hi[np.append(fresh[1:], len(hi)) - 1], t[fresh]
-        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        spans = pa.StructArray.from_arrays([pa.array(lo), pa.array(hi)], names=["lo", "hi"])
-        spans = pa.ListArray.from_arrays(pa.array(np.append(first, len(t)).astype(np.int32)), spans).cast(SPANS)
-        t = t[first]
-        yield pa.RecordBatch.from_arrays([pa.array(mix(ids[t].view(np.uint64) ^ np.uint64(RADIX)).view(np.int64)), pa.nulls(len(t), pa.int64()), pa.array(ids[t]), pa.array(marks[t] << 48), spans], schema=TYPES)
+        t, lo, hi = merged(text[again], (pos - o1)[again], (pos - o2)[again] + LENGTH)
+        n = -(-(hi - lo) // 4095)
+        t, hi = np.repeat(t, n), np.repeat(hi, n)
+        lo = np.repeat(lo, n) + 4095 * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        key = mix(ids[t].view(np.uint64) ^ lo.astype(np.uint64) * np.uint64(RADIX)).view(np.int64)  # spread over the tasks
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(t), pa.int64()), pa.array(ids[t]), pa.array(marks[t] << 48 | lo << 12 | np.minimum(hi - lo, 4095))], schema=TYPES)
 
 
-def settle(rows: DataFrame) -> DataFrame:
-    """rows with the smallest id of (key, name), and whether the key has several names in several ids."""
-    key, both = W.partitionBy("key"), W.partitionBy("key", "name")
-    several = (F.min("id").over(key) < F.max("id").over(key)) & (F.min("name").over(key) < F.max("name").over(key))
-    return rows.withColumns({"least": F.min("id").over(both), "several": several})
+def merged(of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of one length or rising ends, those of a text that touch or overlap made one."""
+    order = np.lexsort((lo, of))
+    of, lo, hi = of[order], lo[order], hi[order]
+    first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (lo[1:] > hi[:-1]))))
+    return of[first], lo[first], np.maximum.reduceat(hi, first)
 
 
-#: Fields of loc, as SQL: the text's mark, and the bytes from the first string's start to the last one's end.
-MARK = "shiftright(loc, 48)"
-LO = f"(shiftright(loc, 12) & {(1 << 36) - 1}) - (shiftright(loc, 6) & 63)"
-HI = f"(shiftright(loc, 12) & {(1 << 36) - 1}) - (loc & 63) + {LENGTH}"
+def settled(batches: Iterator[pa.RecordBatch], halves: bool, rows: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by key to spans (key null) and, with `halves`, to what stays open (its key, and where its strings are).
 
-
-def spans_of(settled: DataFrame):
-    """The spans that a settled row stands for: none if it isn't a repeat."""
-    return F.when(F.col("name").isNull(), F.col("spans")).when(F.col("least") < F.col("id"), F.array(F.struct(F.expr(LO).alias("lo"), F.expr(HI).alias("hi"))))
+    Rows are taken some 2^18 at a time, whole keys only.
+    """
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= rows:
+            whole = pa.Table.from_batches(held, TYPES).combine_chunks().to_batches()[0]
+            keys = whole.column(0).to_numpy()
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last:
+                yield from judged(whole.slice(0, last), halves)
+            held, n = [whole.slice(last)], len(whole) - last
+    if n:
+        yield from judged(pa.Table.from_batches(held, TYPES).combine_chunks().to_batches()[0], halves)
+
+
+def shared(ids: np.ndarray, *parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest, largest id) among the rows that agree with each row in all parts."""
+    order = np.lexsort(parts[::-1])
+    new = np.zeros(len(ids), bool)
+    new[:1] = True
+    for p in parts:
+        new[1:] |= p[order][1:] != p[order][:-1]
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    out = np.empty((2, len(ids)), np.int64)
+    out[0, order] = np.minimum.reduceat(ids[order], first)[group]
+    out[1, order] = np.maximum.reduceat(ids[order], first)[group]
+    return out[0], out[1]
+
+
+def judged(batch: pa.RecordBatch, halves: bool) -> Iterator[pa.RecordBatch]:
+    """Spans and open strings of rows with whole keys."""
+
+    def rows(key, id_, loc, lo, hi):
+        return pa.RecordBatch.from_arrays([pa.array(id_), pa.array(loc >> 48), key, pa.array(lo), pa.array(hi)], schema=FOUND)
+
+    named = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+    key, ids, loc = (batch.column(i).to_numpy() for i in (0, 2, 3))
+    if not named.all():
+        i, l = ids[~named], loc[~named]
+        lo = l >> 12 & ((1 << 36) - 1)
+        yield rows(pa.nulls(len(i), pa.int64()), i, l, lo, lo + (l & 4095))
+    key, ids, loc, name = key[named], ids[named], loc[named], batch.column(1).drop_null().to_numpy().view(np.uint64)
+    if not len(key):
+        return
+    # most keys have one row
+    several = np.zeros(len(key), bool)
+    several[1:] = key[1:] == key[:-1]
+    several[:-1] |= several[1:]
+    key, ids, loc, name = key[several], ids[several], loc[several], name[several]
+    if not len(key):
+        return
+    least, _ = shared(ids, key, name)
+    pos = loc >> 12 & ((1 << 36) - 1)
+    lo, hi = pos - (loc >> 6 & 63), pos - (loc & 63) + LENGTH
+    gone = ids > least
+    if gone.any():
+        yield rows(pa.nulls(int(gone.sum()), pa.int64()), ids[gone], loc[gone], lo[gone], hi[gone])
+    if not halves or gone.all():
+        return
+    key, ids, loc, name, pos, lo, hi = (x[~gone] for x in (key, ids, loc, name, pos, lo, hi))
+    names = shared(name.view(np.int64), key)
+    open_ = []
+    for part, a, b in ((name >> np.uint64(52), lo, np.minimum(hi, pos - HALF + LENGTH)), (name >> np.uint64(40) & np.uint64(4095), np.maximum(lo, pos - HALF + 1), hi)):
+        ends = shared(ids, key, part)
+        open_.append(((ends[0] < ends[1]) & (names[0] < names[1]) & (b - a >= LENGTH), a, b))
+    for on, a, b in open_:
+        if on.any():
+            yield rows(pa.array(key[on]), ids[on], loc[on], a[on], b[on])
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,11 +262,17 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 found = [anchors(hasher, run) for run in segments(texts)]
                 yield from unsettled(found, *(batch.column(i).slice(first, len(texts)).to_numpy() for i in (0, 1)))
 
-    settled = settle(docs.select("id", "mark", "text").mapInArrow(scan, ROWS))
-    open_ = F.when(F.col("several") & (F.col("least") == F.col("id")) & F.col("name").isNotNull(), F.struct("key", F.expr(LO).alias("lo"), F.expr(HI).alias("hi")))
-    both = settled.select("id", F.expr(MARK).alias("mark"), spans_of(settled).alias("spans"), open_.alias("open")).where("spans is not null or open is not null")
-    found = written(both.groupBy("id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.collect_list("open").alias("open")))
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the first round's shuffle files
+    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def ranked(rows: DataFrame, halves: bool) -> DataFrame:
+        rows = rows.repartition(tasks, "key").sortWithinPartitions("key")
+        return rows.mapInArrow(lambda it: settled(it, halves), "id long, mark long, key long, lo long, hi long")
+
+    spans, open_ = (F.collect_list(F.when(c, F.struct(*f))) for c, f in ((F.col("key").isNull(), ("lo", "hi")), (F.col("key").isNotNull(), ("key", "lo", "hi"))))
+    first = ranked(docs.select("id", "mark", "text").mapInArrow(scan, ROWS), True)
+    found = written(first.groupBy("id", "mark").agg(spans.alias("spans"), open_.alias("open")))
+    del first
+    release(df.sparkSession)
 
     def rescan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -206,10 +282,11 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield from unsettled([strings(hasher, texts, own.column(3).to_pylist())], own.column(0).to_numpy(), own.column(1).to_numpy())
 
     edges = found.where(F.size("open") > 0).select("id", "mark", "open")
-    again = settle(docs.join(edges, ["id", "mark"]).select("id", "mark", "text", "open").mapInArrow(rescan, ROWS))
-    again = again.select("id", F.expr(MARK).alias("mark"), spans_of(again).alias("spans")).where("spans is not null")
-    spans = found.where(F.size("spans") > 0).select("id", "mark", "spans").unionByName(again)
+    again = ranked(docs.join(edges, ["id", "mark"]).select("id", "mark", "text", "open").mapInArrow(rescan, ROWS), False)
+    spans = found.where(F.size("spans") > 0).select("id", "mark", "spans").unionByName(again.select("id", "mark", F.array(F.struct("lo", "hi")).alias("spans")))
     spans = written(spans.groupBy("id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    del again
+    release(df.sparkSession)
     out = "own long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo: long, hi: long>>"
     types = to_arrow_schema(T._parse_datatype_string(out))
 
