@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import axis, image, jobs, rules, scoring, tables
+from gridloom.operators import axis, image, jobs, recognize, rules, scoring, tables
 from gridloom.sources import files
 from gridloom.streaming import inbox
 
@@ -133,3 +133,33 @@ def test_compacting_keeps_empty_columns(spark):
 def test_rising_edges(spark):
     df = spark.range(1).select(axis.strictly_rising(F.array(*[F.lit(x).cast("long") for x in (3, 3, 4, 9)])).alias("e"))
     assert df.first().e == [3, 4, 5, 9]
+
+
+class Flaky:
+    def __init__(self, errors):
+        self.errors = list(errors)
+
+    def recognize(self, cell):
+        if self.errors:
+            raise RuntimeError(self.errors.pop(0))
+        return recognize.Reading("ok")
+
+
+def test_retries():
+    waits: list[float] = []
+    assert recognize.Retrying(Flaky(["Timed out", "HTTP error 503"]), sleep=waits.append).recognize(np.zeros((2, 2))).text == "ok"
+    assert waits == [1.0, 2.0]
+    for errors in (["HTTP error 401", "x"], ["strange"], ["timeout"] * 3):
+        with pytest.raises(RuntimeError):
+            recognize.Retrying(Flaky(errors), sleep=lambda s: None).recognize(np.zeros((2, 2)))
+
+
+def test_unknown_recognizer():
+    with pytest.raises(ValueError, match="darkness"):
+        recognize.engine("nope")
+
+
+def test_failing_cells_are_marked(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 2, 2, bytearray(4))], "page int, row int, col int, height int, width int, data binary")
+    row = recognize.read_cells(cells, lambda: Flaky(["broken"]), prepare=False).first()
+    assert (row.text, row.validation_error) == ("", "broken")
