@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,11 +26,28 @@ def per_page(pages: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> Da
     return pages.select("page", F.col("height").cast("int"), F.col("width").cast("int"), "data").mapInArrow(run, f"page {kind}, height int, width int, data binary")
 
 
-def pixels(pages: DataFrame, below: int = 128) -> DataFrame:
-    """(page, y, x) of the dark pixels, in JVM expressions alone."""
+def levels(pages: DataFrame) -> DataFrame:
+    """(page, y, x, v): each pixel's value, in JVM expressions alone."""
     value = lambda i: F.conv(F.hex(F.substring("data", i, 1)), 16, 10).cast("int")
     at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("data")), value))
-    return pages.where("length(data) > 0").select("page", "width", at.alias("i", "v")).where(F.col("v") < below).select("page", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"))
+    flat = pages.where("length(data) > 0").select("page", "width", at.alias("i", "v"))
+    return flat.select("page", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), "v")
+
+
+def pixels(pages: DataFrame, below: int = 128) -> DataFrame:
+    """(page, y, x) of the dark pixels."""
+    return levels(pages).where(F.col("v") < below).select("page", "y", "x")
+
+
+def png(image: np.ndarray) -> bytes:
+    """A gray image as a PNG file."""
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    h, w = image.shape
+    lines = b"".join(b"\0" + line.tobytes() for line in np.ascontiguousarray(image, np.uint8))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
 def encoded(data: Column) -> Column:

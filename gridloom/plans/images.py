@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.operators import image as g
@@ -61,3 +62,42 @@ def i30_cell_images(spark, d):
 @query("SELECT vec_id AS page, to_base64(unhex(h)) AS encoded FROM (SELECT vec_id, string_agg(printf('%02X', v), '' ORDER BY i) AS h FROM (SELECT vec_id, i, least(255, greatest(0, CAST(floor(CAST(embedding[i] AS DOUBLE) * 256 + 128) AS INT))) AS v FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)) GROUP BY vec_id)")
 def i37_base64(spark, d):
     return pages(spark, d).select("page", g.encoded(F.col("data")).alias("encoded"))
+
+
+@query(f"""WITH {LEVELS}, d AS (SELECT page, i // 8 AS y, i % 8 AS x FROM l WHERE v < 128), n AS (SELECT *, lead(x) OVER (PARTITION BY page, y ORDER BY x) - x AS gap FROM d)
+SELECT page, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM d UNION ALL SELECT page, CAST(y AS INT), CAST(x + unnest(generate_series(1, gap - 1)) AS INT) FROM n WHERE gap > 1 AND gap <= 3""")
+def i16_closed(spark, d):
+    return g.pixels(g.per_page(pages(spark, d), lambda x: np.where(g.closed(x < 128, 3, 1), 0, 255).astype(np.uint8)))
+
+
+@query(f"WITH {LEVELS} SELECT page, CAST(i // 8 // 2 AS INT) AS y, CAST(i % 8 // 2 AS INT) AS x, CAST(round_even(avg(v), 0) AS INT) AS v FROM l GROUP BY 1, 2, 3")
+def i7_narrowed(spark, d):
+    return g.levels(g.per_page(pages(spark, d), lambda x: g.narrowed(x, 4)[0]))
+
+
+@query(f"WITH {LEVELS} SELECT page, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, CASE WHEN i % 8 BETWEEN 1 AND 6 THEN 255 ELSE v END AS v FROM l")
+def i33_redacted(spark, d):
+    return g.levels(g.per_page(pages(spark, d), lambda x: g.redacted(x, [(3, 4)])))
+
+
+@query(f"""WITH {LEVELS}, d AS (SELECT page, i // 8 AS y, i % 8 AS x FROM l WHERE v < 128), s AS (SELECT *, x - row_number() OVER (PARTITION BY page, y ORDER BY x) AS k FROM d), r AS (SELECT *, count(*) OVER (PARTITION BY page, y, k) AS n FROM s)
+SELECT page, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM r WHERE n >= 3""")
+def i20_long_runs(spark, d):
+    return g.pixels(g.per_page(pages(spark, d), lambda x: np.where(g.opened(x < 128, 3, 1), 0, 255).astype(np.uint8)))
+
+
+@query(f"""WITH RECURSIVE {LEVELS}, d AS (SELECT page, i // 8 AS y, i % 8 AS x, i FROM l WHERE v < 128 AND page < 40), w AS (SELECT page, i, y, x, i AS root FROM d UNION SELECT d.page, d.i, d.y, d.x, w.root FROM d JOIN w ON d.page = w.page AND abs(d.y - w.y) <= 1 AND abs(d.x - w.x) <= 1),
+c AS (SELECT page, i, min(root) AS label FROM w GROUP BY page, i) SELECT page, CAST(count(DISTINCT label) AS INT) AS components FROM c GROUP BY page""")
+def i9_components(spark, d):
+    counts = g.per_page(pages(spark, d).where("page < 40"), lambda x: np.array([[g.labels(x < 128)[1]]], np.uint8))
+    return g.levels(counts).select("page", F.col("v").alias("components"))
+
+
+@query()
+def i5_skew(spark, d):
+    return g.per_page(pages(spark, d), lambda x: np.array([[round(abs(g.skew(x)) * 4)]], np.uint8))
+
+
+@query()
+def i29_upright(spark, d):
+    return g.per_page(pages(spark, d), lambda x: g.upright(x, np.array([[1, 1], [6, 0], [7, 6], [0, 5]], float)))

@@ -131,6 +131,27 @@ def write_csv(df: DataFrame, folder: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(folder, header=True, quote='"', escape='"')
 
 
+def write_cell_images(crops: DataFrame, folder: str) -> DataFrame:
+    """(name, path) of the PNG files written for crops (name, height, width, data), below a folder that all executors share."""
+    from pyarrow import fs
+
+    from gridloom.operators.image import png
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, h, w, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with store.open_output_stream(f"{base}/{name}") as out:
+                    out.write(png(np.frombuffer(data, np.uint8).reshape(h, w)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"{folder}/{n}" for n in batch.column(0).to_pylist()])], ["name", "path"])
+
+    return crops.select("name", "height", "width", "data").mapInArrow(run, "name string, path string")
+
+
 def write_json(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").json(folder)
 
