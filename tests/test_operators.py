@@ -163,3 +163,11 @@ def test_failing_cells_are_marked(spark):
     cells = spark.createDataFrame([(1, 0, 0, 2, 2, bytearray(4))], "page int, row int, col int, height int, width int, data binary")
     row = recognize.read_cells(cells, lambda: Flaky(["broken"]), prepare=False).first()
     assert (row.text, row.validation_error) == ("", "broken")
+
+
+def test_cell_images_can_be_read_back(spark, tmp_path):
+    page, _, _ = form(0.75)
+    crops = spark.createDataFrame([("a_row_001.png", *page.shape, bytearray(page.tobytes()))], "name string, height int, width int, data binary")
+    assert [r.name for r in files.write_cell_images(crops, f"file://{tmp_path}/cells").collect()] == ["a_row_001.png"]
+    row = files.rasters(spark, f"file://{tmp_path}/cells").first()
+    assert (row.height, row.width, row.channels) == (*page.shape, 1) and bytes(row.data) == page.tobytes()
