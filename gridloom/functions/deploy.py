@@ -1,4 +1,4 @@
-"""Sends this package to the executors."""
+"""What a session needs: this package on its executors, and a folder that all of them share."""
 
 from __future__ import annotations
 
@@ -9,6 +9,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+_local: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only a local session may lack that setting, and gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        name = spark.sparkContext.applicationId
+        root = _local.setdefault(name, "") or "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        _local[name] = root
+    return root.rstrip("/")
 
 
 def ship(spark: SparkSession) -> None:

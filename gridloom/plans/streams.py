@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from gridloom.functions.deploy import shared_root
 from gridloom.streaming import inbox
 
 from .registry import query, table
 
 
 def scratch(spark) -> str:
-    """A new folder below spark.checkpoint.dir; a local session without that setting gets a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    """A new folder's path below the one that driver and executors share."""
+    return f"{shared_root(spark)}/gridloom/{uuid.uuid4().hex}"
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE value > 20")
