@@ -283,15 +283,19 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = written(own.withColumn("node", F.xxhash64(*words)))
     distinct = written(own.groupBy("node", *words).agg(F.min("id").alias("first")))
     radius, plan = wide_plan(distinct.count(), similarity)
-    bit = lambda b: F.shiftrightunsigned(f"f{b // 64}", b % 64).bitwiseAND(F.lit(1))
+    chosen = np.array(plan)
+    weight = np.int64(1) << np.arange(chosen.shape[1], dtype=np.int64)
 
-    def key(i: int, bits: list[int]):
-        value = F.lit(i).cast("long")
-        for b in bits:
-            value = F.shiftleft(value, 1).bitwiseOR(bit(b))
-        return value
-
-    keyed = distinct.select("node", *words, F.explode(F.array(*[key(i, bits) for i, bits in enumerate(plan)])).alias("key"))
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 2048):
+                part = batch.slice(i, 2048)
+                bits = unpacked(np.stack([part.column(j).to_numpy() for j in range(1, WIDE + 1)], axis=1))
+                key = (bits[:, chosen].astype(np.int64) @ weight) + (np.arange(len(chosen), dtype=np.int64) << np.int64(32))
+                row = np.repeat(np.arange(len(part)), len(chosen))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in part.columns), pa.array(key.ravel())], ["node", *words, "key"])
+
+    keyed = distinct.select("node", *words).mapInArrow(keys, ", ".join(f"{c} long" for c in ("node", *words, "key")))
     roots = connected_components(block_links(keyed, words, radius, block))
     placed = distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
