@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .classifier import fold, quality
 from .decontamination import contamination, items_digest
+from .licenses import license_scan
 from .mixing import mixture
 from .ppm import scores
 from .repeats import without_repeats
@@ -46,6 +47,10 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return read.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(table(spark, folder, "documents")).select("row.doc_id", "license", "coverage")
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), shingle=4, radius=4).withColumnRenamed("id", "doc_id")
 
@@ -130,7 +135,7 @@ FROM p LEFT JOIN f USING (d)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_decontamination, op4_jump_sharding, op5_warc, op7_simhash, op8_repeated_passages, op9_ppm, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_decontamination, op4_jump_sharding, op5_warc, op6_license_scan, op7_simhash, op8_repeated_passages, op9_ppm, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
