@@ -48,7 +48,7 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return license_scan(table(spark, folder, "documents")).select("row.doc_id", "license", "coverage")
+    return license_scan(table(spark, folder, "documents")).select("row.doc_id", "license", "coverage", F.array_join("licenses.license", ",").alias("licenses"))
 
 
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,3 +18,32 @@ def test_scan(spark):
     got = sorted((r.row.doc_id, r.license or "") for r in licenses.license_scan(df).collect())
     assert got == [(1, "mit"), (2, ""), (3, ""), (4, ""), (4, "all-rights-reserved")]
     assert licenses.license_scan(df.limit(0)).count() == 0
+
+
+def test_longest_common_subsequence():
+    import random
+
+    draw = random.Random(3)
+    for _ in range(300):
+        a, b = ([draw.choice([b"a", b"b", b"c"]) for _ in range(draw.randrange(9))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        got = licenses.common(a, b)
+        assert len(got) == table[-1][-1] and all(a[i] == b[j] for i, j in got)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:], strict=False))
+
+
+def test_every_place_and_template(spark):
+    apache, rights = licenses.TEMPLATES["apache-2.0"], licenses.TEMPLATES["all-rights-reserved"]
+    rows = [
+        f"A file. {apache} Code of one file. {apache} Code of the next.",  # twice, not at the ends
+        "All of the rights that were reserved are all named: rights of way, reserved seats. " * 3 + rights + " They are all rights, reserved or not.",
+        "All men have " + "some " * 200 + "rights, and " + "more " * 200 + "reserved them.",  # in order, pages apart
+        f"Prose. {apache} Prose. {licenses.TEMPLATES['mit']} Prose.",
+        apache.replace("2.0", "1.1"),
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.row.doc_id: sorted(x.license for x in r.licenses) for r in licenses.license_scan(df, templates=licenses.TEMPLATES).collect()}
+    assert got == {0: ["apache-2.0"], 1: ["all-rights-reserved"], 2: [], 3: ["apache-2.0", "mit"], 4: []}
