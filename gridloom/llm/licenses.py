@@ -11,8 +11,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import LOWER_BYTES, per_text
+from .license_forms import forms as all_forms
 
-#: Notices to look for, fixed values.
+#: One notice of some licences; license_forms has all that are looked for.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -21,8 +22,8 @@ TEMPLATES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
 }
 #: Words that tell a licence from its relatives; a notice isn't found without those that it names.
-TELLING = re.compile(rb"v?[0-9]+|nc|nd|sa|noncommercial|noderivatives|noderivs|sharealike|lesser|library|affero")
-#: First parts of names whose licences share wording: of their findings that overlap, the one with most words counts.
+TELLING = re.compile(rb"v?[0-9]+|nc|nd|sa|noncommercial|noderivatives|noderivs|sharealike|lesser|library|affero|gnu|l?a?gplv?[0-9]*|apache|mozilla|mpl|creative|commons|cc0?|mit|bsd|isc")
+#: First parts of names whose licences share wording: of their findings that overlap, one with a version counts first, then the one with most words.
 FAMILY = {"agpl": "gnu", "gpl": "gnu", "lgpl": "gnu", "gfdl": "gnu"}
 #: Words from which a template is a whole text, not a notice.
 WHOLE = 100
@@ -119,7 +120,9 @@ class Form:
         self.need = max(1, int(np.ceil(least * self.size - 1e-9)))
         self.span = self.size + self.size // 4
         self.step = max(1, self.size // 16)
+        self.vague = self.size < WHOLE and not re.search(r"[0-9]", text)
         self.telling = Counter(w for w in self.words if TELLING.fullmatch(w)) if self.size < WHOLE else Counter()
+        self.must = frozenset(self.telling)
 
     def starts(self, own: list[bytes]) -> Iterator[int]:
         """Starts, `step` apart, of the stretches of span + step words in which enough of the form's words occur.
@@ -163,21 +166,25 @@ class Form:
 
 
 def licenses_of(own: list[bytes], kinds: set[bytes], forms: list[Form]) -> list[tuple[str, float]]:
-    """(licence, coverage) of every licence in a text, the best one first."""
+    """(licence, coverage) of every licence in a text, the best one first; kinds has all of its words that forms have."""
     spots: dict[str, list[tuple]] = {}
     for f in forms:
-        if len(own) >= f.need and sum(f.counts[w] for w in f.kinds & kinds) >= f.need:
+        if f.must <= kinds and len(own) >= f.need and sum(f.counts[w] for w in f.kinds & kinds) >= f.need:
             first = f.name.split("-")[0]
             for n, a, b in f.found(own):
-                spots.setdefault(FAMILY.get(first, first), []).append((-n, -n / f.size, -f.size, f.name, a, b))
+                spots.setdefault(FAMILY.get(first, first), []).append((f.vague, -n, -n / f.size, -f.size, f.name, a, b))
+    texts = [x for all_ in spots.values() for x in all_ if -x[3] >= WHOLE]
     best: dict[str, tuple] = {}
     for all_ in spots.values():
         kept: list[tuple] = []
         for x in sorted(all_):
-            if all(x[3] == y[3] or x[5] <= y[4] or y[5] <= x[4] for y in kept):
-                if x[3] not in best or x[1:3] < best[x[3]]:
-                    best[x[3]] = x[1:3]
-                if not any(x[3] == y[3] and y[4] <= x[4] and x[5] <= y[5] for y in kept):
+            name, begin, end = x[4:]
+            if -x[3] < WHOLE and any(name != y[4] and y[5] <= begin and end <= y[6] for y in texts):
+                continue
+            if all(name == y[4] or end <= y[5] or y[6] <= begin for y in kept):
+                if name not in best or x[2:4] < best[name]:
+                    best[name] = x[2:4]
+                if not any(name == y[4] and y[5] <= begin and end <= y[6] for y in kept):
                     kept.append(x)
     return [(name, -share) for share, _, name in sorted((*k, n) for n, k in best.items())]
 
@@ -185,27 +192,29 @@ def licenses_of(own: list[bytes], kinds: set[bytes], forms: list[Form]) -> list[
 def license_scan(df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), templates: dict[str, str | tuple[str, ...]] | None = None, least: float = 0.8) -> DataFrame:
     """(row, license, coverage, licenses) for each row of df; row is a struct of the carried columns.
 
-    A template is one wording of a licence, or several. coverage is the share of
+    A template is one wording of a licence, or several; by default, all of
+    license_forms. coverage is the share of
     a wording's words that the alignment finds in order in a stretch of text at
     most a quarter (and a sixteenth, where stretches start) longer than it.
     licenses has (license, coverage) of each licence of a coverage of `least` or
     more, the best first: by coverage, then the longest wording, then by name;
     license and coverage are the first one's, else null and 0. A notice needs
-    its TELLING words, and of relatives (FAMILY) that overlap in the text the
-    one with most words counts. Every place of whole texts is looked at; a
+    its TELLING words, and of relatives (FAMILY) that overlap in the text
+    one counts: a versioned or whole one first, then the one with most words. Every place of whole texts is looked at; a
     wording is skipped only where too few of its words are near each other.
     Null and empty texts have no license. No row moves.
     """
-    chosen = TEMPLATES if templates is None else templates
+    chosen = all_forms() if templates is None else templates
     forms = [Form(k, x, least) for k, t in chosen.items() for x in ([t] if isinstance(t, str) else t)]
     forms = [f for f in forms if f.size]
+    known = frozenset().union(*(f.kinds for f in forms))
 
     def work():
         def run(texts: list[bytes]):
             found = []
             for text in texts:
                 own = words(text)
-                found.append(licenses_of(own, set(own), forms))
+                found.append(licenses_of(own, known.intersection(own), forms))
             return [[x[0][0] if x else None for x in found], [x[0][1] if x else 0.0 for x in found], [[{"license": n, "coverage": c} for n, c in x] for x in found]]
 
         return run
