@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_BYTES, as_bytes, written
+from .common import LOWER_BYTES, as_bytes, pieces, written
 from .graph import connected_components
 
 BITS = 64
@@ -117,6 +117,29 @@ def forest(nodes: np.ndarray, fps: np.ndarray, radius: int, step: int = 512) ->
     return out
 
 
+def verified(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, step: int = 512) -> list[tuple[int, int]]:
+    """Links between pairs of the block within the radius whose sets' Jaccard similarity reaches the given one, one for each two components that they join."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    label = np.arange(len(sets))
+    out: list[tuple[int, int]] = []
+    for first in range(0, len(sets), step):
+        linked = near(fps[first : first + step], fps, radius)
+        for i in range(first, first + len(linked)):
+            other = np.flatnonzero(linked[i - first, :i])
+            small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+            other = other[(small >= similarity * large - 1e-6) & (label[other] != label[i])]
+            while len(other):
+                j = int(other[0])
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both / max(1, size[i] + size[j] - both) >= similarity:
+                    out.append((int(nodes[i]), int(nodes[j])))
+                    label[label == label[j]] = label[i]
+                    other = other[label[other] != label[i]]
+                else:
+                    other = other[1:]
+    return out
+
+
 def band_plan(n: int, radius: int, most: int = 256) -> tuple[list[int], list[tuple[int, ...]]]:
     """Bounds of the bands, and the sets of bands that make a key.
 
@@ -147,7 +170,7 @@ def near_links(fps: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
     return block_links(keyed, ["fp"], radius, block)
 
 
-def block_links(keyed: DataFrame, columns: list[str], radius: int, block: int) -> DataFrame:
+def block_links(keyed: DataFrame, columns: list[str], radius: int, block: int, similarity: float | None = None) -> DataFrame:
     """(a, b) links between the nodes of (node, key, fingerprint columns), with the closure of all pairs that share a key and are within the radius.
 
     Rows are sorted by key and compared in blocks that hold whole buckets. A
@@ -155,45 +178,53 @@ def block_links(keyed: DataFrame, columns: list[str], radius: int, block: int) -
     becomes a block of its own, so that no task holds an unbounded bucket. A
     block gives links to its components' smallest members, not pairs, hence no
     more rows than it reads.
+
+    With a similarity, keyed has the column `shingles` (sorted 64-bit hashes)
+    too, and pairs count only if their sets are so similar; a bucket is then
+    also cut into parts of about 32 MB of shingles.
     """
-    sizes = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    extra = ["shingles"] if similarity is not None else []
+    weight = F.count("*") / block if similarity is None else F.greatest(F.count("*") / block, F.sum(F.octet_length("shingles")) / (1 << 25))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("count"), F.ceil(weight).cast("int").alias("parts")).where("count > 1").select("key", "parts")
     part = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
-    rows = keyed.join(sizes, "key").withColumn("part", part).select("key", "node", *columns, F.explode(F.transform(every, lambda x: F.least(x, F.col("part")) * 65536 + F.greatest(x, F.col("part")))).alias("pair"))
+    rows = keyed.join(sizes, "key").withColumn("part", part).select("key", "node", *columns, *extra, F.explode(F.transform(every, lambda x: F.least(x, F.col("part")) * 65536 + F.greatest(x, F.col("part")))).alias("pair"))
     tasks = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(tasks, "key", "pair").sortWithinPartitions("key", "pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks():
-            held: list[tuple[np.ndarray, np.ndarray]] = []
+            held: list[tuple[np.ndarray, ...]] = []
             n, rest = 0, None
             for batch in batches:
                 k, q, node = (batch.column(i).to_numpy() for i in range(3))
-                f = np.stack([batch.column(i).to_numpy() for i in range(3, batch.num_columns)], axis=1)
+                f = np.stack([batch.column(i).to_numpy() for i in range(3, 3 + len(columns))], axis=1)
+                own = (node, f, np.array([*batch.column(batch.num_columns - 1).to_pylist(), None], object)[:-1]) if extra else (node, f)
                 if rest is not None:
-                    k, q, node, f = (np.concatenate(x) for x in zip(rest, (k, q, node, f), strict=True))
+                    k, q, *own = (np.concatenate(x) for x in zip(rest, (k, q, *own), strict=True))
                 cuts = np.flatnonzero((k[1:] != k[:-1]) | (q[1:] != q[:-1])) + 1
                 last = int(cuts[-1]) if len(cuts) else 0
-                rest = (k[last:], q[last:], node[last:], f[last:])
-                for group, fps in zip(np.split(node[:last], cuts[:-1]), np.split(f[:last], cuts[:-1]), strict=True) if last else ():
-                    if n and n + len(group) > 512:
+                rest = (k[last:], q[last:], *(x[last:] for x in own))
+                for group in zip(*(np.split(x[:last], cuts[:-1]) for x in own), strict=True) if last else ():
+                    if n and n + len(group[0]) > 512:
                         yield tuple(map(np.concatenate, zip(*held, strict=True)))
                         held, n = [], 0
-                    held.append((group, fps))
-                    n += len(group)
+                    held.append(group)
+                    n += len(group[0])
             if rest is not None:
                 held.append(rest[2:])
             if held:
                 yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
-        for nodes, f in blocks():
+        for nodes, f, *sets in blocks():
             nodes, first = np.unique(nodes, return_index=True)
-            links = forest(nodes, f[first].view(np.uint64), radius)
+            fps = f[first].view(np.uint64)
+            links = verified(nodes, fps, [np.frombuffer(x, np.uint64) for x in sets[0][first]], radius, similarity) if sets else forest(nodes, fps, radius)
             if links:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.select("key", "pair", "node", *columns).mapInArrow(run, "a long, b long")
+    return rows.select("key", "pair", "node", *columns, *extra).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -219,23 +250,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 WIDE = 4
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
-    """SimHash of 256 bits of the distinct word shingles; each shingle's XXH64 is stretched to four words."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct word shingles of a UTF-8 text as sorted XXH64; a shorter text is one shingle, one without words has none."""
     tokens = text.translate(LOWER_BYTES).split()
     if not tokens:
-        return np.zeros(WIDE, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     starts, stops = ((ends - lengths)[: len(tokens) - shingle + 1], ends[shingle - 1 :]) if len(tokens) > shingle else (np.zeros(1, np.int64), ends[-1:])
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts.tolist(), stops.tolist(), strict=True)), np.uint64, len(starts)))
+    return np.unique(np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts.tolist(), stops.tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def set_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of 256 bits of a set of shingles; each XXH64 is stretched to four words."""
     counts = np.zeros(64 * WIDE, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         counts += unpacked(stretched(hashes[i : i + (1 << 14)])).sum(axis=0, dtype=np.int32)
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
+def wide_fingerprint(text: bytes, shingle: int) -> np.ndarray:
+    """SimHash of 256 bits of the distinct word shingles."""
+    return set_fingerprint(shingle_set(text, shingle))
+
+
 def stretched(hashes: np.ndarray) -> np.ndarray:
     """Four well-mixed words of each hash (the SplitMix64 finalizer)."""
     with np.errstate(over="ignore"):
@@ -245,17 +285,17 @@ def stretched(hashes: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def wide_plan(n: int, similarity: float, miss: float = 0.002, most: int = 64, seed: int = 17) -> tuple[int, list[list[int]]]:
+def wide_plan(n: int, similarity: float, miss: float = 0.002, most: int = 64, seed: int = 17, beyond: float = 2.3) -> tuple[int, list[list[int]]]:
     """(radius, bits of each key) by which texts of that Jaccard similarity meet.
 
     Such texts differ in a share p of their bits, which follows from the angle
-    between their shingle sets. The radius is 2.3 deviations beyond p; keys have
+    between their shingle sets. The radius is `beyond` deviations over p; keys have
     as many bits as keep an expected bucket to `most`, and there are so many
     keys that all miss a pair at p with chance `miss`.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * WIDE
-    radius = math.ceil(bits * p + 2.3 * math.sqrt(bits * p * (1 - p)))
+    radius = math.ceil(bits * p + beyond * math.sqrt(bits * p * (1 - p)))
     size = max(10, math.ceil(math.log2(max(1, n / most))))
     keys = math.ceil(math.log(miss) / math.log(1 - (1 - p) ** size))
     rng = random.Random(seed)
@@ -265,24 +305,28 @@ def wide_plan(n: int, similarity: float, miss: float = 0.002, most: int = 64, se
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 2048) -> DataFrame:
     """(id, component_id) for each row of df: components of texts whose sets of word shingles are similar.
 
-    Fingerprints have 256 bits, for 64 can't tell a similarity of 0.8 from 0.6.
-    Pairs at the similarity are found with a chance of about 0.99, closer ones
-    nearly always, equal texts always; unrelated texts differ in about half of
-    the bits, far beyond the radius. component_id, nulls and repeated rows are
-    as in near_duplicates(); wordless texts link to each other.
+    Fingerprints of 256 bits and keys of sampled bits find candidates: a radius
+    of 6 deviations, and keys that all miss a pair at the similarity with a
+    chance of 0.0005. Candidates' components are then cut into blocks in which
+    pairs within the radius are verified by the sets' Jaccard similarity, so
+    that no text is linked to one less similar (64-bit hashes stand for
+    shingles). Equal sets always link. component_id, nulls and repeated rows
+    are as in near_duplicates(); wordless texts link to each other.
     """
     words = [f"f{i}" for i in range(WIDE)]
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *[T.StructField(w, T.LongType()) for w in words]])
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *[T.StructField(w, T.LongType()) for w in ("copy", "node", *words)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([wide_fingerprint(x, shingle) for x in as_bytes(batch.column(1))], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WIDE)]], schema.names)
-
-    own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
-    own = written(own.withColumn("node", F.xxhash64(*words)))
-    distinct = written(own.groupBy("node", *words).agg(F.min("id").alias("first")))
-    radius, plan = wide_plan(distinct.count(), similarity)
+            sets = [shingle_set(x, shingle) for x in as_bytes(batch.column(2))]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+            fps = np.array([set_fingerprint(x) for x in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), *[pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WIDE)]], schema.names)
+
+    text = F.col(text_col).cast("string")
+    own = written(df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("copy"), text.alias("text")).mapInArrow(run, schema))
+    distinct = written(own.groupBy("node", *words).agg(F.min("id").alias("first"), F.min("copy").alias("copy")))
+    radius, plan = wide_plan(distinct.count(), similarity, miss=0.0005, beyond=6)
     chosen = np.array(plan)
     weight = np.int64(1) << np.arange(chosen.shape[1], dtype=np.int64)
 
@@ -296,7 +340,26 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in part.columns), pa.array(key.ravel())], ["node", *words, "key"])
 
     keyed = distinct.select("node", *words).mapInArrow(keys, ", ".join(f"{c} long" for c in ("node", *words, "key")))
-    roots = connected_components(block_links(keyed, words, radius, block))
+    candidates = connected_components(block_links(keyed, words, radius, block)).withColumnRenamed("root", "key")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            fresh = [c not in seen and not seen.add(c) for c in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in pieces(batch.column(2)):
+                part = batch.slice(first, len(texts))
+                found = [shingle_set(x, shingle).tobytes() for x in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *part.columns[3:], pa.array(found, pa.binary())], ["key", "node", *words, "shingles"])
+
+    texts = df.select(F.xxhash64(text).alias("copy"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(once, "copy long, text string")
+    wanted = distinct.select("node", "copy", *words).join(candidates, "node")
+    meant = texts.join(wanted, "copy").dropDuplicates(["copy"]).select("key", "node", "text", *words)
+    kept = written(meant.mapInArrow(sets, ", ".join(f"{c} long" for c in ("key", "node", *words)) + ", shingles binary"))
+    roots = connected_components(block_links(kept, words, radius, block, similarity))
     placed = distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     member = placed.select("node", "root").join(least, "root").select("node", "component_id")

@@ -116,3 +116,47 @@ def test_stages_on_awkward_rows(spark):
             assert stage(spark, df, DATA).count() <= 3 * df.count(), name
     kept = p.one_of_near_copies(spark, docs, DATA).collect()
     assert [r.doc_id for r in kept if r.text == "a b c"] == [3]
+
+
+def similar_components(docs: list[tuple]) -> dict:
+    """The smallest id of each document's component, by the shingle sets of all pairs."""
+    sets, root = [shingles(t) for _, t in docs], list(range(len(docs)))
+    by = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            by[g].append(i)
+    for i, s in enumerate(sets):
+        common = collections.Counter(j for g in s for j in by[g] if j < i)
+        for j, n in common.items():
+            if n / (len(s) + len(sets[j]) - n) >= 0.8 and root[i] != root[j]:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    least: dict = {}
+    for (i, _), r in zip(docs, root, strict=True):
+        least[r] = min(i, least.get(r, i))
+    return {i: least[r] for (i, _), r in zip(docs, root, strict=True)}
+
+
+def test_similar_documents_by_shingles(spark):
+    """Chains at similarities around 0.8 (0.67 to 0.95), some of blocks that are cut into parts, against all pairs' shingle sets."""
+    rows = []
+    for g in range(12):
+        w = [f"w{g}x{i}" for i in range(200)]
+        for k in range(8):
+            rows.append((len(rows), " ".join(w)))
+            w[k * 24 : k * 24 + 1 + (g + k) % 8] = [f"v{g}x{k}x{i}" for i in range(1 + (g + k) % 8)]
+            w[k * 24 + 12] = f"u{g}x{k}" if g % 2 else w[k * 24 + 12]
+            w[k * 24 + 18] = f"t{g}x{k}" if g % 3 == 2 else w[k * 24 + 18]
+            w[:: 199 if g % 4 else 60] = [f"s{g}x{k}x{i}" for i in range(len(w[:: 199 if g % 4 else 60]))]
+    want = similar_components(rows)
+    assert 12 < len(set(want.values())) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (2048, 3):
+        assert {r.id: r.component_id for r in simhash.similar_documents(df, block=block).collect()} == want
+
+
+def test_near_duplicate_stage_by_shingles(steps):
+    """What stays is the smallest doc_id of each component by shingle sets, nothing else."""
+    _, before, after = steps[1]
+    want = similar_components(sorted((r.doc_id, r.text) for r in before.collect()))
+    assert {r.doc_id for r in after.collect()} == set(want.values())
