@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,12 +54,14 @@ class Trie:
     log10 of the escape): its own, and its shorter context's after it.
     """
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int) -> None:
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, short: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """Of (code, count) pairs; with `short`, those of all texts with one byte of context, codes may be all that share some last two bytes of context."""
         self.order, self.levels = order, []
         parent = None
         for k in range(order + 1):
-            gram, to = np.unique(codes & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
-            n = np.bincount(to, counts, len(gram))
+            all_, many = short if short is not None and k < 2 else (codes, counts)
+            gram, to = np.unique(all_ & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            n = np.bincount(to, many, len(gram))
             context, row = np.unique(gram >> np.uint64(8), return_inverse=True)
             total, kinds = np.bincount(row, n, len(context)), np.bincount(row, minlength=len(context))
             after = (np.zeros(len(context)), np.zeros(len(context)))
@@ -127,19 +130,64 @@ def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.n
     return [code], [np.bincount(to, np.concatenate(counts), len(code)).astype(np.int64)]
 
 
-def train(df: DataFrame, text_col: str, order: int = 5, nodes: int = 4_000_000) -> Trie:
-    """The trie of all texts of df, of the greatest order up to `order` that has at most `nodes` distinct codes.
+class Parts:
+    """A trie in parts by the last two bytes of context, which each context of two or more bytes shares with its longer ones.
 
-    The codes are counted over the whole corpus; only their number decides the
-    order, so that the trie that is broadcast has a proven bound (about 16 bytes
-    a code). Order 2 always fits: it has at most 2^24 codes, of which text uses few.
+    Every part has the whole of the contexts of none and one byte, so that its
+    probabilities are the whole trie's. Parts are broadcast one by one; a worker
+    holds the part that it looks codes up in, and no other.
     """
-    found = written(count_grams(df, text_col, order))
-    while order > 2 and found.count() > nodes:
-        order -= 1
-        found = written(found.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("code")).agg(F.sum("n").alias("n")))
-    table = found.toArrow()
-    return Trie(table["code"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64), order)
+
+    def __init__(self, parts: list[Broadcast], where: np.ndarray, order: int) -> None:
+        self.parts, self.where, self.order = parts, where, order
+
+    def part(self, i: int) -> Trie:
+        for j, other in enumerate(self.parts):
+            if j != i:
+                vars(other).pop("_value", None)
+        return self.parts[i].value
+
+    def logs(self, code: np.ndarray) -> np.ndarray:
+        """log10 probability of each symbol in its context."""
+        if len(self.parts) == 1:
+            return self.part(0).logs(code)
+        out, at_ = np.zeros(len(code)), self.where[(code >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)]
+        for i in np.unique(at_).tolist():
+            mine = at_ == i
+            out[mine] = self.part(i).logs(code[mine])
+        return out
+
+    score = Trie.score
+
+
+def train(df: DataFrame, text_col: str, order: int = 5, size: int = 4_000_000) -> Parts:
+    """The trie of all texts of df, in parts of some `size` distinct codes.
+
+    The order is the same at every size; only the number of parts grows. The
+    driver reads, builds and broadcasts one part at a time. A part has one pair
+    of last bytes of context at least, with all its codes.
+    """
+    found = count_grams(df, text_col, order)
+    found = written(found.withColumn("last", F.shiftrightunsigned("code", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")).sortWithinPartitions("last"))
+    groups = found.groupBy("last").count().toArrow()
+    last, n = groups["last"].to_numpy(), groups["count"].to_numpy()
+    where, part, held = np.zeros(1 << 16, np.int64), 0, 0
+    for i in np.argsort(last):
+        if held and held + n[i] > size:
+            part, held = part + 1, 0
+        where[last[i]], held = part, held + n[i]
+    low = found.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF)).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    short = low["code"].to_numpy().view(np.uint64), low["n"].to_numpy().astype(np.float64)
+    parts = []
+    for i in range(part + 1):
+        mine = last[where[last] == i]
+        table = (found.where(F.col("last").between(int(mine.min()), int(mine.max()))) if len(mine) else found).select("code", "n").toArrow()
+        trie = Trie(table["code"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64), order, short)
+        del table
+        parts.append(df.sparkSession.sparkContext.broadcast(trie))
+        if part:
+            vars(parts[-1]).pop("_value", None)
+    return Parts(parts, where, order)
 
 
 PAIR = np.dtype([("doc", "<u2"), ("n", "<u4")])
@@ -221,12 +269,13 @@ def word_sums(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.array(kinds), packed_runs(sums, np.searchsorted(cell >> 16, np.arange(len(chunks) + 1)))], schema=SUMS)
 
 
-def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, order: int = 5) -> DataFrame:
+def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, order: int = 5, size: int = 4_000_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of df.
 
     `held` is a condition on `id`; rows for which it is null or false are
     learned from, and so are all without it. score is the trie's log10
-    probability of the text's bytes and end. The base adds log10((c + 1) / (N +
+    probability of the text's bytes and end; it is held in parts of some `size`
+    codes, which changes no score. The base adds log10((c + 1) / (N +
     V + 1)) over the lower-cased words and one end, where c counts the token, N
     all tokens and V the distinct ones in the training texts. Null texts count as
     empty: one token, their end. Nothing to learn from leaves equal shares.
@@ -240,12 +289,12 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     """
     named = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = named.withColumn("held", F.coalesce(held, F.lit(False)) if held is not None else F.lit(False))
-    model = df.sparkSession.sparkContext.broadcast(train(rows.where(~F.col("held")), "text", order))
+    trie = train(rows.where(~F.col("held")), "text", order, size)
     doc = T.StructType([T.StructField("id", df.schema[id_col].dataType), *T._parse_datatype_string("held_out boolean, n_tokens long, score double").fields])
     doc_schema = to_arrow_schema(doc)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, trie = Tokenizer(), model.value
+        cut = Tokenizer()
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for first, texts in pieces(batch.column(1), 1 << 24):

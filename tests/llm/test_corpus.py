@@ -407,3 +407,16 @@ def test_awkward_results(spark, awkward):
     for r in shards:
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_ppm_in_parts(spark):
+    """A trie in many parts gives each text the score of the whole trie, of order 5."""
+    df = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 120")
+    docs = sorted((r.doc_id, r.text or "") for r in df.collect())
+    learn = [t.encode() for i, t in docs if i % 5]
+    codes, counts = np.unique(ppm.grams(learn, 5)[0], return_counts=True)
+    whole = ppm.Trie(codes, counts.astype(float), 5)
+    parts = ppm.train(df.where("doc_id % 5 != 0"), "text", 5, 2000)
+    assert parts.order == 5 and len(parts.parts) > 5
+    got = {r.id: r.score for r in ppm.scores(df, held=F.col("id") % 5 == 0, size=2000).collect()}
+    assert all(math.isclose(got[i], whole.score([t.encode()])[0], rel_tol=1e-6) for i, t in docs)
