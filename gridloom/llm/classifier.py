@@ -10,9 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
-
-WORDS, SHAPES, DIM = 8192, 512, 32
+from .common import per_text, pieces
+
+WORDS, DIM, SHAPES, SHAPE_DIM = 1 << 14, 32, 512, 64
+WIDTH = 2 * DIM + SHAPE_DIM + 3
+#: Bytes of text, words of a text, that are worked on at a time.
+SLICE, RUN = 1 << 20, 1 << 15
+#: Word vectors are whole numbers of this fraction, so that sums are exact in any order.
+UNIT = 4096
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 #: Kinds of bytes: other, upper, lower, digit, beyond ASCII.
@@ -33,47 +38,83 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Tokenizer:
-    """Words of many texts at once, as numbers of hash buckets."""
+    """Words of many texts at once, as numbers; beyond a few bytes for each byte of text, memory is held for SLICE bytes only."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+        self.up, self.down = powers(RADIX, SLICE + 1), powers(pow(RADIX, -1, 1 << 64), SLICE + 1)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(bucket of each word, bucket of its shape, 64-bit hash, first word of each text and the end)."""
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        if len(data) > len(self.up):
-            self.up, self.down = powers(RADIX, len(data) + 1), powers(pow(RADIX, -1, 1 << 64), len(data) + 1)
-        blank = BLANKS[data]
-        word = np.concatenate(([False], ~blank)).astype(np.int8)
-        edge = np.diff(word)
+        edge = np.diff(np.concatenate(([False], ~BLANKS[data])).astype(np.int8))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        del edge
         stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-        first = np.concatenate(([0], np.searchsorted(start, stops)))
+        code, shape = np.empty(len(start), np.uint64), np.empty(len(start), np.int16)
+        i = 0
+        while i < len(start):
+            j = int(np.searchsorted(end, start[i] + SLICE, "right"))
+            if j > i:
+                code[i:j] = self.hashes(data[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i])
+            else:  # a word that is longer than a slice
+                j = i + 1
+                code[i] = self.long_hash(data[start[i] : end[i]])
+            shape[i:j] = shapes(data, start[i:j], end[i:j])
+            i = j
+        return (code >> np.uint64(65 - WORDS.bit_length())).astype(np.int32), shape, code, np.concatenate(([0], np.searchsorted(start, stops)))
+
+    def hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            run = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], dtype=np.uint64)))
-            code = (run[end] - run[start]) * self.down[start]
-            code = (code ^ (code >> np.uint64(29))) * np.uint64(MIX)
-            head, tail, before = data[start], data[end - 1], data[np.maximum(end - 2, start)]
-            length = np.minimum(end - start, 15).astype(np.uint64) >> np.uint64(1)
-            shape = ((KIND[head] * np.uint64(5) + KIND[data[np.minimum(start + 1, end - 1)]]) * np.uint64(5) + KIND[before]) * np.uint64(8) + length
-            # a last byte that is no letter is told apart exactly
-            shape = (shape << np.uint64(8)) | np.where(KIND[tail] == 0, tail, KIND[tail].astype(np.uint8)).astype(np.uint64)
-            shape = (shape + np.uint64(1)) * np.uint64(MIX)
-            shape = (shape ^ (shape >> np.uint64(32))) * np.uint64(MIX)
-        return (code >> np.uint64(51)).astype(np.int64), (shape >> np.uint64(55)).astype(np.int64), code, first
-
-
-def index_vectors(seed: int = 11, nonzero: int = 4) -> np.ndarray:
+            run = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * self.up[: len(data)], dtype=np.uint64)))
+            return finished((run[end] - run[start]) * self.down[start])
+
+    def long_hash(self, word: np.ndarray) -> np.ndarray:
+        total = 0
+        for i in range(0, len(word), SLICE):
+            part = word[i : i + SLICE]
+            total += int(np.sum((part + np.uint64(1)) * self.up[: len(part)], dtype=np.uint64)) * pow(RADIX, i, 1 << 64)
+        return finished(np.array([total % (1 << 64)], np.uint64))[0]
+
+
+def finished(code: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (code ^ (code >> np.uint64(29))) * np.uint64(MIX)
+
+
+def shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash bucket of each word's shape: kinds of its first two and last two bytes, and its length."""
+    with np.errstate(over="ignore"):
+        head, tail, before = data[start], data[end - 1], data[np.maximum(end - 2, start)]
+        length = np.minimum(end - start, 15).astype(np.uint64) >> np.uint64(1)
+        shape = ((KIND[head] * np.uint64(5) + KIND[data[np.minimum(start + 1, end - 1)]]) * np.uint64(5) + KIND[before]) * np.uint64(8) + length
+        # a last byte that is no letter is told apart exactly
+        shape = (shape << np.uint64(8)) | np.where(KIND[tail] == 0, tail, KIND[tail].astype(np.uint8)).astype(np.uint64)
+        shape = (shape + np.uint64(1)) * np.uint64(MIX)
+        return ((shape ^ (shape >> np.uint64(32))) * np.uint64(MIX) >> np.uint64(55)).astype(np.int16)
+
+
+def index_places(code: np.ndarray) -> list[np.ndarray]:
+    """Each word's index vector, seeded by its hash: +1 at the first two of four dimensions, -1 at the others; where they meet they add up."""
+    with np.errstate(over="ignore"):
+        x = (code ^ (code >> np.uint64(32))) * np.uint64(MIX)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(RADIX)
+    return [(x >> np.uint64(59 - 8 * i) & np.uint64(DIM - 1)).astype(np.int64) for i in range(4)]
+
+
+def shape_vectors(seed: int = 11, nonzero: int = 4) -> np.ndarray:
     """A sparse vector of +1 and -1 for each shape bucket."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((SHAPES, DIM), np.int64)
+    out = np.zeros((SHAPES, SHAPE_DIM), np.int32)
     for row in out:
-        row[rng.choice(DIM, nonzero, replace=False)] = rng.permutation([1, -1] * (nonzero // 2))
+        row[rng.choice(SHAPE_DIM, nonzero, replace=False)] = rng.permutation([1, -1] * (nonzero // 2))
     return out
 
 
+SHAPE_VECTORS = shape_vectors()
+
+
 def word_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
-    """A unit vector for each of WORDS word buckets: the sum, over all occurrences in all texts, of the index vectors of the word's own and its neighbours' shapes.
+    """A unit vector for each of WORDS hash buckets of words, in parts of 1 / UNIT: the sum, over all occurrences in all texts, of the index vectors of the word and its neighbours.
 
     Each task adds up its texts and gives WORDS rows of sums; those are added
     by bucket, and WORDS x DIM numbers, whatever the corpus, come to the driver.
@@ -81,60 +122,61 @@ def word_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
     names = [f"c{i}" for i in range(DIM)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import pieces
-
-        cut, counts = Tokenizer(), None
+        cut, sums = Tokenizer(), np.zeros(WORDS * DIM, np.int64)
         for batch in batches:
-            for _, texts in pieces(batch.column(0), 1 << 22):
-                bucket, shape, _, first = cut(texts)
-                if counts is None:
-                    counts = np.zeros(WORDS * SHAPES, np.int64)
-                inner = np.ones(len(bucket) + 1, bool)
+            for _, texts in pieces(batch.column(0), SLICE):
+                bucket, _, code, first = cut(texts)
+                inner = np.ones(len(code) + 1, bool)
                 inner[first] = False  # a text's first word follows no other
-                inner = inner[:-1]
-                counts += np.bincount(bucket * SHAPES + shape, minlength=WORDS * SHAPES)
-                left, right = np.flatnonzero(inner) - 1, np.flatnonzero(inner)
-                counts += np.bincount(bucket[right] * SHAPES + shape[left], minlength=WORDS * SHAPES)
-                counts += np.bincount(bucket[left] * SHAPES + shape[right], minlength=WORDS * SHAPES)
-        if counts is not None:
-            sums = counts.reshape(WORDS, SHAPES) @ index_vectors()
-            used = np.flatnonzero(counts.reshape(WORDS, SHAPES).any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(sums[used, i]) for i in range(DIM)]], ["bucket", *names])
+                row = bucket * DIM
+                for i in range(0, len(code), 1 << 17):
+                    own = slice(i, i + (1 << 17))
+                    right = i + np.flatnonzero(inner[:-1][own])
+                    for k, place in enumerate(index_places(code[max(0, i - 1) : own.stop])):
+                        shift = i - max(0, i - 1)
+                        met = [row[own] + place[shift:], row[right] + place[right - 1 - i + shift], row[right - 1] + place[right - i + shift]]
+                        np.add(sums, np.bincount(np.concatenate(met), minlength=len(sums)) * (1 if k < 2 else -1), out=sums)
+        table = sums.reshape(WORDS, DIM)
+        used = np.flatnonzero(table.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(table[used, i]) for i in range(DIM)]], ["bucket", *names])
 
     parts = df.select(F.col(text_col).cast("string")).mapInArrow(run, "bucket long, " + ", ".join(f"{c} long" for c in names))
+    got = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
     out = np.zeros((WORDS, DIM))
-    for r in parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).collect():
-        out[r[0]] = r[1:]
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)).astype(np.float32)
+    out[got["bucket"].to_numpy()] = np.stack([got[c].to_numpy() for c in names], axis=1)
+    return np.round(out * (UNIT / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1))).astype(np.int32)
 
 
 def pooled(cut: Tokenizer, vectors: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """A row for each text: mean and spread of its word vectors, mean of its index vectors, shares of words that differ from the one before and from all before, and length."""
+    """A row for each text: mean and spread of its word vectors, mean of its words' shapes, shares of words that differ from the one before and from all before, and length.
+
+    Sums are of whole numbers, so a text's row doesn't depend on the texts beside it.
+    """
     bucket, shape, code, first = cut(texts)
     n = np.diff(first)
-    out = np.zeros((len(texts), 3 * DIM + 3))
-    full = np.flatnonzero(n)
-    if len(full):
-        at = first[:-1][full]
-        own = vectors[bucket]
-        by = n[full][:, None]
-        mean = np.add.reduceat(own, at) / by
-        out[full, :DIM] = mean
-        out[full, DIM : 2 * DIM] = np.sqrt(np.maximum(np.add.reduceat(own * own, at) / by - mean**2, 0))
-        out[full, 2 * DIM : 3 * DIM] = np.add.reduceat(INDEX[shape], at) / by
-        doc = np.repeat(np.arange(len(texts)), n).astype(np.uint64)
-        key = doc << np.uint64(40) | code >> np.uint64(24)  # sorts by text, then word; a batch has far fewer than 2^24 texts
-        for i, keys in enumerate((key, np.sort(key))):
-            new = np.ones(len(key), np.float32)
-            new[1:] = keys[1:] != keys[:-1]
-            out[full, 3 * DIM + i] = np.add.reduceat(new, at) / by[:, 0]
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), n)
+    sums = np.zeros((len(texts), 2 * DIM + SHAPE_DIM), np.int64)
+    for i in range(0, len(code), RUN):
+        d = doc[i : i + RUN]
+        at = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+        own = vectors[bucket[i : i + RUN]]
+        for j, values in zip((0, DIM, 2 * DIM), (own, own * own, SHAPE_VECTORS[shape[i : i + RUN]]), strict=True):
+            sums[d[at], j : j + values.shape[1]] += np.add.reduceat(values, at, dtype=np.int64)
+    by = np.maximum(n, 1)[:, None]
+    out = np.zeros((len(texts), WIDTH))
+    mean = sums[:, :DIM] / by / UNIT
+    out[:, :DIM] = mean
+    out[:, DIM : 2 * DIM] = np.sqrt(np.maximum(sums[:, DIM : 2 * DIM] / by / UNIT**2 - mean**2, 0))
+    out[:, 2 * DIM : -3] = sums[:, 2 * DIM :] / by
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+    out[:, -3] = np.bincount(doc, new, len(texts)) / by[:, 0]
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        out[i, -2] = len(np.unique(code[a:b])) / max(1, b - a)
     out[:, -1] = np.log1p(n)
     return out
 
 
-INDEX = index_vectors().astype(np.float32)
-
-
 @dataclass
 class Network:
     """Standardised inputs, a tanh layer, a logit, and a temperature that calibrates it."""
@@ -155,7 +197,7 @@ class Network:
 
 
 def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 120, rate: float = 0.01, decay: float = 1e-3, seed: int = 5) -> Network:
-    """Adam on the log loss, both classes weighing alike; every fifth row is kept for the temperature. Without two classes every score is 0.5."""
+    """Adam on the log loss at a rate that falls to 0, both classes weighing alike; every fifth row is kept for the temperature. Without two classes every score is 0.5."""
     rng = np.random.default_rng(seed)
     mean, scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
@@ -165,7 +207,8 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 120, rate:
     z, t = np.clip((x - mean) / scale, -8, 8)[~held], y[~held].astype(float)
     weight = np.where(t == 1, 0.5 / max(t.mean(), 1e-9), 0.5 / max(1 - t.mean(), 1e-9))
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        pace = rate * (1 - epoch / epochs)
         for rows in np.array_split(rng.permutation(len(z)), max(1, len(z) // 128)):
             h = np.tanh(z[rows] @ p[0] + p[1])
             g = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3], -40, 40))) - t[rows]) * weight[rows] / len(rows)
@@ -175,7 +218,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 120, rate:
             for i, d in enumerate(grads):
                 m[i] = 0.9 * m[i] + 0.1 * d
                 v[i] = 0.999 * v[i] + 0.001 * d * d
-                p[i] = p[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+                p[i] = p[i] - pace * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     net = Network(mean, scale, p[0], p[1], p[2], float(p[3][0]))
     logit, truth = net.logits(x[held]), y[held]
     tried = np.geomspace(0.25, 8, 41)
@@ -200,10 +243,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def work():
         cut = Tokenizer()
-        return lambda texts: [pooled(cut, vectors, texts).tolist()]
+        return lambda texts: [np.concatenate([pooled(cut, vectors, part) for part in parts(texts)]).tolist()]
 
     got = per_text(rows, "text", ["id", "label"], "x array<double>", work).select("row.id", "row.label", "x").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    x = np.array([r.x for r in got]).reshape(len(got), 3 * DIM + 3)
+    x = np.array([r.x for r in got]).reshape(len(got), WIDTH)
     return vectors, fit(x, np.array([r.label for r in got], int))
 
 
@@ -227,7 +270,7 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return per_text(df, text_col, list(carry), "score double", work)
 
 
-def parts(texts: list[bytes], most: int = 1 << 22) -> Iterator[list[bytes]]:
+def parts(texts: list[bytes], most: int = SLICE) -> Iterator[list[bytes]]:
     """Runs of texts of about that many bytes; a longer text is a run of its own."""
     run, held = [], 0
     for x in texts:
