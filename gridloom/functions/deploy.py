@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 _local: dict[str, str] = {}
@@ -24,6 +25,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, which cuts its lineage."""
+    path = f"{shared_root(df.sparkSession)}/gridloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Makes the package importable in Python workers, once for each application."""
     context = spark.sparkContext

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, spelt out so that other SQL engines read it alike.
 SPACE = r"[ \t\r\n\f\x0B]"
+SPACES = " \t\r\n\f\x0b"
 #: What counts as a number in a form's cell.
 NUMBER = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def fold(c: Column) -> Column:
@@ -55,22 +56,30 @@ def number(c: Column) -> Column:
 
 def day_month(c: Column) -> Column:
     """'3-January' and the like as '03jan'; other text by its letters and digits."""
-    plain = ascii_alnum(c)
-    day, month = F.regexp_extract(plain, r"\A(\d{1,2})([a-z]{3,})\z", 1), F.regexp_extract(plain, r"\A(\d{1,2})([a-z]{3,})\z", 2)
-    return F.when(day != "", F.concat(F.lpad(day, 2, "0"), F.substring(month, 1, 3))).otherwise(plain)
+    two_digits = F.regexp_replace(ascii_alnum(c), r"\A(\d)([a-z]{3})[a-z]*\z", "0$1$2")
+    return F.regexp_replace(two_digits, r"\A(\d\d)([a-z]{3})[a-z]*\z", "$1$2")
+
+
+def normal_form(exact: Column, value_type: Column) -> Column:
+    """normalized_value() of an exact value."""
+    return F.when(value_type == "temperature", exact).when(value_type == "date_dd_mon", day_month(exact)).when(value_type == "english_text", ascii_alnum(exact)).otherwise(squeeze(fold(exact)))
 
 
 def normalized_value(c: Column, value_type: Column) -> Column:
     """A cell's text for comparison, by its column's type (temperatures by number, see same_value)."""
-    exact = exact_value(c)
-    return F.when(value_type == "temperature", exact).when(value_type == "date_dd_mon", day_month(exact)).when(value_type == "english_text", ascii_alnum(exact)).otherwise(squeeze(fold(exact)))
+    return normal_form(exact_value(c), value_type)
+
+
+def same_exact(x: Column, y: Column, value_type: Column) -> Column:
+    """same_value() of two exact values; the type is asked once, outside."""
+    numbers = F.coalesce(number(x) == number(y), x == y)
+    dates, letters = day_month(x) == day_month(y), ascii_alnum(x) == ascii_alnum(y)
+    return F.when(value_type == "temperature", numbers).when(value_type == "date_dd_mon", dates).when(value_type == "english_text", letters).otherwise(squeeze(fold(x)) == squeeze(fold(y)))
 
 
 def same_value(a: Column, b: Column, value_type: Column) -> Column:
     """Whether two cells agree after normalizing; numbers are compared as numbers where both are."""
-    x, y = number(exact_value(a)), number(exact_value(b))
-    plain = normalized_value(a, value_type) == normalized_value(b, value_type)
-    return F.when((value_type == "temperature") & x.isNotNull() & y.isNotNull(), x == y).otherwise(plain)
+    return same_exact(exact_value(a), exact_value(b), value_type)
 
 
 def first_alias(name: Column, aliases: Sequence[tuple[str, str]]) -> Column:

@@ -38,10 +38,11 @@ def moving_average(df: DataFrame, keys: list[str], position: str, value: str, wi
     return df.withColumn("smooth", F.sum(value).over(around) / F.lit(float(window)))
 
 
-def peaks(df: DataFrame, keys: list[str], position: str, value: str, share: float, least: float, most_gap: int) -> DataFrame:
+def peaks(df: DataFrame, keys: list[str], position: str, value: str, share: float, least: float | Column, most_gap: int | Column) -> DataFrame:
     """(keys, position, score, first, last): runs of lines at or over max(least, share of the highest), at their weighted mean."""
+    least = least if isinstance(least, Column) else F.lit(float(least))
     whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    high = df.withColumn("_cut", F.greatest(F.lit(float(least)), F.max(value).over(whole) * share)).where(F.col(value) >= F.col("_cut"))
+    high = df.withColumn("_cut", F.greatest(least, F.max(value).over(whole) * share)).where(F.col(value) >= F.col("_cut"))
     weighted = F.sum(F.col(position) * F.col(value)) / F.sum(value)
     return with_cluster(high, keys, position, most_gap).groupBy(*keys, "cluster").agg(half_even(weighted).alias(position), F.max(value).cast("double").alias("score"), F.min(F.col(position)).alias("first"), F.max(F.col(position)).alias("last")).drop("cluster")
 
@@ -129,7 +130,7 @@ def nearest(points: DataFrame, lines: DataFrame, keys: list[str], point: str, li
     return out.withColumn(line, best).drop("_at", "_line", "_kind", "_before", "_after")
 
 
-def best_of_close(df: DataFrame, keys: list[str], position: str, most_gap: float, scores: list[Column]) -> DataFrame:
+def best_of_close(df: DataFrame, keys: list[str], position: str, most_gap: float | Column, scores: list[Column]) -> DataFrame:
     """The best row of each cluster of close positions, by the scores in turn, then the smallest position."""
     order = W.partitionBy(*keys, "cluster").orderBy(*[s.desc() for s in scores], F.col(position))
     return with_cluster(df, keys, position, most_gap).withColumn("_at", F.row_number().over(order)).where("_at = 1").drop("_at", "cluster")
@@ -163,13 +164,13 @@ def separation(spacing: Column, width: Column) -> Column:
 
 
 def without_wide_gap(df: DataFrame, keys: list[str], position: str, header: str, threshold: Column) -> DataFrame:
-    """Columns without those between the last header anchor before the widest gap, if it is over the threshold, and the gap's right edge."""
+    """Columns without those between the last header anchor before the widest gap, the first of equals, if it reaches the threshold, and the gap's right edge."""
     whole, order = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(position)
     rows = df.withColumn("_left", F.lag(position).over(order)).withColumn("_gap", F.col(position) - F.col("_left"))
-    widest = F.max(F.struct("_gap", F.col(position).alias("right"), F.col("_left").alias("left"))).over(whole)
+    widest = F.max(F.struct("_gap", (-F.col(position)).alias("first"), F.col(position).alias("right"), F.col("_left").alias("left"))).over(whole)
     rows = rows.withColumn("_w", F.when(F.count("*").over(whole) >= 4, widest))
     anchor = F.max(F.when((F.col(header) >= 2) & (F.col(position) <= F.col("_w")["left"]), F.col(position))).over(whole)
-    cut = (F.col("_w")["_gap"] > threshold) & (F.col(position) > F.col("_anchor")) & (F.col(position) < F.col("_w")["right"])
+    cut = (F.col("_w")["_gap"] >= threshold) & (F.col(position) > F.col("_anchor")) & (F.col(position) < F.col("_w")["right"])
     return rows.withColumn("_anchor", anchor).where(~F.coalesce(cut, F.lit(False))).drop("_left", "_gap", "_w", "_anchor")
 
 

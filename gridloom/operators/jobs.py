@@ -151,9 +151,12 @@ def active_jobs(tables: list[DataFrame]) -> DataFrame:
     return out.where(F.col("status").isin("queued", "running")).agg(F.count("*").alias("active"))
 
 
-def upload_errors(files: DataFrame, most_files: int = 100, most_bytes: int = 50 << 20) -> DataFrame:
-    """(name, error) of uploads (name, length, head) that are refused; head is the first 1024 bytes."""
+def upload_errors(files: DataFrame, request: str | None = None, most_files: int = 100, most_bytes: int = 50 << 20) -> DataFrame:
+    """(name, error) of uploads (name, length, head) that are refused; head is the first 1024 bytes. All files are one request, or those with equal `request`."""
     suffix = F.lower(F.regexp_extract("name", r"(\.[^.]+)\z", 1))
     error = F.when(~suffix.isin(".pdf", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp"), "type").when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too large").when((suffix == ".pdf") & (F.instr(F.col("head").cast("string"), "%PDF-") == 0), "no PDF")
-    many = files.agg((F.count("*") > most_files).alias("_many"))
-    return files.crossJoin(F.broadcast(many)).select("name", F.when(F.col("_many"), "too many files").otherwise(error).alias("error")).where("error is not null")
+    if request is None:
+        counted = files.crossJoin(F.broadcast(files.agg((F.count("*") > most_files).alias("_many"))))
+    else:
+        counted = files.join(files.groupBy(request).agg((F.count("*") > most_files).alias("_many")), request)
+    return counted.select("name", F.when(F.col("_many"), "too many files").otherwise(error).alias("error")).where("error is not null")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.functions.text import exact_value, normalized_header, same_value
+from gridloom.functions.text import exact_value, longest_suffix, normalized_header, same_exact
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -15,8 +17,14 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def with_matches(cells: DataFrame) -> DataFrame:
-    """cells (text, truth, value_type) with exact_match and normalized_match."""
-    return cells.withColumns({"exact_match": exact_value(F.col("text")) == exact_value(F.col("truth")), "normalized_match": same_value(F.col("text"), F.col("truth"), F.col("value_type"))})
+    """cells (text, truth, value_type) with exact_match and normalized_match.
+
+    Exact values are a projection of their own, which Spark keeps apart from the
+    comparisons that use them several times.
+    """
+    plain = cells.withColumns({"_text": exact_value(F.col("text")), "_truth": exact_value(F.col("truth"))})
+    text, truth = F.col("_text"), F.col("_truth")
+    return plain.withColumns({"exact_match": text == truth, "normalized_match": same_exact(text, truth, F.col("value_type"))}).drop("_text", "_truth")
 
 
 def cell_state(matched: Column, error: Column) -> Column:
@@ -55,14 +63,23 @@ def scored_columns(cells: DataFrame, columns: DataFrame) -> DataFrame:
 
 def row_correctness(cells: DataFrame, *row: str) -> DataFrame:
     """Whether all scored cells of each row match, exactly and normalized; rows without scored cells are left out."""
-    scored = cells.where(F.col("normalized_match").isNotNull())
-    return scored.groupBy(*row).agg(F.bool_and("exact_match").alias("fully_exact"), F.bool_and("normalized_match").alias("fully_normalized"))
+    scored = F.col("normalized_match").isNotNull()
+    rows = cells.groupBy(*row).agg(F.bool_and(F.when(scored, F.col("exact_match"))).alias("fully_exact"), F.bool_and("normalized_match").alias("fully_normalized"))
+    return rows.where(F.col("fully_normalized").isNotNull())
+
 
+def global_rows(cells: DataFrame, pages: DataFrame, run: int = 4096) -> DataFrame:
+    """cells (page, row) with global_row: pages (page, data_row_count) laid end to end.
 
-def global_rows(cells: DataFrame, pages: DataFrame) -> DataFrame:
-    """cells (page, row) with global_row: pages (page, data_row_count) laid end to end."""
-    before = W.orderBy("page").rowsBetween(W.unboundedPreceding, -1)
-    starts = pages.select("page", "data_row_count", F.coalesce(F.sum("data_row_count").over(before), F.lit(0)).alias("start"))
+    Pages are numbers. Their starts come from sums over runs of `run` page
+    numbers and from windows within a run, so that only one row for each run
+    meets in one task.
+    """
+    own = pages.select("page", "data_row_count", F.floor(F.col("page") / run).alias("_run"))
+    ahead = W.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    runs = own.groupBy("_run").agg(F.sum("data_row_count").alias("_rows")).select("_run", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_start"))
+    before = W.partitionBy("_run").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
+    starts = own.withColumn("_before", F.coalesce(F.sum("data_row_count").over(before), F.lit(0))).join(runs, "_run").select("page", "data_row_count", (F.col("_start") + F.col("_before")).alias("start"))
     return cells.join(starts, "page").where("row >= 0 and row < data_row_count").withColumn("global_row", F.col("start") + F.col("row")).drop("start", "data_row_count")
 
 
@@ -115,6 +132,60 @@ def pair_summary(result: DataFrame, truth: DataFrame) -> DataFrame:
     return out.withColumn("rows_compared", F.least("ocr_rows", "truth_rows")).withColumn("row_count_difference", F.col("ocr_rows") - F.col("truth_rows"))
 
 
+def file_pairs(results: DataFrame, truths: DataFrame, template_ids: list[str]) -> DataFrame:
+    """(result_file, truth_file, template_id) for each result file name, ending in _<template id>_llm.csv, whose template has a truth file; both sides have `name`."""
+    stem = F.regexp_extract("name", r"\A(.*)\.csv\z", 1)
+    named = results.select(F.col("name").alias("result_file"), longest_suffix(stem, template_ids, "_llm").alias("template_id")).where("template_id is not null")
+    return named.join(truths.select(F.col("name").alias("truth_file"), F.regexp_extract("name", r"\A(.*)\.csv\z", 1).alias("template_id")), "template_id").select("result_file", "truth_file", "template_id")
+
+
+def mapped_headers(cells: DataFrame, columns: DataFrame, file: str) -> DataFrame:
+    """(file, template_id, key, index): the header of each column in each file, by key before name; of equal headers the last counts, as a reader of named fields has it."""
+    heads = cells.select(file, "template_id", "index", normalized_header(F.col("header")).alias("plain")).distinct().groupBy(file, "template_id", "plain").agg(F.max("index").alias("index"))
+    names = F.array(F.struct(F.lit(0).alias("rank"), normalized_header(F.col("key")).alias("plain")), F.struct(F.lit(1).alias("rank"), normalized_header(F.col("name")).alias("plain")))
+    alias = columns.select("template_id", "key", F.explode(names).alias("a")).select("template_id", "key", "a.*")
+    return heads.join(alias, ["template_id", "plain"]).groupBy(file, "template_id", "key").agg(F.min_by("index", "rank").alias("index"))
+
+
+class PairScores(NamedTuple):
+    """by_cell, by_column and summary of scored pairs of files."""
+
+    by_cell: DataFrame
+    by_column: DataFrame
+    summary: DataFrame
+
+
+def scored_pairs(results: DataFrame, truths: DataFrame, columns: DataFrame) -> PairScores:
+    """Result files against the truth of their template.
+
+    results has (result_file, template_id, row, index, header, value), truths
+    the same without result_file; rows count from 0. columns has (template_id,
+    index, key, name, value_type, filter_out). Only columns that aren't filtered
+    out, that both files have, and rows that both files have are compared; the
+    summary says what was left out. Files without a truth don't count.
+    """
+    shown = columns.where(~F.coalesce("filter_out", F.lit(False)))
+    many = results.groupBy("result_file", "template_id").agg((F.max("row") + 1).alias("ocr_rows")).join(truths.groupBy("template_id").agg((F.max("row") + 1).alias("truth_rows")), "template_id")
+    files = many.withColumns({"rows_compared": F.least("ocr_rows", "truth_rows"), "row_count_difference": F.col("ocr_rows") - F.col("truth_rows")})
+    mine = mapped_headers(results, shown, "result_file")
+    theirs = mapped_headers(truths.withColumn("truth_file", F.col("template_id")), shown, "truth_file").drop("truth_file")
+    every = files.select("result_file", "template_id").join(shown.select("template_id", F.col("index").alias("place"), "key", "name", "value_type"), "template_id")
+    every = every.join(mine.withColumnRenamed("index", "result_index"), ["result_file", "template_id", "key"], "left").join(theirs.withColumnRenamed("index", "truth_index"), ["template_id", "key"], "left")
+    both = every.where("result_index is not null and truth_index is not null")
+    read = results.select("result_file", "template_id", "row", F.col("index").alias("result_index"), F.col("value").alias("text")).join(both, ["result_file", "template_id", "result_index"])
+    cells = read.join(truths.select("template_id", "row", F.col("index").alias("truth_index"), F.col("value").alias("truth")), ["template_id", "row", "truth_index"])
+    scored = with_matches(cells)
+    by_cell = scored.select("result_file", "template_id", (F.col("row") + 1).alias("row_number"), F.col("key").alias("column_key"), F.col("name").alias("column_name"), "value_type", F.col("text").alias("ocr_value"), F.col("truth").alias("ground_truth_value"), "exact_match", "normalized_match")
+    by_column = scored.groupBy("result_file", "template_id", F.col("key").alias("column_key"), F.col("name").alias("column_name"), "value_type").agg(*metrics())
+    rows = scored.groupBy("result_file", "template_id", "row").agg(F.bool_and("exact_match").alias("e"), F.bool_and("normalized_match").alias("n"), F.count("normalized_match").alias("cells"), F.count_if("exact_match").alias("exact"), F.count_if("normalized_match").alias("normal"))
+    totals = rows.groupBy("result_file", "template_id").agg(F.sum("cells").alias("scored_cells"), F.sum("exact").alias("exact_correct"), F.sum("normal").alias("normalized_correct"), F.count_if("e").alias("fully_exact_rows"), F.count_if("n").alias("fully_normalized_rows"))
+    lacking = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNull(), F.struct("place", "name")))), lambda x: x["name"]), "; ")
+    gaps = every.groupBy("result_file", "template_id").agg(F.count_if(F.col("result_index").isNotNull() & F.col("truth_index").isNotNull()).alias("columns_compared"), lacking("result_index").alias("missing_result_columns"), lacking("truth_index").alias("missing_truth_columns"))
+    summary = files.join(gaps, ["result_file", "template_id"], "left").join(totals, ["result_file", "template_id"], "left").fillna(0, ["columns_compared", "scored_cells", "exact_correct", "normalized_correct", "fully_exact_rows", "fully_normalized_rows"])
+    shares = {"exact_accuracy": ratio(F.col("exact_correct"), F.nullif("scored_cells", F.lit(0))), "normalized_accuracy": ratio(F.col("normalized_correct"), F.nullif("scored_cells", F.lit(0)))}
+    return PairScores(by_cell, by_column, summary.withColumns(shares))
+
+
 def review_metrics(flagged: Column, wrong: Column) -> list[Column]:
     """Precision, recall and F1 of review flags against wrong cells, with false alarms and missed errors."""
     hit, flags, errors = F.count_if(flagged & wrong), F.count_if(flagged), F.count_if(wrong)

@@ -65,11 +65,10 @@ def g9_regular_spacing(spark, d):
     return a.regular_spacing(minutes(spark, d), ["user_id"], "m", F.lit(5), F.lit(3000))
 
 
-@query(f"""WITH e AS (SELECT DISTINCT event_type, {HOUR} AS h FROM events WHERE user_id < 10), n AS (SELECT *, lead(h) OVER (PARTITION BY event_type ORDER BY h) - h AS gap FROM e), s AS (SELECT *, CAST(round_even(gap / 2.0, 0) AS BIGINT) AS steps FROM n)
-SELECT event_type, h FROM e UNION ALL SELECT event_type, CAST(round_even(h + gap * i / CAST(steps AS DOUBLE), 0) AS BIGINT) FROM (SELECT *, unnest(generate_series(1, steps - 1)) AS i FROM s WHERE steps > 1 AND gap <= 6.5)""")
+@query(f"""WITH e AS (SELECT DISTINCT user_id, {MINUTE} AS m FROM events), n AS (SELECT *, lead(m) OVER (PARTITION BY user_id ORDER BY m) - m AS gap FROM e), s AS (SELECT *, CAST(round_even(gap / 120.0, 0) AS BIGINT) AS steps FROM n)
+SELECT user_id, m FROM e UNION ALL SELECT user_id, CAST(round_even(m + gap * i / CAST(steps AS DOUBLE), 0) AS BIGINT) FROM (SELECT *, unnest(generate_series(1, steps - 1)) AS i FROM s WHERE steps > 1 AND gap <= 390)""")
 def g12_fill_missing(spark, d):
-    rows = timed(spark, d).where("user_id < 10").select("event_type", "h").distinct()
-    return a.filled(rows, ["event_type"], "h", F.lit(2))
+    return a.filled(minutes(spark, d), ["user_id"], "m", F.lit(120))
 
 
 @query("SELECT l_orderkey, min(n) AS first, max(n) AS last, count(*) AS length FROM (SELECT l_orderkey, n, n - row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS g FROM (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem)) GROUP BY l_orderkey, g HAVING count(*) >= 2")
@@ -167,9 +166,9 @@ def g18_kept_columns(spark, d):
 
 
 @query("""WITH s AS (SELECT s_nationkey AS k, s_suppkey AS p, s_suppkey % 4 AS header FROM supplier), l AS (SELECT *, lag(p) OVER (PARTITION BY k ORDER BY p) AS q, count(*) OVER (PARTITION BY k) AS n FROM s),
-w AS (SELECT k, max(p - q) AS gap FROM l WHERE n >= 4 GROUP BY k), r AS (SELECT l.k, w.gap, max(p) AS hi, max_by(q, p) AS lo FROM l JOIN w ON l.k = w.k AND l.p - l.q = w.gap GROUP BY l.k, w.gap),
+w AS (SELECT k, max(p - q) AS gap FROM l WHERE n >= 4 GROUP BY k), r AS (SELECT l.k, w.gap, min(p) AS hi, min_by(q, p) AS lo FROM l JOIN w ON l.k = w.k AND l.p - l.q = w.gap GROUP BY l.k, w.gap),
 a AS (SELECT s.k, max(p) AS anchor FROM s JOIN r ON s.k = r.k AND p <= lo WHERE header >= 2 GROUP BY s.k)
-SELECT s.k, p, header FROM s LEFT JOIN r ON s.k = r.k LEFT JOIN a ON s.k = a.k WHERE NOT coalesce(gap > 20 AND p > anchor AND p < hi, FALSE)""")
+SELECT s.k, p, header FROM s LEFT JOIN r ON s.k = r.k LEFT JOIN a ON s.k = a.k WHERE NOT coalesce(gap >= 20 AND p > anchor AND p < hi, FALSE)""")
 def g21_without_wide_gap(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("p"), (F.col("s_suppkey") % 4).alias("header"))
     return a.without_wide_gap(s, ["k"], "p", "header", F.lit(20))

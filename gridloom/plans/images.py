@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.operators import image as g
+from gridloom.operators import recognize
+from gridloom.operators.refine import refined_grid
 
 from .registry import query, table
 
@@ -86,10 +88,10 @@ def i20_long_runs(spark, d):
     return g.pixels(g.per_page(pages(spark, d), lambda x: np.where(g.opened(x < 128, 3, 1), 0, 255).astype(np.uint8)))
 
 
-@query(f"""WITH RECURSIVE {LEVELS}, d AS (SELECT page, i // 8 AS y, i % 8 AS x, i FROM l WHERE v < 128 AND page < 40), w AS (SELECT page, i, y, x, i AS root FROM d UNION SELECT d.page, d.i, d.y, d.x, w.root FROM d JOIN w ON d.page = w.page AND abs(d.y - w.y) <= 1 AND abs(d.x - w.x) <= 1),
+@query(f"""WITH RECURSIVE {LEVELS}, d AS (SELECT page, i // 8 AS y, i % 8 AS x, i FROM l WHERE v < 128), w AS (SELECT page, i, y, x, i AS root FROM d UNION SELECT d.page, d.i, d.y, d.x, w.root FROM d JOIN w ON d.page = w.page AND abs(d.y - w.y) <= 1 AND abs(d.x - w.x) <= 1),
 c AS (SELECT page, i, min(root) AS label FROM w GROUP BY page, i) SELECT page, CAST(count(DISTINCT label) AS INT) AS components FROM c GROUP BY page""")
 def i9_components(spark, d):
-    counts = g.per_page(pages(spark, d).where("page < 40"), lambda x: np.array([[g.labels(x < 128)[1]]], np.uint8))
+    counts = g.per_page(pages(spark, d), lambda x: np.array([[g.labels(x < 128)[1]]], np.uint8))
     return g.levels(counts).select("page", F.col("v").alias("components"))
 
 
@@ -101,3 +103,31 @@ def i5_skew(spark, d):
 @query()
 def i29_upright(spark, d):
     return g.per_page(pages(spark, d), lambda x: g.upright(x, np.array([[1, 1], [6, 0], [7, 6], [0, 5]], float)))
+
+
+#: Forms of 5 to 8 rows and 3 to 5 columns, drawn from suppliers; every third one lacks its third rule.
+FORM_HEIGHT, FORM_WIDTH = 72, 70
+
+
+def forms(spark, d):
+    k, n, m = F.col("s_suppkey"), 5 + F.col("s_suppkey") % 4, 3 + F.col("s_nationkey") % 3
+    rows = table(spark, d, "supplier").select(k.alias("page"), (n - 1).alias("_last"), (m - 1).alias("_end"), (k % 3 == 0).alias("_gap"))
+    y, x = (lambda i: F.floor(i / FORM_WIDTH)), (lambda i: i % FORM_WIDTH)
+    inside = lambda i: x(i).between(3, 3 + 15 * F.col("_end")) & y(i).between(4, 4 + 6 * F.col("_last"))
+    across = lambda i: inside(i) & ((y(i) - 4) % 6 == 0) & ~(F.col("_gap") & (y(i) == 16))
+    mask = lambda on: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(FORM_HEIGHT * FORM_WIDTH - 1)), lambda i: F.when(on(i), "FF").otherwise("00")), ""))
+    return rows.select("page", F.lit(FORM_HEIGHT).alias("height"), F.lit(FORM_WIDTH).alias("width"), mask(across).alias("horizontal"), mask(lambda i: inside(i) & ((x(i) - 3) % 15 == 0)).alias("vertical"))
+
+
+@query("""SELECT s_suppkey AS page, r AS "row", c AS col, 3 + 15 * c AS x, 4 + 6 * r AS y, 15 AS width, 6 AS height FROM
+(SELECT s_suppkey, s_nationkey, unnest(generate_series(0, 3 + s_suppkey % 4)) AS r FROM supplier) JOIN (SELECT s_suppkey, unnest(generate_series(0, 1 + s_nationkey % 3)) AS c FROM supplier) USING (s_suppkey)""")
+def g25_refined_grid(spark, d):
+    return refined_grid(forms(spark, d)).cells
+
+
+@query(f"""WITH {LEVELS}, t AS (SELECT page, round_even(255 - avg(v), 0) AS t FROM l GROUP BY page), e AS (SELECT page, CAST(CAST(t AS INT) AS VARCHAR) AS raw, CASE WHEN page % 3 > 0 THEN NULL WHEN t < 126 THEN 'value below minimum 126' WHEN t > 128 THEN 'value above maximum 128' END AS validation_error FROM t)
+SELECT page, CASE WHEN validation_error IS NULL THEN raw ELSE '' END AS text, CASE WHEN validation_error IS NOT NULL THEN raw END AS raw_text, validation_error FROM e""")
+def r10_read_with_rules(spark, d):
+    cells = pages(spark, d).select("page", F.lit(0).alias("row"), (F.col("page") % 3).cast("int").alias("col"), "height", "width", "data")
+    rules = spark.createDataFrame([(0, "temp", "Temperature", "temperature", r"\d{1,3}", 126.0, 128.0)], "index int, key string, name string, value_type string, pattern string, range_min double, range_max double")
+    return recognize.read_with_rules(cells, rules, recognize.engine("darkness"), prepare=False).select("page", "text", "raw_text", "validation_error")

@@ -87,9 +87,9 @@ def s11_grouping_sets(spark, d):
 
 
 @query("""SELECT o_orderkey AS page, l_linenumber AS "row", start + l_linenumber AS global_row FROM (SELECT o_orderkey, CAST(coalesce(sum(n) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, n
-FROM (SELECT o_orderkey, CAST(1 + o_orderkey % 7 AS BIGINT) AS n FROM orders WHERE o_orderkey < 200)) JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber < n""")
+FROM (SELECT o_orderkey, CAST(1 + o_orderkey % 7 AS BIGINT) AS n FROM orders)) JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber < n""")
 def s5_global_rows(spark, d):
-    pages = table(spark, d, "orders").where("o_orderkey < 200").select(F.col("o_orderkey").alias("page"), (1 + F.col("o_orderkey") % 7).alias("data_row_count"))
+    pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("page"), (1 + F.col("o_orderkey") % 7).alias("data_row_count"))
     return s.global_rows(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("row")), pages)
 
 
@@ -98,31 +98,88 @@ def s12_cleared_state(spark, d):
     return cells(spark, d).select("key", s.cleared_state(F.col("error")).alias("state")).groupBy("key").agg(F.count("*").alias("n"), F.count("state").alias("warned"))
 
 
-@query("SELECT p_partkey, n_nationkey FROM part JOIN nation ON p_size = n_nationkey")
+#: Names of result files that end in a template's id, and of truth files; some have no template, some templates no truth.
+@query("""WITH f AS (SELECT 'scan_' || o_orderkey || '_' || CASE o_orderkey % 5 WHEN 0 THEN 'farm' WHEN 1 THEN 'old_farm' WHEN 2 THEN 'herd' WHEN 3 THEN 'barn' ELSE 'none' END || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '_llm' END || '.csv' AS name, o_orderkey % 5 AS k FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 < 3)
+SELECT name AS result_file, t || '.csv' AS truth_file, t AS template_id FROM (SELECT name, CASE k WHEN 0 THEN 'farm' WHEN 1 THEN 'old_farm' ELSE 'herd' END AS t FROM f)""")
 def s13_pairs(spark, d):
-    return table(spark, d, "part").join(table(spark, d, "nation"), F.col("p_size") == F.col("n_nationkey")).select("p_partkey", "n_nationkey")
-
-
-@query("SELECT * FROM (VALUES ('temp', 3), ('note', 1)) AS v(key, index)")
+    k = F.col("o_orderkey")
+    kind = F.when(k % 5 == 0, "farm").when(k % 5 == 1, "old_farm").when(k % 5 == 2, "herd").when(k % 5 == 3, "barn").otherwise("none")
+    results = table(spark, d, "orders").select(F.concat(F.lit("scan_"), k.cast("string"), F.lit("_"), kind, F.when(k % 7 == 0, ".csv").otherwise("_llm.csv")).alias("name"))
+    truths = spark.createDataFrame([("farm.csv",), ("old_farm.csv",), ("herd.csv",), ("unused.csv",)], "name string")
+    return s.file_pairs(results, truths, ["farm", "old_farm", "herd", "barn"])
+
+
+#: Orders as rows of 50 result files of 5 templates, customers as the truth of 4 of them.
+PAIRS_SQL = """
+rn AS (SELECT CAST(o_custkey % 50 AS VARCHAR) || '_llm.csv' AS result_file, 't' || o_custkey % 5 AS template_id, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS "row", o_orderstatus AS status, CAST(CAST(floor(o_totalprice / 1000) AS INT) AS VARCHAR) || '.0' AS price, o_orderpriority AS urgency FROM orders),
+tn AS (SELECT 't' || c_nationkey % 4 AS template_id, row_number() OVER (PARTITION BY c_nationkey % 4 ORDER BY c_custkey) - 1 AS "row", CASE c_custkey % 3 WHEN 0 THEN 'O' WHEN 1 THEN ' f' ELSE 'P' END AS status, CAST(100 + c_custkey % 50 AS VARCHAR) AS price FROM customer),
+n AS (SELECT * FROM (SELECT result_file, template_id, max("row") + 1 AS ocr_rows FROM rn GROUP BY 1, 2) JOIN (SELECT template_id, max("row") + 1 AS truth_rows FROM tn GROUP BY 1) USING (template_id)),
+j AS (SELECT result_file, rn.template_id, "row", rn.status AS s, tn.status AS t, rn.price AS p, tn.price AS q FROM rn JOIN tn USING (template_id, "row")),
+cell AS (SELECT result_file, template_id, "row", 'status' AS column_key, 'State' AS column_name, 'text' AS value_type, s AS ocr_value, t AS ground_truth_value, s = trim(t) AS exact_match, lower(s) = lower(trim(t)) AS normalized_match FROM j
+  UNION ALL SELECT result_file, template_id, "row", 'price', 'Total price', 'temperature', p, q, p = q, CAST(p AS DOUBLE) = CAST(q AS DOUBLE) FROM j)"""
+
+
+def scored_pairs(spark, d):
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    named = lambda *cols: F.inline(F.array(*[F.struct(F.lit(i).alias("index"), F.lit(h).alias("header"), v.alias("value")) for i, (h, v) in enumerate(cols)]))
+    at = F.row_number().over(W.partitionBy(F.col("o_custkey") % 50).orderBy("o_orderkey")) - 1
+    price = F.concat(F.floor(F.col("o_totalprice") / 1000).cast("int").cast("string"), F.lit(".0"))
+    results = o.select(F.concat((F.col("o_custkey") % 50).cast("string"), F.lit("_llm.csv")).alias("result_file"), F.concat(F.lit("t"), (F.col("o_custkey") % 5).cast("string")).alias("template_id"), at.alias("row"), "o_orderstatus", price.alias("price"), "o_orderpriority")
+    results = results.select("result_file", "template_id", "row", named(("STATUS", F.col("o_orderstatus")), ("total_PRICE", F.col("price")), ("Urgency", F.col("o_orderpriority"))))
+    k = F.col("c_custkey")
+    at = F.row_number().over(W.partitionBy(F.col("c_nationkey") % 4).orderBy("c_custkey")) - 1
+    truths = c.select(F.concat(F.lit("t"), (F.col("c_nationkey") % 4).cast("string")).alias("template_id"), at.alias("row"), F.when(k % 3 == 0, "O").when(k % 3 == 1, " f").otherwise("P").alias("status"), (100 + k % 50).cast("string").alias("price"))
+    truths = truths.select("template_id", "row", named(("Price", F.col("price")), ("State", F.col("status")), ("secret", F.col("status"))))
+    kinds = [(i, *x) for i, x in enumerate((("status", "State", "text", False), ("price", "Total price", "temperature", False), ("urgency", "Urgency", "text", False), ("note", "Note", "text", False), ("secret", "Secret", "text", True)))]
+    columns = spark.createDataFrame([(f"t{t}", *x) for t in range(5) for x in kinds], "template_id string, index int, key string, name string, value_type string, filter_out boolean")
+    return s.scored_pairs(results, truths, columns)
+
+
+@query(f"WITH {PAIRS_SQL} SELECT result_file, template_id, \"row\" + 1 AS row_number, column_key, column_name, value_type, ocr_value, ground_truth_value, exact_match, normalized_match FROM cell")
+def s16_by_cell(spark, d):
+    return scored_pairs(spark, d).by_cell
+
+
+@query(f"WITH {PAIRS_SQL}, m AS (SELECT * FROM cell) SELECT result_file, template_id, column_key, column_name, value_type, {METRICS_SQL} FROM m GROUP BY ALL")
+def s16_by_column(spark, d):
+    return scored_pairs(spark, d).by_column
+
+
+@query(f"""WITH {PAIRS_SQL}, r AS (SELECT result_file, "row", bool_and(exact_match) AS e, bool_and(normalized_match) AS n, count(*) AS c, count_if(exact_match) AS x, count_if(normalized_match) AS y FROM cell GROUP BY 1, 2),
+t AS (SELECT result_file, CAST(sum(c) AS BIGINT) AS scored_cells, CAST(sum(x) AS BIGINT) AS exact_correct, CAST(sum(y) AS BIGINT) AS normalized_correct, count_if(e) AS fully_exact_rows, count_if(n) AS fully_normalized_rows FROM r GROUP BY 1)
+SELECT n.*, least(ocr_rows, truth_rows) AS rows_compared, ocr_rows - truth_rows AS row_count_difference, 2 AS columns_compared, 'Note' AS missing_result_columns, 'Urgency; Note' AS missing_truth_columns, scored_cells, exact_correct, normalized_correct, fully_exact_rows, fully_normalized_rows,
+CAST(exact_correct AS DOUBLE) / scored_cells AS exact_accuracy, CAST(normalized_correct AS DOUBLE) / scored_cells AS normalized_accuracy FROM n JOIN t USING (result_file)""")
+def s16_summary(spark, d):
+    return scored_pairs(spark, d).summary
+
+
+@query("""WITH c AS (SELECT n_nationkey AS i, n_name, CASE n_nationkey % 3 WHEN 0 THEN replace(lower(n_name), ' ', '_') ELSE 'k' || n_nationkey END AS key FROM nation) SELECT key, i AS index FROM c WHERE i % 3 < 2""")
 def s14_header_mapping(spark, d):
-    headers = spark.createDataFrame([(0, "Temperature"), (1, "Comments"), (2, "Unused"), (3, "TEMP")], "index int, header string")
-    return s.header_mapping(headers, spark.createDataFrame([("temp", "Temperature"), ("note", "Comments"), ("initials", "Initials")], "key string, name string"))
+    n, k = table(spark, d, "nation"), F.col("n_nationkey")
+    key = F.when(k % 3 == 0, F.replace(F.lower("n_name"), F.lit(" "), F.lit("_"))).otherwise(F.concat(F.lit("k"), k.cast("string")))
+    name = F.when(k % 3 == 1, F.concat(F.lit("  "), F.initcap("n_name"))).otherwise(F.concat(F.lit("other "), k.cast("string")))
+    return s.header_mapping(n.select(k.alias("index"), F.col("n_name").alias("header")), n.select(key.alias("key"), name.alias("name")))
 
 
-@query("""SELECT * FROM (VALUES (2, 'blank header', '4'), (3, 'duplicate header', 'hi'), (4, 'unknown column', 'Weather'), (6, 'missing column', 'note'), (7, 'row count', '31 for 32')) AS v(step, error, detail)""")
+@query("""WITH h AS (SELECT n_nationkey AS i, CASE n_nationkey % 6 WHEN 0 THEN ' ' WHEN 1 THEN r_name ELSE n_name END AS header FROM nation JOIN region ON n_regionkey = r_regionkey), p AS (SELECT *, lower(trim(header)) AS plain FROM h),
+c AS (SELECT 'c' || n_nationkey AS key, lower(n_name) AS plain FROM nation WHERE n_nationkey % 6 <> 5)
+SELECT 2 AS step, 'blank header' AS error, CAST(i AS VARCHAR) AS detail FROM p WHERE plain = '' UNION ALL SELECT 3, 'duplicate header', plain FROM p WHERE plain <> '' GROUP BY plain HAVING count(*) > 1
+UNION ALL SELECT 4, 'unknown column', header FROM p WHERE plain <> '' AND plain NOT IN (SELECT plain FROM c) UNION ALL SELECT 6, 'missing column', key FROM c WHERE plain NOT IN (SELECT plain FROM p) UNION ALL SELECT 7, 'row count', '31 for 32'""")
 def s1_truth_errors(spark, d):
-    headers = spark.createDataFrame([(0, "HI"), (1, " hi "), (2, "Weather"), (3, "LO"), (4, " ")], "index int, header string")
-    return s.truth_errors(headers, spark.createDataFrame([("hi", "High"), ("lo", "Low"), ("note", "Comments")], "key string, name string"), 31, 32)
+    k = F.col("n_nationkey")
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    headers = n.select(k.alias("index"), F.when(k % 6 == 0, " ").when(k % 6 == 1, F.col("r_name")).otherwise(F.col("n_name")).alias("header"))
+    return s.truth_errors(headers, n.where(k % 6 != 5).select(F.concat(F.lit("c"), k.cast("string")).alias("key"), F.col("n_name").alias("name")), 31, 32)
 
 
-@query(f"""WITH {CELLS_SQL}, o AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY page, "row", key) = 1), a AS (SELECT * FROM o WHERE page < 400 AND key <> 'flag'), b AS (SELECT * FROM o WHERE page < 300 AND key <> 'day'), p AS (SELECT a.exact_match, a.normalized_match FROM a JOIN b USING (page, "row", key)),
+@query(f"""WITH {CELLS_SQL}, o AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY page, "row", key) = 1), a AS (SELECT * FROM o WHERE key <> 'flag'), b AS (SELECT * FROM o WHERE key <> 'day'), p AS (SELECT a.exact_match, a.normalized_match FROM a JOIN b USING (page, "row", key)),
 x AS (SELECT count(DISTINCT page * 10 + "row") AS n FROM a), y AS (SELECT count(DISTINCT page * 10 + "row") AS n FROM b)
 SELECT x.n AS ocr_rows, y.n AS truth_rows, 'flag' AS missing_result_columns, 'day' AS missing_truth_columns, 2 AS columns_compared, least(x.n, y.n) AS rows_compared, x.n - y.n AS row_count_difference, z.* FROM x, y, (SELECT {METRICS_SQL} FROM p) z""")
 def s15_pair_summary(spark, d):
     cell = raw_cells(spark, d).withColumn("row", F.col("page") * 10 + F.col("row"))
     cell = cell.withColumn("n", F.count("*").over(W.partitionBy("row", "key"))).where("n = 1")
-    result = cell.where("page < 400 and key <> 'flag'").select("row", "key", "value_type", "text")
-    return s.pair_summary(result, cell.where("page < 300 and key <> 'day'").select("row", "key", "truth"))
+    result = cell.where("key <> 'flag'").select("row", "key", "value_type", "text")
+    return s.pair_summary(result, cell.where("key <> 'day'").select("row", "key", "truth"))
 
 
 @query("""SELECT count_if(toxic = 1 AND quality = 0) AS true_flags, count_if(toxic = 1) AS flagged, count_if(quality = 0) AS wrong, CAST(count_if(toxic = 1 AND quality = 0) AS DOUBLE) / nullif(count_if(toxic = 1), 0) AS precision,

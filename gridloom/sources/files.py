@@ -23,21 +23,40 @@ def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = RASTER
     return out.where(low.contains(containing.lower())) if containing else out
 
 
+def found_in(spark: SparkSession, paths: list[str], suffixes: tuple[str, ...] = RASTER, recursive: bool = False) -> DataFrame:
+    """listing() of a mixed list of files and folders; a file that is named twice, or lies in a named folder, comes once."""
+    parts = [listing(spark, p, suffixes, recursive=recursive) for p in paths]
+    out = parts[0] if parts else spark.createDataFrame([], "path string, name string, length long")
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.dropDuplicates(["path"])
+
+
+def either_case(suffix: str) -> str:
+    """A path filter for names with the suffix, case aside."""
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+
+
 def rasters(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, height, width, channels, data) of a folder's images; what isn't an image is an error."""
-    out = spark.read.format("image").option("dropInvalid", False).load(folder).select("image.*")
+    """(path, height, width, channels, data) of a folder's images, by suffix; one that can't be read is an error."""
+    only = "{" + ",".join(map(either_case, RASTER)) + "}"
+    out = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", only).load(folder).select("image.*")
     ok = F.assert_true(F.col("height") > 0, F.concat(F.lit("unreadable image "), "origin"))
     return out.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data").where(F.coalesce(ok.cast("string"), F.lit("")) == "")
 
 
 def documents(spark: SparkSession, folder: str, pdf_pages=None) -> DataFrame:
-    """(path, page, height, width, channels, data): images as one page each, PDFs by `pdf_pages`, a function from contents to pages; without one a PDF is an error."""
-    pdfs = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
-    images = rasters(spark, folder + "/*.[!pP][!dD]*").withColumn("page", F.lit(1)) if pdf_pages is None else None
+    """(path, page, height, width, channels, data) of a folder's images, one page each, and PDFs, by `pdf_pages`.
+
+    pdf_pages is a function from contents to pages; a PDF without pages is an
+    error, and so is any PDF without such a function. Other files don't count.
+    """
+    pdfs = spark.read.format("binaryFile").option("pathGlobFilter", either_case(".pdf")).load(folder)
+    images = rasters(spark, folder).select("path", F.lit(1).alias("page"), "height", "width", "channels", "data")
     if pdf_pages is None:
-        if pdfs.limit(1).count():
+        if pdfs.select("path").limit(1).count():
             raise RuntimeError("no PDF reader is installed; give pdf_pages")
-        return images.select("path", "page", "height", "width", "channels", "data")
+        return images
 
     def run(batches):
         import pandas as pd
@@ -49,7 +68,16 @@ def documents(spark: SparkSession, folder: str, pdf_pages=None) -> DataFrame:
                     raise ValueError(f"{path} has no pages")
                 yield pd.DataFrame([(path, i, *p.shape[:2], 1 if p.ndim == 2 else p.shape[2], p.tobytes()) for i, p in enumerate(pages, 1)], columns=["path", "page", "height", "width", "channels", "data"])
 
-    return pdfs.select("path", "content").mapInPandas(run, "path string, page int, height int, width int, channels int, data binary")
+    return images.unionByName(pdfs.select("path", "content").mapInPandas(run, "path string, page int, height int, width int, channels int, data binary"))
+
+
+def template_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """(id): names of a folder's template files without .json, in order; none for a folder that doesn't exist."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "id string")
+    return listing(spark, folder, (".json",)).select(F.regexp_replace("name", r"(?i)\.json\z", "").alias("id")).orderBy("id")
 
 
 def templates(spark: SparkSession, path: str) -> DataFrame:
@@ -127,7 +155,10 @@ def csv_text(rows: DataFrame, keys: list[str], row: str, columns: list[str]) ->
 
 
 def write_csv(df: DataFrame, folder: str) -> None:
-    """A small table, such as metrics, as one CSV file with a header."""
+    """A small table, such as metrics, as one CSV file with a header; an empty one gives an empty file without it."""
+    if df.isEmpty():
+        df.sparkSession.createDataFrame([], "value string").coalesce(1).write.mode("overwrite").text(folder)
+        return
     df.coalesce(1).write.mode("overwrite").csv(folder, header=True, quote='"', escape='"')
 
 

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import axis, image, jobs, recognize, rules, scoring, tables
+from gridloom.operators import axis, image, jobs, recognize, refine, rules, scoring, tables
+from gridloom.operators.recognize import Reading
 from gridloom.sources import files
 from gridloom.streaming import inbox
 
@@ -61,10 +62,10 @@ def test_image_kernels():
     assert (image.closed(np.array([[1, 0, 1, 0, 0, 0, 1]], bool), 2, 1)[0] == [1, 1, 1, 0, 0, 0, 1]).all()
 
 
-@pytest.mark.parametrize("text, error", [("1", "value below minimum 80"), ("88", None), ("88.12", None), (" 1 00.1 ", None), ("8A.1", "expected temperature pattern"), ("121.0", "value above maximum 120"), ("", "expected temperature pattern"), ("88\n", None)])
+@pytest.mark.parametrize("text, error", [("7.5", "value below minimum 12.5"), ("30", None), ("45.75", None), (" 3 3\t", None), ("3O.1", "expected temperature pattern"), ("60.26", "value above maximum 60.25"), (" ", "expected temperature pattern"), ("12.5\n", None)])
 def test_validation(spark, text, error):
     df = spark.createDataFrame([(text,)], "t string")
-    got = df.select(rules.validation_error(F.col("t"), F.lit("temperature"), F.lit(rules.TEMPERATURE), F.lit(80.0), F.lit(120.0)).alias("e")).first().e
+    got = df.select(rules.validation_error(F.col("t"), F.lit("temperature"), F.lit(rules.TEMPERATURE), F.lit(12.5), F.lit(60.25)).alias("e")).first().e
     assert got == error
 
 
@@ -171,3 +172,160 @@ def test_cell_images_can_be_read_back(spark, tmp_path):
     assert [r.name for r in files.write_cell_images(crops, f"file://{tmp_path}/cells").collect()] == ["a_row_001.png"]
     row = files.rasters(spark, f"file://{tmp_path}/cells").first()
     assert (row.height, row.width, row.channels) == (*page.shape, 1) and bytes(row.data) == page.tobytes()
+
+
+def ink(height: int, width: int, ys: dict[int, tuple[int, int]], xs: dict[int, tuple[int, int]]):
+    """Masks with one-pixel rules: y to (first, last x), x to (first, last y)."""
+    across, down = np.zeros((height, width), np.uint8), np.zeros((height, width), np.uint8)
+    for y, (a, b) in ys.items():
+        across[y, a : b + 1] = 255
+    for x, (a, b) in xs.items():
+        down[a : b + 1, x] = 255
+    return height, width, across.tobytes(), down.tobytes()
+
+
+def test_refined_grid(spark):
+    wide = (5, 61)
+    pages = [
+        (1, *ink(90, 70, {10: wide, 17: wide, 31: wide, 38: wide}, {5: (10, 38), 33: (10, 38), 61: (10, 38)})),  # a row is missing
+        (2, *ink(90, 70, {}, {})),
+        (3, *ink(90, 70, {2: wide, 10: wide, 17: wide, 24: wide, 60: wide}, {5: (10, 24), 6: (10, 24), 61: (10, 24)})),  # a rule above, one far below, a column twice
+    ]
+    masks = spark.createDataFrame(pages, "page int, height int, width int, horizontal binary, vertical binary")
+    found = refine.refined_grid(masks)
+    lines = lambda df, c: {p: sorted(r[c] for r in df.where(f"page = {p}").collect()) for p in (1, 2, 3)}
+    assert lines(found.rows, "y") == {1: [10, 17, 24, 31, 38], 2: [], 3: [10, 17, 24]}
+    columns = lines(found.columns, "x")
+    assert columns[1] == [5, 33, 61] and columns[2] == [] and len(columns[3]) == 2 and columns[3][0] in (5, 6) and columns[3][1] == 61
+    boxes = {(r.page, r.row, r.col): (r.x, r.y, r.width, r.height) for r in found.cells.collect()}
+    assert len(boxes) == 8 + 2 and boxes[1, 1, 0] == (5, 17, 28, 7)
+    with_centres = refine.refined_grid(masks, spark.createDataFrame([(1, 19, 12)], "page int, x int, y int"))
+    assert lines(with_centres.rows, "y")[1] == [10, 17, 24, 31, 38]
+
+
+class Modes:
+    """Reads by mode: what it gives in turn."""
+
+    def recognize(self, cell):
+        return Reading("9x", 50.0)
+
+    def recognize_modes(self, cell, rule):
+        yield Reading("9x", 80.0)
+        yield Reading(" 41.5 ", 20.0)
+        raise AssertionError("asked for more than was needed")
+
+
+def crops_of(spark, columns):
+    return spark.createDataFrame([(1, i, c, 2, 2, b"\x00\x01\x02\x03") for i, c in enumerate(columns)], "page int, row int, col int, height int, width int, data binary")
+
+
+RULES = "index int, key string, name string, value_type string, pattern string, range_min double, range_max double"
+
+
+def test_reading_with_rules_and_a_verifier(spark):
+    rule = spark.createDataFrame([(0, "t", "Temp", "temperature", r"\d{1,3}(\.\d)?", 40.0, 45.0)], RULES)
+    cells = crops_of(spark, [0, 1])
+
+    class Says:
+        def __init__(self, text):
+            self.text = text
+
+        def recognize(self, cell):
+            if self.text is None:
+                raise RuntimeError("request failed")
+            return Reading(self.text, 10.0)
+
+    read = lambda **more: {r.col: (r.text, r.raw_text, r.validation_error) for r in recognize.read_with_rules(cells, rule, lambda: Says("12"), prepare=False, **more).collect()}
+    assert read() == {0: ("", "12", "value below minimum 40"), 1: ("12", None, None)}
+    assert read(verifier=lambda: Says("43"), mode="invalid") == {0: ("43", "12", None), 1: ("12", None, None)}
+    assert read(verifier=lambda: Says("99"), mode="always")[0][0] == "" and read(verifier=lambda: Says("99"), mode="always")[0][2] == "value above maximum 45"
+    assert read(verifier=lambda: Says(None), mode="always")[1] == ("12", None, None)
+
+
+def test_modes_of_a_recognizer(spark):
+    rule = spark.createDataFrame([(0, "t", "Temp", "temperature", r"\d{1,3}(\.\d)?", 40.0, 45.0)], RULES)
+    tried = recognize.attempts(recognize.with_rule(crops_of(spark, [0, 1]), rule), Modes, prepare=False)
+    got = {r.col: (r.text, r.confidence, r.raw_text) for r in recognize.judged(tried).collect()}
+    assert got[1] == ("9x", 50.0, None)
+    assert got[0] == ("41.5", 20.0, " 41.5 ")
+
+
+def test_cached_readings(spark):
+    cells = crops_of(spark, [0, 1, 2])  # equal pixels: one reading
+    none = spark.createDataFrame([], "cache_key string, text string, confidence double, raw_text string, validation_error string")
+    count = spark.sparkContext.accumulator(0)
+
+    def read(df):
+        class Counting:
+            def recognize(self, cell):
+                count.add(1)
+                return Reading("7")
+
+        return recognize.read_cells(df, Counting, prepare=False)
+
+    readings, added = recognize.read_cached(cells, none, "v1", read)
+    added = spark.createDataFrame(added.collect(), added.schema)
+    assert count.value == 1 and [r.text for r in recognize.read_cached(cells, added, "v1", read)[0].collect()] == ["7"] * 3
+    assert count.value == 1 and recognize.read_cached(cells, added, "v2", read)[1].count() == 1
+
+
+def test_vision_over_http(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Answers(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            seen.append((json.loads(body), self.headers["Idempotency-Key"]))
+            if len(seen) == 1:
+                self.send_error(503)
+                return
+            text = json.dumps({"message": {"content": '{"text": " 41.5", "status": "ok"}' if "Temp" in seen[-1][0]["messages"][0]["content"] else '{"text": "", "status": "blank"}'}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(text)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    rule = spark.createDataFrame([(0, "t", "Temp", "temperature", r"\d{1,3}(\.\d)?", 40.0, 45.0)], RULES)
+    model = recognize.Vision(f"http://127.0.0.1:{server.server_port}/chat", "m")
+    rows = {r.col: r for r in recognize.read_by_vision(crops_of(spark, [0, 1]).coalesce(1), rule, model, wait=0.01).collect()}
+    server.shutdown()
+    assert (rows[0].text, rows[0].validation_error) == ("41.5", None) and (rows[1].text, rows[1].validation_error) == ("", None)
+    assert len(seen) == 3 and len({k for _, k in seen}) == 2  # a retry has its request's key
+    broken = recognize.read_by_vision(crops_of(spark, [1]), rule, recognize.Vision("", ""), wait=0.01).first()
+    assert broken.text == "" and "not configured" in broken.validation_error
+
+
+def test_mixed_folder(spark, tmp_path):
+    page = np.full((4, 6), 200, np.uint8)
+    for name in ("a.png", "b.PNG"):
+        (tmp_path / name).write_bytes(image.png(page))
+    (tmp_path / "notes.txt").write_text("x")
+    got = files.documents(spark, f"file://{tmp_path}")
+    assert sorted((r.path.split("/")[-1], r.page, r.height, r.width) for r in got.collect()) == [("a.png", 1, 4, 6), ("b.PNG", 1, 4, 6)]
+    (tmp_path / "c.Pdf").write_bytes(b"%PDF two pages")
+    with pytest.raises(RuntimeError):
+        files.documents(spark, f"file://{tmp_path}")
+    got = files.documents(spark, f"file://{tmp_path}", lambda content: [page, page])
+    assert sorted((r.path.split("/")[-1], r.page) for r in got.select("path", "page").collect()) == [("a.png", 1), ("b.PNG", 1), ("c.Pdf", 1), ("c.Pdf", 2)]
+    found = files.found_in(spark, [f"file://{tmp_path}", f"file://{tmp_path}/a.png"])
+    assert found.count() == 2
+    assert files.template_ids(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_empty_metrics_file(spark, tmp_path):
+    files.write_csv(spark.createDataFrame([], "a int, b int"), f"file://{tmp_path}/m")
+    assert "".join(p.read_text() for p in (tmp_path / "m").glob("part-*")) == ""
+
+
+def test_pages_laid_end_to_end(spark):
+    pages = [(p, 1 + p % 3) for p in range(40)]
+    cells = spark.createDataFrame([(p, r) for p, n in pages for r in range(n + 1)], "page long, row int")
+    got = scoring.global_rows(cells, spark.createDataFrame(pages, "page long, data_row_count long"), run=7)
+    assert sorted(r.global_row for r in got.collect()) == list(range(sum(n for _, n in pages)))
