@@ -192,9 +192,8 @@ def train(df: DataFrame, text_col: str, order: int = 5, size: int = 4_000_000) -
 
 PAIR = np.dtype([("doc", "<u2"), ("n", "<u4")])
 SUM = np.dtype([("doc", "<u2"), ("known", "<u4"), ("logs", "<f8")])
-SENT = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
-SUMS = pa.schema([("chunk", pa.int64()), ("kinds", pa.int64()), ("packed", pa.binary())])
-HEAD = -1  # in place of a count: the row has a chunk's texts
+SENT = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("head", pa.bool_()), ("packed", pa.binary())])
+SUMS = pa.schema([("chunk", pa.int64()), ("head", pa.bool_()), ("packed", pa.binary())])
 
 
 def packed_runs(data: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -209,8 +208,8 @@ def unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // kind.itemsize
 
 
-def word_rows(chunk: int, keys: np.ndarray, n: np.ndarray, use: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct word of a chunk: its occurrences in texts to learn from, and its number in each text."""
+def word_rows(chunk: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct word of a chunk: its number in each text."""
     if not len(keys):
         return
     order = np.argsort(keys, kind="stable")
@@ -220,53 +219,63 @@ def word_rows(chunk: int, keys: np.ndarray, n: np.ndarray, use: np.ndarray) -> I
     pairs["doc"], pairs["n"] = owner[change], np.diff(np.append(change, len(keys)))
     keys = keys[change]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    learned = np.add.reduceat(np.where(use[pairs["doc"]], pairs["n"], 0).astype(np.int64), first)
     ends = np.append(first, len(pairs))
     for i in range(0, len(first), 1 << 16):
         j = min(i + (1 << 16), len(first))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[first[i:j]].view(np.int64)), pa.array(np.full(j - i, chunk)), pa.array(learned[i:j]), packed_runs(pairs, ends[i : j + 1])], schema=SENT)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[first[i:j]].view(np.int64)), pa.array(np.full(j - i, chunk)), pa.array(np.zeros(j - i, bool)), packed_runs(pairs, ends[i : j + 1])], schema=SENT)
 
 
-def text_sums(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """From word rows sorted by word to sums by text: how many known tokens, and the log10 of their counts plus one.
+def count_words(df: DataFrame, text_col: str) -> DataFrame:
+    """(key, total): occurrences of each lower-cased word in all texts; a task sends its sums some two million words at a time."""
 
-    Rows are taken some 2^18 at a time, whole words only, and give one row for
-    each chunk among them; heads go through as they are, with kinds null.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, keys, counts = Tokenizer(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for _, texts in pieces(batch.column(0), 1 << 22):
+                key, n = np.unique(cut([x.translate(LOWER_BYTES) for x in texts])[2], return_counts=True)
+                keys.append(key)
+                counts.append(n)
+                if sum(map(len, keys)) > 1 << 21:
+                    keys, counts = merged(keys, counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], ["key", "n"])
+                    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        keys, counts = merged(keys, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], ["key", "n"])
+
+    return df.select(F.col(text_col).cast("string")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("total"))
+
+
+def text_sums(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18, size: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+    """From word rows with their totals, in any order, to sums by text: how many known tokens, and the log10 of their counts plus one.
+
+    Rows are taken some 2^18 or 64 MB at a time and give one row for each chunk among them; heads go through as they are.
     """
     held: list[pa.RecordBatch] = []
-    n = 0
+    n = held_bytes = 0
     for batch in batches:
-        heads = batch.filter(pc.equal(batch.column(2), HEAD))
+        heads = batch.filter(batch.column(1))
         for i in range(len(heads)):
-            yield pa.RecordBatch.from_arrays([heads.column(1).slice(i, 1), pa.nulls(1, pa.int64()), heads.column(3).slice(i, 1)], schema=SUMS)
+            yield pa.RecordBatch.from_arrays([heads.column(0).slice(i, 1), heads.column(1).slice(i, 1), heads.column(2).slice(i, 1)], schema=SUMS)
         if len(heads):
-            batch = batch.filter(pc.not_equal(batch.column(2), HEAD))
+            batch = batch.filter(pc.invert(batch.column(1)))
         held.append(batch)
-        n += len(batch)
-        if n >= rows:
-            whole = pa.Table.from_batches(held, SENT).combine_chunks().to_batches()[0]
-            keys = whole.column(0).to_numpy()
-            last = int(np.searchsorted(keys, keys[-1]))
-            if last:
-                yield from word_sums(whole.slice(0, last))
-            held, n = [whole.slice(last)], len(whole) - last
+        n, held_bytes = n + len(batch), held_bytes + batch.nbytes
+        if n >= rows or held_bytes >= size:
+            yield from word_sums(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            held, n, held_bytes = [], 0, 0
     if n:
-        yield from word_sums(pa.Table.from_batches(held, SENT).combine_chunks().to_batches()[0])
+        yield from word_sums(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
 def word_sums(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    keys, chunk, n = (batch.column(i).to_numpy() for i in range(3))
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    total = np.add.reduceat(n, first)
-    c = np.repeat(total, np.diff(np.append(first, len(keys))))
-    pairs, size = unpacked(batch.column(3), PAIR)
+    chunk, c = batch.column(0).to_numpy(), batch.column(3).fill_null(0).to_numpy()
+    pairs, size = unpacked(batch.column(2), PAIR)
     chunks, row = np.unique(chunk, return_inverse=True)
-    kinds = np.bincount(row[first], total > 0, len(chunks)).astype(np.int64)  # a known word counts in the first chunk that has it
     cell, to = np.unique(np.repeat(row, size) << 16 | pairs["doc"], return_inverse=True)
     c = np.repeat(c, size)
     sums = np.zeros(len(cell), SUM)
     sums["doc"], sums["known"], sums["logs"] = cell & 0xFFFF, np.bincount(to, pairs["n"] * (c > 0), len(cell)), np.bincount(to, pairs["n"] * np.log10(c + 1.0), len(cell))
-    yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.array(kinds), packed_runs(sums, np.searchsorted(cell >> 16, np.arange(len(chunks) + 1)))], schema=SUMS)
+    yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.array(np.zeros(len(chunks), bool)), packed_runs(sums, np.searchsorted(cell >> 16, np.arange(len(chunks) + 1)))], schema=SUMS)
 
 
 def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, order: int = 5, size: int = 4_000_000) -> DataFrame:
@@ -281,22 +290,26 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     empty: one token, their end. Nothing to learn from leaves equal shares.
     Repeated rows are learned from and scored as often as they come.
 
-    Words are told apart by 64-bit hashes. Each task cuts its texts into chunks
-    and sends one row for each distinct word of a chunk, with the texts that
-    have it; the task that gets all rows of a word adds c up and sends each
-    chunk sums for its texts. A frequent word has as many rows as there are
-    chunks, not as texts.
+    Words are told apart by 64-bit hashes. Their totals are a table of their
+    own. Each task cuts its texts into chunks of at most 65,536 texts and sends
+    one row for each distinct word of a chunk, with the texts that have it; a
+    join brings the totals, and sums by text go back to their chunk. A frequent
+    word has as many rows as there are chunks, not as texts, and the join may
+    split them.
     """
     named = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = named.withColumn("held", F.coalesce(held, F.lit(False)) if held is not None else F.lit(False))
-    trie = train(rows.where(~F.col("held")), "text", order, size)
+    learned = rows.where(~F.col("held"))
+    trie = train(learned, "text", order, size)
+    totals = written(count_words(learned, "text"))
+    kinds = totals.count()
     doc = T.StructType([T.StructField("id", df.schema[id_col].dataType), *T._parse_datatype_string("held_out boolean, n_tokens long, score double").fields])
     doc_schema = to_arrow_schema(doc)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Tokenizer()
         chunk = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in (b.slice(i, 1 << 16) for b in batches for i in range(0, len(b), 1 << 16)):
             for first, texts in pieces(batch.column(1), 1 << 24):
                 own = batch.slice(first, len(texts))
                 keys, n, total = [], [], []
@@ -310,31 +323,29 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, doc_schema) as stream:
                     stream.write_batch(docs)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk * 7919]), pa.array([chunk]), pa.array([HEAD]), pa.array([sink.getvalue().to_pybytes()])], schema=SENT)
-                yield from word_rows(chunk, keys, n, ~own.column(2).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk * 7919]), pa.array([chunk]), pa.array([True]), pa.array([sink.getvalue().to_pybytes()])], schema=SENT)
+                yield from word_rows(chunk, keys, n)
                 chunk += 1
 
-    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sent = rows.mapInArrow(run, "key long, chunk long, n long, packed binary").repartition(tasks, "key").sortWithinPartitions("key")
-    sums = sent.mapInArrow(text_sums, "chunk long, kinds long, packed binary")
-    out = T.StructType([*doc.fields, *T._parse_datatype_string("n_known long, logs double, kinds long").fields])
+    sent = rows.mapInArrow(run, "key long, chunk long, head boolean, packed binary").join(totals, "key", "left")
+    sums = sent.select("chunk", "head", "packed", "total").mapInArrow(text_sums, "chunk long, head boolean, packed binary")
+    out = T.StructType([*doc.fields, *T._parse_datatype_string("n_known long, logs double").fields])
 
     def gather(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        docs = pa.ipc.open_stream(table.filter(table["kinds"].is_null())["packed"][0].as_buffer()).read_all().combine_chunks()
-        table = table.filter(table["kinds"].is_valid()).combine_chunks()
+        docs = pa.ipc.open_stream(table.filter(table["head"])["packed"][0].as_buffer()).read_all().combine_chunks()
+        table = table.filter(pc.invert(table["head"])).combine_chunks()
         size = docs.num_rows
-        known, logs, kinds = np.zeros(size, np.int64), np.zeros(size), np.zeros(size, np.int64)
+        known, logs = np.zeros(size, np.int64), np.zeros(size)
         if table.num_rows:
             sums, _ = unpacked(table["packed"].combine_chunks(), SUM)
             known = np.bincount(sums["doc"], sums["known"], size).astype(np.int64)
             logs = np.bincount(sums["doc"], sums["logs"], size)
-            kinds[0] = int(table["kinds"].to_numpy().sum())
-        return pa.table([*(docs.column(i) for i in range(len(doc))), pa.array(known), pa.array(logs), pa.array(kinds)], names=out.names)
+        return pa.table([*(docs.column(i) for i in range(len(doc))), pa.array(known), pa.array(logs)], names=out.names)
 
     found = written(sums.groupBy("chunk").applyInArrow(gather, out))
     use = ~F.col("held_out")
-    n, kinds, ends = found.agg(F.coalesce(F.sum(F.when(use, F.col("n_tokens"))), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0)), F.count_if(use)).first()
+    n, ends = found.agg(F.coalesce(F.sum(F.when(use, F.col("n_tokens"))), F.lit(0)), F.count_if(use)).first()
     kinds += ends > 0
     base = F.col("logs") + float(np.log10(ends + 1)) - F.col("n_tokens") * float(np.log10(n + kinds + 1))
     return found.select("id", "held_out", "n_tokens", (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
