@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,37 +26,81 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(PLAIN).split()
 
 
-def automaton(items: list[tuple[str, bytes]], window: int) -> ahocorasick.Automaton | None:
-    """Over every window of every item, blank-separated and blank-enclosed; values are (words, indexes of the items)."""
-    owners: dict[bytes, set[int]] = {}
-    for i, (_, text) in enumerate(items):
+class Machine:
+    """One Aho-Corasick automaton for every window of every item.
+
+    Words of items are numbers, spelt with a few signs each, and keys are
+    `probe` words at every (window - probe + 1)th place of an item, so that each
+    window holds one key. Where a key ends, the words around it tell whether a
+    window is there. That takes some 20 bytes of memory for a byte of the items.
+    """
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int, probe: int = 5) -> None:
+        own = [tokens(text) for _, text in items]
+        self.number = {w: i for i, w in enumerate(sorted({w for x in own for w in x}), 1)}
+        self.signs = next(n for n in range(1, 5) if 64**n > len(self.number))
+        digits = np.arange(len(self.number) + 1)[:, None] // 64 ** np.arange(self.signs) % 64
+        self.spelt = (digits + 64 * np.arange(self.signs)).astype(np.uint8)  # each place has signs of its own, so that keys meet whole words only
+        self.window = window
+        gap = np.full(window + probe, -1, np.int32)
+        line, item, places = [gap], [np.zeros(len(gap), np.int32)], {}
+        size = len(gap)
+        self.need = np.array([min(window, len(x)) for x in own], np.int64)
+        for i, x in enumerate(own):
+            ids = np.fromiter((self.number[w] for w in x), np.int32, len(x))
+            k = min(probe, window, len(x))
+            for at in range(0, len(x) - k + 1, min(window, len(x)) - k + 1) if k else ():
+                places.setdefault(tuple(ids[at : at + k].tolist()), []).append(size + at)
+            line += [ids, gap]
+            item.append(np.full(len(x) + len(gap), i, np.int32))
+            size += len(x) + len(gap)
+        self.line, self.item = np.concatenate(line), np.concatenate(item)
+        self.keys = ahocorasick.Automaton() if places else None
+        for key, at in places.items():
+            self.keys.add_word(self.text(np.array(key)), (len(key), np.array(at)))
+        if places:
+            self.keys.make_automaton()
+
+    def text(self, ids: np.ndarray) -> str:
+        return self.spelt[ids].tobytes().decode("latin-1")
+
+    def find(self, text: bytes) -> tuple[int, np.ndarray, set[int]]:
+        """(words, hit flag of each word, indexes of the items) of a text, in one scan."""
         w = tokens(text)
-        for j in range(max(1, len(w) - window + 1) if w else 0):
-            owners.setdefault(b" ".join(w[j : j + window]), set()).add(i)
-    if not owners:
-        return None
-    out = ahocorasick.Automaton()
-    for key, own in owners.items():
-        out.add_word(f" {key.decode('latin-1')} ", (key.count(b" ") + 1, tuple(own)))
-    out.make_automaton()
-    return out
-
-
-def find(machine: ahocorasick.Automaton | None, text: bytes) -> tuple[int, np.ndarray, set[int]]:
-    """(words, hit flag of each word, indexes of the items) of a text, in one scan."""
-    w = tokens(text)
-    if machine is None or not w:
-        return len(w), np.zeros(len(w), bool), set()
-    found = list(machine.iter(f" {b' '.join(w).decode('latin-1')} "))
-    if not found:
-        return len(w), np.zeros(len(w), bool), set()
-    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)  # of the blank after each word
-    last = np.searchsorted(ends, [at for at, _ in found])
-    edges = np.zeros(len(w) + 1, np.int64)
-    for at, (_, (n, _)) in zip(last.tolist(), found, strict=True):
-        edges[at - n + 1] += 1
-        edges[at + 1] -= 1
-    return len(w), np.cumsum(edges[:-1]) > 0, {i for _, (_, own) in found for i in own}
+        hit = np.zeros(len(w), bool)
+        if self.keys is None or not w:
+            return len(w), hit, set()
+        ids = np.fromiter((self.number.get(x, 0) for x in w), np.int32, len(w))
+        around, own, edge = None, set(), np.full(self.window, -2, np.int32)
+        for end, (k, places) in self.keys.iter(self.text(ids)):
+            if around is None:
+                around = np.concatenate((edge, ids, edge))
+            at = (end + 1) // self.signs - k
+            before = np.arange(-1, -self.window, -1)
+            after = np.arange(k, k + self.window - 1)
+            left = runs_of_true(self.line[places[:, None] + before] == around[at + self.window + before])
+            right = runs_of_true(self.line[places[:, None] + after] == np.append(around, edge)[at + self.window + after])
+            found = left + k + right >= self.need[self.item[places]]
+            if found.any():
+                own.update(self.item[places[found]].tolist())
+                hit[at - left[found].max() : at + k + right[found].max()] = True
+        return len(w), hit, own
+
+
+def runs_of_true(flags: np.ndarray) -> np.ndarray:
+    """How many leading flags of each row hold."""
+    return np.where(flags.all(axis=1), flags.shape[1], (~flags).argmax(axis=1)) if flags.shape[1] else np.zeros(len(flags), np.int64)
+
+
+_built: dict[str, Machine] = {}
+
+
+def built(name: str, items: list[tuple[str, bytes]], window: int) -> Machine:
+    """The automaton of that name, made once in a Python process, which holds one at a time."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Machine(items, window)
+    return _built[name]
 
 
 def spans(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
@@ -67,7 +112,7 @@ def spans(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 256_000) -> DataFrame:
+def contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 16_000_000) -> DataFrame:
     """(row, n_words, n_hit, items, spans) for each row of df; row is a struct of the carried columns.
 
     A window is `window` consecutive words of an item, or all words of a
@@ -77,9 +122,10 @@ def contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", c
     words and no hits; items without words occur nowhere; a null item id counts
     as an empty one. Repeated rows and items count as they come.
 
-    Documents are neither shuffled nor joined. Benchmarks of up to
-    `block_bytes` make one automaton, sent to each task; larger ones are dealt
-    by hash to as many automata as that takes, each applied in a pass of its own.
+    Documents are neither shuffled nor joined, and are scanned once by one
+    automaton, of which each Python process makes one copy. Only a benchmark
+    beyond `block_bytes`, some 300 MB of automaton, is dealt by hash to as many
+    automata as that takes, each applied in a pass of its own.
     """
     own = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     blocks = max(1, -(-int(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
@@ -99,16 +145,17 @@ def one_pass(state: DataFrame, items, window: int, last: bool) -> DataFrame:
     results = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>" if last else "hit binary, items array<string>"
     schema = T.StructType(kept + T._parse_datatype_string(results).fields)
     types = to_arrow_schema(T._parse_datatype_string(results))
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [i for i, _ in items.value]
-        machine = automaton(items.value, window)
+        machine = built(name, items.value, window)
         for batch in batches:
             for first, texts in pieces(batch.column(1)):
                 rows = []
                 part = batch.slice(first, len(texts))
                 for text, packed, had in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    n, hit, own = find(machine, text)
+                    n, hit, own = machine.find(text)
                     if packed:
                         hit = hit | np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
                     ids = sorted({*had, *(names[i] for i in own)})
