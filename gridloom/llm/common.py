@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -27,19 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/gridloom/{uuid.uuid4().hex}"
 
 
+#: Whether Spark drops an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and no executor holds the only copy."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Has Spark's cleaner drop the shuffle files of finished steps that nothing refers to, before the next step writes its own."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    """df as a Parquet table in the shared folder: lineage is cut, no executor holds the only copy, and the shuffle files behind it go."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

@@ -14,7 +14,8 @@ rank at any length comes from its own text, not from a join with another positio
   round 3   for what is left, rank 1 with the 15 bytes before the anchor, and with the
             16 after: each string with the anchor holds one of the two; not shared: out
   round 4   strings of 50 bytes, of the anchors or halves left over at the edges of
-            passages: (rank 1, rank of the string)
+            passages, and of anchors that are too frequent to meet by rank 1:
+            (rank 1, rank of the string)
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .classifier import MIX, RADIX, powers
-from .common import pieces, release, written
+from .common import pieces, written
 
 LENGTH, K = 50, 20
 SPAN = LENGTH - K + 1
@@ -40,7 +41,8 @@ LETTERS = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64) *
 ID_MAX = (1 << 63) - 1
 ROWS = "key long, name long, id long, loc long"
 #: loc packs a text's mark (15 bits), a position (36), and two numbers: by how much the first and last string start
-#: before it (6 bits each), or, where the name is null, the length of a span.
+#: before it (6 bits each), or, where the name is null, the length of a span. Its sign is set for an anchor of a hot key, which has that key for its name.
+HOT = -(1 << 63)
 TYPES = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("id", pa.int64()), ("loc", pa.int64())])
 FOUND = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
@@ -128,12 +130,14 @@ def strings(hasher: Hasher, texts: list[bytes], wanted: list[list[dict]]) -> lis
     return [np.repeat(key, n).view(np.uint64), hasher.ranges(start, start + LENGTH), np.repeat(text, n), np.repeat(lo, n) + inner, zero, zero]
 
 
-def unsettled(found: list[list[np.ndarray]], ids: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+def unsettled(found: list[list[np.ndarray]], ids: np.ndarray, marks: np.ndarray, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Rows for Spark of what a chunk has found.
 
     Of equal names in the chunk only those in the smallest id go on; the
     others are repeats already, and go as spans. So a passage in very many texts
-    has about a row for each chunk.
+    has about a row for each chunk. Anchors of hot keys (sorted) aren't compared
+    by key, which would bring them all to one task: spread over the tasks, they
+    go on to the round of single strings.
     """
     if not found:
         return
@@ -146,6 +150,11 @@ def unsettled(found: list[list[np.ndarray]], ids: np.ndarray, marks: np.ndarray)
     again = own > least
     on = np.flatnonzero(~again)
     loc = marks[text] << 48 | pos << 12 | o1 << 6 | o2
+    if hot is not None and len(hot):
+        very = on[hot[np.minimum(np.searchsorted(hot, key[on]), len(hot) - 1)] == key[on]]
+        name[very] = key[very]
+        key[very] = mix(own[very].view(np.uint64) ^ pos[very].astype(np.uint64) * np.uint64(RADIX))
+        loc[very] |= np.int64(HOT)
     for i in range(0, len(on), 1 << 16):
         j = on[i : i + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(key[j].view(np.int64)), pa.array(name[j].view(np.int64)), pa.array(own[j]), pa.array(loc[j])], schema=TYPES)
@@ -168,9 +177,9 @@ def merged(of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
 
 
 def settled(batches: Iterator[pa.RecordBatch], halves: bool, rows: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key to spans (key null) and, with `halves`, to what stays open (its key, and where its strings are).
+    """From rows sorted by key and name to spans (key null) and, with `halves`, to what stays open (its key, and where its strings are).
 
-    Rows are taken some 2^18 at a time, whole keys only.
+    Rows are taken some 2^18 at a time, with `halves` whole keys only, else whole names.
     """
     held: list[pa.RecordBatch] = []
     n = 0
@@ -181,6 +190,8 @@ def settled(batches: Iterator[pa.RecordBatch], halves: bool, rows: int = 1 << 18
             whole = pa.Table.from_batches(held, TYPES).combine_chunks().to_batches()[0]
             keys = whole.column(0).to_numpy()
             last = int(np.searchsorted(keys, keys[-1]))
+            if not halves:
+                last += int(np.searchsorted(whole.column(1).slice(last).fill_null(HOT).to_numpy(), whole.column(1)[-1].as_py() or HOT))
             if last:
                 yield from judged(whole.slice(0, last), halves)
             held, n = [whole.slice(last)], len(whole) - last
@@ -210,11 +221,17 @@ def judged(batch: pa.RecordBatch, halves: bool) -> Iterator[pa.RecordBatch]:
 
     named = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
     key, ids, loc = (batch.column(i).to_numpy() for i in (0, 2, 3))
+    hot = named & (loc < 0)
+    if hot.any():
+        i, l = ids[hot], loc[hot] & ID_MAX
+        pos = l >> 12 & ((1 << 36) - 1)
+        yield rows(batch.column(1).filter(pa.array(hot)), i, l, pos - (l >> 6 & 63), pos - (l & 63) + LENGTH)
+    plain = named & ~hot
     if not named.all():
         i, l = ids[~named], loc[~named]
         lo = l >> 12 & ((1 << 36) - 1)
         yield rows(pa.nulls(len(i), pa.int64()), i, l, lo, lo + (l & 4095))
-    key, ids, loc, name = key[named], ids[named], loc[named], batch.column(1).drop_null().to_numpy().view(np.uint64)
+    key, ids, loc, name = key[plain], ids[plain], loc[plain], batch.column(1).filter(pa.array(plain)).to_numpy().view(np.uint64)
     if not len(key):
         return
     # most keys have one row
@@ -243,6 +260,30 @@ def judged(batch: pa.RecordBatch, halves: bool) -> Iterator[pa.RecordBatch]:
             yield rows(pa.array(key[on]), ids[on], loc[on], a[on], b[on])
 
 
+def hot_keys(docs: DataFrame, share: float = 1 / 65536, sample: int = 20_000, least: int = 8) -> np.ndarray:
+    """Sorted keys of anchors that make up `share` or more of a sample of texts' anchors, `least` at least; 1 / share of them at most.
+
+    It decides only how the work is dealt, never what is found.
+    """
+    n = docs.count()
+    texts = docs.select("text") if n <= sample else docs.sample(sample / n, 5).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for _, part in pieces(batch.column(0), SEGMENT):
+                keys = [anchors(hasher, cut)[0] for cut in segments(part)]
+                if keys:
+                    key, many = np.unique(np.concatenate(keys), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([None, *key.view(np.int64).tolist()], pa.int64()), pa.array([many.sum(), *many])], ["key", "n"])
+
+    counts = texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    top = counts.orderBy(F.col("n").desc()).limit(int(1 / share) + 1).toArrow()
+    key, many = top["key"], top["n"].to_numpy()
+    whole = many[key.is_null().to_numpy()].sum()
+    return np.sort(key.drop_null().to_numpy().view(np.uint64)[many[key.is_valid().to_numpy()] >= max(least, whole * share)])
+
+
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, removed) for each row of df, whose ids are integers.
 
@@ -251,28 +292,31 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     removed has the maximal removed runs as byte ranges. A null text is empty;
     texts under 50 bytes keep all; repeated rows have equal ids, so that none
     makes the other a repeat; a null id counts as larger than any other.
+
+    Anchors whose keys are very frequent, such as those in a line that many
+    texts share, are left to the last round, which deals strings by their own hash.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     docs = df.select(F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(ID_MAX)).alias("id"), F.crc32(text).bitwiseAND(F.lit(0x7FFF)).alias("mark"), text.alias("text"))
 
+    hot = hot_keys(docs)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             for first, texts in pieces(batch.column(2)):
                 found = [anchors(hasher, run) for run in segments(texts)]
-                yield from unsettled(found, *(batch.column(i).slice(first, len(texts)).to_numpy() for i in (0, 1)))
+                yield from unsettled(found, hot=hot, *(batch.column(i).slice(first, len(texts)).to_numpy() for i in (0, 1)))
 
     tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def ranked(rows: DataFrame, halves: bool) -> DataFrame:
-        rows = rows.repartition(tasks, "key").sortWithinPartitions("key")
+        rows = rows.repartition(tasks, *(("key",) if halves else ("key", "name"))).sortWithinPartitions("key", *(() if halves else ("name",)))
         return rows.mapInArrow(lambda it: settled(it, halves), "id long, mark long, key long, lo long, hi long")
 
     spans, open_ = (F.collect_list(F.when(c, F.struct(*f))) for c, f in ((F.col("key").isNull(), ("lo", "hi")), (F.col("key").isNotNull(), ("key", "lo", "hi"))))
     first = ranked(docs.select("id", "mark", "text").mapInArrow(scan, ROWS), True)
     found = written(first.groupBy("id", "mark").agg(spans.alias("spans"), open_.alias("open")))
-    del first
-    release(df.sparkSession)
 
     def rescan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -285,8 +329,6 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = ranked(docs.join(edges, ["id", "mark"]).select("id", "mark", "text", "open").mapInArrow(rescan, ROWS), False)
     spans = found.where(F.size("spans") > 0).select("id", "mark", "spans").unionByName(again.select("id", "mark", F.array(F.struct("lo", "hi")).alias("spans")))
     spans = written(spans.groupBy("id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    del again
-    release(df.sparkSession)
     out = "own long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo: long, hi: long>>"
     types = to_arrow_schema(T._parse_datatype_string(out))
 

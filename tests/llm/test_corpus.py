@@ -420,3 +420,49 @@ def test_ppm_in_parts(spark):
     assert parts.order == 5 and len(parts.parts) > 5
     got = {r.id: r.score for r in ppm.scores(df, held=F.col("id") % 5 == 0, size=2000).collect()}
     assert all(math.isclose(got[i], whole.score([t.encode()])[0], rel_tol=1e-6) for i, t in docs)
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_repeats_with_hot_anchors(spark, monkeypatch, least):
+    """Anchors that are left to the round of strings give what they give otherwise."""
+    rng = np.random.default_rng(4)
+    line = "a line that a great many texts have in the middle "
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 6, 90)) + line + "".join(chr(97 + c) for c in rng.integers(0, 6, 90)) for _ in range(30)]
+    texts += [texts[3], texts[3][20:140], texts[7] + texts[8]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = {tuple(r) for r in repeats.without_repeats(df).collect()} if least == 1 else None
+    real = repeats.hot_keys
+    monkeypatch.setattr(repeats, "hot_keys", lambda docs: real(docs, share=0.0001, least=least))
+    got = {r.id: (r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(df).collect()}
+    seen, want = {}, {}
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for at in range(len(t) - 49):
+            if seen.setdefault(t[at : at + 50], i) < i:
+                gone[at : at + 50] = True
+        kept = "".join(c for c, g in zip(t, gone) if not g)
+        want[i] = (int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept.encode()).hexdigest())
+    assert got == want
+    if plain:
+        assert {(r[0], *r[2:5]) for r in plain} == {(i, *w) for i, w in want.items()}
+
+
+@pytest.mark.parametrize("window", [3, 10])
+def test_machine_against_brute_force(window):
+    rng = np.random.default_rng(window)
+    for _ in range(300):
+        vocabulary = [f"w{i}" for i in range(rng.choice([1, 2, 5, 40]))]
+        some = lambda n: [vocabulary[i] for i in rng.integers(0, len(vocabulary), n)]  # noqa: B023, E731
+        items = [some(int(n)) for n in rng.choice([0, 1, 4, 5, 9, 10, 11, 25], 3)]
+        text = some(int(rng.integers(0, 15))) + items[0][int(rng.integers(0, 9)) :] + some(int(rng.integers(0, 9)))
+        hit, own = np.zeros(len(text), bool), set()
+        for i, item in enumerate(items):
+            k = min(window, len(item))
+            for a in range(len(item) - k + 1 if k else 0):
+                for b in range(len(text) - k + 1):
+                    if item[a : a + k] == text[b : b + k]:
+                        hit[b : b + k] = True
+                        own.add(i)
+        machine = decontamination.Machine([(str(i), " ".join(x).encode()) for i, x in enumerate(items)], window)
+        n, got, found = machine.find(" ".join(text).encode())
+        assert (n, got.tolist(), found) == (len(text), hit.tolist(), own)
