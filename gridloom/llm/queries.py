@@ -102,11 +102,16 @@ n AS (SELECT CAST(ceil(sum(target) / 16) AS BIGINT) AS blocks, sum(target) AS wh
 seats AS (SELECT place, target, unnest(generate_series(0, CAST(ceil(target * n.blocks / greatest(n.whole, 1e-9)) AS BIGINT) + 3)) AS k FROM t, n),
 ranked AS (SELECT place, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, place, k) AS seat FROM seats),
 won AS (SELECT place, count(*) AS blocks FROM ranked WHERE seat <= (SELECT blocks FROM n) GROUP BY place),
-q AS (SELECT t.*, least(coalesce(won.blocks, 0) * 16, source_size * 3) AS wanted FROM t LEFT JOIN won USING (place)),
-line AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+held AS (SELECT source, CAST('0x' || draw[1:2] AS INT) * 8 // 256 AS shard, CAST(sum(size) AS BIGINT) AS held FROM d GROUP BY ALL),
+cells AS (SELECT held.*, t.place, t.source_size, t.target, coalesce(won.blocks, 0) AS blocks FROM held JOIN t ON held.source IS NOT DISTINCT FROM t.source LEFT JOIN won ON won.place = t.place),
+asked AS (SELECT place, shard, blocks, CAST(held AS DOUBLE) AS held, unnest(generate_series(0, CAST(ceil(held * blocks / greatest(source_size, 1)) AS BIGINT) + 3)) AS k FROM cells),
+placed AS (SELECT place, shard, blocks, row_number() OVER (PARTITION BY place ORDER BY held / (2 * k + 1) DESC, shard, k) AS seat FROM asked),
+dealt AS (SELECT place, shard, count(*) AS quota FROM placed WHERE seat <= blocks GROUP BY ALL),
+q AS (SELECT cells.*, least(coalesce(quota, 0) * 16, held * 3) AS wanted FROM cells LEFT JOIN dealt USING (place, shard)),
+line AS (SELECT *, CAST('0x' || draw[1:2] AS INT) * 8 // 256 AS shard, coalesce(sum(size) OVER (PARTITION BY source, CAST('0x' || draw[1:2] AS INT) * 8 // 256 ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
 SELECT doc_id, size, source_size, target,
-  CAST(coalesce(wanted // source_size, 0) * size + greatest(0, least(size, wanted - coalesce(wanted // source_size, 0) * source_size - start)) AS BIGINT) AS taken
-FROM line JOIN q ON line.source IS NOT DISTINCT FROM q.source
+  CAST(coalesce(wanted // held, 0) * size + greatest(0, least(size, wanted - coalesce(wanted // held, 0) * held - start)) AS BIGINT) AS taken
+FROM line JOIN q ON line.source IS NOT DISTINCT FROM q.source AND line.shard = q.shard
 """
 
 FOLDED = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import collections
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from gridloom.llm import decontamination, simhash
+from gridloom.llm import classifier, decontamination, simhash
 from tests.conftest import DATA
-from tests.llm.test_corpus import LOWER, components
+from tests.llm.test_corpus import LOWER
 
 FOLDER = DATA.replace("0.001", "0.01")
 
@@ -47,7 +48,7 @@ def shingles(text: str) -> set:
 
 
 def test_near_duplicate_stage(steps):
-    """No two similar texts stay; what goes has, in brute force over the same fingerprints, a smaller doc_id in its component."""
+    """No two similar texts stay."""
     _, before, after = steps[1]
     docs = sorted((r.doc_id, r.text) for r in before.collect())
     kept = {r.doc_id for r in after.collect()}
@@ -59,10 +60,6 @@ def test_near_duplicate_stage(steps):
     for i in kept:
         common = collections.Counter(j for g in sets[i] for j in by[g] if j < i)
         assert all(n / (len(sets[i]) + len(sets[j]) - n) < 0.8 for j, n in common.items())
-    radius, _ = simhash.wide_plan(len(docs), 0.8)
-    fps = [int.from_bytes(simhash.wide_fingerprint(t.encode(), 5).tobytes(), "little") for _, t in docs]
-    want = components([i for i, _ in docs], fps, radius)
-    assert set(want) <= kept and len(kept) <= 1.01 * len(set(want))
 
 
 def test_decontamination_stage(spark, steps):
@@ -160,3 +157,23 @@ def test_near_duplicate_stage_by_shingles(steps):
     _, before, after = steps[1]
     want = similar_components(sorted((r.doc_id, r.text) for r in before.collect()))
     assert {r.doc_id for r in after.collect()} == set(want.values())
+
+
+def test_ids_win_over_missing_ids(spark):
+    """Of equal texts the row with an id stays, whatever its id and the text's hash."""
+    ids = [-(2**62), -5, 0, 7, 2**62, 9, 11, 13]
+    rows = [(i, f"one two three four five six {i}") for i in ids] + [(None, f"one two three four five six {i}") for i in ids]
+    docs = spark.createDataFrame([(i, t + " seven eight" * k, "en", "s", 0) for k, (i, t) in enumerate(rows[:8] * 1)] + [(None, rows[k][1] + " seven eight" * k, "en", "s", 0) for k in range(8)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert None not in {r.doc_id for r in p.one_of_near_copies(spark, docs, DATA).collect()}
+
+
+def test_quality_pools_alike_in_any_company():
+    """A text's features don't depend on the texts beside it, nor on how many slices it is cut into."""
+    rng = np.random.default_rng(2)
+    texts = [b" ".join(b"w%d" % i for i in rng.integers(0, 50, n)) for n in (0, 1, 5, 400, 40_000)]
+    vectors = rng.integers(-4096, 4096, (classifier.WORDS, classifier.DIM)).astype(np.int32)
+    cut = classifier.Tokenizer()
+    alone = np.concatenate([classifier.pooled(cut, vectors, [t]) for t in texts])
+    assert (alone == classifier.pooled(cut, vectors, texts)).all()
+    bucket, _, code, first = cut([b"ab " * 10 + b"x" * (3 << 20) + b" ab " + b"x" * (3 << 20)])
+    assert first.tolist() == [0, 13] and code[10] == code[12] and len({*code[:10].tolist(), code[11]}) == 1
