@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -20,7 +21,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 AHEAD = 1 << 18
 MANIFEST = pa.schema([("path", pa.string()), ("size", pa.int64()), ("records", pa.int64())])
-RECORD = pa.schema([("id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+RECORD = pa.schema([("id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_id", pa.string()), ("agrees", pa.bool_()), ("payload", pa.binary())])
 
 
 def with_types(df: DataFrame, id_col: str, url_col: str, payload_col: str, least: int = 100) -> DataFrame:
@@ -143,32 +144,59 @@ def records(file, start: int, end: int) -> Iterator[tuple]:
         yield parsed(found[0])
 
 
+def payload_of(kind: str, fields: dict[str, str], block: bytes) -> bytes | None:
+    """What a record holds: an HTTP message's body, or else the whole block; a revisit holds nothing."""
+    if kind == "revisit":
+        return None
+    if fields.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        return block.partition(b"\r\n\r\n")[2]
+    return block
+
+
+def agrees(payload: bytes, digest: str) -> bool | None:
+    """Whether a labelled digest is the payload's; null for a kind of digest that isn't known."""
+    label, _, value = digest.partition(":")
+    name = label.lower().replace("-", "")
+    if name not in ("sha1", "sha256", "sha512", "md5"):
+        return None
+    found = hashlib.new(name, payload)
+    return value.lower() == found.hexdigest() or value.upper().rstrip("=") == base64.b32encode(found.digest()).decode().rstrip("=")
+
+
 def parsed(data: bytes) -> tuple:
-    """The columns of RECORD; a response's length and digest come from its payload and must agree with its header."""
+    """The columns of RECORD of any record type.
+
+    A payload's length and SHA-256 come from itself. A payload that this module
+    wrote must agree with its header; others say in `agrees` whether they do,
+    since writers differ in what they digest. A revisit has the digest that its
+    header gives, without the label if it is sha256.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
-    block = rest[: int(fields["content-length"])]
-    if len(block) < int(fields["content-length"]):
-        raise ValueError(f"record {fields['warc-record-id']} is cut short")
-    digest = fields["warc-payload-digest"].removeprefix("sha256:")
-    payload = None
-    if fields["warc-type"] == "response":
-        payload = block.partition(b"\r\n\r\n")[2]
-        if hashlib.sha256(payload).hexdigest() != digest:
-            raise ValueError(f"record {fields['warc-record-id']} has another payload than its digest says")
-    page = re.fullmatch(r"<urn:page:(.*)>", fields["warc-record-id"])
-    refers = re.fullmatch(r"<urn:page:(.*)>", fields.get("warc-refers-to", ""))
-    size = len(payload) if payload is not None else int(fields["x-payload-length"])
-    return page and page[1], fields.get("warc-target-uri"), fields["warc-type"], refers and refers[1], size, digest, payload
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    name, kind, size = fields.get("warc-record-id", ""), fields.get("warc-type", ""), int(fields.get("content-length", len(rest)))
+    block = rest[:size]
+    if len(block) < size:
+        raise ValueError(f"record {name} is cut short")
+    digest = fields.get("warc-payload-digest")
+    payload = payload_of(kind, fields, block)
+    same = agrees(payload, digest) if payload is not None and digest else None
+    page = re.fullmatch(r"<urn:page:(.*)>", name)
+    if same is False and (page or digest.startswith("sha256:")):
+        raise ValueError(f"record {name} has another payload than its digest says")
+    refers = re.fullmatch(r"<(?:urn:page:)?(.*)>", fields.get("warc-refers-to", ""))
+    length = len(payload) if payload is not None else int(fields["x-payload-length"]) if "x-payload-length" in fields else None
+    own = hashlib.sha256(payload).hexdigest() if payload is not None else digest and digest.removeprefix("sha256:")
+    return page and page[1], fields.get("warc-target-uri"), kind, refers and refers[1], length, own, name.strip("<>") or None, same, payload
 
 
 def read_warc(archives: DataFrame, split: int = 1 << 25, payload: bool = True) -> DataFrame:
-    """(id, url, record_type, refers_to, payload_bytes, payload_digest, payload) for each record of (path, size).
+    """(id, url, record_type, refers_to, payload_bytes, payload_digest, record_id, agrees, payload) for each record of (path, size), of whatever type.
 
     A file is cut into ranges of `split` bytes, dealt to tasks. A range's task
     looks for gzip magic, takes what decodes to a WARC header for a record, and
     owns the records that start inside. Ids are strings, null where the record
-    is named by a UUID; a revisit's payload is null. Files of any size and
+    is no page of write_warc(); record_id has every record's name. See parsed()
+    for digests; a revisit's payload is null. Files of any size and
     archives without records are fine.
     """
     step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long")))
@@ -183,14 +211,14 @@ def read_warc(archives: DataFrame, split: int = 1 << 25, payload: bool = True) -
                 with store.open_input_file(name) as file:
                     for r in records(file, start, min(size, start + split)):
                         rows.append(r if payload else (*r[:-1], None))
-                        held += r[4] if payload else 64
+                        held += r[4] or 64 if payload else 64
                         if held > 1 << 24:
                             yield block(rows)
                             rows, held = [], 0
                 if rows:
                     yield block(rows)
 
-    schema = "id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
+    schema = "id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, record_id string, agrees boolean, payload binary"
     return ranges.repartition(tasks, "path", "start").select("path", "size", "start").mapInArrow(run, schema)
 
 

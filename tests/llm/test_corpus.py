@@ -469,3 +469,41 @@ def test_machine_against_brute_force(window):
         machine = decontamination.Machine([(str(i), " ".join(x).encode()) for i, x in enumerate(items)], window)
         n, got, found = machine.find(" ".join(text).encode())
         assert (n, got.tolist(), found) == (len(text), hit.tolist(), own)
+
+
+def test_warc_of_other_writers():
+    """Records of other types and digests are read; what has no known digest isn't judged."""
+    import base64
+    import gzip
+
+    def member(kind, block, **fields):
+        head = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:7>", "Content-Length": str(len(block)), **{k.replace("_", "-"): v for k, v in fields.items()}}
+        return gzip.compress(("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>body</p>"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(b"<p>body</p>").digest()).decode()
+    kinds = {"Content_Type": "application/http; msgtype=response"}
+    data = b"".join(
+        [
+            member("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"),
+            member("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", **kinds),
+            member("response", http, WARC_Payload_Digest=sha1, **kinds),
+            member("response", http, WARC_Payload_Digest="sha1:AAAA", **kinds),
+            member("resource", b"plain", WARC_Payload_Digest="crc:1"),
+            member("revisit", b"HTTP/1.1 304\r\n\r\n", WARC_Payload_Digest=sha1, WARC_Refers_To="<urn:uuid:6>", **kinds),
+        ]
+    )
+    rows = list(warc.records(io.BytesIO(data), 0, len(data)))
+    assert [r[2] for r in rows] == ["warcinfo", "request", "response", "response", "resource", "revisit"]
+    assert [r[-1] for r in rows] == [b"software: x\r\n", b"", b"<p>body</p>", b"<p>body</p>", b"plain", None]
+    assert [r[-2] for r in rows] == [None, None, True, False, None, None]
+    assert rows[2][5] == hashlib.sha256(b"<p>body</p>").hexdigest() and rows[5][5] == sha1 and rows[5][3] == "urn:uuid:6" and {r[6] for r in rows} == {"urn:uuid:7"}
+
+
+def test_costly_rules_come_late(spark):
+    """Of rules that reject alike the cheap one comes first, and of equally cheap ones the one that rejects more; two runs agree."""
+    df = spark.range(4000).select(F.col("id"), F.repeat(F.lit("word and "), 40).alias("text"), (F.col("id") % 10).alias("n"))
+    slow = F.length(F.regexp_replace("text", "(a|n|d|w|o|r)+ ?", "x")) + F.col("n") < 1
+    given = [rules.Rule("slow", slow | (F.col("n") < 3)), rules.Rule("few", F.col("n") < 1), rules.Rule("more", F.col("n") < 3)]
+    orders = [[r.name for r in rules.ordered(df, given)] for _ in range(2)]
+    assert orders[0] == orders[1] == ["more", "few", "slow"] or orders[0] == orders[1] == ["more", "slow", "few"]
