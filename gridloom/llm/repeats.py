@@ -260,7 +260,7 @@ def judged(batch: pa.RecordBatch, halves: bool) -> Iterator[pa.RecordBatch]:
             yield rows(pa.array(key[on]), ids[on], loc[on], a[on], b[on])
 
 
-def hot_keys(docs: DataFrame, share: float = 1 / 65536, sample: int = 20_000, least: int = 8) -> np.ndarray:
+def hot_keys(docs: DataFrame, share: float = 1 / 16384, sample: int = 20_000, least: int = 8) -> np.ndarray:
     """Sorted keys of anchors that make up `share` or more of a sample of texts' anchors, `least` at least; 1 / share of them at most.
 
     It decides only how the work is dealt, never what is found.
