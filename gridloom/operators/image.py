@@ -252,6 +252,55 @@ def character_height(image: np.ndarray, least_area: int = 10) -> int:
     return int(np.median(heights)) if len(heights) else 0
 
 
+def component_heights(pages: DataFrame, least_area: int = 10) -> DataFrame:
+    """(page, height) of each dark component of at least that many pixels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page, h, w, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = boxes(*labels(np.frombuffer(data, np.uint8).reshape(h, w) < 128))
+                tall = found[found[:, 0] >= least_area, 3].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([page] * len(tall), batch.schema.field(0).type), pa.array(tall)], ["page", "height"])
+
+    kind = pages.schema["page"].dataType.simpleString()
+    return pages.select("page", F.col("height").cast("int"), F.col("width").cast("int"), "data").mapInArrow(run, f"page {kind}, height int")
+
+
+def character_sizes(pages: DataFrame, least_area: int = 10) -> DataFrame:
+    """(page, average_height, median_height, component_count) of each page's characters; the average is the median, in whole pixels, and all are 0 without any."""
+    half = F.floor(F.median("height")).cast("int")
+    found = component_heights(pages, least_area).groupBy("page").agg(half.alias("average_height"), half.alias("median_height"), F.count("*").alias("component_count"))
+    return pages.select("page").join(found, "page", "left").fillna(0, ["average_height", "median_height", "component_count"])
+
+
+def deskewed(pages: DataFrame) -> DataFrame:
+    """(page, height, width, data, angle): each gray page turned upright by its own skew; `angle` is by how many degrees, so that other images of the page can be turned alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page, h, w, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(data, np.uint8).reshape(h, w)
+                angle = float(skew(own))
+                yield pa.RecordBatch.from_arrays([pa.array([page], batch.schema.field(0).type), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([rotated(own, angle).tobytes()]), pa.array([angle])], ["page", "height", "width", "data", "angle"])
+
+    kind = pages.schema["page"].dataType.simpleString()
+    return pages.select("page", F.col("height").cast("int"), F.col("width").cast("int"), "data").mapInArrow(run, f"page {kind}, height int, width int, data binary, angle double")
+
+
+def turned_alike(pages: DataFrame, angles: DataFrame) -> DataFrame:
+    """(page, height, width, data): pages turned by the angle of (page, angle); the image that lines are looked for in and the one that cells are cut from share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page, h, w, data, angle in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out = rotated(np.frombuffer(data, np.uint8).reshape(h, w), angle)
+                yield pa.RecordBatch.from_arrays([pa.array([page], batch.schema.field(0).type), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([out.tobytes()])], ["page", "height", "width", "data"])
+
+    kind = pages.schema["page"].dataType.simpleString()
+    both = pages.select("page", F.col("height").cast("int"), F.col("width").cast("int"), "data").join(angles.select("page", "angle"), "page")
+    return both.select("page", "height", "width", "data", "angle").mapInArrow(run, f"page {kind}, height int, width int, data binary")
+
+
 def crossing_gate(mask: np.ndarray, other: np.ndarray, least: int) -> np.ndarray:
     """Components of the mask that touch at least `least` distinct components of the other."""
     label, n = labels(mask)

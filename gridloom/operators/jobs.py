@@ -32,6 +32,24 @@ def page_of(df: DataFrame, order: list[Column], limit: int, offset: int, most: i
     return df.orderBy(*order).offset(max(0, offset)).limit(min(most, max(1, limit)))
 
 
+def created(submissions: DataFrame, now: Column) -> DataFrame:
+    """Rows for the job table from submissions: queued, with no attempt, no lease and no result yet."""
+    none = lambda kind: F.lit(None).cast(kind)
+    start = {"status": F.lit("queued"), "stage": F.lit("queued"), "attempt": F.lit(0), "done": F.lit(0), "total": F.lit(0), "created_at": now, "updated_at": now}
+    return submissions.withColumns(start | {"started_at": none("timestamp"), "finished_at": none("timestamp"), "lease_owner": none("string"), "lease_until": none("timestamp"), "result_path": none("string"), "error": none("string")})
+
+
+def listed(jobs: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest jobs, 1 to 100 of them, later arrivals first among equals."""
+    return page_of(jobs, [F.col("created_at").desc(), F.col("seq").desc()], limit, 0, 100)
+
+
+def public(rows: DataFrame, names: dict[str, str], result_url: Column | None = None) -> DataFrame:
+    """What users may see of jobs, documents or batches: columns by their public names, in that order, and a link where there is a result."""
+    shown = rows.select(*[F.col(c).alias(n) for c, n in names.items()], *([] if result_url is None else [F.when(F.col("result_path").isNotNull(), result_url).alias("result_url")]))
+    return shown
+
+
 def has_more(total: Column, offset: int, size: int) -> Column:
     return F.lit(offset + size) < total
 

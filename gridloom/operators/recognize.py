@@ -299,7 +299,7 @@ class Vision:
 
 def request_log(prompt_text: Column, data: Column) -> Column:
     """What a log may keep of a request: the prompt, and of the image its base64 length and SHA-256."""
-    encoded = F.base64(data)
+    encoded = image.encoded(data)
     return F.struct(prompt_text.alias("prompt"), F.length(encoded).alias("image_base64_length"), F.sha2(encoded.cast("binary"), 256).alias("image_sha256"))
 
 

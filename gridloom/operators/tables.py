@@ -27,6 +27,12 @@ def without_named(cells: DataFrame, names: DataFrame, keys: list[str]) -> DataFr
     return cells.join(gone, [*keys, "col"], "left_anti")
 
 
+def headed(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row, col, header, text): the cells under the first row, each with the first row's text of its column; a column without one has none."""
+    head = cells.where("row = 0").groupBy(*keys, "col").agg(F.max("text").alias("header"))
+    return cells.where("row > 0").join(head, [*keys, "col"], "left").select(*keys, "row", "col", "header", "text")
+
+
 def without_columns(cells: DataFrame, gone: list[int]) -> DataFrame:
     return cells.where(~F.col("col").isin(*gone)) if gone else cells
 

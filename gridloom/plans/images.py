@@ -95,6 +95,18 @@ def i9_components(spark, d):
     return g.levels(counts).select("page", F.col("v").alias("components"))
 
 
+@query(f"""WITH RECURSIVE {LEVELS}, d AS (SELECT page, i // 8 AS y, i % 8 AS x, i FROM l WHERE v < 128), w AS (SELECT page, i, y, x, i AS root FROM d UNION SELECT d.page, d.i, d.y, d.x, w.root FROM d JOIN w ON d.page = w.page AND abs(d.y - w.y) <= 1 AND abs(d.x - w.x) <= 1),
+c AS (SELECT page, i, y, min(root) AS label FROM w GROUP BY page, i, y), h AS (SELECT page, label, max(y) - min(y) + 1 AS height FROM c GROUP BY page, label HAVING count(*) >= 4), m AS (SELECT page, CAST(floor(median(height)) AS INT) AS m, count(*) AS n FROM h GROUP BY page)
+SELECT vec_id AS page, coalesce(m, 0) AS average_height, coalesce(m, 0) AS median_height, coalesce(n, 0) AS component_count FROM embeddings LEFT JOIN m ON vec_id = page""")
+def i12_character_sizes(spark, d):
+    return g.character_sizes(pages(spark, d), 4)
+
+
+@query("SELECT page_id, 'Read this.' AS prompt, CAST(length(to_base64(encode(html))) AS INT) AS image_base64_length, sha256(to_base64(encode(html))) AS image_sha256 FROM pages")
+def snk8_request_log(spark, d):
+    return table(spark, d, "pages").select("page_id", recognize.request_log(F.lit("Read this."), F.col("html").cast("binary")).alias("log")).select("page_id", "log.*")
+
+
 @query()
 def i5_skew(spark, d):
     return g.per_page(pages(spark, d), lambda x: np.array([[round(abs(g.skew(x)) * 4)]], np.uint8))

@@ -41,6 +41,22 @@ def j3_counts(spark, d):
     return j.counts_by(jobs(spark, d), "status", list(j.STATES))
 
 
+@query("SELECT o_orderkey AS id, o_custkey AS document_id FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+def j9_listed(spark, d):
+    return j.listed(jobs(spark, d), 500).select("id", "document_id")
+
+
+@query("SELECT c_custkey AS document_id, 'queued' AS status, 0 AS attempt, CAST(NULL AS VARCHAR) AS lease_owner FROM customer")
+def j9_created(spark, d):
+    return j.created(documents(spark, d), F.lit("1999-01-01").cast("timestamp")).select("document_id", "status", "attempt", "lease_owner")
+
+
+@query(f"SELECT o_orderkey AS job_id, {STATUS} AS status, o_custkey AS document_id, CASE WHEN {STATUS} LIKE 'completed%' THEN '/api/jobs/' || o_orderkey || '/result' END AS result_url FROM orders")
+def j23_public(spark, d):
+    done = jobs(spark, d).withColumn("result_path", F.when(F.col("status").startswith("completed"), "x"))
+    return j.public(done, {"id": "job_id", "status": "status", "document_id": "document_id"}, F.concat(F.lit("/api/jobs/"), F.col("id").cast("string"), F.lit("/result")))
+
+
 @query("SELECT 75 < count(*) AS has_more, count(*) AS total FROM orders")
 def j4_has_more(spark, d):
     return jobs(spark, d).agg(F.count("*").alias("total")).select(j.has_more(F.col("total"), 50, 25).alias("has_more"), "total")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.operators import tables as c
@@ -20,6 +21,13 @@ def c3_matrix(spark, d):
     return c.matrix(line_cells(spark, d), ["page"], "row", [1, 2, 3])
 
 
+@query("""WITH c AS (SELECT DISTINCT o_custkey AS page, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS "row", o_orderkey % 3 AS col, o_orderpriority AS text FROM orders), h AS (SELECT page, col, text AS header FROM c WHERE "row" = 0)
+SELECT c.page, c."row", c.col, header, text FROM c LEFT JOIN h ON c.page = h.page AND c.col = h.col WHERE c."row" > 0""")
+def c15_headed(spark, d):
+    at = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    return c.headed(table(spark, d, "orders").select(F.col("o_custkey").alias("page"), at.alias("row"), (F.col("o_orderkey") % 3).alias("col"), F.col("o_orderpriority").alias("text")), ["page"])
+
+
 @query("""SELECT l_orderkey % 50 AS page, max(l_orderkey) + 1 AS row_count, max(l_linenumber) + 1 AS col_count FROM lineitem GROUP BY 1""")
 def c4_table_size(spark, d):
     return c.table_size(line_cells(spark, d), ["page"])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +51,42 @@ def expired_leases(leases: DataFrame, seconds: int) -> DataFrame:
     own = leases.withWatermark("at", "0 seconds") if leases.isStreaming else leases
     beat = own.groupBy("job_id", F.session_window("at", f"{seconds} seconds").alias("w")).agg(F.max("at").alias("last_beat"))
     return beat.select("job_id", "last_beat", F.col("w.end").alias("expired_at"))
+
+
+def without_cancelled(batch: DataFrame, cancelled: DataFrame, key: str = "job_id") -> DataFrame:
+    """A batch's rows whose job hasn't been cancelled by the time the batch starts."""
+    return batch.join(cancelled.select(key).distinct(), key, "left_anti")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file is there, in any store that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def write_status(spark: SparkSession, path: str, state: str, **more: str | int | None) -> None:
+    """A small JSON file with the state, put in place of the old one by a rename."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    place, fresh = fs.Path(path), fs.Path(f"{path}.new")
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = store.create(fresh, True)
+    out.write(json.dumps({"state": state, "updated_at": datetime.now(UTC).isoformat(), **more}, sort_keys=True).encode())
+    out.close()
+    store.delete(place, False)
+    store.rename(fresh, place)
+
+
+def run_until_drained(query: StreamingQuery, spark: SparkSession, drain: str, status: str | None = None, poll: float = 1.0) -> None:
+    """Lets a stream run until it ends or a file `drain` appears; then it takes what has arrived, and stops. `status` says which."""
+    if status:
+        write_status(spark, status, "running", batch=None)
+    while query.isActive and not exists(spark, drain):
+        time.sleep(poll)
+    if query.isActive:
+        if status:
+            write_status(spark, status, "draining", batch=(query.lastProgress or {}).get("batchId"))
+        query.processAllAvailable()
+        query.stop()
+    query.awaitTermination()
+    if status:
+        write_status(spark, status, "stopped", batch=(query.lastProgress or {}).get("batchId"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 
 import numpy as np
@@ -329,3 +330,53 @@ def test_pages_laid_end_to_end(spark):
     cells = spark.createDataFrame([(p, r) for p, n in pages for r in range(n + 1)], "page long, row int")
     got = scoring.global_rows(cells, spark.createDataFrame(pages, "page long, data_row_count long"), run=7)
     assert sorted(r.global_row for r in got.collect()) == list(range(sum(n for _, n in pages)))
+
+
+def test_drained_stream_stops(spark, tmp_path):
+    """A stream of many triggers stops once the drain file is there, with all that had arrived, cancelled jobs left out."""
+    source, status = f"file://{tmp_path}/in", tmp_path / "status.json"
+    spark.range(6).withColumnRenamed("id", "job_id").write.parquet(source)
+    cancelled, seen = spark.createDataFrame([(2,), (4,)], "job_id long"), []
+    stream = inbox.arrivals(spark, source, "job_id long", 1)
+    query = inbox.start(stream, lambda batch, n: seen.extend(r.job_id for r in inbox.without_cancelled(batch, cancelled).collect()), f"file://{tmp_path}/check", "100 milliseconds")
+    (tmp_path / "drain").write_text("")
+    inbox.run_until_drained(query, spark, f"file://{tmp_path}/drain", f"file://{status}", 0.1)
+    assert sorted(seen) == [0, 1, 3, 5] and not query.isActive
+    assert json.loads(status.read_text())["state"] == "stopped"
+
+
+def streamed(spark, tmp_path, batches, schema, plan, mode):
+    """What a stream over the batches, one after another, has written."""
+    source = f"file://{tmp_path}/in"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        query = plan(inbox.arrivals(spark, source, schema)).writeStream.outputMode(mode).format("parquet" if mode == "append" else "memory").queryName(f"q{abs(hash(str(tmp_path)))}").option("checkpointLocation", f"file://{tmp_path}/check").option("path", f"file://{tmp_path}/out").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.parquet(f"file://{tmp_path}/out") if mode == "append" else spark.table(f"q{abs(hash(str(tmp_path)))}")
+
+
+def test_leases_of_a_stream(spark, tmp_path):
+    """A lease is given out once no beat came for its time; an open one isn't."""
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    batches = [[(1, at(0)), (1, at(5)), (2, at(1))], [(2, at(40))], [(3, at(59))]]
+    got = streamed(spark, tmp_path, batches, "job_id int, at timestamp", lambda s: inbox.expired_leases(s, 10), "append").collect()
+    assert {(r.job_id, r.last_beat) for r in got} == {(1, at(5)), (2, at(1)), (2, at(40))}
+
+
+def test_late_events_of_a_stream(spark, tmp_path):
+    """A window is given out once the watermark is past it, without what came too late."""
+    at = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+    batches = [[("a", at(1)), ("a", at(1, 30))], [("a", at(5))], [("a", at(1, 40)), ("b", at(9))], [("b", at(9, 5))]]
+    got = streamed(spark, tmp_path, batches, "kind string, at timestamp", lambda s: inbox.windowed_counts(s, "at", "kind", "1 hour", "1 hour"), "append").collect()
+    assert {(r.start, r.kind, r.n) for r in got} == {(at(1), "a", 2), (at(5), "a", 1)}
+
+
+def test_pages_turned_alike(spark):
+    page, _, _ = form()
+    turned = image.rotated(page, 4.0)
+    pages = spark.createDataFrame([(1, *turned.shape, turned.tobytes())], "page int, height int, width int, data binary")
+    first = image.deskewed(pages)
+    assert abs(abs(first.first().angle) - 4.0) <= 0.5
+    again = image.turned_alike(pages, first.select("page", "angle"))
+    assert bytes(again.first().data) == bytes(first.first().data)
+    assert image.character_sizes(spark.createDataFrame([(1, 20, 20, b"\xff" * 400)], "page int, height int, width int, data binary")).first()["component_count"] == 0
