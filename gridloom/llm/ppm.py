@@ -245,10 +245,10 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(F.col(text_col).cast("string")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("total"))
 
 
-def text_sums(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18, size: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+def text_sums(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17, size: int = 1 << 25) -> Iterator[pa.RecordBatch]:
     """From word rows with their totals, in any order, to sums by text: how many known tokens, and the log10 of their counts plus one.
 
-    Rows are taken some 2^18 or 64 MB at a time and give one row for each chunk among them; heads go through as they are.
+    Rows are taken some 2^17 or 32 MB at a time and give one row for each chunk among them; heads go through as they are.
     """
     held: list[pa.RecordBatch] = []
     n = held_bytes = 0
@@ -313,7 +313,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
             for first, texts in pieces(batch.column(1), 1 << 24):
                 own = batch.slice(first, len(texts))
                 keys, n, total = [], [], []
-                for part in parts(texts, 1 << 21):
+                for part in parts(texts, 1 << 20):
                     _, _, code, start = cut([x.translate(LOWER_BYTES) for x in part])
                     keys.append(code)
                     n.append(np.diff(start))
