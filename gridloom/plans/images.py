@@ -41,9 +41,12 @@ def g1_page_profile(spark, d):
     return profile(g.pixels(p), ["page"], "y", spine)
 
 
-@query()
+@query(f"""WITH {LEVELS}, p AS (SELECT page, v, i // 8 AS y, i % 8 AS x FROM l), n AS (SELECT page, max(y) + 1 AS h FROM p GROUP BY page), o(o) AS (VALUES (-2), (-1), (0), (1), (2)),
+w AS (SELECT p.page, p.y, p.x, p.v, CASE WHEN p.y + a.o < 0 THEN -p.y - a.o WHEN p.y + a.o >= h THEN 2 * h - 2 - p.y - a.o ELSE p.y + a.o END AS ny, CASE WHEN p.x + b.o < 0 THEN -p.x - b.o WHEN p.x + b.o >= 8 THEN 14 - p.x - b.o ELSE p.x + b.o END AS nx FROM p JOIN n USING (page), o a, o b),
+m AS (SELECT w.page, w.y, w.x, w.v, CAST(sum(p.v) AS DOUBLE) / 25 AS m, CAST(sum(p.v * p.v) AS DOUBLE) / 25 AS q FROM w JOIN p ON p.page = w.page AND p.y = ny AND p.x = nx GROUP BY ALL)
+SELECT page, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CASE WHEN v > m * (1 + CAST(0.34 AS DOUBLE) * (sqrt(greatest(q - m * m, 0)) / 128 - 1)) THEN 255 ELSE 0 END AS v FROM m""")
 def i2_sauvola(spark, d):
-    return g.per_page(pages(spark, d), lambda x: g.sauvola(x, 5))
+    return g.levels(g.per_page(pages(spark, d), lambda x: g.sauvola(x, 5)))
 
 
 @query()
@@ -51,9 +54,14 @@ def i3_denoised(spark, d):
     return g.per_page(pages(spark, d), lambda x: g.denoised(g.sauvola(x, 5), 3))
 
 
-@query()
+@query(f"""WITH {LEVELS}, a AS (SELECT page, list(v ORDER BY i) AS f, CAST(count(*) // 8 AS INT) AS h FROM l GROUP BY page), c AS (SELECT cos(CAST(3 AS DOUBLE) * (pi() / 180)) AS c, sin(CAST(3 AS DOUBLE) * (pi() / 180)) AS s),
+p AS (SELECT page, f, h, i // 8 AS y, i % 8 AS x, c * (i % 8 - CAST(4 AS DOUBLE)) - s * (i // 8 - h / CAST(2 AS DOUBLE)) + 4 AS u, s * (i % 8 - CAST(4 AS DOUBLE)) + c * (i // 8 - h / CAST(2 AS DOUBLE)) + h / CAST(2 AS DOUBLE) AS t FROM l JOIN a USING (page), c),
+k AS (SELECT page, f, h, y, x, least(8, greatest(-1, u)) + 1 AS u, least(h, greatest(-1, t)) + 1 AS t FROM p), b AS (SELECT *, least(8, CAST(floor(u) AS INT)) AS x0, least(h, CAST(floor(t) AS INT)) AS y0 FROM k),
+q AS (SELECT page, y, x, u - x0 AS fx, t - y0 AS fy, CASE WHEN y0 BETWEEN 1 AND h AND x0 BETWEEN 1 AND 8 THEN f[(y0 - 1) * 8 + x0] ELSE 255 END AS v00, CASE WHEN y0 BETWEEN 1 AND h AND x0 < 8 THEN f[(y0 - 1) * 8 + x0 + 1] ELSE 255 END AS v01,
+  CASE WHEN y0 < h AND x0 BETWEEN 1 AND 8 THEN f[y0 * 8 + x0] ELSE 255 END AS v10, CASE WHEN y0 < h AND x0 < 8 THEN f[y0 * 8 + x0 + 1] ELSE 255 END AS v11 FROM b)
+SELECT page, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(round_even(v00 * (1 - fx) * (1 - fy) + v01 * fx * (1 - fy) + v10 * (1 - fx) * fy + v11 * fx * fy, 0) AS INT) AS v FROM q""")
 def i4_rotated(spark, d):
-    return g.per_page(pages(spark, d), lambda x: g.rotated(x, 3.0))
+    return g.levels(g.per_page(pages(spark, d), lambda x: g.rotated(x, 3.0)))
 
 
 @query()
