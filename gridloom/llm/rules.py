@@ -78,7 +78,7 @@ def rules() -> list[Rule]:
     ]
 
 
-def ordered(df: DataFrame, given: list[Rule], sample: int = 512, rounds: int = 3, repeats: int = 64) -> list[Rule]:
+def ordered(df: DataFrame, given: list[Rule], sample: int = 512, rounds: int = 2, repeats: int = 64) -> list[Rule]:
     """The rules by rejected share over cost, both measured on a sample.
 
     The sample is `sample` rows of df, those that Spark gives first; give it a
