@@ -412,6 +412,35 @@ def test_awkward_results(spark, awkward):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_awkward_values(spark, awkward):
+    """What each operator gives for nulls, blanks, ties, repeats and long texts."""
+    docs = [(r.doc_id, r.text, r.source) for r in awkward.collect()]
+    run = lambda name: OPERATORS[name](spark, awkward).collect()
+    sizes = sorted((str(i), len(words(t or ""))) for i, t, _ in docs)
+    got = run("rules")
+    assert sorted((str(r.id), r.n_words) for r in got) == sizes
+    assert {r.id for r in got if r.kept} == {7, 8} and all(r.base_failed == (r.id not in (7, 8)) and r.rejected_by is None for r in got)
+    assert [r.n_repeat_words for r in got if r.id == 10] == [38]
+    got = run("mixing")
+    assert sorted((str(r.id), r.size) for r in got) == sizes and all(0 <= r.taken <= 3 * r.size for r in got)
+    per = collections.defaultdict(int)
+    for r in got:
+        per[r.source] += r.taken
+    target = {r.source: r.target for r in got}
+    assert set(per) == {None, "a", "b"} and all(abs(n - target[s]) <= 8 * 16 for s, n in per.items())
+    hits = {5: 3, 6: 3, 8: 3, 10: 6}
+    assert all((r.n_hit, r["items"]) == ((hits.get(r.row.doc_id, 0), ["1"] if r.row.doc_id in hits else []) if r.row.doc_id else (r.n_hit, r["items"])) for r in run("decontamination"))
+    assert sorted(r.n_hit for r in run("decontamination") if r.row.doc_id is None) == [0, 3]
+    got = run("warc")
+    assert {r.record_type for r in got} == {"response"} and sorted((str(r.id), r.payload_bytes, r.payload_digest) for r in got) == sorted((str(i), len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in docs)
+    got = run("ppm")
+    assert sorted((str(r.id), r.n_tokens - 1) for r in got) == sizes and {r.held_out for r in got if r.id == 5} == {True} and all(r.score <= 0 and math.isfinite(r.base_score) for r in got)
+    assert {r.n_known for r in got if r.id in (1, 2, 3)} == {1} and len({r.score for r in got if r.id in (5, 6)}) == 1
+    got = run("classifier")
+    by = {r.row.doc_id: r.score for r in got}
+    assert all(0 <= r.score <= 1 for r in got) and by[1] == by[2] == by[3] and by[5] == by[6]
+
+
 def test_ppm_in_parts(spark):
     """A trie in many parts gives each text the score of the whole trie, of order 5."""
     df = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 120")
