@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .classifier import fold, quality
+from .common import LOWER, UPPER
 from .decontamination import contamination, items_digest
+from .languages import languages
 from .licenses import license_scan
+from .merkle import leaf_of, manifest
 from .mixing import mixture
 from .ppm import scores
 from .repeats import without_repeats
 from .rules import quality_rules
 from .sharding import shard_rows
 from .simhash import near_duplicates
+from .table_sql import manifest_sql, vectors_sql
+from .vectors import compressed
 from .warc import through_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +73,23 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("row.doc_id", F.coalesce(fold(F.col("row.doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    found = languages(table(spark, folder, "documents"), usable=F.coalesce(fold(F.col("doc_id"), 4) != 2, F.lit(False)))
+    return found.select("row.doc_id", F.coalesce(fold(F.col("row.doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.when(fold(F.col("doc_id"), 5) == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    check = leaf_of([*map(F.col, ("doc_id", "source", "lang", "n_chars")), tampered])
+    whole = manifest(table(spark, folder, "documents"), check=check)
+    return whole.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    codes, _ = compressed(table(spark, folder, "embeddings"))
+    return codes.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
 WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 OP1_SQL = r"""
@@ -140,8 +162,8 @@ FROM p LEFT JOIN f USING (d)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_decontamination, op4_jump_sharding, op5_warc, op6_license_scan, op7_simhash, op8_repeated_passages, op9_ppm, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_decontamination, op4_jump_sharding, op5_warc, op6_license_scan, op7_simhash, op8_repeated_passages, op9_ppm, op10_quality_classifier, op11_language_id, op12_merkle_manifest, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op2_mixing": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_warc": OP5_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_mixing": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_warc": OP5_SQL, "op12_merkle_manifest": manifest_sql(), "op13_vector_codes": vectors_sql()}
