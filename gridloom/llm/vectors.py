@@ -87,7 +87,8 @@ def codebooks(kept: DataFrame, parts: int = PARTS, entries: int = ENTRIES, round
     """
     first = kept.orderBy(F.col("id").asc_nulls_last(), "vector").limit(entries).collect()
     dim = len(first[0].vector) if first else 0
-    books = integers(np.array([r.vector for r in first if len(r.vector) == dim], np.float64).reshape(-1, dim), parts).transpose(1, 0, 2)
+    fit = [r.vector for r in first if len(r.vector) == dim]
+    books = integers(np.array(fit, np.float64).reshape(len(fit), dim), parts).transpose(1, 0, 2).copy()
     width = books.shape[2]
     names = [f"s{i}" for i in range(width)]
     schema = ", ".join(["part int", "entry int", "n long", *(f"{s} long" for s in names)])
