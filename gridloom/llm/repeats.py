@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,12 +40,13 @@ HALF = 15  # strings that start HALF bytes or more before the anchor hold the le
 SEGMENT = 1 << 21
 LETTERS = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ID_MAX = (1 << 63) - 1
-ROWS = "key long, name long, id long, loc long"
-#: loc packs a text's mark (15 bits), a position (36), and two numbers: by how much the first and last string start
-#: before it (6 bits each), or, where the name is null, the length of a span. Its sign is set for an anchor of a hot key, which has that key for its name.
+#: A row is (id, number): the number is 0 where the id is a row's own, else it tells the rows of one id apart.
+ROWS = "key long, name long, id long, loc long, number long"
+#: loc packs a position and two numbers: by how much the first and last string start before it (6 bits
+#: each), or, where the name is null, the length of a span. Its sign is set for an anchor of a hot key, which has that key for its name.
 HOT = -(1 << 63)
-TYPES = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("id", pa.int64()), ("loc", pa.int64())])
-FOUND = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+TYPES = pa.schema([(c, pa.int64()) for c in ("key", "name", "id", "loc", "number")])
+FOUND = pa.schema([(c, pa.int64()) for c in ("id", "number", "key", "lo", "hi")])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -130,7 +132,7 @@ def strings(hasher: Hasher, texts: list[bytes], wanted: list[list[dict]]) -> lis
     return [np.repeat(key, n).view(np.uint64), hasher.ranges(start, start + LENGTH), np.repeat(text, n), np.repeat(lo, n) + inner, zero, zero]
 
 
-def unsettled(found: list[list[np.ndarray]], ids: np.ndarray, marks: np.ndarray, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def unsettled(found: list[list[np.ndarray]], ids: np.ndarray, numbers: np.ndarray, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Rows for Spark of what a chunk has found.
 
     Of equal names in the chunk only those in the smallest id go on; the
@@ -149,7 +151,7 @@ def unsettled(found: list[list[np.ndarray]], ids: np.ndarray, marks: np.ndarray,
     least[order] = own[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     again = own > least
     on = np.flatnonzero(~again)
-    loc = marks[text] << 48 | pos << 12 | o1 << 6 | o2
+    loc = pos << 12 | o1 << 6 | o2
     if hot is not None and len(hot):
         very = on[hot[np.minimum(np.searchsorted(hot, key[on]), len(hot) - 1)] == key[on]]
         name[very] = key[very]
@@ -157,7 +159,7 @@ def unsettled(found: list[list[np.ndarray]], ids: np.ndarray, marks: np.ndarray,
         loc[very] |= np.int64(HOT)
     for i in range(0, len(on), 1 << 16):
         j = on[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(key[j].view(np.int64)), pa.array(name[j].view(np.int64)), pa.array(own[j]), pa.array(loc[j])], schema=TYPES)
+        yield pa.RecordBatch.from_arrays([pa.array(key[j].view(np.int64)), pa.array(name[j].view(np.int64)), pa.array(own[j]), pa.array(loc[j]), pa.array(numbers[text[j]])], schema=TYPES)
     again = np.flatnonzero(again)
     if len(again):
         t, lo, hi = merged(text[again], (pos - o1)[again], (pos - o2)[again] + LENGTH)
@@ -165,7 +167,7 @@ def unsettled(found: list[list[np.ndarray]], ids: np.ndarray, marks: np.ndarray,
         t, hi = np.repeat(t, n), np.repeat(hi, n)
         lo = np.repeat(lo, n) + 4095 * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         key = mix(ids[t].view(np.uint64) ^ lo.astype(np.uint64) * np.uint64(RADIX)).view(np.int64)  # spread over the tasks
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(t), pa.int64()), pa.array(ids[t]), pa.array(marks[t] << 48 | lo << 12 | np.minimum(hi - lo, 4095))], schema=TYPES)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(t), pa.int64()), pa.array(ids[t]), pa.array(lo << 12 | np.minimum(hi - lo, 4095)), pa.array(numbers[t])], schema=TYPES)
 
 
 def merged(of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,14 +178,23 @@ def merged(of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return of[first], lo[first], np.maximum.reduceat(hi, first)
 
 
-def settled(batches: Iterator[pa.RecordBatch], halves: bool, rows: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key and name to spans (key null) and, with `halves`, to what stays open (its key, and where its strings are).
+def settled(batches: Iterator[pa.RecordBatch], halves: bool, rows: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by key, name and id to spans (key null) and, with `halves`, to what stays open (its key, and where its strings are).
 
-    Rows are taken some 2^18 at a time, with `halves` whole keys only, else whole names.
+    Rows are taken some `rows` at a time, with `halves` whole keys only, else whole
+    names. The rows of a key that alone has more stay open, string by string,
+    and of such a name the row with the least id stands for those before.
     """
     held: list[pa.RecordBatch] = []
-    n = 0
+    n, flood = 0, None
     for batch in batches:
+        if flood is not None:
+            end = int(np.searchsorted(batch.column(0).to_numpy(), flood, "right"))
+            yield from opened(batch.slice(0, end))
+            batch = batch.slice(end)
+            if not len(batch):
+                continue
+            flood = None
         held.append(batch)
         n += len(batch)
         if n >= rows:
@@ -194,11 +205,32 @@ def settled(batches: Iterator[pa.RecordBatch], halves: bool, rows: int = 1 << 18
                 last += int(np.searchsorted(whole.column(1).slice(last).fill_null(HOT).to_numpy(), whole.column(1)[-1].as_py() or HOT))
             if last:
                 yield from judged(whole.slice(0, last), halves)
-            held, n = [whole.slice(last)], len(whole) - last
+                held, n = [whole.slice(last)], len(whole) - last
+            elif halves:
+                yield from opened(whole)
+                held, n, flood = [], 0, keys[-1]
+            else:
+                yield from judged(whole, halves)
+                held, n = [whole.slice(0, 1)], 1
     if n:
         yield from judged(pa.Table.from_batches(held, TYPES).combine_chunks().to_batches()[0], halves)
 
 
+def spot(ids: np.ndarray, numbers: np.ndarray, key: pa.Array, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(numbers), key, pa.array(lo), pa.array(hi)], schema=FOUND)
+
+
+def opened(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """All strings of the rows' anchors, under their keys; spans stay spans."""
+    named = batch.column(1).is_valid()
+    ids, loc, numbers = (batch.column(i).filter(named).to_numpy() for i in (2, 3, 4))
+    pos = (loc & ID_MAX) >> 12
+    key = pc.if_else(pa.array(loc < 0), batch.column(1).filter(named), batch.column(0).filter(named))
+    yield spot(ids, numbers, key, pos - (loc >> 6 & 63), pos - (loc & 63) + LENGTH)
+    ids, loc, numbers = (batch.column(i).filter(pc.invert(named)).to_numpy() for i in (2, 3, 4))
+    yield spot(ids, numbers, pa.nulls(len(ids), pa.int64()), loc >> 12, (loc >> 12) + (loc & 4095))
+
+
 def shared(ids: np.ndarray, *parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(smallest, largest id) among the rows that agree with each row in all parts."""
     order = np.lexsort(parts[::-1])
@@ -215,41 +247,30 @@ def shared(ids: np.ndarray, *parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def judged(batch: pa.RecordBatch, halves: bool) -> Iterator[pa.RecordBatch]:
     """Spans and open strings of rows with whole keys."""
-
-    def rows(key, id_, loc, lo, hi):
-        return pa.RecordBatch.from_arrays([pa.array(id_), pa.array(loc >> 48), key, pa.array(lo), pa.array(hi)], schema=FOUND)
-
-    named = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-    key, ids, loc = (batch.column(i).to_numpy() for i in (0, 2, 3))
-    hot = named & (loc < 0)
-    if hot.any():
-        i, l = ids[hot], loc[hot] & ID_MAX
-        pos = l >> 12 & ((1 << 36) - 1)
-        yield rows(batch.column(1).filter(pa.array(hot)), i, l, pos - (l >> 6 & 63), pos - (l & 63) + LENGTH)
-    plain = named & ~hot
-    if not named.all():
-        i, l = ids[~named], loc[~named]
-        lo = l >> 12 & ((1 << 36) - 1)
-        yield rows(pa.nulls(len(i), pa.int64()), i, l, lo, lo + (l & 4095))
-    key, ids, loc, name = key[plain], ids[plain], loc[plain], batch.column(1).filter(pa.array(plain)).to_numpy().view(np.uint64)
+    plain = batch.column(1).is_valid().to_numpy(zero_copy_only=False) & (batch.column(3).to_numpy() >= 0)
+    if not plain.all():
+        yield from opened(batch.filter(pa.array(~plain)))
+    batch = batch.filter(pa.array(plain))
+    key = batch.column(0).to_numpy()
     if not len(key):
         return
     # most keys have one row
     several = np.zeros(len(key), bool)
     several[1:] = key[1:] == key[:-1]
     several[:-1] |= several[1:]
-    key, ids, loc, name = key[several], ids[several], loc[several], name[several]
+    key, name, ids, loc, numbers = (c.to_numpy()[several] for c in batch.columns)
+    name = name.view(np.uint64)
     if not len(key):
         return
     least, _ = shared(ids, key, name)
-    pos = loc >> 12 & ((1 << 36) - 1)
+    pos = loc >> 12
     lo, hi = pos - (loc >> 6 & 63), pos - (loc & 63) + LENGTH
     gone = ids > least
     if gone.any():
-        yield rows(pa.nulls(int(gone.sum()), pa.int64()), ids[gone], loc[gone], lo[gone], hi[gone])
+        yield spot(ids[gone], numbers[gone], pa.nulls(int(gone.sum()), pa.int64()), lo[gone], hi[gone])
     if not halves or gone.all():
         return
-    key, ids, loc, name, pos, lo, hi = (x[~gone] for x in (key, ids, loc, name, pos, lo, hi))
+    key, ids, numbers, name, pos, lo, hi = (x[~gone] for x in (key, ids, numbers, name, pos, lo, hi))
     names = shared(name.view(np.int64), key)
     open_ = []
     for part, a, b in ((name >> np.uint64(52), lo, np.minimum(hi, pos - HALF + LENGTH)), (name >> np.uint64(40) & np.uint64(4095), np.maximum(lo, pos - HALF + 1), hi)):
@@ -257,7 +278,7 @@ def judged(batch: pa.RecordBatch, halves: bool) -> Iterator[pa.RecordBatch]:
         open_.append(((ends[0] < ends[1]) & (names[0] < names[1]) & (b - a >= LENGTH), a, b))
     for on, a, b in open_:
         if on.any():
-            yield rows(pa.array(key[on]), ids[on], loc[on], a[on], b[on])
+            yield spot(ids[on], numbers[on], pa.array(key[on]), a[on], b[on])
 
 
 def hot_keys(docs: DataFrame, share: float = 1 / 16384, sample: int = 20_000, least: int = 8) -> np.ndarray:
@@ -284,20 +305,35 @@ def hot_keys(docs: DataFrame, share: float = 1 / 16384, sample: int = 20_000, le
     return np.sort(key.drop_null().to_numpy().view(np.uint64)[many[key.is_valid().to_numpy()] >= max(least, whole * share)])
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs with a `number`: 0 for an id that one row has, else one of its own for each row, as for rows without an id.
+
+    Only ids are counted, and only the rows that need a number are written with it.
+    """
+    ids = docs.groupBy("own").agg(F.count("*").alias("n")).where("n > 1 or own is null").select(F.col("own").alias("other"))
+    several = written(ids)
+    if several.isEmpty():
+        return docs.withColumn("number", F.lit(0).cast("long"))
+    same = F.col("own").eqNullSafe(F.col("other"))
+    alone = docs.join(several, same, "left_anti").withColumn("number", F.lit(0).cast("long"))
+    return alone.unionByName(written(docs.join(several, same, "left_semi").withColumn("number", F.monotonically_increasing_id() + 1)))
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = 1 << 18) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, removed) for each row of df, whose ids are integers.
 
     A byte is removed if a 50-byte string that covers it also starts in a row
     with a smaller id; strings are judged on the input and lie within one text.
     removed has the maximal removed runs as byte ranges. A null text is empty;
-    texts under 50 bytes keep all; repeated rows have equal ids, so that none
-    makes the other a repeat; a null id counts as larger than any other.
+    texts under 50 bytes keep all; rows of the same id, whatever their texts, don't
+    make each other repeats; a null id counts as larger than any other.
 
     Anchors whose keys are very frequent, such as those in a line that many
-    texts share, are left to the last round, which deals strings by their own hash.
+    texts share, are left to the last round, which deals strings by their own hash;
+    so are those of any key of which a task has more than `held` rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    docs = df.select(F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(ID_MAX)).alias("id"), F.crc32(text).bitwiseAND(F.lit(0x7FFF)).alias("mark"), text.alias("text"))
+    docs = told_apart(df.select(F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(ID_MAX)).alias("id"), text.alias("text")))
 
     hot = hot_keys(docs)
 
@@ -311,12 +347,13 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def ranked(rows: DataFrame, halves: bool) -> DataFrame:
-        rows = rows.repartition(tasks, *(("key",) if halves else ("key", "name"))).sortWithinPartitions("key", *(() if halves else ("name",)))
-        return rows.mapInArrow(lambda it: settled(it, halves), "id long, mark long, key long, lo long, hi long")
+        rows = rows.repartition(tasks, *(("key",) if halves else ("key", "name"))).sortWithinPartitions("key", *(() if halves else ("name", "id")))
+        return rows.mapInArrow(lambda it: settled(it, halves, held), "id long, number long, key long, lo long, hi long")
 
+    row = ["id", "number"]
     spans, open_ = (F.collect_list(F.when(c, F.struct(*f))) for c, f in ((F.col("key").isNull(), ("lo", "hi")), (F.col("key").isNotNull(), ("key", "lo", "hi"))))
-    first = ranked(docs.select("id", "mark", "text").mapInArrow(scan, ROWS), True)
-    found = written(first.groupBy("id", "mark").agg(spans.alias("spans"), open_.alias("open")))
+    first = ranked(docs.select(*row, "text").mapInArrow(scan, ROWS), True)
+    found = written(first.groupBy(*row).agg(spans.alias("spans"), open_.alias("open")))
 
     def rescan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -325,10 +362,10 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 own = batch.slice(first, len(texts))
                 yield from unsettled([strings(hasher, texts, own.column(3).to_pylist())], own.column(0).to_numpy(), own.column(1).to_numpy())
 
-    edges = found.where(F.size("open") > 0).select("id", "mark", "open")
-    again = ranked(docs.join(edges, ["id", "mark"]).select("id", "mark", "text", "open").mapInArrow(rescan, ROWS), False)
-    spans = found.where(F.size("spans") > 0).select("id", "mark", "spans").unionByName(again.select("id", "mark", F.array(F.struct("lo", "hi")).alias("spans")))
-    spans = written(spans.groupBy("id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    edges = found.where(F.size("open") > 0).select(*row, "open")
+    again = ranked(docs.join(edges, row).select(*row, "text", "open").mapInArrow(rescan, ROWS), False)
+    spans = found.where(F.size("spans") > 0).select(*row, "spans").unionByName(again.select(*row, F.array(F.struct("lo", "hi")).alias("spans")))
+    spans = written(spans.groupBy(*row).agg(F.flatten(F.collect_list("spans")).alias("spans")))
     out = "own long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo: long, hi: long>>"
     types = to_arrow_schema(T._parse_datatype_string(out))
 
@@ -339,7 +376,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows = [removed(x, s) for x, s in zip(texts, own.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), list(types)[1:], strict=True))], schema=types)
 
-    placed = docs.join(spans, ["id", "mark"], "left").select("own", "text", "spans")
+    placed = docs.join(spans, row, "left").select("own", "text", "spans")
     return placed.mapInArrow(cut, out).withColumnRenamed("own", "id")
 
 
