@@ -20,8 +20,9 @@ MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 AHEAD = 1 << 18
+VERSION = b"WARC/1."
 MANIFEST = pa.schema([("path", pa.string()), ("size", pa.int64()), ("records", pa.int64())])
-RECORD = pa.schema([("id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_id", pa.string()), ("agrees", pa.bool_()), ("payload", pa.binary())])
+RECORD = pa.schema([("id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_id", pa.string()), ("error", pa.string()), ("agrees", pa.bool_()), ("payload", pa.binary())])
 
 
 def with_types(df: DataFrame, id_col: str, url_col: str, payload_col: str, least: int = 100) -> DataFrame:
@@ -90,36 +91,80 @@ class Window:
     """Bytes of a file from a moving position on, read as needed."""
 
     def __init__(self, file, at: int) -> None:
-        self.file, self.at, self.held = file, at, b""
+        self.file, self.at, self.held = file, at, bytearray()
         file.seek(at)
 
-    def want(self, n: int) -> bytes:
+    def want(self, n: int) -> bytearray:
         while len(self.held) < n and (more := self.file.read(max(AHEAD, n - len(self.held)))):
             self.held += more
         return self.held
 
     def skip(self, n: int) -> None:
-        self.at, self.held = self.at + n, self.held[n:]
+        self.at += n
+        del self.held[:n]
 
 
-def member(window: Window) -> tuple[bytes, int] | None:
-    """(contents, compressed size) of the gzip member at the window's start, if it is one and holds a WARC record."""
-    gunzip, out, used, head = zlib.decompressobj(31), [], 0, b""
-    try:
-        while not gunzip.eof:
-            held = window.want(used + 1)
-            if len(held) <= used:
+def header_size(window: Window) -> int | None:
+    """Length of the gzip header at the window's start; None if it isn't a whole one."""
+    flags, at = (window.want(AHEAD)[3:4] or b"\xff")[0], 10
+    if flags & 0xE0:
+        return None
+    held = window.held
+    if flags & 4:
+        at += 2 + int.from_bytes(held[at : at + 2], "little")
+    for bit in (8, 16):
+        if flags & bit:
+            end = held.find(0, at)
+            if end < 0:
                 return None
-            part = held[used : used + AHEAD]
-            out.append(gunzip.decompress(part))
-            used += len(part) - len(gunzip.unused_data)
-            if len(head) < 7:
-                head = b"".join(out)[:7]
-                if len(head) == 7 and head != b"WARC/1.":
-                    return None
+            at = end + 1
+    return at + (2 if flags & 2 else 0)
+
+
+def salvaged(inflate, part: bytes, step: int = 64) -> bytes:
+    """What can be decompressed of a part that is damaged somewhere."""
+    out = []
+    try:
+        for i in range(0, len(part), step):
+            out.append(inflate.decompress(part[i : i + step]))
     except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def member(window: Window) -> tuple[bytes, int, str | None] | None:
+    """(contents, compressed size, what is wrong with it) of the gzip member at the window's start, if it is one and holds a WARC record.
+
+    The size of a member that ends too early or is damaged within is 1, from where to look for the next.
+    """
+    used = header_size(window)
+    if used is None:
+        return None
+    inflate, out, head, error = zlib.decompressobj(-15), [], b"", None
+    while not inflate.eof and error is None:
+        held = window.want(used + 1)
+        part, before = bytes(held[used : used + AHEAD]), inflate.copy()
+        try:
+            out.append(inflate.decompress(part))
+        except zlib.error:
+            out.append(salvaged(before, part))
+            error = "its compressed data are damaged"
+        used += len(part) - len(inflate.unused_data)
+        if not part:
+            error = "the archive ends within it"
+        if len(head) < len(VERSION):
+            head = b"".join(out)[: len(VERSION)]
+            if len(head) == len(VERSION) and head != VERSION:
+                return None
+    if head != VERSION:
         return None
-    return (b"".join(out), used) if head == b"WARC/1." else None
+    data = b"".join(out)
+    if error:
+        return data, 1, error
+    end = bytes(window.want(used + 8)[used : used + 8])
+    if len(end) < 8:
+        return data, 1, "the archive ends within it"
+    return data, used + 8, None if zlib.crc32(data) == int.from_bytes(end[:4], "little") else "its checksum differs"
 
 
 def records(file, start: int, end: int) -> Iterator[tuple]:
@@ -141,7 +186,20 @@ def records(file, start: int, end: int) -> Iterator[tuple]:
             window.skip(1)
             continue
         window.skip(found[1])
-        yield parsed(found[0])
+        yield from contained(found[0], found[2])
+
+
+def contained(data: bytes, error: str | None = None) -> Iterator[tuple]:
+    """The rows of all records of a member; what is wrong with the member is said of the last one, or of all if they seem whole."""
+    rows, at = [], 0
+    while data.startswith(VERSION, at):
+        row, at = parsed(data, at)
+        rows.append(row)
+    if at < len(data):
+        rows.append((*[None] * 7, f"{len(data) - at} bytes after a record are none", None, None))
+    for i, row in enumerate(rows):
+        said = error if i == len(rows) - 1 or error and "checksum" in error else None
+        yield (*row[:7], said or row[7], *row[8:])
 
 
 def payload_of(kind: str, fields: dict[str, str], block: bytes) -> bytes | None:
@@ -163,41 +221,59 @@ def agrees(payload: bytes, digest: str) -> bool | None:
     return value.lower() == found.hexdigest() or value.upper().rstrip("=") == base64.b32encode(found.digest()).decode().rstrip("=")
 
 
-def parsed(data: bytes) -> tuple:
-    """The columns of RECORD of any record type.
+def parsed(data: bytes, start: int = 0) -> tuple[tuple, int]:
+    """The columns of RECORD of any record type, and where the next record may begin.
 
     A payload's length and SHA-256 come from itself. A payload that this module
     wrote must agree with its header; others say in `agrees` whether they do,
     since writers differ in what they digest. A revisit has the digest that its
-    header gives, without the label if it is sha256.
+    header gives, without the label if it is sha256. error says what is wrong:
+    no end of the header, no length or none that is a number, fewer bytes than
+    that. Such a record has no payload, and nothing is measured.
     """
-    head, _, rest = data.partition(b"\r\n\r\n")
+    end = data.find(b"\r\n\r\n", start)
+    head, at = (data[start:end], end + 4) if end >= 0 else (data[start:], len(data))
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    name, kind, size = fields.get("warc-record-id", ""), fields.get("warc-type", ""), int(fields.get("content-length", len(rest)))
-    block = rest[:size]
-    if len(block) < size:
-        raise ValueError(f"record {name} is cut short")
-    digest = fields.get("warc-payload-digest")
+    name, kind, stated = fields.get("warc-record-id", ""), fields.get("warc-type", ""), fields.get("content-length", "")
+    size = int(stated) if re.fullmatch("[0-9]{1,18}", stated) else None
+    error = None
+    if end < 0:
+        error = "its header has no end"
+    elif size is None:
+        error = f"its length is given as {stated[:40]!r}"
+    elif at + size > len(data):
+        error = f"it has {len(data) - at} of {size} bytes"
+    page, refers = re.fullmatch(r"<urn:page:(.*)>", name), re.fullmatch(r"<(?:urn:page:)?(.*)>", fields.get("warc-refers-to", ""))
+    known = (page and page[1], fields.get("warc-target-uri"), kind or None, refers and refers[1])
+    if error:
+        return (*known, None, None, name.strip("<>") or None, error, None, None), len(data)
+    block, digest = data[at : at + size], fields.get("warc-payload-digest")
     payload = payload_of(kind, fields, block)
     same = agrees(payload, digest) if payload is not None and digest else None
-    page = re.fullmatch(r"<urn:page:(.*)>", name)
-    if same is False and (page or digest.startswith("sha256:")):
+    if same is False and page:
         raise ValueError(f"record {name} has another payload than its digest says")
-    refers = re.fullmatch(r"<(?:urn:page:)?(.*)>", fields.get("warc-refers-to", ""))
-    length = len(payload) if payload is not None else int(fields["x-payload-length"]) if "x-payload-length" in fields else None
+    stated = fields.get("x-payload-length", "")
+    length = len(payload) if payload is not None else int(stated) if re.fullmatch("[0-9]{1,18}", stated) else None
     own = hashlib.sha256(payload).hexdigest() if payload is not None else digest and digest.removeprefix("sha256:")
-    return page and page[1], fields.get("warc-target-uri"), kind, refers and refers[1], length, own, name.strip("<>") or None, same, payload
+    at += size
+    while data[at : at + 1] in (b"\r", b"\n"):
+        at += 1
+    return (*known, length, own, name.strip("<>") or None, None, same, payload), at
 
 
 def read_warc(archives: DataFrame, split: int = 1 << 25, payload: bool = True) -> DataFrame:
-    """(id, url, record_type, refers_to, payload_bytes, payload_digest, record_id, agrees, payload) for each record of (path, size), of whatever type.
+    """(id, url, record_type, refers_to, payload_bytes, payload_digest, record_id, error, agrees, payload) for each record of (path, size), of whatever type.
 
     A file is cut into ranges of `split` bytes, dealt to tasks. A range's task
     looks for gzip magic, takes what decodes to a WARC header for a record, and
     owns the records that start inside. Ids are strings, null where the record
     is no page of write_warc(); record_id has every record's name. See parsed()
     for digests; a revisit's payload is null. Files of any size and
-    archives without records are fine.
+    archives without records are fine. A member that ends too early, is damaged
+    or has a wrong checksum, a record with a bad header or fewer bytes than it
+    says, and bytes that are no record give rows whose `error` says so. All
+    records of a member are read. A member whose first bytes are damaged can't
+    be told from noise; a manifest's count shows that one is missing.
     """
     step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long")))
     ranges = archives.where("size > 0").select("path", "size", step.alias("start"))
@@ -218,7 +294,7 @@ def read_warc(archives: DataFrame, split: int = 1 << 25, payload: bool = True) -
                 if rows:
                     yield block(rows)
 
-    schema = "id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, record_id string, agrees boolean, payload binary"
+    schema = "id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, record_id string, error string, agrees boolean, payload binary"
     return ranges.repartition(tasks, "path", "start").select("path", "size", "start").mapInArrow(run, schema)
 
 
@@ -233,7 +309,14 @@ def through_warc(df: DataFrame, id_col: str = "page_id", url_col: str = "url", p
     smallest id is a response, and rows with that same id too; the others
     revisit it. Null payloads count as empty, and short ones are all responses.
     Null ids revisit, but are referred to by none; where there are only null
-    ids, all are responses. A null url is left out.
+    ids, all are responses. A null url is left out. What was read is a written
+    table; if it isn't as many records as were written, or any has an error,
+    that is an error here.
     """
     archives = write_warc(with_types(df, id_col, url_col, payload_col, least), shared_folder(df.sparkSession), roll=roll)
-    return read_warc(archives, split, payload)
+    rows = written(read_warc(archives, split, payload))
+    wrote = archives.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    read, wrong, said = rows.agg(F.count("*"), F.count("error"), F.min("error")).first()
+    if (read, wrong) != (wrote, 0):
+        raise ValueError(f"{wrote} records were written and {read} read, {wrong} of them with errors ({said})")
+    return rows
