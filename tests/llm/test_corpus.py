@@ -536,3 +536,100 @@ def test_costly_rules_come_late(spark):
     given = [rules.Rule("slow", slow | (F.col("n") < 3)), rules.Rule("few", F.col("n") < 1), rules.Rule("more", F.col("n") < 3)]
     orders = [[r.name for r in rules.ordered(df, given)] for _ in range(2)]
     assert orders[0] == orders[1] == ["more", "few", "slow"] or orders[0] == orders[1] == ["more", "slow", "few"]
+
+
+def removals(df, **how):
+    return sorted((str(r.id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(df, **how).collect())
+
+
+def test_repeats_by_row(spark):
+    """Rows of one id, or of none, are cut each by its own text, however many there are."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passages = [text(120) for _ in range(6)]
+    rows = [(1, "".join(passages)), (2, passages[0]), (2, text(500)), (2, text(40) + passages[1] + text(9))]
+    rows += [(None, text(rng.randrange(80)) + rng.choice(passages) + text(rng.randrange(80))) for _ in range(3000)]
+    rows += [(7 + i % 5, text(rng.randrange(150)) + rng.choice(passages)[rng.randrange(60) :] + text(30)) for i in range(400)]
+    rows += [(1000 + i, text(100) + rng.choice(passages)) for i in range(200)] + [rows[5], rows[5], rows[-1]]
+    want = brute_removed([(i, t.encode()) for i, t in rows])
+    assert removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == want
+
+
+def test_rows_of_one_id_are_told_apart_without_hashes(spark):
+    """What tells rows of one id apart is their own number, so no two of them can clash."""
+    docs = spark.createDataFrame([(None, "a"), (None, "a"), (3, "b"), (3, "b"), (3, "c"), (4, "d")], "own long, text string").repartition(3)
+    got = repeats.told_apart(docs).collect()
+    assert [r.number for r in got if r.own == 4] == [0]
+    for own in (None, 3):
+        numbers = [r.number for r in got if r.own == own]
+        assert 0 not in numbers and len(set(numbers)) == len(numbers) == (2 if own is None else 3)
+
+
+def test_repeats_with_keys_of_many_rows(spark):
+    """A task that may hold a few rows only gives what one that holds all does."""
+    rng = random.Random(9)
+    line = "this is the one line that stands in very many of the texts, word for word, here"
+    rows = [(i, " ".join(str(rng.randrange(50)) for _ in range(rng.randrange(40))) + line[: rng.choice([45, 60, 80])] + str(rng.random())) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_removed([(i, t.encode()) for i, t in rows])
+    for held in (3, 20, 1 << 18):
+        assert removals(df, held=held) == want
+
+
+def warc_member(*records: bytes) -> bytes:
+    import gzip
+
+    return gzip.compress(b"".join(records))
+
+
+def plain_record(name: str, block: bytes, length: str | None = None, version: str = "WARC/1.0") -> bytes:
+    return f"{version}\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nContent-Length: {len(block) if length is None else length}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_damaged_archives():
+    """Whatever is wrong with a member is said, and the others are read; members of several records give all of them."""
+    rng = random.Random(2)
+    noise = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    one, two, three = (warc_member(plain_record(n, noise(400))) for n in "abc")
+    read = lambda data: [(r[6], r[7]) for r in warc.records(io.BytesIO(data), 0, len(data))]
+    whole = [("urn:uuid:a", None), ("urn:uuid:b", None), ("urn:uuid:c", None)]
+    assert read(one + two + three) == whole
+    for cut in (5, 8, 100, len(three) - 150):
+        assert read(one + two + three[:-cut]) == [*whole[:2], ("urn:uuid:c", "the archive ends within it" if cut <= 8 else read(three[:-cut])[0][1])]
+    assert read(three[:-100])[0][1] is not None
+    wrong = two[:-8] + bytes([two[-8] ^ 1]) + two[-7:]
+    assert read(one + wrong + three) == [whole[0], ("urn:uuid:b", "its checksum differs"), whole[2]]
+    many = warc_member(*(plain_record(n, n.encode() * 50) for n in "xyz"))
+    assert [r for r, _ in read(one + many + three)] == ["urn:uuid:a", "urn:uuid:x", "urn:uuid:y", "urn:uuid:z", "urn:uuid:c"]
+    bad = warc_member(plain_record("x", b"ok"), plain_record("y", b"some", length="four"))
+    assert read(bad + one) == [("urn:uuid:x", None), ("urn:uuid:y", "its length is given as 'four'"), whole[0]]
+    assert read(warc_member(plain_record("x", b"abc", length="-3")))[0][1] == "its length is given as '-3'"
+    assert read(warc_member(plain_record("x", b"abc", length="99")))[0] == ("urn:uuid:x", "it has 7 of 99 bytes")
+    assert read(warc_member(plain_record("x", b"abc"), b"rubbish")) == [("urn:uuid:x", None), (None, "7 bytes after a record are none")]
+    assert read(warc_member(b"WARC/1.0\r\nWARC-Record-ID: <q>"))[0] == ("q", "its header has no end")
+    broken = bytearray(zlib.compress(b"")) and bytearray(one)
+    broken[len(one) // 2 : len(one) // 2 + 40] = b"\xff" * 40
+    got = read(bytes(broken) + two)
+    assert got[-1] == whole[1] and len(got) == 2 and got[0][1] is not None
+    other = plain_record("x", b"abc").replace(b"Content-Length", b"WARC-Payload-Digest: sha256:00\r\nContent-Length")
+    row = next(warc.records(io.BytesIO(warc_member(other)), 0, 1))
+    assert row[7] is None and row[-2] is False and row[-1] == b"abc"
+
+
+def test_lost_records_are_noticed(spark, tmp_path, monkeypatch):
+    """What is read is held against what was written."""
+    df = spark.createDataFrame([(i, "u", f"page {i}" * 40) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    assert warc.through_warc(df).count() == 20
+    write = warc.write_warc
+
+    def cut(typed, folder, **how):
+        archives = write(typed, folder, **how)
+        for r in archives.collect():
+            path = r.path.removeprefix("file://").removeprefix("file:")
+            with open(path, "rb+") as file:
+                file.truncate(r.size - 9)
+        return archives
+
+    monkeypatch.setattr(warc, "write_warc", cut)
+    with pytest.raises(ValueError, match="20 records were written"):
+        warc.through_warc(df)
