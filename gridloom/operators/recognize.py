@@ -14,12 +14,14 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from gridloom.functions.deploy import stored
 from gridloom.operators import image
-from gridloom.operators.rules import PERMANENT, TRANSIENT, answer_error, cache_key, chat_content, needs_verifier, normalized_text, parsed_answer, prompt, uncached, validation_error, verified
+from gridloom.operators.rules import PERMANENT, TRANSIENT, answer_error, cache_key, chat_content, is_passing, needs_verifier, normalized_text, parsed_answer, prompt, uncached, validation_error, verified
 
 
 @dataclass(frozen=True)
@@ -112,13 +114,13 @@ def crops(pages: DataFrame, cells: DataFrame, padding: int = 0) -> DataFrame:
     return both.select("page", "height", "width", "data", "cells").mapInArrow(run, f"page {kind}, row int, col int, height int, width int, data binary")
 
 
-def cell_key(settings: str) -> Column:
-    """Cache key of a crop: its shape, bytes and the settings it is read with."""
-    return cache_key(F.col("height"), F.col("width"), F.hex("data"), F.lit(settings))
+def cell_key(settings: str, version: int = 1) -> Column:
+    """Cache key of a crop: the cache's version, the crop's shape and bytes, and the settings it is read with."""
+    return cache_key(F.lit(version), F.col("height"), F.col("width"), F.hex("data"), F.lit(settings))
 
 
-def read_cells(cells: DataFrame, make: Callable[[], Engine], prepare: bool = True) -> DataFrame:
-    """(page, row, col, text, confidence, raw_text, validation_error) of crops; an error becomes the cell's validation_error."""
+def read_cells(cells: DataFrame, make: Callable[[], Engine], prepare: bool = True, done: Accumulator | None = None) -> DataFrame:
+    """(page, row, col, text, confidence, raw_text, validation_error) of crops; an error becomes the cell's validation_error, and `done` counts them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = make()
@@ -131,6 +133,8 @@ def read_cells(cells: DataFrame, make: Callable[[], Engine], prepare: bool = Tru
                 except Exception as error:
                     r = Reading("", None, None, str(error) or type(error).__name__)
                 rows.append((page, row, col, r.text, r.confidence, r.raw_text, r.validation_error))
+                if done is not None:
+                    done.add(1)
             if rows:
                 types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], ["page", "row", "col", "text", "confidence", "raw_text", "validation_error"])
@@ -260,19 +264,26 @@ def second_look(read: DataFrame, make: Callable[[], Engine], prepare: bool) -> D
     return read.mapInArrow(run, schema)
 
 
-def read_cached(cells: DataFrame, cache: DataFrame, settings: str, read: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(readings of all crops, rows to add to the cache): only one crop of each key that the cache lacks is read.
+def read_once(cells: DataFrame, cache: DataFrame, settings: str, read: Callable[[DataFrame], DataFrame], version: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(cells with their cache_key, readings (cache_key, READING) of one crop of each key that the cache lacks)."""
+    keyed = cells.withColumn("cache_key", cell_key(settings, version))
+    fresh = uncached(keyed.withColumn("request_id", F.struct("page", "row", "col")), cache).drop("request_id")
+    return keyed, read(fresh).join(fresh.select("page", "row", "col", "cache_key"), ["page", "row", "col"]).select("cache_key", *READING)
+
+
+def read_cached(cells: DataFrame, cache: DataFrame, settings: str, read: Callable[[DataFrame], DataFrame], version: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(readings of all crops, rows to add to the cache): only one crop of each key that the cache lacks is read, and once.
 
     cache has cache_key and the columns of READING; settings says all that a
-    reading depends on beside the pixels. Write the added rows before the
-    readings are used twice, or they are read again.
+    reading depends on beside the pixels, and rows of other versions have other
+    keys. Failures that may pass are readings, but not for the cache: those
+    cells are read again next time.
     """
-    keyed = cells.withColumn("cache_key", cell_key(settings))
-    order = F.struct("page", "row", "col")
-    fresh = uncached(keyed.withColumn("request_id", order), cache).drop("request_id")
-    added = read(fresh).join(fresh.select("page", "row", "col", "cache_key"), ["page", "row", "col"]).select("cache_key", *READING)
-    known = cache.select("cache_key", *READING).dropDuplicates(["cache_key"]).unionByName(added)
-    return keyed.select("page", "row", "col", "cache_key").join(known, "cache_key").select("page", "row", "col", *READING), added
+    keyed, found = read_once(cells, cache, settings, read, version)
+    found = stored(found)
+    known = cache.select("cache_key", *READING).dropDuplicates(["cache_key"]).unionByName(found)
+    readings = keyed.select("page", "row", "col", "cache_key").join(known, "cache_key").select("page", "row", "col", *READING)
+    return readings, found.where(~is_passing(F.col("text"), F.col("validation_error")))
 
 
 @dataclass(frozen=True)

@@ -13,6 +13,9 @@ TEMPERATURE = r"\d{1,3}(\.\d{1,2})?"
 PERMANENT = ("not configured", "authorization", "unauthorized", "forbidden", "http error 401", "http error 403")
 TRANSIENT = ("request failed", "timed out", "timeout", "temporary", "connection", "rate limit", "http error 429", "http error 500", "http error 502", "http error 503", "http error 504")
 
+#: Parts of the messages of failures that a later attempt, or other settings, may mend, fixed values.
+PASSING = ("request failed", "timed out", "timeout", "temporary", "connection", "rate limit", "not configured", "authorization", "forbidden")
+
 
 def column_rules(columns: DataFrame) -> DataFrame:
     """(index, key, name, value_type, pattern, range_min, range_max, whitelist) from template columns; only temperatures are validated."""
@@ -138,6 +141,12 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.concat(F.octet_length(t).cast("string"), F.lit(":"), t) for t in texts]).cast("binary"), 256)
 
 
+def is_passing(text: Column, error: Column) -> Column:
+    """Whether a reading is a failure that may pass: no text, and an error with one of the marks."""
+    low = F.lower(F.coalesce(error, F.lit("")))
+    return (strip(F.coalesce(text, F.lit(""))) == "") & F.exists(F.array(*map(F.lit, PASSING)), lambda m: low.contains(m))
+
+
 def uncached(requests: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:
     """Requests whose key the cache lacks, each key once (its smallest request_id)."""
     one = W.partitionBy(key).orderBy("request_id")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import jobs as j
+from gridloom.streaming import inbox, store
 
-from .registry import query, table
+from .registry import query, scratch, table
 
 STATUS = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'failed' ELSE 'completed_with_warnings' END ELSE CASE WHEN o_orderkey % 4 = 0 THEN 'running' WHEN o_orderkey % 4 = 1 THEN 'queued' ELSE 'cancelled' END END"
 NOW = "TIMESTAMP '1999-01-01 00:00:00'"
@@ -171,3 +172,50 @@ def j26_upload_errors(spark, d):
     request = F.when(k % 1000 < 150, F.floor(k / 1000) * 1000).otherwise(F.floor(k / 90) * 10 + 1)
     files = table(spark, d, "customer").select(request.alias("request"), F.concat(F.lit("f"), k.cast("string"), F.when(k % 3 == 0, ".PDF").when(k % 3 == 1, ".png").otherwise(".exe")).alias("name"), (k % 90 * 1000000).alias("length"), F.when(k % 2 == 1, "x%PDF-1.4").otherwise("").cast("binary").alias("head"))
     return j.upload_errors(files, "request")
+
+
+def written_jobs(spark, d):
+    """jobs() as rows of a written store: customers are their batches, and some running jobs' leases are over."""
+    o = jobs(spark, d)
+    running = F.col("status") == "running"
+    return o.select("id", F.col("document_id").alias("batch_id"), "status", "attempt", F.lit(0).cast("long").alias("done"), F.lit(0).cast("long").alias("total"), F.col("created_at").cast("timestamp").alias("created_at"), "seq", "started_at", F.lit(None).cast("timestamp").alias("finished_at"), F.when(running, F.col("lease_owner")).alias("lease_owner"), F.when(running, F.col("lease_until")).alias("lease_until"))
+
+
+RECOVERED = f"SELECT o_orderkey AS id, o_custkey AS batch_id, o_orderdate, CASE WHEN {STATUS} = 'running' AND (o_orderkey % 3 = 0 OR o_orderdate <= TIMESTAMP '1997-01-01') THEN 'queued' ELSE {STATUS} END AS s FROM orders"
+
+
+@query(f"""WITH j AS ({RECOVERED}), q AS (SELECT id, row_number() OVER (ORDER BY o_orderdate, id) AS i FROM j WHERE s = 'queued'), c AS (SELECT user_id, row_number() OVER (ORDER BY event_id) AS i FROM events WHERE event_type = 'purchase'), t AS (SELECT q.id, 'u' || user_id AS owner FROM q JOIN c USING (i)),
+a AS (SELECT j.id, j.batch_id, CASE WHEN t.id IS NOT NULL THEN 'running' ELSE s END AS status, CAST(j.id % 2 + CASE WHEN t.id IS NULL THEN 0 ELSE 1 END AS INT) AS attempt, CASE WHEN t.id IS NOT NULL THEN owner WHEN s = 'running' THEN 'w' || j.id % 5 END AS lease_owner FROM j LEFT JOIN t ON j.id = t.id)
+SELECT id, status, attempt, lease_owner FROM a""")
+def j10_written_claims(spark, d):
+    """A recovery and a claim for each purchase, in their order, by a stream of several batches."""
+    base = scratch(spark)
+    claims = table(spark, d, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("number"), F.lit("claim").alias("kind"), F.lit("1999-01-01").cast("timestamp").alias("at"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("worker"), F.lit(300).cast("long").alias("seconds"))
+    first = spark.createDataFrame([(-1, "recover")], "number long, kind string").withColumn("at", F.lit("1997-01-01").cast("timestamp"))
+    requests = claims.unionByName(first, allowMissingColumns=True)
+    empty = spark.createDataFrame([], store.REQUEST)
+    for i, (low, high) in enumerate(thirds(requests)):
+        part = empty.unionByName(requests.where(F.col("number").between(low, high)), allowMissingColumns=True)
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    store.seeded(written_jobs(spark, d), f"{base}/store")
+    inbox.start(inbox.arrivals(spark, f"{base}/in", empty.schema, 1), store.serving(f"{base}/store"), f"{base}/checkpoint").awaitTermination()
+    return store.current(spark, f"{base}/store")[0].select("id", "status", "attempt", "lease_owner")
+
+
+def thirds(requests):
+    """Ranges of numbers that cut requests into three runs."""
+    low, high = requests.agg(F.min("number"), F.max("number")).first()
+    cuts = [low - 1, low + (high - low) // 3, low + (high - low) * 2 // 3, high]
+    return [(a + 1, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+@query(f"SELECT o_custkey AS batch_id, count(*) AS jobs, {ROLLUP.split('count(*) AS jobs,')[1].split(' AS status')[0]} AS status FROM (SELECT *, {STATUS} AS s FROM orders) WHERE NOT (o_orderkey % 7 < 3 AND s <> 'running') GROUP BY 1")
+def j17_parents(spark, d):
+    """Batches after deletions, of which only the touched ones were rolled up again."""
+    before = written_jobs(spark, d)
+    batches = store.rolled(before, F.max("finished_at"))
+    after = j.deleted(before, before.where("id % 7 < 3"))
+    touched = before.join(after.select("id"), "id", "left_anti").select("batch_id").distinct()
+    own = store.resynced(batches.drop("gone"), after, touched, F.lit("1999-01-01").cast("timestamp"))
+    rest = batches.join(touched, "batch_id", "left_anti")
+    return rest.unionByName(own).where("not gone").select("batch_id", "jobs", "status")

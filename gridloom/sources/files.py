@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,9 +74,8 @@ def documents(spark: SparkSession, folder: str, pdf_pages=None) -> DataFrame:
 
 def template_ids(spark: SparkSession, folder: str) -> DataFrame:
     """(id): names of a folder's template files without .json, in order; none for a folder that doesn't exist."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(folder)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    store, name = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(name).type == fs.FileType.NotFound:
         return spark.createDataFrame([], "id string")
     return listing(spark, folder, (".json",)).select(F.regexp_replace("name", r"(?i)\.json\z", "").alias("id")).orderBy("id")
 
@@ -164,8 +164,6 @@ def write_csv(df: DataFrame, folder: str) -> None:
 
 def write_cell_images(crops: DataFrame, folder: str) -> DataFrame:
     """(name, path) of the PNG files written for crops (name, height, width, data), below a folder that all executors share."""
-    from pyarrow import fs
-
     from gridloom.operators.image import png
 
     def run(batches):

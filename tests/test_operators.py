@@ -340,7 +340,7 @@ def test_drained_stream_stops(spark, tmp_path):
     stream = inbox.arrivals(spark, source, "job_id long", 1)
     query = inbox.start(stream, lambda batch, n: seen.extend(r.job_id for r in inbox.without_cancelled(batch, cancelled).collect()), f"file://{tmp_path}/check", "100 milliseconds")
     (tmp_path / "drain").write_text("")
-    inbox.run_until_drained(query, spark, f"file://{tmp_path}/drain", f"file://{status}", 0.1)
+    inbox.run_until_drained(query, f"file://{tmp_path}/drain", f"file://{status}", 0.1)
     assert sorted(seen) == [0, 1, 3, 5] and not query.isActive
     assert json.loads(status.read_text())["state"] == "stopped"
 
