@@ -202,3 +202,36 @@ def split_of(source: Column, shares: tuple[int, int, int] = (70, 15, 15)) -> Col
     """train, validation or test; all rows of one source fall together."""
     at = F.pmod(F.crc32(source.cast("binary")), F.lit(100))
     return F.when(at < shares[0], "train").when(at < shares[0] + shares[1], "validation").otherwise("test")
+
+
+def paired(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells (keys, value_type, text, truth) that two runs have both read: the keys, right_before, right_after."""
+    one, two = (with_matches(df).select(*keys, F.col("normalized_match").alias(name)) for df, name in ((before, "right_before"), (after, "right_after")))
+    return one.join(two, keys)
+
+
+def run_comparison(pairs: DataFrame, *by: str) -> DataFrame:
+    """(by, cells, both_right, won, lost, both_wrong, change, statistic): what a second run won and lost, in one aggregate.
+
+    change is the difference in accuracy, statistic McNemar's with the
+    continuity correction, null where no cell changed sides. Cells that either run couldn't score don't count.
+    """
+    a, b = F.col("right_before"), F.col("right_after")
+    won, lost = F.count_if(~a & b), F.count_if(a & ~b)
+    cells = F.count_if(a.isNotNull() & b.isNotNull())
+    moved = won + lost
+    statistic = F.try_divide(F.pow(F.greatest(F.abs(won - lost) - 1, F.lit(0)), F.lit(2.0)), moved.cast("double"))
+    return pairs.groupBy(*by).agg(cells.alias("cells"), F.count_if(a & b).alias("both_right"), won.alias("won"), lost.alias("lost"), F.count_if(~a & ~b).alias("both_wrong"), ratio(won - lost, cells).alias("change"), statistic.alias("statistic"))
+
+
+def hardest_cells(cells: DataFrame, by: str, order: list[str], most: int = 20) -> DataFrame:
+    """The `most` cells of each group with the highest character error rate, ties by `order`; rank counts from 1. Tasks keep that many of a group before the shuffle."""
+    rated = cells.withColumn("cer", character_error_rate(F.col("text"), F.col("truth"))).where("cer > 0")
+    ranked = rated.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.col("cer").desc(), *order)))
+    return ranked.where(F.col("rank") <= most)
+
+
+def split_sizes(rows: DataFrame, source: str) -> DataFrame:
+    """(split, sources, rows) of a table that is split by source; a row without a source goes by the empty name."""
+    own = rows.groupBy(F.coalesce(source, F.lit("")).alias("source")).agg(F.count("*").alias("n"))
+    return own.groupBy(split_of(F.col("source")).alias("split")).agg(F.count("*").alias("sources"), F.sum("n").alias("rows"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import axis, images, jobs, rules, scoring, sources, streams, tables, text  # noqa: F401  they register their queries
+from . import axis, images, jobs, rules, scoring, sources, streams, strokes, tables, text  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 

@@ -33,3 +33,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder's path below the one that driver and executors share."""
     return f"{shared_root(spark)}/gridloom/{uuid.uuid4().hex}"
+
+
+def crc32_sql(text: str) -> str:
+    """SQL of an ASCII text's unsigned crc32, bit by bit."""
+    step = "list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, b: {step}, 4294967295), 4294967295)"

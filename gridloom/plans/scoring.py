@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.text import normalized_value
 from gridloom.operators import scoring as s
 
-from .registry import query, table
+from .registry import crc32_sql, query, table
 
 #: Line items as cells: four columns of an order's rows, some misread on purpose.
 CELLS_SQL = r"""
@@ -203,3 +203,27 @@ def s20_review_count(spark, d):
 @query("SELECT p_partkey, CAST(levenshtein(p_name, p_name || ' ' || p_type) AS DOUBLE) / length(p_name || ' ' || p_type) AS cer FROM part")
 def s22_character_error_rate(spark, d):
     return table(spark, d, "part").select("p_partkey", s.character_error_rate(F.col("p_name"), F.concat_ws(" ", "p_name", "p_type")).alias("cer"))
+
+
+@query(f"""WITH {CELLS_SQL}, u AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY page, "row", key) = 1), p AS (SELECT key, normalized_match AS a, normalized_match OR page % 3 = 0 AS b FROM u WHERE NOT (key = 'flag' AND page % 3 = 0)
+UNION ALL SELECT key, normalized_match, upper(truth) = 'X' FROM u WHERE key = 'flag' AND page % 3 = 0)
+SELECT key, count(*) AS cells, count_if(a AND b) AS both_right, count_if(NOT a AND b) AS won, count_if(a AND NOT b) AS lost, count_if(NOT a AND NOT b) AS both_wrong, CAST(count_if(NOT a AND b) - count_if(a AND NOT b) AS DOUBLE) / count(*) AS change,
+pow(greatest(abs(count_if(NOT a AND b) - count_if(a AND NOT b)) - 1, 0), 2) / nullif(count_if(a <> b), 0) AS statistic FROM p GROUP BY key""")
+def s22_run_comparison(spark, d):
+    """A second run that reads every third page without a mistake, but for one column that it reads as X there."""
+    before = raw_cells(spark, d).withColumn("n", F.count("*").over(W.partitionBy("page", "row", "key"))).where("n = 1").drop("n")
+    again = F.when(F.col("page") % 3 > 0, F.col("text")).when(F.col("key") == "flag", "X").otherwise(F.col("truth"))
+    return s.run_comparison(s.paired(before, before.withColumn("text", again), ["page", "row", "key"]), "key")
+
+
+@query("""WITH c AS (SELECT p_brand, p_partkey, CAST(levenshtein(p_name, p_type) AS DOUBLE) / length(p_type) AS cer FROM part)
+SELECT p_brand, p_partkey, cer, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY cer DESC, p_partkey) AS INT) AS rank FROM c WHERE cer > 0 QUALIFY rank <= 5""")
+def s22_hardest_cells(spark, d):
+    cells = table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_name").alias("text"), F.col("p_type").alias("truth"))
+    return s.hardest_cells(cells, "p_brand", ["p_partkey"], 5).select("p_brand", "p_partkey", "cer", "rank")
+
+
+@query(f"""WITH c AS (SELECT source, count(*) AS n, {crc32_sql("source")} % 100 AS place FROM (SELECT coalesce(source, '') AS source FROM documents) GROUP BY source)
+SELECT CASE WHEN place < 70 THEN 'train' WHEN place < 85 THEN 'validation' ELSE 'test' END AS split, count(*) AS sources, CAST(sum(n) AS BIGINT) AS rows FROM c GROUP BY 1""")
+def s22_split_sizes(spark, d):
+    return s.split_sizes(table(spark, d, "documents"), "source")
