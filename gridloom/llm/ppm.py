@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs as files
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -15,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .classifier import Tokenizer, parts
-from .common import LOWER_BYTES, pieces, written
+from .common import LOWER_BYTES, as_bytes, pieces, shared_folder, written
 
 #: Two bytes that UTF-8 never has stand before a text's first byte and for its end.
 START, END = 0xFE, 0xFF
@@ -130,64 +133,154 @@ def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.n
     return [code], [np.bincount(to, np.concatenate(counts), len(code)).astype(np.int64)]
 
 
-class Parts:
-    """A trie in parts by the last two bytes of context, which each context of two or more bytes shares with its longer ones.
+class Whole:
+    """A trie of one part, of which every worker has a copy; the number of its codes bounds the broadcast."""
 
-    Every part has the whole of the contexts of none and one byte, so that its
-    probabilities are the whole trie's. Parts are broadcast one by one; a worker
-    holds the part that it looks codes up in, and no other.
-    """
+    def __init__(self, trie: Broadcast) -> None:
+        self.parts, self.trie = [trie], trie
 
-    def __init__(self, parts: list[Broadcast], where: np.ndarray, order: int) -> None:
-        self.parts, self.where, self.order = parts, where, order
+    @property
+    def order(self) -> int:
+        return self.trie.value.order
 
-    def part(self, i: int) -> Trie:
-        for j, other in enumerate(self.parts):
-            if j != i:
-                vars(other).pop("_value", None)
-        return self.parts[i].value
+    def scored(self, rows: DataFrame) -> DataFrame:
+        return rows
 
-    def logs(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol in its context."""
-        if len(self.parts) == 1:
-            return self.part(0).logs(code)
-        out, at_ = np.zeros(len(code)), self.where[(code >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)]
-        for i in np.unique(at_).tolist():
-            mine = at_ == i
-            out[mine] = self.part(i).logs(code[mine])
-        return out
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        return self.trie.value.score(texts)
 
-    score = Trie.score
 
+class Parts:
+    """A trie in parts by the last two bytes of context, which each context of two or more bytes shares with its longer ones.
+
+    Every part has the whole of the contexts of none and one byte, so that its
+    probabilities are the whole trie's. Parts are files in the shared folder;
+    codes go to the tasks of their part, and each task reads one part at a time.
+    """
 
-def train(df: DataFrame, text_col: str, order: int = 5, size: int = 4_000_000) -> Parts:
+    def __init__(self, parts: list[str], starts: np.ndarray, order: int) -> None:
+        self.parts, self.starts, self.order = parts, starts, order
+
+    def part_of(self, code: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, (code >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64), "right") - 1
+
+    def scored(self, rows: DataFrame, size: int = 1 << 24, tasks_a_part: int = 8) -> DataFrame:
+        """rows (id, text, held) with a score.
+
+        Chunks of texts are written once. Each sends its distinct codes to the
+        tasks of their parts, several for each part, which send back a
+        logarithm for each; a chunk and its logarithms meet in a join.
+        """
+        source = rows.schema
+        types = to_arrow_schema(source)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunk = TaskContext.get().partitionId() << 32
+            for batch in batches:
+                for first, texts in pieces(batch.column(1), size):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, types) as stream:
+                        stream.write_batch(batch.slice(first, len(texts)).cast(types))
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([sink.getvalue().to_pybytes()])], ["chunk", "packed"])
+                    chunk += 1
+
+        def unpack(packed: pa.Scalar) -> pa.RecordBatch:
+            return pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks().to_batches()[0]
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    own = np.unique(grams(as_bytes(unpack(packed).column(1)), self.order)[0])
+                    part = self.part_of(own)
+                    for i in np.unique(part).tolist():
+                        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([chunk]), pa.array([own[part == i].tobytes()])], ["part", "chunk", "codes"])
+
+        def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at_, trie = None, None
+            for batch in batches:
+                for part, chunk, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if part != at_:
+                        trie = None
+                        trie, at_ = loaded(self.parts[part]), part
+                    logs = trie.logs(np.frombuffer(codes, np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([part]), pa.array([logs.tobytes()])], ["chunk", "part", "logs"])
+
+        chunks = written(rows.mapInArrow(pack, "chunk long, packed binary"))
+        codes = chunks.mapInArrow(asked, "part long, chunk long, codes binary")
+        slot = F.pmod(F.xxhash64("chunk"), F.lit(tasks_a_part))
+        dealt = codes.repartition(len(self.parts) * tasks_a_part, "part", slot).sortWithinPartitions("part")
+        logs = written(dealt.mapInArrow(answered, "chunk long, part long, logs binary"))
+        listed = logs.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "logs"))).alias("logs"))
+        out = T.StructType([*source.fields, T.StructField("score", T.DoubleType())])
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for packed, found in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                    own = unpack(packed)
+                    code, n = grams(as_bytes(own.column(1)), self.order)
+                    unique, to = np.unique(code, return_inverse=True)
+                    # parts are ranges of the bytes before the symbol, so each part's codes are in their order among all
+                    value, part = np.zeros(len(unique)), self.part_of(unique)
+                    for f in found:
+                        value[part == f["part"]] = np.frombuffer(f["logs"])
+                    score = np.add.reduceat(value[to], np.cumsum(n) - n)
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(score)], schema=to_arrow_schema(out))
+
+        return chunks.join(listed, "chunk").select("packed", "logs").mapInArrow(summed, out)
+
+
+def loaded(path: str) -> Trie:
+    store, name = files.FileSystem.from_uri(path)
+    with store.open_input_file(name) as file:
+        return pickle.loads(file.read())
+
+
+def train(df: DataFrame, text_col: str, order: int = 5, size: int = 4_000_000) -> Whole | Parts:
     """The trie of all texts of df, in parts of some `size` distinct codes.
 
-    The order is the same at every size; only the number of parts grows. The
-    driver reads, builds and broadcasts one part at a time. A part has one pair
+    The order is the same at every size; only the number of parts grows. One
+    part is built by the driver and broadcast; several are built by tasks, each
+    of which holds one part, and written as files. A part has one pair
     of last bytes of context at least, with all its codes.
     """
+    spark = df.sparkSession
     found = count_grams(df, text_col, order)
     found = written(found.withColumn("last", F.shiftrightunsigned("code", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")).sortWithinPartitions("last"))
-    groups = found.groupBy("last").count().toArrow()
-    last, n = groups["last"].to_numpy(), groups["count"].to_numpy()
-    where, part, held = np.zeros(1 << 16, np.int64), 0, 0
-    for i in np.argsort(last):
-        if held and held + n[i] > size:
-            part, held = part + 1, 0
-        where[last[i]], held = part, held + n[i]
+    groups = found.groupBy("last").count().orderBy("last").toArrow()
+    starts, held = [0], 0
+    for last, n in zip(groups["last"].to_pylist(), groups["count"].to_pylist(), strict=True):
+        if held and held + n > size:
+            starts.append(last)
+            held = 0
+        held += n
     low = found.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF)).alias("code")).agg(F.sum("n").alias("n")).toArrow()
     short = low["code"].to_numpy().view(np.uint64), low["n"].to_numpy().astype(np.float64)
-    parts = []
-    for i in range(part + 1):
-        mine = last[where[last] == i]
-        table = (found.where(F.col("last").between(int(mine.min()), int(mine.max()))) if len(mine) else found).select("code", "n").toArrow()
+    if len(starts) == 1:
+        table = found.select("code", "n").toArrow()
+        return Whole(spark.sparkContext.broadcast(Trie(table["code"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64), order, short)))
+    bounds, folder = np.array(starts), shared_folder(spark)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = np.searchsorted(bounds, batch.column(2).to_numpy(), "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part.astype(np.int32))], ["code", "n", "part"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        if not len(table):
+            return
         trie = Trie(table["code"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64), order, short)
-        del table
-        parts.append(df.sparkSession.sparkContext.broadcast(trie))
-        if part:
-            vars(parts[-1]).pop("_value", None)
-    return Parts(parts, where, order)
+        # an attempt's file has its own name; only those of the attempts that count are listed
+        path = f"{folder}/{uuid.uuid4().hex}"
+        store, name = files.FileSystem.from_uri(path)
+        store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(name) as out:
+            out.write(pickle.dumps(trie))
+        yield pa.RecordBatch.from_arrays([table["part"].chunk(0).slice(0, 1), pa.array([path])], ["part", "path"])
+
+    parts = found.select("code", "n", "last").mapInArrow(dealt, "code long, n long, part int").repartitionById(len(bounds), F.col("part"))
+    paths = {r.part: r.path for r in written(parts.mapInArrow(build, "part int, path string")).collect()}
+    return Parts([paths[i] for i in range(len(bounds))], bounds, order)
 
 
 PAIR = np.dtype([("doc", "<u2"), ("n", "<u4")])
@@ -283,8 +376,8 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
 
     `held` is a condition on `id`; rows for which it is null or false are
     learned from, and so are all without it. score is the trie's log10
-    probability of the text's bytes and end; it is held in parts of some `size`
-    codes, which changes no score. The base adds log10((c + 1) / (N +
+    probability of the text's bytes and end. A trie of more than `size` codes is
+    cut into parts, to which the texts' codes go in a shuffle, which changes no score. The base adds log10((c + 1) / (N +
     V + 1)) over the lower-cased words and one end, where c counts the token, N
     all tokens and V the distinct ones in the training texts. Null texts count as
     empty: one token, their end. Nothing to learn from leaves equal shares.
@@ -303,6 +396,8 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     trie = train(learned, "text", order, size)
     totals = written(count_words(learned, "text"))
     kinds = totals.count()
+    rows = trie.scored(rows)
+    many = isinstance(trie, Parts)
     doc = T.StructType([T.StructField("id", df.schema[id_col].dataType), *T._parse_datatype_string("held_out boolean, n_tokens long, score double").fields])
     doc_schema = to_arrow_schema(doc)
 
@@ -317,8 +412,10 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
                     _, _, code, start = cut([x.translate(LOWER_BYTES) for x in part])
                     keys.append(code)
                     n.append(np.diff(start))
-                    total.append(trie.score(part))
-                keys, n, total = (np.concatenate(x) for x in (keys, n, total))
+                    if not many:
+                        total.append(trie.score(part))
+                keys, n = np.concatenate(keys), np.concatenate(n)
+                total = own.column(3).to_numpy() if many else np.concatenate(total)
                 docs = pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(n + 1), pa.array(total)], names=doc_schema.names).cast(doc_schema)
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, doc_schema) as stream:
