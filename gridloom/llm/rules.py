@@ -78,17 +78,17 @@ def rules() -> list[Rule]:
     ]
 
 
-def ordered(df: DataFrame, given: list[Rule], sample: int = 512, rounds: int = 2, repeats: int = 8) -> list[Rule]:
+def ordered(df: DataFrame, given: list[Rule], most: int = 2048, rounds: int = 2, repeats: int = 8) -> list[Rule]:
     """The rules by rejected share over cost, both measured on a sample.
 
-    The sample is `sample` rows of df, those that Spark gives first; give it a
+    The sample is df, of which no more than `most` rows are taken; give it a
     random share of a table. A rule's cost is its time over `repeats` passes of the
     sample, the least of `rounds`, less that of a rule that never rejects; it
     counts in powers of 4, and from 10 microseconds a row on, so that rules whose
     times differ by chance cost the same. Ties keep the given order. The order decides how much work a row
     costs and which rule is named first; whether a row is kept is the same in any order.
     """
-    rows = df.limit(sample).persist()
+    rows = df.limit(most).persist()
     try:
         n = rows.count()
         if not n:
@@ -123,18 +123,20 @@ def cascade(df: DataFrame, given: list[Rule], out: Column) -> DataFrame:
     return df.withColumn("rejected_by", verdict)
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", given: list[Rule] | None = None, sample: int = 512, share: float = 0.25) -> DataFrame:
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", given: list[Rule] | None = None, sample: int = 1024) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, rejected_by, kept) for each row of df.
 
     The base fails below 20 words, and where over 30 % of the words are in
     repeated 8-word windows; what passes it goes down the cascade, in an order
-    measured on `sample` such rows of a random `share` of the table. Null, empty
+    measured on such rows among some `sample` of the table, drawn from all of its
+    partitions alike, so that the order of a sorted table says nothing. Null, empty
     and blank texts have no words and fail the base. Rows are measured one by
     one, so nothing is shuffled and no group or hot source matters.
     """
     rows = measured(df, id_col, text_col)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    order = ordered(measured(df.sample(share, 3), id_col, text_col).where(~failed), rules() if given is None else given, sample)
+    drawn = df.select(id_col, text_col).sample(min(1.0, sample / max(1, df.count())), 3)
+    order = ordered(measured(drawn, id_col, text_col).where(~failed), rules() if given is None else given, 2 * sample)
     out = cascade(rows, order, failed).withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & F.col("rejected_by").isNull()
     return out.withColumn("kept", kept).select("id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
