@@ -33,9 +33,13 @@ class Machine:
     `probe` words at every (window - probe + 1)th place of an item, so that each
     window holds one key. Where a key ends, the words around it tell whether a
     window is there. That takes some 20 bytes of memory for a byte of the items.
+
+    A key of more than `many` places, such as the words that very many questions
+    begin with, isn't tried place by place: the windows that go by it are
+    looked up in a table of all such windows, a few for each place in a text.
     """
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int, probe: int = 5) -> None:
+    def __init__(self, items: list[tuple[str, bytes]], window: int, probe: int = 5, many: int = 32) -> None:
         own = [tokens(text) for _, text in items]
         self.number = {w: i for i, w in enumerate(sorted({w for x in own for w in x}), 1)}
         self.signs = next(n for n in range(1, 5) if 64**n > len(self.number))
@@ -46,9 +50,10 @@ class Machine:
         line, item, places = [gap], [np.zeros(len(gap), np.int32)], {}
         size = len(gap)
         self.need = np.array([min(window, len(x)) for x in own], np.int64)
+        begin = np.zeros(len(own), np.int64)
         for i, x in enumerate(own):
             ids = np.fromiter((self.number[w] for w in x), np.int32, len(x))
-            k = min(probe, window, len(x))
+            k, begin[i] = min(probe, window, len(x)), size
             for at in range(0, len(x) - k + 1, min(window, len(x)) - k + 1) if k else ():
                 places.setdefault(tuple(ids[at : at + k].tolist()), []).append(size + at)
             line += [ids, gap]
@@ -56,8 +61,15 @@ class Machine:
             size += len(x) + len(gap)
         self.line, self.item = np.concatenate(line), np.concatenate(item)
         self.keys = ahocorasick.Automaton() if places else None
+        self.windows: dict[bytes, set[int]] = {}
         for key, at in places.items():
-            self.keys.add_word(self.text(np.array(key)), (len(key), np.array(at)))
+            shapes = {(len(key), int(self.need[self.item[a]])) for a in at} if len(at) > many else None
+            for a in at if shapes else ():
+                i, w = self.item[a], int(self.need[self.item[a]])
+                # the windows whose first key is this one
+                for first in range(max(begin[i], a - w + len(key)), min(a, begin[i] + len(own[i]) - w) + 1):
+                    self.windows.setdefault(self.line[first : first + w].tobytes(), set()).add(int(i))
+            self.keys.add_word(self.text(np.array(key)), (len(key), None if shapes else np.array(at), shapes))
         if places:
             self.keys.make_automaton()
 
@@ -66,16 +78,23 @@ class Machine:
 
     def find(self, text: bytes) -> tuple[int, np.ndarray, set[int]]:
         """(words, hit flag of each word, indexes of the items) of a text, in one scan."""
-        w = tokens(text)
-        hit = np.zeros(len(w), bool)
-        if self.keys is None or not w:
-            return len(w), hit, set()
-        ids = np.fromiter((self.number.get(x, 0) for x in w), np.int32, len(w))
+        words = tokens(text)
+        hit = np.zeros(len(words), bool)
+        if self.keys is None or not words:
+            return len(words), hit, set()
+        ids = np.fromiter((self.number.get(x, 0) for x in words), np.int32, len(words))
         around, own, edge = None, set(), np.full(self.window, -2, np.int32)
-        for end, (k, places) in self.keys.iter(self.text(ids)):
+        for end, (k, places, shapes) in self.keys.iter(self.text(ids)):
             if around is None:
                 around = np.concatenate((edge, ids, edge))
             at = (end + 1) // self.signs - k
+            if shapes:
+                for _, w in shapes:
+                    for first in range(max(0, at - w + k), min(at, len(words) - w) + 1):
+                        if items := self.windows.get(ids[first : first + w].tobytes()):
+                            own |= items
+                            hit[first : first + w] = True
+                continue
             before = np.arange(-1, -self.window, -1)
             after = np.arange(k, k + self.window - 1)
             left = runs_of_true(self.line[places[:, None] + before] == around[at + self.window + before])
@@ -84,7 +103,7 @@ class Machine:
             if found.any():
                 own.update(self.item[places[found]].tolist())
                 hit[at - left[found].max() : at + k + right[found].max()] = True
-        return len(w), hit, own
+        return len(words), hit, own
 
 
 def runs_of_true(flags: np.ndarray) -> np.ndarray:
