@@ -495,9 +495,11 @@ def test_machine_against_brute_force(window):
                     if item[a : a + k] == text[b : b + k]:
                         hit[b : b + k] = True
                         own.add(i)
-        machine = decontamination.Machine([(str(i), " ".join(x).encode()) for i, x in enumerate(items)], window)
-        n, got, found = machine.find(" ".join(text).encode())
-        assert (n, got.tolist(), found) == (len(text), hit.tolist(), own)
+        # keys of any number of places are tried place by place, or looked up in the table of windows
+        for many in (0, 1, 32):
+            machine = decontamination.Machine([(str(i), " ".join(x).encode()) for i, x in enumerate(items)], window, many=many)
+            n, got, found = machine.find(" ".join(text).encode())
+            assert (n, got.tolist(), found) == (len(text), hit.tolist(), own)
 
 
 def test_warc_of_other_writers():
@@ -633,3 +635,19 @@ def test_lost_records_are_noticed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "write_warc", cut)
     with pytest.raises(ValueError, match="20 records were written"):
         warc.through_warc(df)
+
+
+def test_items_that_begin_alike():
+    """Very many items with one beginning cost a text that has it a few lookups."""
+    import time
+
+    start = "what is the most likely reason for the".split()
+    items = [(str(i), " ".join([*start, *(f"w{(i * 7 + j * j) % 5000}" for j in range(12))]).encode()) for i in range(20_000)]
+    machine = decontamination.Machine(items, 10)
+    text = " ".join(["some text"] * 50 + start + ["something else"] * 50).encode()
+    began = time.perf_counter()
+    for _ in range(20):
+        assert machine.find(text)[2] == set()
+    assert (time.perf_counter() - began) / 20 < 0.01
+    n, hit, own = machine.find(b"before " + items[777][1] + b" after")
+    assert 777 in own and hit.tolist() == [False] + [True] * 20 + [False]
