@@ -32,6 +32,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df as a table in buckets of the key, one file each, so that joins by the key move only their other side.
+
+    It is known to the session's catalogue under a name of its own; its files
+    are in the shared folder.
+    """
+    spark, name = df.sparkSession, f"gridloom_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_root(spark)}/gridloom/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def ship(spark: SparkSession) -> None:
     """Makes the package importable in Python workers, once for each application."""
     context = spark.sparkContext

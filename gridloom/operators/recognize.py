@@ -96,7 +96,7 @@ def crops(pages: DataFrame, cells: DataFrame, padding: int = 0) -> DataFrame:
     bytes are sent once.
     """
     own = cells.groupBy("page").agg(F.collect_list(F.struct("row", "col", "x", "y", "width", "height")).alias("cells"))
-    both = pages.select("page", F.col("height").cast("int"), F.col("width").cast("int"), "data").join(own, "page")
+    both = pages.select("page", F.col("height").cast("int"), F.col("width").cast("int"), "data").join(own.hint("shuffle_hash"), "page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gridloom.functions.deploy import stored
+from gridloom.functions.deploy import bucketed, stored
 from gridloom.operators import axis as a
 
 KEYS = ["page"]
@@ -27,7 +27,8 @@ def measured(masks: DataFrame, lists: DataFrame | None, schema: str, kernel: Cal
     """(page, and the fields of schema) that kernel(horizontal, vertical, own) gives for each page; own has the fields of the page's row of `lists`."""
     rows = masks.select("page", F.col("height").cast("int"), F.col("width").cast("int"), "horizontal", "vertical")
     names = [] if lists is None else [c for c in lists.columns if c != "page"]
-    rows = rows if lists is None else rows.join(lists, "page")
+    # lists are what is hashed; pages in buckets stay where they are
+    rows = rows if lists is None else rows.join(lists.hint("shuffle_hash"), "page")
     out = T.StructType([masks.schema["page"], *T._parse_datatype_string(schema).fields])
     types = to_arrow_schema(out)
 
@@ -43,6 +44,16 @@ def measured(masks: DataFrame, lists: DataFrame | None, schema: str, kernel: Cal
     return rows.select("page", "height", "width", "horizontal", "vertical", *names).mapInArrow(run, out)
 
 
+def required_masks(masks: DataFrame) -> DataFrame:
+    """masks, if each page has both, of its size; else an error that names the page."""
+
+    def bad(c: str) -> Column:
+        return F.coalesce(F.octet_length(c) != F.col("height").cast("long") * F.col("width"), F.lit(True))
+
+    said = F.concat(F.lit("page "), F.coalesce(F.col("page").cast("string"), F.lit("null")), F.lit(" has no "), F.when(bad("horizontal"), "horizontal").otherwise("vertical"), F.lit(" mask of its size"))
+    return masks.withColumn("horizontal", F.when(bad("horizontal") | bad("vertical"), F.raise_error(said).cast("binary")).otherwise(F.col("horizontal")))
+
+
 def spread(mask: np.ndarray, radius: int) -> np.ndarray:
     """The mask with every pixel grown to a square."""
     for axis in (0, 1):
@@ -171,6 +182,11 @@ def table_columns(found: DataFrame) -> DataFrame:
     return few.select("page", "x").unionByName(narrow.select("page", "x"))
 
 
+def is_bucketed(df: DataFrame) -> bool:
+    """Whether df reads a table that bucketed() wrote."""
+    return all("/gridloom/gridloom_" in f for f in df.inputFiles()) and bool(df.inputFiles())
+
+
 class Refined(NamedTuple):
     """rows (page, y, spacing), columns (page, x), and cells (page, row, col, x, y, width, height)."""
 
@@ -183,10 +199,12 @@ def refined_grid(masks: DataFrame, centroids: DataFrame | None = None, keep_head
     """Grids of pages (page, height, width, horizontal, vertical), whose masks are bytes, ink where they aren't 0.
 
     centroids (page, x, y) add column candidates. Pages without ink have no
-    rows. The masks are read four times, each time with short lists of lines;
-    give a written table, not one that recomputes the masks. What a step finds
+    rows; a page without one of its masks is an error. The masks are read four
+    times, each time with short lists of lines: they are written in buckets of
+    their page first, unless they are such a table, so that they move once. What a step finds
     is written, so that the next one doesn't repeat it.
     """
+    masks = required_masks(masks if is_bucketed(masks) else bucketed(masks.select("page", "height", "width", "horizontal", "vertical"), "page"))
     size = masks.select("page", F.col("height").cast("int"), F.col("width").cast("int"))
     radius = F.greatest(F.lit(1), F.least(F.lit(10), F.floor(F.least("height", "width") / 250))).cast("int")
     tolerance = F.greatest(F.lit(1), F.least(F.lit(8), F.floor(F.col("width") / 220)))
