@@ -123,13 +123,24 @@ def pair_score(result: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def pair_summary(result: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row: rows and columns compared, what each side lacks, and the metrics."""
-    rows = result.agg(F.countDistinct("row").alias("ocr_rows")).crossJoin(truth.agg(F.countDistinct("row").alias("truth_rows")))
-    mine, theirs = result.select("key").distinct(), truth.select("key").distinct()
-    listed = lambda df, name: df.agg(F.array_join(F.sort_array(F.collect_list("key")), "; ").alias(name))
-    sides = listed(theirs.join(mine, "key", "left_anti"), "missing_result_columns").crossJoin(listed(mine.join(theirs, "key", "left_anti"), "missing_truth_columns"))
-    out = rows.crossJoin(sides).crossJoin(mine.join(theirs, "key").agg(F.count("*").alias("columns_compared"))).crossJoin(scored_by(pair_score(result, truth)))
-    return out.withColumn("rows_compared", F.least("ocr_rows", "truth_rows")).withColumn("row_count_difference", F.col("ocr_rows") - F.col("truth_rows"))
+    """One row: rows and columns compared, what each side lacks, and the metrics.
+
+    Cells meet once, in a full join; its rows are counted by row and by column in one aggregate over both.
+    """
+    here = F.lit(True)
+    met = result.select("row", "key", "value_type", "text", here.alias("mine")).join(truth.select("row", "key", "truth", here.alias("theirs")), ["row", "key"], "full")
+    both = F.col("mine") & F.col("theirs")
+    cells = with_matches(met).withColumns({c: F.when(both, F.col(c)) for c in ("exact_match", "normalized_match")})
+    sums = [F.bool_or("mine").alias("mine"), F.bool_or("theirs").alias("theirs"), F.count("normalized_match").alias("scored"), F.count_if("exact_match").alias("exact"), F.count_if("normalized_match").alias("normal")]
+    by = cells.groupingSets([["row"], ["key"]], "row", "key").agg(F.grouping("key").alias("_rows"), *sums)
+    mine, theirs, of_row, of_key = F.coalesce("mine", F.lit(False)), F.coalesce("theirs", F.lit(False)), F.col("_rows") == 1, F.col("_rows") == 0
+    lacking = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(of_key & c, F.col("key")))), "; ")
+    row = of_row & F.col("row").isNotNull()
+    total = lambda c: F.coalesce(F.sum(F.when(of_key, F.col(c))), F.lit(0))
+    out = by.agg(F.count_if(row & mine).alias("ocr_rows"), F.count_if(row & theirs).alias("truth_rows"), lacking(theirs & ~mine).alias("missing_result_columns"), lacking(mine & ~theirs).alias("missing_truth_columns"), F.count_if(of_key & mine & theirs).alias("columns_compared"), total("scored").alias("scored_cells"), total("exact").alias("exact_correct"), total("normal").alias("normalized_correct"))
+    share = lambda c: ratio(F.col(c), F.nullif("scored_cells", F.lit(0)))
+    out = out.withColumns({"incorrect": F.col("scored_cells") - F.col("normalized_correct"), "exact_accuracy": share("exact_correct"), "normalized_accuracy": share("normalized_correct")})
+    return out.withColumns({"rows_compared": F.least("ocr_rows", "truth_rows"), "row_count_difference": F.col("ocr_rows") - F.col("truth_rows")})
 
 
 def file_pairs(results: DataFrame, truths: DataFrame, template_ids: list[str]) -> DataFrame:

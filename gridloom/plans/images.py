@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 from pyspark.sql import functions as F
 
+from gridloom.operators import hough, raster, recognize
 from gridloom.operators import image as g
-from gridloom.operators import recognize
 from gridloom.operators.refine import refined_grid
 
 from .registry import query, table
@@ -21,6 +22,15 @@ def pages(spark, d, width: int = 8):
 LEVELS = "l AS (SELECT vec_id AS page, i - 1 AS i, least(255, greatest(0, CAST(floor(CAST(embedding[i] AS DOUBLE) * 256 + 128) AS INT))) AS v FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings))"
 
 
+EDGES = f"""{LEVELS}, p AS (SELECT page, i // 8 AS y, i % 8 AS x, v < 128 AS dark FROM l), e AS (SELECT page, x, y FROM (SELECT *, lag(dark) OVER (PARTITION BY page, x ORDER BY y) AS above FROM p) WHERE dark AND NOT coalesce(above, FALSE))"""
+SKEWS = [i * 0.5 for i in range(-30, 31)]
+
+
+def rays(degrees):
+    """SQL rows (angle, c, s) of directions."""
+    return ", ".join(f"({i}, CAST({math.cos(math.radians(a))!r} AS DOUBLE), CAST({math.sin(math.radians(a))!r} AS DOUBLE))" for i, a in enumerate(degrees))
+
+
 @query(f"WITH {LEVELS} SELECT page, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x FROM l WHERE v < 128")
 def i13_dark_pixels(spark, d):
     return g.pixels(pages(spark, d))
@@ -41,17 +51,22 @@ def g1_page_profile(spark, d):
     return profile(g.pixels(p), ["page"], "y", spine)
 
 
-@query(f"""WITH {LEVELS}, p AS (SELECT page, v, i // 8 AS y, i % 8 AS x FROM l), n AS (SELECT page, max(y) + 1 AS h FROM p GROUP BY page), o(o) AS (VALUES (-2), (-1), (0), (1), (2)),
+SAUVOLA = f"""{LEVELS}, p AS (SELECT page, v, i // 8 AS y, i % 8 AS x FROM l), n AS (SELECT page, max(y) + 1 AS h FROM p GROUP BY page), o(o) AS (VALUES (-2), (-1), (0), (1), (2)),
 w AS (SELECT p.page, p.y, p.x, p.v, CASE WHEN p.y + a.o < 0 THEN -p.y - a.o WHEN p.y + a.o >= h THEN 2 * h - 2 - p.y - a.o ELSE p.y + a.o END AS ny, CASE WHEN p.x + b.o < 0 THEN -p.x - b.o WHEN p.x + b.o >= 8 THEN 14 - p.x - b.o ELSE p.x + b.o END AS nx FROM p JOIN n USING (page), o a, o b),
-m AS (SELECT w.page, w.y, w.x, w.v, CAST(sum(p.v) AS DOUBLE) / 25 AS m, CAST(sum(p.v * p.v) AS DOUBLE) / 25 AS q FROM w JOIN p ON p.page = w.page AND p.y = ny AND p.x = nx GROUP BY ALL)
-SELECT page, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CASE WHEN v > m * (1 + CAST(0.34 AS DOUBLE) * (sqrt(greatest(q - m * m, 0)) / 128 - 1)) THEN 255 ELSE 0 END AS v FROM m""")
+m AS (SELECT w.page, w.y, w.x, w.v, CAST(sum(p.v) AS DOUBLE) / 25 AS m, CAST(sum(p.v * p.v) AS DOUBLE) / 25 AS q FROM w JOIN p ON p.page = w.page AND p.y = ny AND p.x = nx GROUP BY ALL)"""
+
+
+@query(f"""WITH {SAUVOLA} SELECT page, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CASE WHEN v > m * (1 + CAST(0.34 AS DOUBLE) * (sqrt(greatest(q - m * m, 0)) / 128 - 1)) THEN 255 ELSE 0 END AS v FROM m""")
 def i2_sauvola(spark, d):
-    return g.levels(g.per_page(pages(spark, d), lambda x: g.sauvola(x, 5)))
+    return raster.sauvola(pages(spark, d), 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SAUVOLA}, t AS (SELECT page, y, x, CASE WHEN v > m * (1 + CAST(0.34 AS DOUBLE) * (sqrt(greatest(q - m * m, 0)) / 128 - 1)) THEN 255 ELSE 0 END AS v FROM m),
+r AS (SELECT page, 2 * count_if(v = 0) <= count(*) AS dark FROM t GROUP BY page), d AS (SELECT t.page, y, x, y * 8 + x AS i FROM t JOIN r USING (page) WHERE (v = 0) = dark),
+k AS (SELECT page, i, y, x, i AS root FROM d UNION SELECT d.page, d.i, d.y, d.x, k.root FROM d JOIN k ON d.page = k.page AND abs(d.y - k.y) <= 1 AND abs(d.x - k.x) <= 1), c AS (SELECT page, i, min(root) AS label FROM k GROUP BY page, i), z AS (SELECT page, i FROM c QUALIFY count(*) OVER (PARTITION BY page, label) < 3)
+SELECT t.page, CAST(t.y AS INT) AS y, CAST(t.x AS INT) AS x, CASE WHEN z.i IS NULL THEN v WHEN dark THEN 255 ELSE 0 END AS v FROM t JOIN r USING (page) LEFT JOIN z ON z.page = t.page AND z.i = t.y * 8 + t.x""")
 def i3_denoised(spark, d):
-    return g.per_page(pages(spark, d), lambda x: g.denoised(g.sauvola(x, 5), 3))
+    return raster.cleaned(raster.sauvola(pages(spark, d), 5), 3)
 
 
 @query(f"""WITH {LEVELS}, a AS (SELECT page, list(v ORDER BY i) AS f, CAST(count(*) // 8 AS INT) AS h FROM l GROUP BY page), c AS (SELECT cos(CAST(3 AS DOUBLE) * (pi() / 180)) AS c, sin(CAST(3 AS DOUBLE) * (pi() / 180)) AS s),
@@ -61,7 +76,7 @@ q AS (SELECT page, y, x, u - x0 AS fx, t - y0 AS fy, CASE WHEN y0 BETWEEN 1 AND
   CASE WHEN y0 < h AND x0 BETWEEN 1 AND 8 THEN f[y0 * 8 + x0] ELSE 255 END AS v10, CASE WHEN y0 < h AND x0 < 8 THEN f[y0 * 8 + x0 + 1] ELSE 255 END AS v11 FROM b)
 SELECT page, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(round_even(v00 * (1 - fx) * (1 - fy) + v01 * fx * (1 - fy) + v10 * (1 - fx) * fy + v11 * fx * fy, 0) AS INT) AS v FROM q""")
 def i4_rotated(spark, d):
-    return g.levels(g.per_page(pages(spark, d), lambda x: g.rotated(x, 3.0)))
+    return raster.rotated(pages(spark, d), 3.0)
 
 
 @query()
@@ -77,37 +92,37 @@ def i37_base64(spark, d):
 @query(f"""WITH {LEVELS}, d AS (SELECT page, i // 8 AS y, i % 8 AS x FROM l WHERE v < 128), n AS (SELECT *, lead(x) OVER (PARTITION BY page, y ORDER BY x) - x AS gap FROM d)
 SELECT page, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM d UNION ALL SELECT page, CAST(y AS INT), CAST(x + unnest(generate_series(1, gap - 1)) AS INT) FROM n WHERE gap > 1 AND gap <= 3""")
 def i16_closed(spark, d):
-    return g.pixels(g.per_page(pages(spark, d), lambda x: np.where(g.closed(x < 128, 3, 1), 0, 255).astype(np.uint8)))
+    return raster.run_pixels(raster.closed_runs(raster.ink_runs(pages(spark, d)), 3))
 
 
 @query(f"WITH {LEVELS} SELECT page, CAST(i // 8 // 2 AS INT) AS y, CAST(i % 8 // 2 AS INT) AS x, CAST(round_even(avg(v), 0) AS INT) AS v FROM l GROUP BY 1, 2, 3")
 def i7_narrowed(spark, d):
-    return g.levels(g.per_page(pages(spark, d), lambda x: g.narrowed(x, 4)[0]))
+    return raster.narrowed(pages(spark, d), 4)
 
 
 @query(f"WITH {LEVELS} SELECT page, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, CASE WHEN i % 8 BETWEEN 1 AND 6 THEN 255 ELSE v END AS v FROM l")
 def i33_redacted(spark, d):
-    return g.levels(g.per_page(pages(spark, d), lambda x: g.redacted(x, [(3, 4)])))
+    return raster.painted(pages(spark, d), [(3, 4)])
 
 
 @query(f"""WITH {LEVELS}, d AS (SELECT page, i // 8 AS y, i % 8 AS x FROM l WHERE v < 128), s AS (SELECT *, x - row_number() OVER (PARTITION BY page, y ORDER BY x) AS k FROM d), r AS (SELECT *, count(*) OVER (PARTITION BY page, y, k) AS n FROM s)
 SELECT page, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM r WHERE n >= 3""")
 def i20_long_runs(spark, d):
-    return g.pixels(g.per_page(pages(spark, d), lambda x: np.where(g.opened(x < 128, 3, 1), 0, 255).astype(np.uint8)))
+    return raster.run_pixels(raster.long_runs(raster.ink_runs(pages(spark, d)), 3))
 
 
 @query(f"""WITH RECURSIVE {LEVELS}, d AS (SELECT page, i // 8 AS y, i % 8 AS x, i FROM l WHERE v < 128), w AS (SELECT page, i, y, x, i AS root FROM d UNION SELECT d.page, d.i, d.y, d.x, w.root FROM d JOIN w ON d.page = w.page AND abs(d.y - w.y) <= 1 AND abs(d.x - w.x) <= 1),
 c AS (SELECT page, i, min(root) AS label FROM w GROUP BY page, i) SELECT page, CAST(count(DISTINCT label) AS INT) AS components FROM c GROUP BY page""")
 def i9_components(spark, d):
-    counts = g.per_page(pages(spark, d), lambda x: np.array([[g.labels(x < 128)[1]]], np.uint8))
-    return g.levels(counts).select("page", F.col("v").alias("components"))
+    labelled = raster.components(raster.ink_runs(pages(spark, d)))
+    return labelled.groupBy("page").agg(F.countDistinct("label").cast("int").alias("components"))
 
 
 @query(f"""WITH RECURSIVE {LEVELS}, d AS (SELECT page, i // 8 AS y, i % 8 AS x, i FROM l WHERE v < 128), w AS (SELECT page, i, y, x, i AS root FROM d UNION SELECT d.page, d.i, d.y, d.x, w.root FROM d JOIN w ON d.page = w.page AND abs(d.y - w.y) <= 1 AND abs(d.x - w.x) <= 1),
 c AS (SELECT page, i, y, min(root) AS label FROM w GROUP BY page, i, y), h AS (SELECT page, label, max(y) - min(y) + 1 AS height FROM c GROUP BY page, label HAVING count(*) >= 4), m AS (SELECT page, CAST(floor(median(height)) AS INT) AS m, count(*) AS n FROM h GROUP BY page)
 SELECT vec_id AS page, coalesce(m, 0) AS average_height, coalesce(m, 0) AS median_height, coalesce(n, 0) AS component_count FROM embeddings LEFT JOIN m ON vec_id = page""")
 def i12_character_sizes(spark, d):
-    return g.character_sizes(pages(spark, d), 4)
+    return raster.character_sizes(pages(spark, d), 4)
 
 
 @query("SELECT page_id, 'Read this.' AS prompt, CAST(length(to_base64(encode(html))) AS INT) AS image_base64_length, sha256(to_base64(encode(html))) AS image_sha256 FROM pages")
@@ -115,14 +130,27 @@ def snk8_request_log(spark, d):
     return table(spark, d, "pages").select("page_id", recognize.request_log(F.lit("Read this."), F.col("html").cast("binary")).alias("log")).select("page_id", "log.*")
 
 
-@query()
+@query(f"""WITH {EDGES}, r(angle, c, s) AS (VALUES {rays(SKEWS)}), n AS (SELECT page, angle, CAST(floor(y * c - x * s + CAST(0.5 AS DOUBLE)) AS INT) AS d, count(*) AS n FROM e, r GROUP BY ALL), k AS (SELECT * FROM n WHERE n >= 2),
+b AS (SELECT page, angle, d AS line FROM k WHERE NOT EXISTS (SELECT 1 FROM k AS o WHERE o.page = k.page AND abs(o.angle - k.angle) <= 2 AND abs(o.d - k.d) <= 2 AND (o.n > k.n OR (o.n = k.n AND (o.angle < k.angle OR (o.angle = k.angle AND o.d < k.d)))))),
+t AS (SELECT page, b.angle, line, regr_slope(y, x) AS slope FROM e JOIN b USING (page) JOIN r USING (angle) WHERE abs(floor(y * c - x * s + CAST(0.5 AS DOUBLE)) - line) <= 1 GROUP BY page, b.angle, line HAVING max(x * c + y * s) - min(x * c + y * s) >= 4),
+a AS (SELECT page, median(degrees(atan(slope))) AS angle FROM t WHERE abs(degrees(atan(slope))) <= 15 GROUP BY page) SELECT vec_id AS page, round(coalesce(angle, 0), 4) + 0 AS angle FROM embeddings LEFT JOIN a ON vec_id = page""")
 def i5_skew(spark, d):
-    return g.per_page(pages(spark, d), lambda x: np.array([[round(abs(g.skew(x)) * 4)]], np.uint8))
+    return hough.skew(pages(spark, d), least=4).select("page", (F.round("angle", 4) + 0).alias("angle"))
 
 
-@query()
+CORNERS = [(1.0, 1.0), (6.0, 0.0), (7.0, 6.0), (0.0, 5.0)]
+TALL, WIDE, TO_SOURCE = raster.homography(CORNERS)
+M = [f"CAST({x!r} AS DOUBLE)" for x in TO_SOURCE]
+
+
+@query(f"""WITH {LEVELS}, a AS (SELECT page, list(v ORDER BY i) AS f, CAST(count(*) // 8 AS INT) AS h FROM l GROUP BY page), g AS (SELECT y, x, {M[6]} * x + {M[7]} * y + 1 AS z FROM range({TALL}) AS q(y), range({WIDE}) AS o(x)),
+p AS (SELECT page, f, h, y, x, ({M[0]} * x + {M[1]} * y + {M[2]}) / z AS u, ({M[3]} * x + {M[4]} * y + {M[5]}) / z AS t FROM a, g),
+k AS (SELECT page, f, h, y, x, least(8, greatest(-1, u)) AS u, least(h, greatest(-1, t)) AS t FROM p), b AS (SELECT *, least(7, CAST(floor(u) AS INT)) AS x0, least(h - 1, CAST(floor(t) AS INT)) AS y0 FROM k),
+q AS (SELECT page, y, x, u - x0 AS fx, t - y0 AS fy, CASE WHEN y0 BETWEEN 0 AND h - 1 AND x0 BETWEEN 0 AND 7 THEN f[y0 * 8 + x0 + 1] ELSE 255 END AS v00, CASE WHEN y0 BETWEEN 0 AND h - 1 AND x0 < 7 THEN f[y0 * 8 + x0 + 2] ELSE 255 END AS v01,
+  CASE WHEN y0 < h - 1 AND x0 BETWEEN 0 AND 7 THEN f[(y0 + 1) * 8 + x0 + 1] ELSE 255 END AS v10, CASE WHEN y0 < h - 1 AND x0 < 7 THEN f[(y0 + 1) * 8 + x0 + 2] ELSE 255 END AS v11 FROM b)
+SELECT page, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(round_even(v00 * (1 - fx) * (1 - fy) + v01 * fx * (1 - fy) + v10 * (1 - fx) * fy + v11 * fx * fy, 0) AS INT) AS v FROM q""")
 def i29_upright(spark, d):
-    return g.per_page(pages(spark, d), lambda x: g.upright(x, np.array([[1, 1], [6, 0], [7, 6], [0, 5]], float)))
+    return raster.warped(pages(spark, d), TO_SOURCE, TALL, WIDE)
 
 
 #: Forms of 5 to 8 rows and 3 to 5 columns, drawn from suppliers; every third one lacks its third rule.

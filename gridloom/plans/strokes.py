@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from gridloom.operators import hough
 
-from .images import LEVELS, pages
+from .images import EDGES, pages, rays
 from .registry import query, table
 
 DEGREES = [-30.0, 0.0, 30.0, 60.0, 90.0]
-RAYS = ", ".join(f"({i}, CAST({math.cos(math.radians(a))!r} AS DOUBLE), CAST({math.sin(math.radians(a))!r} AS DOUBLE))" for i, a in enumerate(DEGREES))
-EDGES = f"""{LEVELS}, p AS (SELECT page, i // 8 AS y, i % 8 AS x, v < 128 AS dark FROM l), e AS (SELECT page, x, y FROM (SELECT *, lag(dark) OVER (PARTITION BY page, x ORDER BY y) AS above FROM p) WHERE dark AND NOT coalesce(above, FALSE))"""
+RAYS = rays(DEGREES)
 VOTES = f"{EDGES}, r(angle, c, s) AS (VALUES {RAYS}), n AS (SELECT page, angle, CAST(floor(y * c - x * s + CAST(0.5 AS DOUBLE)) AS INT) AS d, count(*) AS n FROM e, r GROUP BY ALL)"
 
 
