@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import random
 
 import numpy as np
 import pytest
@@ -177,3 +178,34 @@ def test_quality_pools_alike_in_any_company():
     assert (alone == classifier.pooled(cut, vectors, texts)).all()
     bucket, _, code, first = cut([b"ab " * 10 + b"x" * (3 << 20) + b" ab " + b"x" * (3 << 20)])
     assert first.tolist() == [0, 13] and code[10] == code[12] and len({*code[:10].tolist(), code[11]}) == 1
+
+
+def test_small_sets_lose_no_pair(spark, monkeypatch):
+    """Sets of 1 to 20 shingles meet by their prefixes, even if no sampled bits are alike."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(150):
+        w = [f"w{g}x{i}" for i in range(rng.randrange(5, 25))]
+        rows.append(" ".join(w))
+        for _ in range(2):
+            v = list(w)
+            at = rng.choice([0, len(v) - 1])
+            v[at] = f"v{g}x{rng.random()}"
+            rows.append(" ".join(v if rng.random() < 0.7 else [*v, "more"]))
+    docs = list(enumerate(rows))
+    want = similar_components(docs)
+    assert 150 < len(set(want.values())) < len(rows)
+    monkeypatch.setattr(simhash, "wide_plan", lambda *a, **how: (256, [list(range(60))]))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.id: r.component_id for r in simhash.similar_documents(df).collect()} == want
+
+
+def test_prefixes_meet():
+    rng = np.random.default_rng(1)
+    for _ in range(3000):
+        n, m = rng.integers(1, 33), rng.integers(0, 9)
+        base = rng.integers(0, 1 << 62, n + m, dtype=np.uint64)
+        a, b = np.unique(base[:n]), np.unique(base[rng.integers(0, m + 1) :])
+        both = len(np.intersect1d(a, b))
+        if both / (len(a) + len(b) - both) >= 0.8:
+            assert len(np.intersect1d(simhash.prefix(a, 0.8), simhash.prefix(b, 0.8)))
