@@ -42,7 +42,7 @@ def stable_key(id_col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
 
 
-def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40) -> DataFrame:
+def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rows_a_part: int = 1_000_000) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for each row of df.
 
     The id and the number of shards alone decide the shard (law 'key'), and
@@ -51,17 +51,20 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     from 0 without gaps, in order of (bucket of the id's hash, hash, id, crc, size); rows equal in
     all of these get neighbouring slots in any order. Null ids share one shard.
     Slots come from counts of (shard, bucket of the hash) and a rank within the
-    bucket, so that a shard's rows needn't meet in one task.
+    bucket, so that a shard's rows needn't meet in one task; a bucket of more than
+    `rows_a_part` rows, such as that of rows without an id, is dealt to parts,
+    and its slots follow the parts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), stable_key(F.col(id_col)).alias("key"))
     rows = rows.withColumn("shard", jump_shard(F.col("key"), shards)).withColumn("grown_shard", jump_shard(F.col("key"), shards + 1))
-    rows = written(rows.withColumn("bucket", (F.col("key") % 1024).cast("int")))
-    counts = rows.groupBy("shard", "bucket").count()
-    before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    within = W.partitionBy("shard", "bucket").orderBy("key", "id", "text_crc32", "size")
-    placed = rows.withColumn("rank", F.row_number().over(within)).join(starts, ["shard", "bucket"])
+    rows = written(rows.withColumns({"bucket": (F.col("key") % 1024).cast("int"), "tie": F.monotonically_increasing_id()}))
+    buckets = rows.groupBy("shard", "bucket").agg(F.ceil(F.count("*") / rows_a_part).alias("parts"))
+    rows = rows.join(buckets, ["shard", "bucket"]).withColumn("part", F.pmod(F.xxhash64("tie"), F.col("parts")))
+    before = W.partitionBy("shard").orderBy("bucket", "part").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("shard", "bucket", "part").count().select("shard", "bucket", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    within = W.partitionBy("shard", "bucket", "part").orderBy("key", "id", "text_crc32", "size")
+    placed = rows.withColumn("rank", F.row_number().over(within)).join(starts, ["shard", "bucket", "part"])
     return placed.select("id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"), "grown_shard")
 
 
