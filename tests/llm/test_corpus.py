@@ -651,3 +651,92 @@ def test_items_that_begin_alike():
     assert (time.perf_counter() - began) / 20 < 0.01
     n, hit, own = machine.find(b"before " + items[777][1] + b" after")
     assert 777 in own and hit.tolist() == [False] + [True] * 20 + [False]
+
+
+def test_slots_of_many_rows_without_an_id(spark):
+    """A bucket that is dealt to parts still gives each shard's slots without gaps, each once."""
+    rows = [(None if i % 3 == 0 else i % 50, f"text {i % 7}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for a_part in (1, 10, 1000):
+        slots = collections.defaultdict(list)
+        got = sharding.shard_rows(df, rows_a_part=a_part).collect()
+        for r in got:
+            slots[r.shard].append(r.slot)
+        assert len(got) == 600 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert len({r.shard for r in got if r.id is None}) == 1
+
+
+BIG = 1 << 64
+
+
+def plain_words(text: bytes) -> list[bytes]:
+    return [w for w in re.split(rb"[\x20\x09-\x0D]+", text) if w]
+
+
+def plain_hash(word: bytes) -> int:
+    """A word's 64 bits, letter by letter."""
+    code = sum((b + 1) * pow(classifier.RADIX, i, BIG) for i, b in enumerate(word)) % BIG
+    return (code ^ code >> 29) * classifier.MIX % BIG
+
+
+def plain_places(code: int) -> list[int]:
+    x = (code ^ code >> 32) * classifier.MIX % BIG
+    x = (x ^ x >> 29) * classifier.RADIX % BIG
+    return [x >> (59 - 8 * i) & (classifier.DIM - 1) for i in range(4)]
+
+
+def plain_shape(word: bytes) -> int:
+    kind = lambda b: 1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 else 3 if 48 <= b <= 57 else 4 if b > 127 else 0
+    shape = ((kind(word[0]) * 5 + kind(word[min(1, len(word) - 1)])) * 5 + kind(word[max(len(word) - 2, 0)])) * 8 + (min(len(word), 15) >> 1)
+    shape = (shape << 8 | (word[-1] if kind(word[-1]) == 0 else kind(word[-1]))) + 1
+    shape = shape * classifier.MIX % BIG
+    return ((shape ^ shape >> 32) * classifier.MIX % BIG) >> 55
+
+
+def plain_features(vectors: dict, text: bytes) -> list[float]:
+    """A text's row by sums over its words, one after another."""
+    w = plain_words(text)
+    own = [vectors.get(plain_hash(x) >> 50, [0] * classifier.DIM) for x in w]
+    n = max(len(w), 1)
+    mean = [sum(v[i] for v in own) / n / classifier.UNIT for i in range(classifier.DIM)]
+    spread = [math.sqrt(max(0.0, sum(v[i] ** 2 for v in own) / n / classifier.UNIT**2 - mean[i] ** 2)) for i in range(classifier.DIM)]
+    shape = [sum(int(classifier.SHAPE_VECTORS[plain_shape(x)][i]) for x in w) / n for i in range(classifier.SHAPE_DIM)]
+    new = sum(i == 0 or w[i] != w[i - 1] for i in range(len(w))) / n
+    return [*mean, *spread, *shape, new, len(set(w)) / n, math.log1p(len(w))]
+
+
+def plain_score(net, x: list[float]) -> float:
+    z = [min(8.0, max(-8.0, (v - m) / s)) for v, m, s in zip(x, net.mean.tolist(), net.scale.tolist(), strict=True)]
+    hidden = [math.tanh(sum(v * w for v, w in zip(z, net.w1[:, j].tolist(), strict=True)) + float(net.b1[j])) for j in range(len(net.b1))]
+    logit = sum(h * w for h, w in zip(hidden, net.w2.tolist(), strict=True)) + net.b2
+    return 1 / (1 + math.exp(-logit / net.temperature))
+
+
+def test_classifier_by_plain_python(spark):
+    """Word vectors, documents' features and scores, on small data, as sums and products of plain numbers."""
+    rng = random.Random(6)
+    words = ["the", "Of", "a", "x9", "&&", "naïve", "end.", "LONGER-word", "ß"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(30))) + rng.choice(["", "\n", " \t x"])) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    sums: dict = {}
+    for _, t in rows:
+        w = plain_words((t or "").encode())
+        for i, x in enumerate(w):
+            own = sums.setdefault(plain_hash(x) >> 50, [0] * classifier.DIM)
+            for y in (x, *w[max(0, i - 1) : i], *w[i + 1 : i + 2]):
+                for k, place in enumerate(plain_places(plain_hash(y))):
+                    own[place] += 1 if k < 2 else -1
+    vectors = {}
+    for b, v in sums.items():
+        size = max(1.0, math.sqrt(sum(x * x for x in v)))
+        vectors[b] = [float(np.round(x * (classifier.UNIT / size))) for x in v]
+    got = classifier.word_vectors(df)
+    assert {b for b in range(classifier.WORDS) if got[b].any()} <= set(vectors)
+    assert all(np.abs(got[b] - np.array(v)).max() <= 1 for b, v in vectors.items())
+    exact = {b: got[b].tolist() for b in vectors}
+    _, net = classifier.train(df, labels)
+    scores = {r.row.doc_id: r.score for r in classifier.quality(df, labels).collect()}
+    for i, t in rows:
+        assert math.isclose(scores[i], plain_score(net, plain_features(exact, (t or "").encode())), rel_tol=1e-6, abs_tol=1e-9), i
