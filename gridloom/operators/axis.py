@@ -233,9 +233,11 @@ def chosen_grid(refined: Column, raw: Column, template: Column) -> Column:
 
 
 def corners(points: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, top_left, top_right, bottom_right, bottom_left) of a page's corner points, by sums and differences."""
+    """(keys, top_left, top_right, bottom_right, bottom_left) of a page's corner points, by sums and differences; of equals the leftmost, then the topmost."""
     p = F.struct("x", "y")
-    return points.groupBy(*keys).agg(F.min_by(p, F.col("x") + F.col("y")).alias("top_left"), F.min_by(p, F.col("y") - F.col("x")).alias("top_right"), F.max_by(p, F.col("x") + F.col("y")).alias("bottom_right"), F.max_by(p, F.col("y") - F.col("x")).alias("bottom_left"))
+    first, last = (lambda c: F.min_by(p, F.struct(c, "x", "y"))), (lambda c: F.min_by(p, F.struct(-c, "x", "y")))
+    both, apart = F.col("x") + F.col("y"), F.col("y") - F.col("x")
+    return points.groupBy(*keys).agg(first(both).alias("top_left"), first(apart).alias("top_right"), last(both).alias("bottom_right"), last(apart).alias("bottom_left"))
 
 
 def padded_corners(points: DataFrame, keys: list[str], padding: float, width: Column, height: Column) -> DataFrame:

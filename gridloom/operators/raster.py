@@ -223,3 +223,33 @@ def painted(pages: DataFrame, ranges: list[tuple[float, float]], overfill: int =
     for left, right in ranges:
         gone = gone | F.col("x").between(left - overfill, right + overfill)
     return levels(pages).withColumn("v", F.when(gone, 255).otherwise(F.col("v")))
+
+
+def redaction_lines(ranges: DataFrame, tables: DataFrame, borders: DataFrame, curves: DataFrame | None = None) -> DataFrame:
+    """(page, range, y, left, right, left_by, right_by): where each line of a redacted range begins and ends, and what says so.
+
+    ranges has (page, range, left_index, right_index), the edges that bound it,
+    and tables (page, top, bottom). An edge follows its curve (page, index, y, x) if
+    that has every line of the table; else the border that matched_borders() found,
+    straight from top to bottom; else it stays where the grid has it.
+    """
+    lines = tables.select("page", "top", "bottom", F.explode(F.sequence("top", F.col("bottom") - 1)).alias("y"))
+    if curves is None:
+        curves = borders.select("page", "index", F.lit(0).alias("y"), F.col("x").cast("double").alias("x")).limit(0)
+    own = curves.join(tables.select("page", "top", "bottom"), "page").where("y >= top and y < bottom")
+    whole = own.groupBy("page", "index").agg((F.countDistinct("y") == F.first(F.col("bottom") - F.col("top"))).alias("_whole")).where("_whole").drop("_whole")
+    traced = own.join(whole, ["page", "index"]).groupBy("page", "index", "y").agg(F.min("x").cast("double").alias("_x"))
+    edges = borders.join(lines, "page").join(traced, ["page", "index", "y"], "left")
+    lean = F.col("top_x") + (F.col("bottom_x") - F.col("top_x")) * (F.col("y") - F.col("top")) / (F.col("bottom") - F.col("top"))
+    at = edges.select("page", "index", "y", F.coalesce("_x", lean).alias("at"), F.when(F.col("_x").isNotNull(), "curve").when(F.col("matched"), "border").otherwise("grid").alias("by"))
+    left = at.select("page", F.col("index").alias("left_index"), "y", F.col("at").alias("left"), F.col("by").alias("left_by"))
+    right = at.select("page", F.col("index").alias("right_index"), "y", F.col("at").alias("right"), F.col("by").alias("right_by"))
+    return ranges.join(left, ["page", "left_index"]).join(right, ["page", "right_index", "y"]).select("page", "range", "y", "left", "right", "left_by", "right_by")
+
+
+def painted_lines(pages: DataFrame, lines: DataFrame, overfill: int = 2) -> DataFrame:
+    """(page, y, x, v): pages with the stretches of redaction_lines() white, `overfill` pixels more on either side."""
+    own = lines.groupBy("page", "y").agg(F.collect_list(F.struct((F.col("left") - overfill).alias("a"), (F.col("right") + overfill).alias("b"))).alias("gone"))
+    rows = levels(pages).join(own, ["page", "y"], "left")
+    inside = F.coalesce(F.exists("gone", lambda g: (F.col("x") >= g["a"]) & (F.col("x") <= g["b"])), F.lit(False))
+    return rows.select("page", "y", "x", F.when(inside, 255).otherwise(F.col("v")).alias("v"))

@@ -224,6 +224,13 @@ def i25_corners(spark, d):
     return q.select("page", f("top_left", 1), f("top_right", -1), f("bottom_right", 1), f("bottom_left", -1))
 
 
+@query(f"""WITH {POINTS}, q AS (SELECT page, arg_min({{'x': x, 'y': y}}, (s, x, y)) AS a, arg_min({{'x': x, 'y': y}}, (t, x, y)) AS b, arg_min({{'x': x, 'y': y}}, (-s, x, y)) AS c, arg_min({{'x': x, 'y': y}}, (-t, x, y)) AS d FROM p GROUP BY page)
+SELECT page, CAST(round_even(greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), sqrt((d.x - c.x) ** 2 + (d.y - c.y) ** 2)), 0) AS BIGINT) AS width, CAST(round_even(greatest(sqrt((a.x - d.x) ** 2 + (a.y - d.y) ** 2), sqrt((b.x - c.x) ** 2 + (b.y - c.y) ** 2)), 0) AS BIGINT) AS height FROM q""")
+def i27_target_size(spark, d):
+    points = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") % 97).alias("x"), (F.col("l_suppkey") % 89).alias("y"))
+    return a.target_size(a.corners(points, ["page"])).select("page", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"))
+
+
 @query(f"""WITH {POINTS}, c AS (SELECT page, x, y, avg(x) OVER (PARTITION BY page) AS cx, avg(y) OVER (PARTITION BY page) AS cy FROM p)
 SELECT page, x, y, round(greatest(0.0, least(96.0, x + coalesce((x - cx) * 4.0 / nullif(sqrt((x - cx) ** 2 + (y - cy) ** 2), 0), 0.0))), 6) AS px, round(greatest(0.0, least(88.0, y + coalesce((y - cy) * 4.0 / nullif(sqrt((x - cx) ** 2 + (y - cy) ** 2), 0), 0.0))), 6) AS py FROM c""")
 def i26_padded_corners(spark, d):

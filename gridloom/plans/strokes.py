@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import hough
+from gridloom.operators import hough, raster
 
 from .images import EDGES, pages, rays
 from .registry import query, table
@@ -37,12 +37,30 @@ def i17_segments(spark, d):
     return hough.segments(points, hough.votes(points, DEGREES).where("n >= 3"), DEGREES, 2.5, 2.0).drop("slope")
 
 
-@query(f"""WITH s AS (SELECT l_suppkey AS page, CAST(l_quantity AS DOUBLE) * 10 AS top_x, CAST(l_quantity AS DOUBLE) * 10 + l_linenumber - 4 AS bottom_x, CAST(l_extendedprice AS DOUBLE) AS length FROM lineitem),
+BORDERS = """s AS (SELECT l_suppkey AS page, CAST(l_quantity AS DOUBLE) * 10 AS top_x, CAST(l_quantity AS DOUBLE) * 10 + l_linenumber - 4 AS bottom_x, CAST(l_extendedprice AS DOUBLE) AS length FROM lineitem),
 e AS (SELECT s_suppkey AS page, CAST(i AS INT) AS index, i * 41 + s_suppkey % 7 AS x FROM supplier, generate_series(0, 12) AS g(i)), n AS (SELECT page, greatest(CAST(3 AS DOUBLE), (max(x) - min(x)) * CAST(0.015 AS DOUBLE)) AS near FROM e GROUP BY page),
-b AS (SELECT page, index, arg_min(top_x, (abs((top_x + bottom_x) / 2 - x), -length, top_x, bottom_x)) AS top_x, arg_min(bottom_x, (abs((top_x + bottom_x) / 2 - x), -length, top_x, bottom_x)) AS bottom_x FROM e JOIN n USING (page) JOIN s USING (page) WHERE abs((top_x + bottom_x) / 2 - x) <= near GROUP BY page, index)
-SELECT page, index, coalesce(top_x, x) AS top_x, coalesce(bottom_x, x) AS bottom_x, top_x IS NOT NULL AS matched FROM e LEFT JOIN b USING (page, index)""")
-def i35_matched_borders(spark, d):
+b AS (SELECT page, index, arg_min(top_x, (abs((top_x + bottom_x) / 2 - x), -length, top_x, bottom_x)) AS top_x, arg_min(bottom_x, (abs((top_x + bottom_x) / 2 - x), -length, top_x, bottom_x)) AS bottom_x FROM e JOIN n USING (page) JOIN s USING (page) WHERE abs((top_x + bottom_x) / 2 - x) <= near GROUP BY page, index)"""
+
+
+def borders(spark, d):
+    """(edges, their borders): edges of suppliers' pages, and line items as rules."""
     left = F.col("l_quantity").cast("double") * 10
     rules = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("page"), left.alias("top_x"), (left + F.col("l_linenumber") - 4).alias("bottom_x"), F.col("l_extendedprice").alias("length"))
     edges = table(spark, d, "supplier").select(F.col("s_suppkey").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(12))).alias("index")).withColumn("x", F.col("index") * 41 + F.col("page") % 7)
-    return hough.matched_borders(edges, rules).drop("x")
+    return edges, hough.matched_borders(edges, rules)
+
+
+@query(f"""WITH {BORDERS} SELECT page, index, coalesce(top_x, x) AS top_x, coalesce(bottom_x, x) AS bottom_x, top_x IS NOT NULL AS matched FROM e LEFT JOIN b USING (page, index)""")
+def i35_matched_borders(spark, d):
+    return borders(spark, d)[1].drop("x")
+
+
+@query(f"""WITH {BORDERS}, k AS (SELECT page, index, CASE WHEN index % 4 = 1 THEN 'curve' WHEN top_x IS NOT NULL THEN 'border' ELSE 'grid' END AS by, y, CASE WHEN index % 4 = 1 THEN x + y % 3 ELSE coalesce(top_x, x) + (coalesce(bottom_x, x) - coalesce(top_x, x)) * (y - 2) / CAST(8 AS DOUBLE) END AS at FROM e LEFT JOIN b USING (page, index), generate_series(2, 9) AS g(y))
+SELECT l.page, CAST(l.index // 2 AS INT) AS range, CAST(l.y AS INT) AS y, CAST(l.at AS DOUBLE) AS "left", CAST(r.at AS DOUBLE) AS "right", l.by AS left_by, r.by AS right_by FROM k AS l JOIN k AS r ON l.page = r.page AND l.y = r.y AND r.index = l.index + 1 WHERE l.index % 2 = 0""")
+def i33_redaction_lines(spark, d):
+    """Every second column is redacted; every fourth edge has a curve, and some of the others a border."""
+    edges, found = borders(spark, d)
+    pages = table(spark, d, "supplier").select(F.col("s_suppkey").alias("page"), F.lit(2).alias("top"), F.lit(10).alias("bottom"))
+    curves = edges.where("index % 4 = 1").select("page", "index", F.explode(F.sequence(F.lit(2), F.lit(9))).alias("y"), "x").withColumn("x", F.col("x") + F.col("y") % 3)
+    ranges = edges.where("index % 2 = 0 and index < 12").select("page", F.floor(F.col("index") / 2).cast("int").alias("range"), F.col("index").alias("left_index"), (F.col("index") + 1).alias("right_index"))
+    return raster.redaction_lines(ranges, pages, found, curves)

@@ -108,3 +108,23 @@ def test_warped(pages, drawn):
 
 def test_painted(pages, drawn):
     same(raster.painted(pages, [(3, 4), (9, 9)], 1), [image.redacted(p, [(3, 4), (9, 9)], 1) for p in drawn])
+
+
+def test_redaction_by_curve_border_and_grid(spark):
+    """Each side of a redacted column follows what is known of its edge; a curve with a gap isn't followed."""
+    page = np.full((12, 60), 100, np.uint8)
+    pages = spark.createDataFrame([(0, *page.shape, page.tobytes())], PAGE)
+    tables = spark.createDataFrame([(0, 2, 10)], "page int, top int, bottom int")
+    borders = spark.createDataFrame([(0, 0, 10, 10.0, 10.0, False), (0, 1, 20, 19.0, 23.0, True), (0, 2, 30, 30.0, 30.0, False), (0, 3, 40, 40.0, 48.0, True)], "page int, index int, x int, top_x double, bottom_x double, matched boolean")
+    curves = spark.createDataFrame([(0, 2, y, 30 + y % 2) for y in range(2, 10)] + [(0, 3, y, 0) for y in range(2, 9)], "page int, index int, y int, x int")
+    ranges = spark.createDataFrame([(0, 0, 0, 1), (0, 1, 2, 3)], "page int, range int, left_index int, right_index int")
+    lines = raster.redaction_lines(ranges, tables, borders, curves)
+    assert {(r.range, r.left_by, r.right_by) for r in lines.collect()} == {(0, "grid", "border"), (1, "curve", "border")}
+    want = page.copy()
+    for y in range(2, 10):
+        for left, right in ((10, 19 + 4 * (y - 2) / 8), (30 + y % 2, 40 + y - 2)):
+            for x in range(60):
+                if left - 1 <= x <= right + 1:
+                    want[y, x] = 255
+    same(raster.painted_lines(pages, lines, 1), [want])
+    assert {r.left_by for r in raster.redaction_lines(ranges, tables, borders).collect()} == {"grid"}
