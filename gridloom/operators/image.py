@@ -245,10 +245,10 @@ def long_thin(mask: np.ndarray, least: int, most: int, axis: int) -> np.ndarray:
     return np.concatenate(([False], (length >= least) & (thickness <= most)))[label]
 
 
-def character_height(image: np.ndarray, least_area: int = 10) -> int:
-    """Median height of the ink's components of at least that area and at most an eighth of the page's height; 0 without any."""
-    box = boxes(*labels(sparser(image)))
-    heights = box[(box[:, 0] >= least_area) & (box[:, 3] <= max(8, image.shape[0] // 8)), 3]
+def character_height(mask: np.ndarray, least_area: int = 10) -> int:
+    """Median height of the mask's components of at least that area; 0 without any."""
+    box = boxes(*labels(mask))
+    heights = box[box[:, 0] >= least_area, 3]
     return int(np.median(heights)) if len(heights) else 0
 
 
@@ -301,14 +301,12 @@ def turned_alike(pages: DataFrame, angles: DataFrame) -> DataFrame:
     return both.select("page", "height", "width", "data", "angle").mapInArrow(run, f"page {kind}, height int, width int, data binary")
 
 
-def crossing_gate(mask: np.ndarray, other: np.ndarray, least: int) -> np.ndarray:
-    """Components of the mask that touch at least `least` distinct components of the other."""
+def crossing_gate(mask: np.ndarray, other: np.ndarray, least: int, dx: int = 1, dy: int = 1) -> np.ndarray:
+    """Components of the mask that touch at least `least` distinct components of the other, when that is grown by dx and dy."""
     label, n = labels(mask)
-    wide = np.pad(mask, 1)
-    wide = np.maximum.reduce([wide[a : a + mask.shape[0], b : b + mask.shape[1]] for a in range(3) for b in range(3)])
-    theirs, _ = labels(other)
-    grown = np.maximum.reduce([np.pad(label, 1)[a : a + mask.shape[0], b : b + mask.shape[1]] for a in range(3) for b in range(3)])
-    both = np.unique(np.stack([grown[wide & (theirs > 0)], theirs[wide & (theirs > 0)]]), axis=1)
+    wide = np.pad(other, ((dy, dy), (dx, dx)))
+    theirs, _ = labels(np.maximum.reduce([wide[a : a + mask.shape[0], b : b + mask.shape[1]] for a in range(2 * dy + 1) for b in range(2 * dx + 1)]))
+    both = np.unique(np.stack([label[theirs > 0], theirs[theirs > 0]]), axis=1)
     return np.concatenate(([False], np.bincount(both[0], minlength=n + 1)[1:] >= least))[label]
 
 
@@ -321,14 +319,15 @@ class Lines:
 
 
 def ruled_lines(image: np.ndarray, scale: float = 1.55, shortest: float | None = None) -> Lines:
-    """Rules of a two-valued page: long runs with small gaps closed, thin and long components, that cross the other direction."""
-    ink = sparser(image)
+    """Rules of a two-valued page: small gaps closed, long runs, thin and long components, that cross the other direction. Of as many dark as light pixels the light ones are ink."""
+    dark = image < 128
+    ink = dark if 2 * dark.sum() < dark.size else ~dark
     h, w = image.shape
-    char = max(1, character_height(image))
+    char = character_height(ink) or 10
     across = max(3, int(char * scale), w // 32)
     down = max(3, int(0.6 * across), h // 80)
-    rows = closed(opened(ink, across, 1), min(max(across // 4, 1), max(1, w // 180)), 1)
-    cols = closed(opened(ink, down, 0), min(max(down // 2, 1), max(1, h // 180)), 0)
+    rows = opened(closed(ink, min(max(across // 4, 1), max(1, w // 180)), 1), across, 1)
+    cols = opened(closed(ink, min(max(down // 2, 1), max(1, h // 180)), 0), down, 0)
     long_row, long_col = max(18, min(int(0.08 * w), 2 * across)), max(14, min(int(0.08 * h), 3 * down))
     if shortest is not None:
         long_row = min(long_row, max(3, round(w * shortest)))
@@ -338,7 +337,7 @@ def ruled_lines(image: np.ndarray, scale: float = 1.55, shortest: float | None =
         cols = long_thin(opened(ink, max(3, int(0.8 * down)), 0), max(14, int(0.55 * long_col)), thick, 0)
     least = 1 if h < 200 else 2
     cols = crossing_gate(cols, rows, least)
-    rows = crossing_gate(rows, cols, least)
+    rows = crossing_gate(rows, cols, least, 1, 3)
     return Lines(rows, crossing_gate(cols, rows, least))
 
 

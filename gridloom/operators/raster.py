@@ -105,17 +105,23 @@ def components(runs: DataFrame) -> DataFrame:
     nodes = stored(runs.select("page", "y", "start", "end", own.alias("node")))
     above = nodes.select("page", (F.col("y") + 1).alias("y"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("node").alias("other"))
     met = nodes.join(above, ["page", "y"]).where("start <= e + 1 and s <= end + 1").select("page", "node", "other")
-    edges = stored(met.union(met.select("page", "other", "node")))
+    return nodes.join(least_labels(nodes.select("page", "node"), met), ["page", "node"]).select("page", "y", "start", "end", "label")
+
+
+def least_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(page, node, label) with the least node that links (page, node, other), either way, lead to from each of (page, node)."""
     labels = nodes.select("page", "node", F.col("node").alias("label"))
+    edges = stored(links.select("page", "node", "other").union(links.select("page", "other", "node")))
+    if edges.isEmpty():
+        return labels
     while True:
         near = edges.join(labels.withColumnRenamed("node", "other"), ["page", "other"]).groupBy("page", "node").agg(F.min("label").alias("least"))
         lower = labels.join(near, ["page", "node"], "left").select("page", "node", "label", F.least("label", "least").alias("next"))
         jump = lower.select("page", F.col("node").alias("next"), F.col("next").alias("far"))
         after = stored(lower.join(jump, ["page", "next"]).select("page", "node", "label", F.least("next", "far").alias("next")))
-        moved = after.where("next < label").isEmpty()
         labels = after.select("page", "node", F.col("next").alias("label"))
-        if moved:
-            return nodes.join(labels, ["page", "node"]).select("page", "y", "start", "end", "label")
+        if after.where("next < label").isEmpty():
+            return labels
 
 
 def component_boxes(labelled: DataFrame) -> DataFrame:

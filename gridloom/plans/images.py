@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import hough, raster, recognize
+from gridloom.functions.deploy import stored
+from gridloom.operators import hough, raster, recognize, ruling
 from gridloom.operators import image as g
 from gridloom.operators.refine import refined_grid
 
@@ -36,10 +37,9 @@ def i13_dark_pixels(spark, d):
     return g.pixels(pages(spark, d))
 
 
-@query(f"WITH {LEVELS} SELECT page, count_if(v < 128) <= count_if(v >= 128) AS dark_is_ink FROM l GROUP BY page")
+@query(f"WITH {LEVELS} SELECT page, count_if(v < 128) < count_if(v >= 128) AS dark_is_ink FROM l GROUP BY page")
 def i13_polarity(spark, d):
-    level = F.filter("embedding", lambda x: F.floor(x * 256 + 128) < 128)
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("page"), (2 * F.size(level) <= F.size("embedding")).alias("dark_is_ink"))
+    return ruling.with_polarity(stored(pages(spark, d))).select("page", F.col("dark").alias("dark_is_ink"))
 
 
 @query(f"WITH {LEVELS} SELECT page, y, count_if(v < 128) AS value FROM (SELECT page, i // 8 AS y, v FROM l) GROUP BY page, y")
@@ -179,3 +179,31 @@ def r10_read_with_rules(spark, d):
     cells = pages(spark, d).select("page", F.lit(0).alias("row"), (F.col("page") % 3).cast("int").alias("col"), "height", "width", "data")
     rules = spark.createDataFrame([(0, "temp", "Temperature", "temperature", r"\d{1,3}", 126.0, 128.0)], "index int, key string, name string, value_type string, pattern string, range_min double, range_max double")
     return recognize.read_with_rules(cells, rules, recognize.engine("darkness"), prepare=False).select("page", "text", "raw_text", "validation_error")
+
+
+def ruled_pages(spark, d):
+    """(page, height, width, data): the forms as pages; every second one has an upright stroke and every fifth a level one that cross nothing."""
+    place = F.sequence(F.lit(0), F.lit(FORM_HEIGHT * FORM_WIDTH - 1))
+    y, x = (lambda i: F.floor(i / FORM_WIDTH)), (lambda i: i % FORM_WIDTH)
+    k = F.col("page")
+    ink = lambda i: (F.substring("horizontal", i + 1, 1) == F.lit(b"\xff")) | (F.substring("vertical", i + 1, 1) == F.lit(b"\xff"))
+    stray = lambda i: ((k % 2 == 0) & (x(i) == 20) & y(i).between(52, 67)) | ((k % 5 == 0) & (y(i) == 70) & x(i).between(10, 40))
+    data = F.unhex(F.array_join(F.transform(place, lambda i: F.when(ink(i) | stray(i), "00").otherwise("FF")), ""))
+    return stored(stored(forms(spark, d)).select("page", "height", "width", data.alias("data")))
+
+
+@query("""WITH f AS (SELECT s_suppkey AS page, 4 + s_suppkey % 4 AS last, 2 + s_nationkey % 3 AS rest, s_suppkey % 3 = 0 AS gap FROM supplier)
+SELECT page, 'horizontal' AS direction, 4 + 6 * r AS place, 3 AS first, 3 + 15 * rest AS last FROM (SELECT *, unnest(generate_series(0, last)) AS r FROM f) WHERE NOT (gap AND r = 2)
+UNION ALL SELECT page, 'vertical', 3 + 15 * c, 4, 4 + 6 * last FROM (SELECT *, unnest(generate_series(0, rest)) AS c FROM f)""")
+def i20_ruled_lines(spark, d):
+    horizontal, vertical = ruling.ruled_lines(ruled_pages(spark, d), 0.3)
+    level = horizontal.groupBy("page", "label").agg(F.min("y").alias("place"), F.min("start").alias("first"), F.max("end").alias("last")).withColumn("direction", F.lit("horizontal"))
+    upright = vertical.groupBy("page", "label").agg(F.min("start").alias("place"), F.min("y").alias("first"), F.max("y").alias("last")).withColumn("direction", F.lit("vertical"))
+    return level.unionByName(upright).select("page", "direction", "place", "first", "last")
+
+
+@query("""WITH f AS (SELECT s_suppkey AS page, 4 + s_suppkey % 4 AS last, 2 + s_nationkey % 3 AS rest, s_suppkey % 3 = 0 AS gap FROM supplier)
+SELECT page, CAST(3 + 15 * c AS INT) AS x, CAST(4 + 6 * r AS INT) AS y FROM (SELECT *, unnest(generate_series(0, rest)) AS c FROM (SELECT *, unnest(generate_series(0, last)) AS r FROM f)) WHERE NOT (gap AND r = 2)""")
+def i22_page_crossings(spark, d):
+    own = ruled_pages(spark, d)
+    return ruling.crossing_points(*ruling.ruled_lines(own, 0.3), own)
