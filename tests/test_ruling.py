@@ -100,7 +100,7 @@ def test_rules_and_crossings(spark):
 
 def test_sizes(spark):
     """What the scale, the page and a least share of the width ask of rules, by plain Python."""
-    drawn = {str(i): np.full(shape, 255, np.uint8) for i, shape in enumerate([(150, 320), (900, 2000), (199, 64), (200, 64)])}
+    drawn = {str(i): np.full(shape, 255, np.uint8) for i, shape in enumerate([(150, 320), (190, 760), (199, 64), (200, 64)])}
     for i, p in enumerate(drawn.values()):
         letters(p, np.random.default_rng(i), 25 if i < 3 else 0)
     own = ruling.with_polarity(paged(spark, drawn))
