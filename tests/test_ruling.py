@@ -1,4 +1,4 @@
-"""Rules found as runs against a kernel, and against pages drawn for the purpose."""
+"""Rules found as runs against numpy, and against pages drawn for the purpose."""
 
 from __future__ import annotations
 
@@ -17,6 +17,45 @@ def letters(page: np.ndarray, rng: np.random.Generator, n: int) -> None:
         page[y : y + 7, x : x + 1 + rng.integers(1, 5)] = 0
 
 
+def character_height(mask: np.ndarray, least_area: int = 10) -> int:
+    """Median height of the mask's components of at least that area; 0 without any."""
+    box = image.boxes(*image.labels(mask))
+    heights = box[box[:, 0] >= least_area, 3]
+    return int(np.median(heights)) if len(heights) else 0
+
+
+def crossing_gate(mask: np.ndarray, other: np.ndarray, least: int, dx: int = 1, dy: int = 1) -> np.ndarray:
+    """Components of the mask that touch at least `least` distinct components of the other, when that is grown by dx and dy."""
+    label, n = image.labels(mask)
+    wide = np.pad(other, ((dy, dy), (dx, dx)))
+    theirs, _ = image.labels(np.maximum.reduce([wide[a : a + mask.shape[0], b : b + mask.shape[1]] for a in range(2 * dy + 1) for b in range(2 * dx + 1)]))
+    both = np.unique(np.stack([label[theirs > 0], theirs[theirs > 0]]), axis=1)
+    return np.concatenate(([False], np.bincount(both[0], minlength=n + 1)[1:] >= least))[label]
+
+
+def ruled_lines(image: np.ndarray, scale: float = 1.55, shortest: float | None = None) -> image.Lines:
+    """Rules of a two-valued page: small gaps closed, long runs, thin and long components, that cross the other direction. Of as many dark as light pixels the light ones are ink."""
+    dark = image < 128
+    ink = dark if 2 * dark.sum() < dark.size else ~dark
+    h, w = image.shape
+    char = character_height(ink) or 10
+    across = max(3, int(char * scale), w // 32)
+    down = max(3, int(0.6 * across), h // 80)
+    rows = image.opened(image.closed(ink, min(max(across // 4, 1), max(1, w // 180)), 1), across, 1)
+    cols = image.opened(image.closed(ink, min(max(down // 2, 1), max(1, h // 180)), 0), down, 0)
+    long_row, long_col = max(18, min(int(0.08 * w), 2 * across)), max(14, min(int(0.08 * h), 3 * down))
+    if shortest is not None:
+        long_row = min(long_row, max(3, round(w * shortest)))
+    thick = max(2, min(24, 2 * char))
+    rows, cols = image.long_thin(rows, long_row, thick, 1), image.long_thin(cols, long_col, thick, 0)
+    if not cols.any():
+        cols = image.long_thin(image.opened(ink, max(3, int(0.8 * down)), 0), max(14, int(0.55 * long_col)), thick, 0)
+    least = 1 if h < 200 else 2
+    cols = crossing_gate(cols, rows, least)
+    rows = crossing_gate(rows, cols, least, 1, 3)
+    return image.Lines(rows, crossing_gate(cols, rows, least))
+
+
 def forms() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(11)
     out = {"small": form(0.4)[0], "gaps": form(0.5)[0], "white": np.full((30, 40), 255, np.uint8), "half": np.repeat([[0], [255]], 10, axis=0).repeat(20, axis=1).astype(np.uint8)}
@@ -73,7 +112,7 @@ def leaning() -> np.ndarray:
 
 
 def test_rules_and_crossings(spark):
-    """Masks and crossings are the kernel's, but for rules that only votes find, which the kernel hasn't."""
+    """Masks and crossings are those of numpy below, but for rules that only votes find, which it hasn't."""
     drawn = forms() | {"leaning": leaning()}
     pages = paged(spark, drawn)
     horizontal, vertical = ruling.ruled_lines(pages)
@@ -85,14 +124,14 @@ def test_rules_and_crossings(spark):
     for k, p in drawn.items():
         if "leaning" in k:
             continue
-        want = image.ruled_lines(p)
+        want = ruled_lines(p)
         assert (rows[k] == want.horizontal).all() and (columns[k] == want.vertical).all(), k
         assert points[k] == set(image.crossing_points(want)), k
         seen += len(points[k])
     assert seen > 60 and not rows["stray"][5:7, 5:50].any() and not columns["stray"][185:, 8:10].any()
     assert (rows["light"] == rows["stray"]).all() and not rows["white"].any()
     found = columns["leaning"]
-    assert not image.ruled_lines(drawn["leaning"]).vertical.any()
+    assert not ruled_lines(drawn["leaning"]).vertical.any()
     for x in LEANING:
         assert np.mean([found[y, x + (y - 30) // 24 - 2 : x + (y - 30) // 24 + 3].any() for y in range(40, 262)]) > 0.9
     assert found.sum() < 3 * 4 * 242
@@ -109,7 +148,7 @@ def test_sizes(spark):
         for r in ruling.sizes(own, ink, scale, shortest).collect():
             p = drawn[r.page]
             h, w = p.shape
-            char = image.character_height(p == 0) or 10
+            char = character_height(p == 0) or 10
             across = max(3, int(char * scale), w // 32)
             down = max(3, int(across * 0.6), h // 80)
             long_x = max(18, min(int(w * 0.08), across * 2))
