@@ -33,11 +33,11 @@ def crossing_gate(mask: np.ndarray, other: np.ndarray, least: int, dx: int = 1,
     return np.concatenate(([False], np.bincount(both[0], minlength=n + 1)[1:] >= least))[label]
 
 
-def ruled_lines(image: np.ndarray, scale: float = 1.55, shortest: float | None = None) -> image.Lines:
+def ruled_lines(page: np.ndarray, scale: float = 1.55, shortest: float | None = None) -> image.Lines:
     """Rules of a two-valued page: small gaps closed, long runs, thin and long components, that cross the other direction. Of as many dark as light pixels the light ones are ink."""
-    dark = image < 128
+    dark = page < 128
     ink = dark if 2 * dark.sum() < dark.size else ~dark
-    h, w = image.shape
+    h, w = page.shape
     char = character_height(ink) or 10
     across = max(3, int(char * scale), w // 32)
     down = max(3, int(0.6 * across), h // 80)
