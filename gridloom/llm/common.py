@@ -29,13 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, no executor holds the only copy, and the shuffle files behind it go."""
+def written(df: DataFrame, **options: int) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut, no executor holds the only copy, and the shuffle files behind it go. `options` are the writer's."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

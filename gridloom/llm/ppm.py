@@ -23,6 +23,10 @@ from .common import LOWER_BYTES, as_bytes, pieces, shared_folder, written
 #: Two bytes that UTF-8 never has stand before a text's first byte and for its end.
 START, END = 0xFE, 0xFF
 SYMBOLS = 255
+#: Bytes of text whose codes are held at a time.
+PIECE = 1 << 20
+#: Rows of some megabytes are written in row groups of a few, which bounds what a writer and a reader hold.
+LARGE_ROWS = {"parquet.block.size": 1 << 25, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
 def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,6 +39,11 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return code[data[order:] != START], np.fromiter(map(len, texts), np.int64, len(texts)) + 1
 
 
+def distinct(texts: list[bytes], order: int) -> np.ndarray:
+    """The codes of texts, each once and in order; codes with repeats are held for a piece of the texts only."""
+    return np.unique(np.concatenate([np.unique(grams(piece, order)[0]) for piece in parts(texts, PIECE)]))
+
+
 def at(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, whether it is there) of each wanted value in a sorted array that isn't empty."""
     place = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
@@ -164,12 +173,13 @@ class Parts:
     def part_of(self, code: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, (code >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64), "right") - 1
 
-    def scored(self, rows: DataFrame, size: int = 1 << 24, tasks_a_part: int = 8) -> DataFrame:
+    def scored(self, rows: DataFrame, size: int = 1 << 23, tasks_a_part: int = 8) -> DataFrame:
         """rows (id, text, held) with a score.
 
         Chunks of texts are written once. Each sends its distinct codes to the
         tasks of their parts, several for each part, which send back a
-        logarithm for each; a chunk and its logarithms meet in a join.
+        logarithm for each; a chunk and its logarithms meet in a join. A task
+        turns one megabyte of a chunk to codes at a time.
         """
         source = rows.schema
         types = to_arrow_schema(source)
@@ -190,7 +200,7 @@ class Parts:
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    own = np.unique(grams(as_bytes(unpack(packed).column(1)), self.order)[0])
+                    own = distinct(as_bytes(unpack(packed).column(1)), self.order)
                     part = self.part_of(own)
                     for i in np.unique(part).tolist():
                         yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([chunk]), pa.array([own[part == i].tobytes()])], ["part", "chunk", "codes"])
@@ -205,11 +215,11 @@ class Parts:
                     logs = trie.logs(np.frombuffer(codes, np.uint64))
                     yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([part]), pa.array([logs.tobytes()])], ["chunk", "part", "logs"])
 
-        chunks = written(rows.mapInArrow(pack, "chunk long, packed binary"))
+        chunks = written(rows.mapInArrow(pack, "chunk long, packed binary"), **LARGE_ROWS)
         codes = chunks.mapInArrow(asked, "part long, chunk long, codes binary")
         slot = F.pmod(F.xxhash64("chunk"), F.lit(tasks_a_part))
         dealt = codes.repartition(len(self.parts) * tasks_a_part, "part", slot).sortWithinPartitions("part")
-        logs = written(dealt.mapInArrow(answered, "chunk long, part long, logs binary"))
+        logs = written(dealt.mapInArrow(answered, "chunk long, part long, logs binary"), **LARGE_ROWS)
         listed = logs.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "logs"))).alias("logs"))
         out = T.StructType([*source.fields, T.StructField("score", T.DoubleType())])
 
@@ -217,13 +227,17 @@ class Parts:
             for batch in batches:
                 for packed, found in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                     own = unpack(packed)
-                    code, n = grams(as_bytes(own.column(1)), self.order)
-                    unique, to = np.unique(code, return_inverse=True)
+                    texts = as_bytes(own.column(1))
+                    unique = distinct(texts, self.order)
                     # parts are ranges of the bytes before the symbol, so each part's codes are in their order among all
                     value, part = np.zeros(len(unique)), self.part_of(unique)
                     for f in found:
                         value[part == f["part"]] = np.frombuffer(f["logs"])
-                    score = np.add.reduceat(value[to], np.cumsum(n) - n)
+                    score = []
+                    for piece in parts(texts, PIECE):
+                        code, n = grams(piece, self.order)
+                        score.append(np.add.reduceat(value[np.searchsorted(unique, code)], np.cumsum(n) - n))
+                    score = np.concatenate(score)
                     yield pa.RecordBatch.from_arrays([*own.columns, pa.array(score)], schema=to_arrow_schema(out))
 
         return chunks.join(listed, "chunk").select("packed", "logs").mapInArrow(summed, out)
@@ -236,11 +250,11 @@ def loaded(path: str) -> Trie:
 
 
 def train(df: DataFrame, text_col: str, order: int = 5, size: int = 4_000_000) -> Whole | Parts:
-    """The trie of all texts of df, in parts of some `size` distinct codes.
+    """The trie of all texts of df: of up to `size` distinct codes whole, of more in parts of a quarter of that.
 
-    The order is the same at every size; only the number of parts grows. One
-    part is built by the driver and broadcast; several are built by tasks, each
-    of which holds one part, and written as files. A part has one pair
+    The order is the same at every size; only the number of parts grows. A
+    whole trie is built by the driver and broadcast; parts are built by tasks, each
+    of which holds one, and written as files. A part has one pair
     of last bytes of context at least, with all its codes.
     """
     spark = df.sparkSession
@@ -248,8 +262,9 @@ def train(df: DataFrame, text_col: str, order: int = 5, size: int = 4_000_000) -
     found = written(found.withColumn("last", F.shiftrightunsigned("code", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")).sortWithinPartitions("last"))
     groups = found.groupBy("last").count().orderBy("last").toArrow()
     starts, held = [0], 0
+    whole = sum(groups["count"].to_pylist()) <= size
     for last, n in zip(groups["last"].to_pylist(), groups["count"].to_pylist(), strict=True):
-        if held and held + n > size:
+        if not whole and held and held + n > size // 4:
             starts.append(last)
             held = 0
         held += n
@@ -408,7 +423,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
             for first, texts in pieces(batch.column(1), 1 << 24):
                 own = batch.slice(first, len(texts))
                 keys, n, total = [], [], []
-                for part in parts(texts, 1 << 20):
+                for part in parts(texts, PIECE):
                     _, _, code, start = cut([x.translate(LOWER_BYTES) for x in part])
                     keys.append(code)
                     n.append(np.diff(start))

@@ -8,6 +8,7 @@ import io
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -740,3 +741,17 @@ def test_classifier_by_plain_python(spark):
     scores = {r.row.doc_id: r.score for r in classifier.quality(df, labels).collect()}
     for i, t in rows:
         assert math.isclose(scores[i], plain_score(net, plain_features(exact, (t or "").encode())), rel_tol=1e-6, abs_tol=1e-9), i
+
+
+def test_ppm_codes_of_a_chunk_by_pieces(spark):
+    """A chunk's codes are found a piece at a time, and the parts of a trie are a quarter of what may be broadcast."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 101, 4096, dtype=np.uint8)) for _ in range(2048)]
+    tracemalloc.start()
+    own = ppm.distinct(texts, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(own, np.unique(ppm.grams(texts, 5)[0])) and peak < 10 * sum(map(len, texts))
+    df = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 20")
+    n = ppm.count_grams(df, "text", 5).count()
+    assert isinstance(ppm.train(df, "text", 5, n), ppm.Whole) and len(ppm.train(df, "text", 5, n - 1).parts) >= 4
