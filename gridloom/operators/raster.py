@@ -1,18 +1,23 @@
 """Images as rows: pixels (page, y, x, v) and runs of ink (page, y, start, end), worked on by SQL functions, windows and joins.
 
 Masks are runs, a few for each line of a page instead of a row for each pixel.
+What looks at each byte of a page, or follows runs through a page, is a small kernel within the task that has the page.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from gridloom.functions.deploy import stored
 from gridloom.operators.image import levels
 
 
@@ -58,14 +63,41 @@ def sauvola(pages: DataFrame, window: int = 25, k: float = 0.34, r: float = 128.
     return whole.select("page", "y", "x", F.when(F.col("v") > m * (F.lit(1.0) + F.lit(k) * (s / r - 1)), 255).otherwise(0).alias("v"))
 
 
+def per_page(pages: DataFrame, columns: str, kernel: Callable[..., tuple[np.ndarray, ...]], more: str | None = None) -> DataFrame:
+    """(page, and int columns) of the rows that kernel(values, and the value of the column `more`) gives for each page's bytes, as lines and columns."""
+    fields = T._parse_datatype_string(", ".join(f"{c} int" for c in columns.split())).fields
+    own = pages.where("length(data) > 0 and width > 0").select("page", F.col("width").cast("int").alias("width"), "data", F.lit(None).cast("int").alias("more") if more is None else F.col(more).alias("more"))
+    schema = T.StructType([pages.schema["page"], *fields])
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for width, data, own_more in zip(batch["width"].to_pylist(), batch["data"], batch["more"].to_pylist(), strict=True):
+                values = np.frombuffer(data.as_buffer(), np.uint8)
+                values = values[: max(width, len(values) // width * width)]
+                values = np.pad(values, (0, -len(values) % width), constant_values=255) if len(values) % width else values
+                found.append(kernel(values.reshape(-1, width), own_more))
+            if found:
+                page = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+                yield pa.RecordBatch.from_arrays([batch["page"].take(page), *(pa.array(np.concatenate(c).astype(np.int32)) for c in zip(*found, strict=True))], schema=types)
+
+    return own.mapInArrow(run, schema)
+
+
+def line_runs(ink: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, start, end) of the runs of each line, both ends within."""
+    edge = np.zeros((ink.shape[0], ink.shape[1] + 1), bool)
+    edge[:, :-1] = ink
+    edge[:, 1:] ^= ink
+    at = np.flatnonzero(edge)
+    y, place = np.divmod(at, edge.shape[1])
+    return y[::2], place[::2], place[1::2] - 1
+
+
 def ink_runs(pages: DataFrame, below: int = 128) -> DataFrame:
     """(page, y, start, end) of the dark runs of each line, both ends dark."""
-    dark = lambda i: F.substring("data", i, 1) < F.lit(bytes([below]))
-    w, all_ = F.col("width"), F.sequence(F.lit(1), F.length("data"))
-    first = F.filter(all_, lambda i: dark(i) & (((i - 1) % w == 0) | ~dark(F.greatest(F.lit(1), i - 1))))
-    last = F.filter(all_, lambda i: dark(i) & ((i % w == 0) | ~dark(i + 1)))
-    flat = pages.where("length(data) > 0").select("page", "width", F.inline(F.arrays_zip(first.alias("a"), last.alias("b"))))
-    return flat.select("page", F.floor((F.col("a") - 1) / w).cast("int").alias("y"), ((F.col("a") - 1) % w).cast("int").alias("start"), ((F.col("b") - 1) % w).cast("int").alias("end"))
+    return per_page(pages, "y start end", lambda values, _: line_runs(values < below))
 
 
 def runs_of(pixels: DataFrame) -> DataFrame:
@@ -93,35 +125,94 @@ def closed_runs(runs: DataFrame, size: int) -> DataFrame:
     return marked.groupBy("page", "y", "_k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_k")
 
 
+def whole_pages(rows: DataFrame, order: list[str], schema: T.StructType, kernel: Callable[[pa.Table], pa.Table], size: int = 1 << 20) -> DataFrame:
+    """What kernel gives for tables of whole pages of rows (page, ...), in the given order; some `size` rows at a time, but a page is never cut. Rows without a page are left out."""
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if n >= size and len(batch):
+                table = pa.Table.from_batches([*held, batch]).combine_chunks()
+                cut = np.flatnonzero(changes(table["page"]))[-1]
+                if cut:
+                    yield from kernel(table.slice(0, cut).combine_chunks()).cast(types).to_batches()
+                    batch = table.slice(cut).combine_chunks().to_batches()[0]
+                    held, n = [], 0
+            held.append(batch)
+            n += len(batch)
+        if n:
+            yield from kernel(pa.Table.from_batches(held).combine_chunks()).cast(types).to_batches()
+
+    return rows.where("page is not null").repartition("page").sortWithinPartitions("page", *order).mapInArrow(run, schema)
+
+
+def changes(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each value differs from the one before; the first does."""
+    values = column.combine_chunks()
+    return np.concatenate((np.ones(min(1, len(values)), bool), pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)))
+
+
+def least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the nodes 0 to n - 1 that links a - b lead to from each."""
+    label = np.arange(n)
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low < high
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, high[apart], low[apart])
+        while True:
+            further = label[label]
+            if np.array_equal(further, label):
+                break
+            label = further
+
+
+def touching(page: np.ndarray, y: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, run of the line above that it touches) of runs in the order of page, y and start."""
+    line = page * (y.max() - y.min() + 2) + y - y.min() + 1
+    s, e = start - start.min() + 2, end - start.min() + 2
+    wide = e.max() + 3
+    before = (line - 1) * wide
+    # of runs that overlap, as where a page's id comes twice, the furthest end so far bounds the search
+    low = np.searchsorted(np.maximum.accumulate(line * wide + e), before + s - 1)
+    many = np.maximum(np.searchsorted(line * wide + s, before + e + 1, "right") - low, 0)
+    own = np.repeat(np.arange(len(y)), many)
+    other = np.arange(len(own)) + np.repeat(low - np.cumsum(many) + many, many)
+    near = e[other] >= s[own] - 1
+    return own[near], other[near]
+
+
 def components(runs: DataFrame) -> DataFrame:
     """runs with `label`: the smallest (y, start) of their 8-connected component, as y * 2^32 + start.
 
-    Runs touch runs of the line above, of which a line's width bounds the
-    number. Each round gives a run the least label of those that it touches, and then
-    that label's own label, so that long strokes take few rounds; rounds are
-    written tables.
+    Runs touch runs of the line above. They move once, to the task of their
+    page, which labels many pages at a time.
     """
-    own = F.shiftleft(F.col("y").cast("long"), 32) + F.col("start")
-    nodes = stored(runs.select("page", "y", "start", "end", own.alias("node")))
-    above = nodes.select("page", (F.col("y") + 1).alias("y"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("node").alias("other"))
-    met = nodes.join(above, ["page", "y"]).where("start <= e + 1 and s <= end + 1").select("page", "node", "other")
-    return nodes.join(least_labels(nodes.select("page", "node"), met), ["page", "node"]).select("page", "y", "start", "end", "label")
+    own = runs.select("page", "y", "start", "end")
+
+    def labelled(table: pa.Table) -> pa.Table:
+        y, start, end = (table[c].to_numpy().astype(np.int64) for c in ("y", "start", "end"))
+        first = least_linked(len(y), *touching(np.cumsum(changes(table["page"])), y, start, end))
+        return table.append_column("label", pa.array((y[first] << 32) + start[first]))
+
+    return whole_pages(own, ["y", "start"], T.StructType([*own.schema.fields, T.StructField("label", T.LongType())]), labelled)
 
 
 def least_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(page, node, label) with the least node that links (page, node, other), either way, lead to from each of (page, node)."""
-    labels = nodes.select("page", "node", F.col("node").alias("label"))
-    edges = stored(links.select("page", "node", "other").union(links.select("page", "other", "node")))
-    if edges.isEmpty():
-        return labels
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "other"), ["page", "other"]).groupBy("page", "node").agg(F.min("label").alias("least"))
-        lower = labels.join(near, ["page", "node"], "left").select("page", "node", "label", F.least("label", "least").alias("next"))
-        jump = lower.select("page", F.col("node").alias("next"), F.col("next").alias("far"))
-        after = stored(lower.join(jump, ["page", "next"]).select("page", "node", "label", F.least("next", "far").alias("next")))
-        labels = after.select("page", "node", F.col("next").alias("label"))
-        if after.where("next < label").isEmpty():
-            return labels
+    """(page, node, label) with the least node that links (page, node, other), either way, lead to from each of the distinct (page, node)."""
+    both = nodes.select("page", F.col("node").cast("long"), F.col("node").cast("long").alias("other")).unionByName(links.select("page", F.col("node").cast("long"), F.col("other").cast("long")))
+
+    def labelled(table: pa.Table) -> pa.Table:
+        page = np.cumsum(changes(table["page"])) - 1
+        values, place = np.unique(np.concatenate((table["node"].to_numpy(), table["other"].to_numpy())), return_inverse=True)
+        _, row, at = np.unique(np.tile(page, 2) * len(values) + place, return_index=True, return_inverse=True)
+        label = place[row][least_linked(len(row), at[: len(page)], at[len(page) :])]
+        return pa.table({"page": table["page"].take(pa.array(row % len(page))), "node": values[place[row]], "label": values[label]})
+
+    return whole_pages(both, [], T.StructType([nodes.schema["page"], T.StructField("node", T.LongType()), T.StructField("label", T.LongType())]), labelled)
 
 
 def component_boxes(labelled: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.deploy import stored
 from gridloom.operators import hough
-from gridloom.operators.raster import closed_runs, component_boxes, components, least_labels, long_runs, runs_of
+from gridloom.operators.raster import closed_runs, component_boxes, components, least_labels, line_runs, long_runs, per_page, runs_of
 
 #: The scale of a stage and of a plain call, the height of characters where none is found, the least area of one.
 STAGE_SCALE, CALL_SCALE, CHARACTER, CHARACTER_AREA = 1.55, 1.7, 10, 10
@@ -25,23 +25,14 @@ TALL_PAGE = 200
 
 def with_polarity(pages: DataFrame) -> DataFrame:
     """pages with `dark`: whether ink is dark, which is so if fewer pixels are dark than light; of equals ink is light."""
-    dark = F.filter(F.sequence(F.lit(1), F.length("data")), lambda i: F.substring("data", i, 1) < F.lit(b"\x80"))
-    return pages.where("length(data) > 0").withColumn("dark", 2 * F.size(dark) < F.length("data"))
+    # the hex digits of dark pixels are what is left
+    dark = F.length(F.regexp_replace(F.hex("data"), "([0-7].)|[89A-F].", "$1"))
+    return pages.where("length(data) > 0").withColumn("dark", dark < F.length("data"))
 
 
 def sparse_runs(pages: DataFrame, down: bool = False) -> DataFrame:
     """(page, y, start, end) of the runs of ink of with_polarity() pages along lines, or down columns."""
-    line = F.col("height" if down else "width")
-
-    def ink(i: Column) -> Column:
-        place = (i % line) * F.col("width") + F.floor(i / line) + 1 if down else i + 1
-        return (F.substring("data", place.cast("int"), 1) < F.lit(b"\x80")) == F.col("dark")
-
-    every = F.sequence(F.lit(0), F.length("data") - 1)
-    first = F.filter(every, lambda i: ink(i) & ((i % line == 0) | ~ink(F.greatest(F.lit(0), i - 1))))
-    last = F.filter(every, lambda i: ink(i) & ((i % line == line - 1) | ~ink(i + 1)))
-    flat = pages.select("page", line.alias("_line"), F.inline(F.arrays_zip(first.alias("a"), last.alias("b"))))
-    return flat.select("page", F.floor(F.col("a") / F.col("_line")).cast("int").alias("y"), (F.col("a") % F.col("_line")).cast("int").alias("start"), (F.col("b") % F.col("_line")).cast("int").alias("end"))
+    return per_page(pages, "y start end", lambda values, dark: line_runs(((values < 128) == dark).T if down else (values < 128) == dark), "dark")
 
 
 def sizes(pages: DataFrame, ink: DataFrame, scale: float = STAGE_SCALE, shortest: float | None = None) -> DataFrame:
