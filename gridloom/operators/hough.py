@@ -1,7 +1,8 @@
 """Straight strokes as votes: edge pixels vote for (angle, distance), peaks are lines, and gaps cut lines into segments.
 
 Votes are counted in partial aggregates, so a shuffle moves at most one row for
-each line of a page that a task has seen. All of it is SQL functions, windows and joins.
+each line of a page that a task has seen. All of it is SQL functions, windows and joins,
+but for skew(), where each page's votes are counted and compared in the page's task, as they are far more than its pixels.
 """
 
 from __future__ import annotations
@@ -9,19 +10,28 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.operators.raster import per_page
+
+
+def edges(values: np.ndarray, below: int, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) of the dark pixels that begin a dark stretch down columns (axis 0) or along lines (axis 1)."""
+    dark = values < below
+    first = dark.copy()
+    if axis == 0:
+        first[1:] &= ~dark[:-1]
+    else:
+        first[:, 1:] &= ~dark[:, :-1]
+    return np.nonzero(first)[::-1]
+
 
 def edge_pixels(pages: DataFrame, below: int = 128, axis: int = 0) -> DataFrame:
     """(page, x, y) of the dark pixels that begin a dark stretch: those below a light one or the page's edge (axis 0), or right of one (axis 1)."""
-    dark = lambda i: F.substring("data", i, 1) < F.lit(bytes([below]))
-    step = F.col("width") if axis == 0 else F.lit(1)
-    first = (lambda i: i <= F.col("width")) if axis == 0 else (lambda i: (i - 1) % F.col("width") == 0)
-    at = F.filter(F.sequence(F.lit(1), F.length("data")), lambda i: dark(i) & (first(i) | ~dark(F.greatest(F.lit(1), i - step))))
-    flat = pages.where("length(data) > 0").select("page", "width", F.explode(at).alias("i"))
-    return flat.select("page", ((F.col("i") - 1) % F.col("width")).cast("int").alias("x"), F.floor((F.col("i") - 1) / F.col("width")).cast("int").alias("y"))
+    return per_page(pages, "x y", lambda values, _: edges(values, below, axis))
 
 
 def directions(degrees: Sequence[float]) -> Column:
@@ -53,6 +63,26 @@ def peaks(counted: DataFrame, least: int | Column, angles: int = 2, apart: int =
     return strong.join(most, ["page", "angle", "d"], "left").where(F.col("other").isNull() | (own > F.col("other"))).select("page", "angle", "d", "n")
 
 
+def page_peaks(values: np.ndarray, degrees: Sequence[float], least: float, below: int, angles: int = 2, apart: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(angle, d, n) of the peaks() of the votes() of one page's edge pixels, which never leave its task."""
+    x, y = edges(values, below, 0)
+    c, s = (np.array([f(math.radians(a)) for a in degrees])[:, None] for f in (math.cos, math.sin))
+    d = np.floor(y * c - x * s + 0.5).astype(np.int64)
+    low = d.min(initial=0) - apart
+    wide = d.max(initial=0) - low + apart + 1
+    high = len(degrees) + 2 * angles
+    n = np.bincount(((np.arange(len(degrees))[:, None] + angles) * wide + d - low).ravel(), minlength=high * wide).reshape(high, wide)
+    own = n[angles : high - angles, apart : wide - apart]
+    good = (own >= least) & (own > 0)
+    for i in range(-angles, angles + 1):
+        for j in range(-apart, apart + 1):
+            other = n[angles + i : high - angles + i, apart + j : wide - apart + j]
+            if i or j:
+                good &= own > other if (i, j) < (0, 0) else own >= other
+    angle, at = np.nonzero(good)
+    return angle, at + low + apart, own[good]
+
+
 def segments(points: DataFrame, lines: DataFrame, degrees: Sequence[float], most_gap: float, least_length: float | Column, wide: int = 1) -> DataFrame:
     """(page, angle, d, x1, y1, x2, y2, length, slope, points): stretches of points along each line without gaps of more than most_gap.
 
@@ -87,7 +117,7 @@ def skew(pages: DataFrame, step: float = 0.5, below: int = 128, least: int = SKE
     degrees = [i * step for i in range(round(-MOST_SKEW / step), round(MOST_SKEW / step) + 1)]
     points = edge_pixels(pages, below)
     size = pages.select("page", F.greatest(F.lit(float(least)), F.floor(F.col("width") * SKEW_SHARE)).alias("least"))
-    strong = peaks(votes(points, degrees).join(size, "page"), F.col("least") * 0.5)
+    strong = per_page(pages, "angle d n", lambda values, _: page_peaks(values, degrees, max(least, values.shape[1] * SKEW_SHARE // 1) * 0.5, below))
     strokes = segments(points, strong, degrees, SKEW_GAP, 0).join(size, "page").where("length >= least")
     angle = F.degrees(F.atan("slope"))
     found = strokes.where(F.abs(angle) <= MOST_SKEW).groupBy("page").agg(F.median(angle).alias("angle"))

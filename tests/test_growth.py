@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridloom.operators import raster
+from gridloom.operators import hough, raster
 
 
 def plan_of(df) -> str:
@@ -37,3 +37,13 @@ def test_least_labels_of_chains(spark):
     nodes = spark.createDataFrame([(p, n) for p in (1, 2) for n in range(50)], "page long, node long")
     links = nodes.where((F.col("node") > 0) & (F.col("node") != 20)).select("page", "node", (F.col("node") - 1).alias("other"))
     assert {(r.node, r.label) for r in raster.least_labels(nodes, links).where("page = 2").collect()} == {(n, 0 if n < 20 else 20) for n in range(50)}
+
+
+def test_peaks_within_a_page_are_those_of_all_votes(spark):
+    """The kernel of skew() gives what votes() and peaks() give."""
+    rng = np.random.default_rng(5)
+    pages = spark.createDataFrame([(i, 12, 9, rng.integers(0, 256, 108, dtype=np.uint8).tobytes()) for i in range(6)], "page long, height int, width int, data binary")
+    degrees = [i * 0.5 for i in range(-30, 31)]
+    want = hough.peaks(hough.votes(hough.edge_pixels(pages), degrees), 4)
+    got = raster.per_page(pages, "angle d n", lambda values, _: hough.page_peaks(values, degrees, 4, 128))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and "votes" not in hough.skew.__code__.co_names
