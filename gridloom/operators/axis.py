@@ -142,9 +142,19 @@ def column_scores() -> list[Column]:
     return [cross + 2 * segments + 4 * header, header, segments, cross, -ends]
 
 
+#: Rows of ink, and of bands, that one task takes; what a task holds depends on it, not on the size of the tables.
+ROWS_A_TASK = 500_000
+
+
 def segment_support(rows: DataFrame, inked: DataFrame, keys: list[str], share: float = 0.3) -> DataFrame:
-    """(keys, column, segments): bands (band, top, bottom) in which at least max(2, share) of the lines of a column are inked; inked has (keys, column, y)."""
-    hits = inked.join(rows, keys).where("y >= top and y < bottom").groupBy(*keys, "column", "band", "top", "bottom").agg(F.countDistinct("y").alias("n"))
+    """(keys, column, segments): bands (band, top, bottom) in which at least max(2, share) of the lines of a column are inked; inked has (keys, column, y).
+
+    Rows are counted first, as there are as many tasks as they ask for. All of
+    a key's rows meet in one of them, and sums need no further shuffle.
+    """
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows.count() + inked.count()) // ROWS_A_TASK))
+    met = inked.repartition(tasks, *keys).join(rows.repartition(tasks, *keys).hint("merge"), keys)
+    hits = met.where("y >= top and y < bottom").groupBy(*keys, "column", "band", "top", "bottom").agg(F.countDistinct("y").alias("n"))
     return hits.where(F.col("n") >= F.greatest(F.lit(2), F.ceil((F.col("bottom") - F.col("top")) * share))).groupBy(*keys, "column").agg(F.count("*").alias("segments"))
 
 

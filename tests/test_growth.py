@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridloom.operators import hough, raster
+from gridloom.operators import axis, hough, raster
 
 
 def plan_of(df) -> str:
@@ -47,3 +47,14 @@ def test_peaks_within_a_page_are_those_of_all_votes(spark):
     want = hough.peaks(hough.votes(hough.edge_pixels(pages), degrees), 4)
     got = raster.per_page(pages, "angle d n", lambda values, _: hough.page_peaks(values, degrees, 4, 128))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and "votes" not in hough.skew.__code__.co_names
+
+
+def test_segment_support_has_tasks_by_rows(spark, monkeypatch):
+    """More rows make more tasks, not larger ones, and give the same sums."""
+    bands = spark.range(40).selectExpr("id as page", "0 as band", "0 as top", "4 as bottom")
+    ink = bands.selectExpr("page", "page % 2 as column", "explode(sequence(0, page % 4)) as y")
+    want = sorted(map(tuple, axis.segment_support(bands, ink, ["page"]).collect()))
+    monkeypatch.setattr(axis, "ROWS_A_TASK", 14)
+    found = axis.segment_support(bands, ink, ["page"])
+    assert "hashpartitioning(page" in plan_of(found) and ", 10)" in plan_of(found)
+    assert sorted(map(tuple, found.collect())) == want == [(i, i % 2, 1) for i in range(40) if i % 4]
