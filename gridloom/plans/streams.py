@@ -24,13 +24,13 @@ def st_windowed_counts(spark, d):
 
 @query("""WITH t AS (SELECT user_id AS job_id, ts AS moment, event_id AS seq, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status FROM events) SELECT job_id, arg_max(status, (moment, seq)) AS status, count_if(status = 'running') AS attempt FROM t GROUP BY job_id""")
 def st6_job_states(spark, d):
-    """Three runs of a stream, each over what has arrived since and resuming from the one before."""
+    """Three runs of a stream, each one batch of what has arrived since, however many files, and resuming from the one before."""
     status = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
     moves = table(spark, d, "events").select(F.col("user_id").alias("job_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
     base = scratch(spark)
     for i in range(3):
-        moves.where(F.pmod(F.xxhash64("seq"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
-        states.keep_states(inbox.arrivals(spark, f"{base}/in", moves.schema), states.appending(f"{base}/out"), f"{base}/checkpoint").awaitTermination()
+        moves.where(F.pmod(F.xxhash64("seq"), F.lit(3)) == i).write.mode("append").parquet(f"{base}/in")
+        states.keep_states(inbox.arrivals(spark, f"{base}/in", moves.schema, 1_000_000), states.appending(f"{base}/out"), f"{base}/checkpoint").awaitTermination()
     return states.newest_states(spark.read.parquet(f"{base}/out")).select("job_id", "status", "attempt")
 
 

@@ -47,6 +47,17 @@ def test_job_states_of_a_stream_that_resumes(spark, tmp_path):
     assert changes.groupBy("job_id").agg((F.max("version") == F.count("*")).alias("ok")).where("not ok").count() == 0
 
 
+def test_a_batch_gives_the_state_one_row_a_job(spark):
+    """However many rows a job has, and however often they are cut down within a task, its state sees one of them."""
+    rows = [*moves(400), (None, "running", None, 400), (None, states.BEAT, at(9), 401), (9, states.BEAT, at(1), 402), (9, "queued", None, 403)]
+    given = spark.createDataFrame(rows, MOVES).select("job_id", F.unix_micros("at").alias("at"), "seq", F.expr("nullif(status, 'beat') status"), F.expr("bigint(status = 'running') attempts"))
+    got = states.met(given.coalesce(1), 7)
+    want = inbox.job_states(spark.createDataFrame(rows, MOVES).where(F.col("status") != states.BEAT)).select("job_id", "status", "attempt")
+    assert got.count() == 8 and sorted(map(str, got.select("job_id", "status", F.col("attempts").alias("attempt")).collect())) == sorted(map(str, want.collect()))
+    # without leases no job is handed to Python
+    assert "transformWithState" in states.job_changes.__code__.co_names and "TransformWithState" not in states.job_changes(spark.createDataFrame(rows, MOVES))._jdf.queryExecution().toString()
+
+
 def test_a_lone_silent_job_expires(spark, tmp_path):
     """A running job's lease ends by the clock, with nothing else heard; ended and queued jobs have none."""
     source, out = f"file://{tmp_path}/in", tmp_path / "out"
