@@ -196,7 +196,7 @@ def j10_written_claims(spark, d):
     empty = spark.createDataFrame([], store.REQUEST)
     for i, (low, high) in enumerate(thirds(requests)):
         part = empty.unionByName(requests.where(F.col("number").between(low, high)), allowMissingColumns=True)
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        part.repartition(1).write.mode("append").parquet(f"{base}/in")
     store.seeded(written_jobs(spark, d), f"{base}/store")
     inbox.start(inbox.arrivals(spark, f"{base}/in", empty.schema, 1), store.serving(f"{base}/store"), f"{base}/checkpoint").awaitTermination()
     return store.current(spark, f"{base}/store")[0].select("id", "status", "attempt", "lease_owner")

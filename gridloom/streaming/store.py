@@ -15,6 +15,7 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -92,22 +93,19 @@ def folded(jobs: dict[int, dict], requests: Iterable[dict]) -> Iterator[tuple[in
         yield r["number"], r["kind"], job if job is not None else r["job_id"], job is not None
 
 
-def turned(jobs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(changed rows of jobs, answers) of a batch of requests.
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `rank`, from 1 in that order of rows that differ in it: within ranges of rows, after the counts of the ranges before."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = stored(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    # a row for each range
+    counts = own.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return own.join(F.broadcast(before), "_part").withColumn("rank", place + F.col("_before")).drop("_part", "_before")
 
-    Requests depend on those before them, so one task takes them in turn, and
-    with them only the jobs that they may touch: those they name, and as many
-    as there are requests of the oldest queued jobs, and of the oldest whose lease
-    has run out at each recovery. All other expired jobs are queued again by a rule.
-    """
-    few = requests.count()
-    times = [r.at for r in requests.where("kind = 'recover'").select("at").distinct().collect()]
-    oldest = lambda rows: rows.orderBy("created_at", "seq").limit(few)
-    pool = jobs.join(F.broadcast(requests.select(F.col("job_id").alias("id")).where("id is not null").distinct()), "id", "left_semi")
-    for rows in (jobs.where("status = 'queued'"), *(jobs.where(is_expired(F.lit(t))) for t in times)):
-        pool = pool.unionByName(oldest(rows))
-    pool = stored(pool.dropDuplicates(["id"]))
 
+def carried(pool: DataFrame, requests: DataFrame, groups: int) -> DataFrame:
+    """(row, answer) of requests that are carried out on jobs of the pool, in turn within each of so many groups of jobs."""
     schema = T.StructType([T.StructField("row", T._parse_datatype_string(ROW)), T.StructField("answer", T._parse_datatype_string(ANSWER))])
     types = to_arrow_schema(schema)
 
@@ -119,12 +117,89 @@ def turned(jobs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows += [{"row": None, "answer": dict(zip(types.field("answer").type.names, a, strict=True))} for a in answers]
         return pa.Table.from_pylist(rows, schema=types)
 
-    one = F.lit(0).alias("one")
-    both = pool.select(*NAMES, one).groupBy("one").cogroup(requests.select("*", one).groupBy("one"))
-    result = stored(both.applyInArrow(fold, schema))
+    group = lambda key: F.pmod(F.xxhash64(key), F.lit(groups)).alias("_group")
+    both = pool.select(*NAMES, group("id")).groupBy("_group").cogroup(requests.select("*", group("job_id")).groupBy("_group"))
+    return stored(both.applyInArrow(fold, schema))
+
+
+#: Requests on jobs that they name, in one group that a task carries out in turn.
+GROUP = 10_000
+
+
+def queue_place(at: Column, seq: Column, job: Column) -> Column:
+    """place_of() as a column."""
+    return F.struct(F.unix_micros(at).alias("at"), seq.cast("long").alias("seq"), job.cast("long").alias("id"))
+
+
+def apart(jobs: DataFrame, live: DataFrame, requests: DataFrame, sizes: dict) -> tuple[DataFrame, DataFrame] | None:
+    """What turned() gives, by joins: claims take the queue by rank, and other requests are carried out job by job.
+
+    None where requests do depend on each other: where a recovery comes after another
+    request, or where the claims may reach a job that the batch names.
+    """
+    c = F.col
+    recovery, claims, named = (sizes.get(k) for k in ("recover", "claim", "named"))
+    if recovery and any(x and x.first <= recovery.last for x in (claims, named)):
+        return None
+    expired = is_expired(F.lit(recovery.at)) if recovery else F.lit(False)
+    freed = {"status": F.when(expired, "queued").otherwise(c("status")), **{x: F.when(~expired, c(x)) for x in FREE}, "_freed": expired}
+    live = live.withColumns(freed)
+    queue = live.where("status = 'queued'")
+    rows, answers = live.where("_freed"), requests.where("kind = 'recover'").select("number", "kind", "job_id", F.lit(False).alias("granted"))
+    found = []
+    if named:
+        asked = requests.where(~c("kind").isin("claim", "recover"))
+        ids = stored(asked.select(c("job_id").alias("id")).distinct())
+        own = stored(jobs.join(ids, "id", "left_semi").withColumns(freed))
+        queue = queue.join(ids, "id", "left_anti")
+        waiting = own.where("status = 'queued'").select(queue_place(c("created_at"), c("seq"), c("id")).alias("p"))
+        waiting = waiting.unionByName(asked.where("kind = 'submit'").select(queue_place(c("at"), c("number"), c("job_id")).alias("p")))
+        first = waiting.agg(F.min("p")).first()[0]
+        if claims and first:
+            queue = queue.where(queue_place(c("created_at"), c("seq"), c("id")) < F.struct(*(F.lit(first[n]).cast("long").alias(n) for n in ("at", "seq", "id"))))
+            if queue.count() < claims.n:
+                return None
+        result = carried(own, asked, 1 + named.n // GROUP)
+        found.append(result.where("row is not null").select("row.*"))
+        answers = answers.unionByName(result.where("answer is not null").select("answer.*"))
+    if claims:
+        asked = ranked(requests.where("kind = 'claim'").select("number", "at", "worker", "seconds", c("job_id").alias("_named")), "number")
+        both = stored(asked.join(ranked(queue.drop("_freed"), "created_at", "seq", "id"), "rank", "left"))
+        lease = F.greatest(F.lit(1), F.coalesce("seconds", F.lit(0))) * 1_000_000
+        taken = {"status": F.lit("running"), "attempt": (c("attempt") + 1).cast("int"), "started_at": F.coalesce("started_at", "at"), "lease_owner": c("worker"), "lease_until": F.timestamp_micros(F.unix_micros("at") + lease), "gone": F.lit(False)}
+        found.append(both.where("id is not null").withColumns(taken).select(*NAMES, "gone"))
+        answers = answers.unionByName(both.select("number", F.lit("claim").alias("kind"), F.coalesce("id", "_named").alias("job_id"), c("id").isNotNull().alias("granted")))
+    rows = rows.withColumn("gone", F.lit(False)).select(*NAMES, "gone")
+    for more in found:
+        rows = rows.join(more.select("id"), "id", "left_anti").select(*NAMES, "gone").unionByName(more)
+    return rows, answers
+
+
+def turned(jobs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changed rows of jobs, answers) of a batch of requests.
+
+    Where requests depend on those before them in ways that apart() can't cut, one task takes them in turn, and
+    with them only the jobs that they may touch: those they name, and as many
+    as there are requests of the oldest queued jobs, and of the oldest whose lease
+    has run out at each recovery. All other expired jobs are queued again by a rule.
+    """
+    kind = F.when(F.col("kind").isin("claim", "recover"), F.col("kind")).otherwise("named").alias("kind")
+    sizes = {r.kind: r for r in requests.groupBy(kind).agg(F.count("*").alias("n"), F.min("number").alias("first"), F.max("number").alias("last"), F.max("at").alias("at")).collect()}
+    live = stored(jobs.where("status in ('queued', 'running')"))
+    found = apart(jobs, live, requests, sizes)
+    if found:
+        return found
+    few = sum(r.n for r in sizes.values())
+    times = [r.at for r in requests.where("kind = 'recover'").select("at").distinct().collect()]
+    oldest = lambda rows: rows.orderBy("created_at", "seq").limit(few)
+    pool = jobs.join(requests.select(F.col("job_id").alias("id")).where("id is not null").distinct(), "id", "left_semi")
+    for rows in (live.where("status = 'queued'"), *(live.where(is_expired(F.lit(t))) for t in times)):
+        pool = pool.unionByName(oldest(rows))
+    pool = stored(pool.dropDuplicates(["id"]))
+    result = carried(pool, requests, 1)
     changed = result.where("row is not null").select("row.*")
     if times:
-        rest = jobs.where(is_expired(F.lit(max(times)))).join(pool.select("id"), "id", "left_anti")
+        rest = live.where(is_expired(F.lit(max(times)))).join(pool.select("id"), "id", "left_anti")
         free = {"status": F.lit("queued"), "lease_owner": F.lit(None).cast("string"), "lease_until": F.lit(None).cast("timestamp"), "gone": F.lit(False)}
         changed = changed.unionByName(rest.withColumns(free))
     return changed, result.where("answer is not null").select("answer.*")

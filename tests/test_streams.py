@@ -184,6 +184,35 @@ def test_written_store_equals_a_plain_fold(spark, tmp_path, monkeypatch):
     assert all((r.completed_at is None) == (r.status in ("queued", "running")) for r in kept.values() if r.started_at)
 
 
+def test_requests_that_are_apart_go_by_joins(spark, monkeypatch):
+    """Recoveries and then claims by rank, other requests job by job: the same as in turn, also where the queue runs dry; claims that may reach a named job go in turn."""
+    jobs, rng, groups, carried = first_jobs(), random.Random(7), [], store.carried
+    monkeypatch.setattr(store, "carried", lambda pool, requests, n: groups.append((n, requests.where("kind = 'claim'").count())) or carried(pool, requests, n))
+    monkeypatch.setattr(store, "GROUP", 3)
+    waiting = [j["id"] for j in sorted(jobs, key=lambda j: (j["created_at"], j["seq"])) if j["status"] == "queued"]
+    running = [j["id"] for j in jobs if j["status"] == "running"]
+    ask = lambda kind, job=None: dict.fromkeys(c.split()[0] for c in store.REQUEST.split(", ")) | {"kind": kind, "job_id": job, "batch_id": 1, "worker": f"w{rng.randrange(3)}", "seconds": rng.choice([1, 9]), "status": "completed", "done": 2, "total": 3}
+    other = [*(ask(k, j) for j in running for k in ("beat", "progress", "finish", "cancel")), ask("cancel", waiting[-1]), ask("submit", 90), ask("submit", 90), ask("delete", 90), ask("beat", 91)]
+    rng.shuffle(other)
+    few, many = [ask("claim") for _ in range(4)], [ask("claim") for _ in range(JOBS)]
+    mixed = [*few, *other]
+    rng.shuffle(mixed)
+    for batch, shape in (([ask("recover"), ask("recover"), *many], []), (mixed, [(1 + len(other) // 3, 0)]), ([ask("recover"), *mixed], [(1, 4)]), (other, [(1 + len(other) // 3, 0)]), ([*few, ask("recover")], [(1, 4)]), ([*many, ask("cancel", waiting[-1])], [(1, len(many))])):
+        requests = [r | {"number": i, "at": at(20 + i)} for i, r in enumerate(batch)]
+        want, answers = plain_fold(jobs, requests)
+        groups.clear()
+        changed, said = store.turned(spark.createDataFrame(jobs, store.JOB), spark.createDataFrame(requests, store.REQUEST))
+        now, ids = {j["id"]: j for j in jobs}, [r.id for r in changed.collect()]
+        assert len(ids) == len(set(ids))
+        for r in changed.collect():
+            now[r.id] = {c: r[c] for c in store.NAMES}
+            if r.gone:
+                del now[r.id]
+        assert now == {i: {c: j[c] for c in store.NAMES} for i, j in want.items()}
+        assert sorted(map(tuple, said.collect())) == answers
+        assert groups == shape
+
+
 def test_only_touched_batches_are_rolled_up(spark):
     """An emptied batch goes, a finished one keeps its time, and jobs of other batches aren't counted."""
     jobs = spark.createDataFrame([{**dict.fromkeys(store.NAMES), "id": i, "batch_id": b, "status": s} for i, (b, s) in enumerate([(1, "completed"), (1, "failed"), (2, "queued"), (2, "completed"), (4, "completed")])], store.JOB)
