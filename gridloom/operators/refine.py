@@ -125,9 +125,9 @@ def listed(df: DataFrame, position: str, name: str) -> DataFrame:
     return df.groupBy("page").agg(F.array_sort(F.collect_list(F.col(position).cast("int"))).alias(name))
 
 
-def unfolded(df: DataFrame, *names: str) -> DataFrame:
-    """Arrays of equal length as rows."""
-    return df.select("page", F.inline(F.arrays_zip(*names)))
+def unfolded(df: DataFrame, *names: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Arrays of equal length as rows, each with the columns to keep."""
+    return df.select("page", *keep, F.inline(F.arrays_zip(*names)))
 
 
 def profile_peaks(df: DataFrame, profile: str, position: str, share: float, least: Column, gap: Column) -> DataFrame:
@@ -241,7 +241,8 @@ def refined_grid(masks: DataFrame, centroids: DataFrame | None = None, keep_head
     joined = close(xs.join(pages, "page", "left_semi").join(size.select("page", "tolerance"), "page").unionByName(extra)).select("page", "x").unionByName(xs.join(pages, "page", "left_anti"))
     wanted = stored(tall.join(listed(joined, "x", "xs"), "page"))
     borders = measured(masks, wanted, "crossings array<int>, segments array<int>, header array<int>", column_supports).join(wanted.select("page", "xs", F.size("ys").alias("rows")), "page")
-    scored = unfolded(borders, "xs", "crossings", "segments", "header").withColumnRenamed("xs", "x").join(borders.select("page", "rows"), "page").join(size.select("page", "width", "tolerance"), "page")
+    # borders is read once: each look at it would measure the masks again
+    scored = unfolded(borders, "xs", "crossings", "segments", "header", keep=("rows",)).withColumnRenamed("xs", "x").join(size.select("page", "width", "tolerance"), "page")
     scored = stored(scored)
     ended = scored.select("page", "x", "tolerance").join(counts, "page").where(F.abs(F.col("x") - F.col("end")) <= F.col("tolerance")).groupBy("page", "x").agg(F.sum("n").alias("endpoints"))
     scored = scored.join(ended, ["page", "x"], "left").fillna(0, ["endpoints"]).join(rows.groupBy("page").agg(F.max("spacing").alias("spacing")), "page")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridloom.operators import axis, hough, raster
+from gridloom.operators import axis, hough, raster, refine
 
 
 def plan_of(df) -> str:
@@ -58,3 +58,21 @@ def test_segment_support_has_tasks_by_rows(spark, monkeypatch):
     found = axis.segment_support(bands, ink, ["page"])
     assert "hashpartitioning(page" in plan_of(found) and ", 10)" in plan_of(found)
     assert sorted(map(tuple, found.collect())) == want == [(i, i % 2, 1) for i in range(40) if i % 4]
+
+
+def test_masks_are_measured_once_a_pass(spark, monkeypatch):
+    """Each of the four kernels of a grid sees each page once."""
+    across, down = (np.zeros((60, 60), np.uint8) for _ in range(2))
+    across[5:56:10, 5:56] = down[5:56, 5:56:10] = 255
+    masks = spark.createDataFrame([(i, 60, 60, across.tobytes(), down.tobytes()) for i in range(6)], "page long, height int, width int, horizontal binary, vertical binary")
+    seen = {}
+    for name in ("profiles", "supports", "ends", "column_supports"):
+        seen[name] = spark.sparkContext.accumulator(0)
+
+        def counted(a, d, own, kernel=getattr(refine, name), done=seen[name]):
+            done.add(1)
+            return kernel(a, d, own)
+
+        monkeypatch.setattr(refine, name, counted)
+    assert refine.refined_grid(masks).cells.count() == 6 * 25
+    assert {k: v.value for k, v in seen.items()} == dict.fromkeys(seen, 6)
