@@ -63,6 +63,14 @@ def sauvola(pages: DataFrame, window: int = 25, k: float = 0.34, r: float = 128.
     return whole.select("page", "y", "x", F.when(F.col("v") > m * (F.lit(1.0) + F.lit(k) * (s / r - 1)), 255).otherwise(0).alias("v"))
 
 
+def page_lines(data: pa.Buffer, width: int) -> np.ndarray:
+    """A page's bytes as lines and columns; a last line that is cut short is left out, or filled with white if it is the only one."""
+    values = np.frombuffer(data, np.uint8)
+    values = values[: max(width, len(values) // width * width)]
+    values = np.pad(values, (0, -len(values) % width), constant_values=255) if len(values) % width else values
+    return values.reshape(-1, width)
+
+
 def per_page(pages: DataFrame, columns: str, kernel: Callable[..., tuple[np.ndarray, ...]], more: str | None = None) -> DataFrame:
     """(page, and int columns) of the rows that kernel(values, and the value of the column `more`) gives for each page's bytes, as lines and columns."""
     fields = T._parse_datatype_string(", ".join(f"{c} int" for c in columns.split())).fields
@@ -74,10 +82,7 @@ def per_page(pages: DataFrame, columns: str, kernel: Callable[..., tuple[np.ndar
         for batch in batches:
             found = []
             for width, data, own_more in zip(batch["width"].to_pylist(), batch["data"], batch["more"].to_pylist(), strict=True):
-                values = np.frombuffer(data.as_buffer(), np.uint8)
-                values = values[: max(width, len(values) // width * width)]
-                values = np.pad(values, (0, -len(values) % width), constant_values=255) if len(values) % width else values
-                found.append(kernel(values.reshape(-1, width), own_more))
+                found.append(kernel(page_lines(data.as_buffer(), width), own_more))
             if found:
                 page = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
                 yield pa.RecordBatch.from_arrays([batch["page"].take(page), *(pa.array(np.concatenate(c).astype(np.int32)) for c in zip(*found, strict=True))], schema=types)
@@ -95,6 +100,16 @@ def line_runs(ink: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return y[::2], place[::2], place[1::2] - 1
 
 
+def joined_runs(ink: np.ndarray, gap: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, start, end) of long_runs() of closed_runs() of one page's ink."""
+    y, start, end = line_runs(ink)
+    first, last = np.ones((2, len(y)), bool)
+    first[1:] = last[:-1] = (y[1:] != y[:-1]) | (start[1:] - end[:-1] > gap)
+    y, start, end = y[first], start[first], end[last]
+    long = end - start + 1 >= size
+    return y[long], start[long], end[long]
+
+
 def ink_runs(pages: DataFrame, below: int = 128) -> DataFrame:
     """(page, y, start, end) of the dark runs of each line, both ends dark."""
     return per_page(pages, "y start end", lambda values, _: line_runs(values < below))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridloom.operators import axis, hough, raster, refine
+from gridloom.operators import axis, hough, raster, refine, ruling
 
 
 def plan_of(df) -> str:
@@ -76,3 +76,26 @@ def test_masks_are_measured_once_a_pass(spark, monkeypatch):
         monkeypatch.setattr(refine, name, counted)
     assert refine.refined_grid(masks).cells.count() == 6 * 25
     assert {k: v.value for k, v in seen.items()} == dict.fromkeys(seen, 6)
+
+
+def test_rules_look_at_a_page_once(spark):
+    """Each page's bytes are made once for all that rules ask of them, and an upright rule is a row for each of its columns, whatever its height."""
+    page = np.full((110, 90), 255, np.uint8)
+    page[10:110:30, 10:80] = page[10:101, 10:80:23] = 0
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("binary")
+    def drawn(data):
+        seen.add(1)
+        return data
+
+    rows = [(i, 110, 90, page.tobytes()) for i in range(6)] + [(6, 0, 0, b""), (7, 10, 9, None)]
+    pages = spark.createDataFrame(rows, "page long, height int, width int, data binary").repartition(3, "page").withColumn("data", drawn("data"))
+    points = ruling.page_crossings(pages, 0.3).collect()
+    assert seen.value <= len(rows)
+    assert sorted(map(tuple, points)) == [(i, x, y) for i in range(6) for x in range(10, 80, 23) for y in range(10, 110, 30)]
+    _, upright, _ = ruling.rules(pages, 0.3)
+    assert sorted((r.page, r.y, r.start, r.end) for r in upright.collect()) == [(i, x, 10, 100) for i in range(6) for x in range(10, 80, 23)]
+    seen.value = 0
+    ruling.ruled_lines(pages, 0.3)
+    assert seen.value <= len(rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from gridloom.operators import image, ruling
+from gridloom.operators import image, raster, ruling
 from tests.test_operators import form
 from tests.test_process import PAGE
 
@@ -157,3 +157,26 @@ def test_sizes(spark):
             assert (r.char, r.across, r.down, r.long_x, r.long_y) == (char, across, down, long_x, max(14, min(int(h * 0.08), down * 3)))
             assert (r.gap_x, r.gap_y, r.thick, r.crossings) == (*gaps, max(2, min(24, char * 2)), 1 if h < 200 else 2)
     ink.unpersist()
+
+
+def test_page_crossings(spark):
+    """Rules at right angles, as runs of their own, cross where those turned along lines do, across bands and pages."""
+    drawn = forms() | {"leaning": leaning()}
+    pages = paged(spark, drawn)
+    want = ruling.crossing_points(*ruling.ruled_lines(pages), pages).collect()
+    got = ruling.page_crossings(pages).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r.page for r in got}) > 4
+
+
+def test_ink_of_a_page(spark):
+    """The kernels of a page's task against numpy."""
+    for k, p in forms().items():
+        dark = p < 128
+        ink = dark if 2 * dark.sum() < dark.size else ~dark
+        assert ruling.ink_is_dark(p.tobytes()) == (ink is dark) and ruling.character_height(ink) == character_height(ink), k
+        for gap, size in ((1, 3), (3, 5), (4, 1)):
+            got = np.zeros_like(ink)
+            for y, start, end in zip(*raster.joined_runs(ink, gap, size), strict=True):
+                got[y, start : end + 1] = True
+            assert (got == image.opened(image.closed(ink, gap, 1), size, 1)).all(), k
+    assert not len(raster.joined_runs(np.zeros((0, 1), bool), 1, 1)[0])
